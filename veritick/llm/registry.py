@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from veritick.llm import ann, simhash
+from veritick.llm import ann, decontam, html_text, langid, pieces, pii, quality, secrets, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_nearest_vectors": ann.op1_nearest_vectors,
         "op2_simhash_groups": simhash.op2_simhash_groups,
+        "op3_personal_data": pii.op3_personal_data,
+        "op4_language": langid.op4_language,
+        "op5_extendible_shards": sharding.op5_extendible_shards,
+        "op6_decontamination": decontam.op6_decontamination,
+        "op7_quality": quality.op7_quality,
+        "op8_sentencepiece": pieces.op8_sentencepiece,
+        "op9_secrets": secrets.op9_secrets,
+        "op10_main_text": html_text.op10_main_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_extendible_shards": sharding.OP5_SQL}
