@@ -16,7 +16,8 @@ lengths per byte taken over ``evidence`` bytes.  ``und`` answers a null text or
 
 Edge cases: texts are coded as UTF-8 from an empty context; empty texts, nulls and texts without a letter get ``und``
 and score 0. Ties go to the language that sorts first. Rows with a null id are scored and never trained on. Without
-any training row every answer is ``und``. Repeated rows are scored one by one. Extra columns pass through.
+any training row every answer is ``und``. Repeated rows are scored one by one. Extra columns pass through; those
+named like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -199,7 +200,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", evidence:
     scored = F.pandas_udf(work, "lang_pred string, score double, bits_per_byte double")
     letter = F.coalesce(has_letter(F.col(text)), F.lit(False))
     df = docs.withColumn("__lang", scored(F.coalesce(F.col(text), F.lit("")), letter))
-    return df.select(*docs.columns, "__lang.lang_pred", "__lang.score", F.nanvl("__lang.bits_per_byte", F.lit(None).cast("double")).alias("bits_per_byte"))
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]
+    return df.select(*kept, "__lang.lang_pred", "__lang.score", F.nanvl("__lang.bits_per_byte", F.lit(None).cast("double")).alias("bits_per_byte"))
 
 
 def crc_mod(doc_id: object, by: int) -> int:

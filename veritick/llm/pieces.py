@@ -15,7 +15,8 @@ Text is taken as the model does without normalisation: a space in front, spaces
 a piece become UTF-8 byte pieces.  Decoding inverts this exactly, but that U+2581 itself comes back as a space.
 
 Edge cases: a null text has null ids and decodes to null; the empty text has no ids. Repeated rows are encoded one by
-one, null ids of documents are kept. An empty table gives an empty result. Extra columns pass through.
+one, null ids of documents are kept. An empty table gives an empty result. Extra columns pass through; one
+named ``ids`` is replaced.
 """
 
 from __future__ import annotations
@@ -325,6 +326,7 @@ def encode(docs: DataFrame, shared, text: str = "text", chunk: int = CHUNK) -> D
         for t in batches:
             yield pd.Series([None if x is None else np.frombuffer(v.encode(x), np.int32) for x in t])
 
+    docs = docs.drop("ids") if text != "ids" else docs
     size = F.length(F.coalesce(F.col(text), F.lit("")))
     short = docs.where(size <= chunk).withColumn("ids", F.pandas_udf(work, "array<int>")(F.col(text)))
     giants = cut(docs.where(size > chunk).withColumn("__row", F.monotonically_increasing_id()))

@@ -149,7 +149,7 @@ def train(docs: DataFrame, text: str = "text", precision: float = 0.9) -> tuple[
 
 
 def detect(docs: DataFrame, text: str = "text", model: tuple | None = None) -> DataFrame:
-    """``docs`` with n_email, n_ip, n_card, n_phone, ``base`` and ``all`` (encoded spans, see ``spans``)."""
+    """``docs`` with ``__found``: struct of n_<kind> (base spans), ``base`` and ``all`` (encoded spans, see ``spans``)."""
     prior, trees, limits = model or train(docs, text)
     df = with_candidates(with_base(docs, text))
 
@@ -159,20 +159,21 @@ def detect(docs: DataFrame, text: str = "text", model: tuple | None = None) -> D
             limit = F.when(c["kind"] == i, F.lit(limits[i])).otherwise(limit)
         return boosting.score(prior, trees, [c[n] for n in FEATURES]) >= limit
 
-    df = df.withColumn("base", F.concat(*[F.col(f"__base_{k}") for k in KINDS]))
+    df = df.withColumn("__all_base", F.concat(*[F.col(f"__base_{k}") for k in KINDS]))
     added = F.transform(F.filter("__cand", kept), lambda c: c["code"])
-    df = df.withColumn("all", F.concat("base", F.array_except(added, F.col("base"))))
-    counts = {f"n_{k}": F.size(f"__base_{k}").cast("long") for k in KINDS}
-    return df.withColumns(counts).drop("__text", "__cand", *[f"__base_{k}" for k in KINDS])
+    every = F.concat("__all_base", F.array_except(added, F.col("__all_base")))
+    counts = [F.size(f"__base_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
+    return df.select(*docs.columns, F.struct(*counts, F.col("__all_base").alias("base"), every.alias("all")).alias("__found"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by ``[EMAIL]`` and so on; a null text stays null."""
-    found = detect(docs, text).withColumn(text, spans.masked(F.col(text), F.col("all")))
+    found = detect(docs, text).withColumn(text, spans.masked(F.col(text), F.col("__found.all")))
     return found.select(*docs.columns)
 
 
 def op3_personal_data(spark, sf_dir: str) -> DataFrame:
     """Base counts, base digest and all spans of every document."""
     found = detect(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(spans.joined(F.col("base")), 256).alias("base_sha256"), spans.joined(F.col("all")).alias("spans"))
+    counts = [f"__found.n_{k}" for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(spans.joined(F.col("__found.base")), 256).alias("base_sha256"), spans.joined(F.col("__found.all")).alias("spans"))

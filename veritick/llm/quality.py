@@ -10,7 +10,8 @@ Training rows are a bounded sample: at most ``sample_docs`` labelled documents (
 
 Edge cases: null and empty texts have the features of an empty text and get a score too. Ids null in ``docs`` are
 scored and never trained on; null labels are left out; a repeated label counts each time. With labels of one kind (or none) every score is their
-share (or 0.5). Repeated rows are scored one by one. Extra columns pass through.
+share (or 0.5). Repeated rows are scored one by one. Extra columns pass through; one named ``score`` is
+replaced.
 """
 
 from __future__ import annotations

@@ -109,21 +109,21 @@ def train(docs: DataFrame, text: str = "text", false_rate: float = 0.001, least:
 
 
 def scan(docs: DataFrame, text: str = "text", model: tuple | None = None) -> DataFrame:
-    """``docs`` with n_assign, n_access, n_hex, ``base`` and ``all`` (encoded spans, see ``spans``)."""
+    """``docs`` with ``__found``: struct of n_assign, n_access, n_hex, ``base`` and ``all`` (encoded spans, see ``spans``)."""
     model = model or train(docs, text)
-    df = with_base(docs, text).withColumn("base", F.concat(*[F.col(f"__base_{k}") for k in KINDS[:3]]))
+    df = with_base(docs, text).withColumn("__all_base", F.concat(*[F.col(f"__base_{k}") for k in KINDS[:3]]))
     if model is None:
         added = F.array().cast("array<string>")
     else:
         table = constant(model[0])
         found = F.filter("__tokens", lambda s: ordinary(s["hit"], F.col("__secret")) & (ratio(s["hit"], table) > model[1]))
         added = spans.encoded(found, "markov", 3)
-    df = df.withColumn("all", F.concat("base", added))
-    counts = {f"n_{k}": F.size(f"__base_{k}").cast("long") for k in KINDS[:3]}
-    return df.withColumns(counts).drop("__text", "__secret", "__tokens", *[f"__base_{k}" for k in KINDS[:3]])
+    counts = [F.size(f"__base_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    return df.select(*docs.columns, F.struct(*counts, F.col("__all_base").alias("base"), F.concat("__all_base", added).alias("all")).alias("__found"))
 
 
 def op9_secrets(spark, sf_dir: str) -> DataFrame:
     """Base counts, base digest and all spans of every document."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return found.select("doc_id", *[f"n_{k}" for k in KINDS[:3]], F.sha2(spans.joined(F.col("base")), 256).alias("base_sha256"), spans.joined(F.col("all")).alias("spans"))
+    counts = [f"__found.n_{k}" for k in KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(spans.joined(F.col("__found.base")), 256).alias("base_sha256"), spans.joined(F.col("__found.all")).alias("spans"))

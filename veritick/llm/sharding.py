@@ -80,14 +80,13 @@ def shards(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", text: st
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Write ``docs`` as Parquet, one folder per shard; a shard is written by one task and fits its limit.
+    """Write ``docs`` as Parquet, one folder ``__shard=...`` per shard; a shard is written by one task and fits its limit.
 
     ``docs`` must read the same rows in the same order each time (a stored table).
     """
-    placed = shards(docs, limit, doc_id, text).select("row", F.col("shard").alias("__shard"))
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    out = rows.join(placed, "row").drop("row").withColumnRenamed("__shard", "shard")
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    placed = shards(docs, limit, doc_id, text).select(F.col("row").alias("__row"), F.col("shard").alias("__shard"))
+    out = docs.withColumn("__row", F.monotonically_increasing_id()).join(placed, "__row").drop("__row")
+    out.repartition("__shard").write.partitionBy("__shard").parquet(path)
 
 
 def op5_extendible_shards(spark, sf_dir: str) -> DataFrame:
