@@ -26,7 +26,7 @@ def number_text(x: float | int) -> str:
         return "0"
     digits, exp = format(Decimal(repr(x)).normalize(), "e").split("e")
     sign, digits, e = ("-" if digits.startswith("-") else ""), digits.lstrip("-").replace(".", ""), int(exp)
-    if -7 <= e < 21:
+    if -7 < e < 21:
         if e < 0:
             return f"{sign}0.{'0' * (-e - 1)}{digits}"
         whole = digits[: e + 1].ljust(e + 1, "0")
