@@ -14,7 +14,8 @@ back to their longest kept suffix.  Both bounds fix the size of the table that i
 The answer is the language of the least code length.  Its score is the posterior under equal priors of the mean code
 lengths per byte taken over ``evidence`` bytes.  ``und`` answers a null text or one without a letter.
 
-Edge cases: texts are coded as UTF-8 from an empty context; empty texts, nulls and texts without a letter get ``und``
+Edge cases: texts are coded as UTF-8 and begin after ``order`` padding symbols, as in training; a byte never seen in
+training counts as padding in contexts. Empty texts, nulls and texts without a letter get ``und``
 and score 0. Ties go to the language that sorts first. Rows with a null id are scored and never trained on. Without
 any training row every answer is ``und``. Repeated rows are scored one by one. Extra columns pass through; those
 named like a result are replaced by it.

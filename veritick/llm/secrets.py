@@ -3,9 +3,9 @@
 Base patterns give the spans that always stay.  Labelled samples for the models come from the corpus itself: the
 values of base spans are random strings; long identifier-like tokens that share no span with them are ordinary ones.
 Character pairs of both are counted over all documents; the counts (at most 2 * 67 * 67 numbers) give smoothed
-transition probabilities.  A token's score is its mean log-likelihood ratio per character.  The threshold is the
-least score that at most ``false_rate`` of the ordinary tokens exceed (from a histogram over all of them), and not
-under ``least``; tokens over it become ``markov`` spans.
+transition probabilities.  A token's score is its mean log-likelihood ratio per character.  The threshold lies midway
+between the mean scores of the two samples, over all documents, and not under ``least``; tokens over it become
+``markov`` spans.  A few unlabelled secrets among the ordinary tokens hardly move it.
 
 Edge cases: a null text counts as empty; empty texts have no spans. Rows with a null id are kept. Repeated rows are
 scanned one by one. Without any base span the models are untrained and add nothing. Extra columns pass through.
@@ -78,7 +78,7 @@ def constant(values: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{v:.6f}" for v in values)), ",").cast("array<double>")
 
 
-def train(docs: DataFrame, text: str = "text", false_rate: float = 0.001, least: float = 0.5) -> tuple[list[float], float] | None:
+def train(docs: DataFrame, text: str = "text", least: float = 0.3, backoff: float = 500.0) -> tuple[list[float], float] | None:
     """The log-ratio of every character pair, and the threshold. None if the corpus has no base span."""
     df = with_base(docs.select(F.col(text).alias("text")))
     plain = F.filter(F.transform("__tokens", lambda s: s["hit"]), lambda t: ordinary(t, F.col("__secret")))
@@ -94,17 +94,13 @@ def train(docs: DataFrame, text: str = "text", false_rate: float = 0.001, least:
     logs = []
     for c in counts:
         row = [sum(c[i * SIZE : (i + 1) * SIZE]) for i in range(SIZE)]
-        logs.append([math.log((c[i * SIZE + j] + 0.5) / (row[i] + 0.5 * SIZE)) for i in range(SIZE) for j in range(SIZE)])
+        column = [sum(c[j::SIZE]) for j in range(SIZE)]
+        alone = [(n + 0.5) / (sum(column) + 0.5 * SIZE) for n in column]  # pairs back off to single characters
+        logs.append([math.log((c[i * SIZE + j] + backoff * alone[j]) / (row[i] + backoff)) for i in range(SIZE) for j in range(SIZE)])
     table = [a - b for a, b in zip(logs[1], logs[0], strict=True)]
-    scores = df.select(F.explode("__plain").alias("t")).select(F.floor(ratio(F.col("t"), constant(table)) * 20).alias("at"))
-    limit, n = least, 0
-    bins = sorted(((r["at"], r["n"]) for r in scores.groupBy("at").agg(F.count("*").alias("n")).collect()), reverse=True)
-    total = sum(b[1] for b in bins)
-    for at, k in bins:
-        n += k
-        if n > false_rate * total:
-            limit = max(limit, (at + 1) / 20)
-            break
+    scored = labelled.select("x.random", F.explode_outer("x.t").alias("t")).where("t is not null").groupBy("random").agg(F.avg(ratio(F.col("t"), constant(table))).alias("mean"))
+    means = {r["random"]: r["mean"] for r in scored.collect()}
+    limit = max(least, (means[1] + means.get(0, means[1])) / 2)
     return table, limit
 
 
