@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,10 +36,27 @@ from veritick.session import cut
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GAP = "▁"
 WORDS = re.compile(f"{GAP}*[^{GAP}]+|{GAP}+")
-CHUNK = 16_384
+CHUNK = 65_536
+BATCH_ROWS = 512  # whole texts are large: a batch of them must fit beside the worker's memory of words
 State = tuple[int, int]  # start and end of the piece on a boundary, relative to the boundary
 
 
+class Words(dict):
+    """Packed ids by word, filled on demand, of bounded size."""
+
+    def __init__(self, make, most: int = 200_000) -> None:
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, rest: str) -> bytes:
+        got = self.make(rest)
+        if len(self) >= self.most:
+            self.clear()
+        if len(rest) < 64:
+            self[rest] = got
+        return got
+
+
 @dataclass
 class Vocabulary:
     """Pieces with ids and scores (only those that segment to themselves), byte ids, bytes of each id."""
@@ -49,8 +66,15 @@ class Vocabulary:
     bytes_ids: list[int]
     as_bytes: list[bytes]
     longest: int
-    words: dict = field(default_factory=dict)
-    pairs: dict = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.pairs: dict[int, bool] = {}
+        self.words = Words(self.make_word)
+        self.newline = array("i", [self.bytes_ids[10]]).tobytes()
+        self.reaches: dict[str, int] = {}  # by its first two characters, the longest piece
+        for p in self.ids:
+            if len(p) > 1:
+                self.reaches[p[:2]] = max(self.reaches.get(p[:2], 1), len(p))
 
     def merge(self, text: str) -> list[str]:
         """Byte-pair merging by definition: the best-scored neighbours first, leftmost of equals."""
@@ -68,10 +92,13 @@ class Vocabulary:
 
     def agree(self, a: str, b: str) -> bool:
         """Whether two pieces may be neighbours."""
-        key = a, b
+        i, j = self.ids.get(a), self.ids.get(b)
+        if i is None or j is None:
+            return self.merge(a + b) == [a, b]
+        key = i << 20 | j
         got = self.pairs.get(key)
         if got is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             got = self.pairs[key] = self.merge(a + b) == [a, b]
         return got
@@ -87,36 +114,32 @@ class Vocabulary:
         return out
 
     def segment(self, word: str) -> list[str]:
-        """The pieces of a stretch whose both ends are fixed."""
-        ids, longest, agree = self.ids, self.longest, self.agree
-        last: list[str] = [""]
-        for i in range(1, len(word) + 1):
-            for a in range(max(0, i - longest), i):
-                t = word[a:i]
-                if (a == i - 1 or t in ids) and (a == 0 or agree(last[a], t)):
-                    last.append(t)
+        """The pieces of a stretch whose both ends are fixed: the path found depth first, longest piece first.
+
+        A valid path to a position is the only one, so a position that leads nowhere is given up for good.
+        """
+        ids, reaches, agree = self.ids, self.reaches, self.agree
+        out: list[str] = []
+        dead: set[int] = set()
+        pos, n = 0, len(word)
+        while pos < n:
+            for end in range(min(n, pos + reaches.get(word[pos : pos + 2], 1)), pos, -1):
+                t = word[pos:end]
+                if (end == pos + 1 or t in ids) and end not in dead and (not out or agree(out[-1], t)):
+                    out.append(t)
+                    pos = end
                     break
-        out, i = [], len(word)
-        while i:
-            out.append(last[i])
-            i -= len(last[i])
-        return out[::-1]
+            else:
+                dead.add(pos)
+                pos -= len(out.pop())
+        return out
 
-    def word(self, rest: str) -> bytes:
+    def make_word(self, rest: str) -> bytes:
         """Ids, as packed 32-bit numbers, of a word whose first character is a word start, given without it."""
-        got = self.words.get(rest)
-        if got is None:
-            lines = (GAP + rest).split("\n") if "\n" not in self.ids else [GAP + rest]
-            got = b"".join(array("i", self.codes(self.segment(x))).tobytes() + (self.newline if k + 1 < len(lines) else b"") for k, x in enumerate(lines))
-            if len(self.words) > 400_000:
-                self.words.clear()
-            if len(rest) < 64:
-                self.words[rest] = got
-        return got
-
-    @property
-    def newline(self) -> bytes:
-        return array("i", [self.bytes_ids[10]]).tobytes()
+        if "\n" in self.ids or "\n" not in rest:
+            return array("i", self.codes(self.segment(GAP + rest))).tobytes()
+        lines = (GAP + rest).split("\n")  # a line feed has no piece, so nothing joins across it
+        return self.newline.join(array("i", self.codes(self.segment(x))).tobytes() for x in lines)
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text."""
@@ -125,7 +148,7 @@ class Vocabulary:
         words = text.split(" ")
         if "" in words or GAP in text:
             words = [w[1:] for w in WORDS.findall(GAP + text.replace(" ", GAP))]
-        return b"".join(map(self.word, words))
+        return b"".join(map(self.words.__getitem__, words))
 
     def decode(self, ids: list[int]) -> str:
         line = b"".join(map(self.as_bytes.__getitem__, ids)).decode("utf-8", "replace").replace(GAP, " ")
@@ -202,7 +225,7 @@ class Vocabulary:
         if mid is None:
             return array("i", self.codes(path(a, b, end, first))).tobytes()
         head = array("i", self.codes(path(a, b, mid[0], -1) if mid[0] > b else [])).tobytes()
-        inner = b"".join(self.word(w[1:]) for w in WORDS.findall(x[mid[0] : mid[1]]))
+        inner = b"".join(self.words[w[1:]] for w in WORDS.findall(x[mid[0] : mid[1]]))
         return head + inner + array("i", self.codes(path(mid[1], mid[1], end, first))).tobytes()
 
 
@@ -319,7 +342,8 @@ def _giants(texts: DataFrame, shared, chunk: int) -> DataFrame:
 
 
 def encode(docs: DataFrame, shared, text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with ``ids`` (array<int>)."""
+    """``docs`` with ``ids`` (array<int>). Limits the session's Arrow batches to ``BATCH_ROWS``."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = _own(shared)
