@@ -481,7 +481,7 @@ P.add(
     f"""WITH {proxy.SNAPSHOTS}, pos AS (SELECT session AS book_id, base_symbol AS symbol, count(*) * 1500000000 AS qty FROM snapshots GROUP BY ALL),
     priced AS (SELECT p.*, p_retailprice AS price FROM pos p LEFT JOIN (SELECT * FROM part WHERE p_partkey % 9 <> 0) ON symbol = 'P' || p_partkey)
     SELECT book_id, count(*) FILTER (price IS NULL OR price <= 0) AS unpriced, CASE WHEN count(*) FILTER (price IS NULL OR price <= 0) = 0
-    THEN (10000000000 + sum(qty::HUGEINT * round(round(price, 6) * 1000000)::HUGEINT // 1000000000))::BIGINT END AS equity_micro FROM priced GROUP BY book_id""",
+    THEN (10000000000 + sum(qty::HUGEINT * (round(price::VARCHAR::DECIMAL(38, 15), 6) * 1000000)::HUGEINT // 1000000000))::BIGINT END AS equity_micro FROM priced GROUP BY book_id""",
 )
 
 

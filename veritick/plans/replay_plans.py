@@ -47,7 +47,7 @@ placed AS (SELECT *, CASE WHEN last_value(CASE WHEN action IN ('ENTER_LONG', 'EX
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 'ENTER_LONG' THEN 'LONG' ELSE 'FLAT' END AS position FROM steps),
 moves AS (SELECT *, CASE WHEN was = 'FLAT' AND position = 'LONG' THEN 'BUY' WHEN was = 'LONG' AND position = 'FLAT' THEN 'SELL' END AS side FROM
   (SELECT *, coalesce(lag(position) OVER (PARTITION BY asset, cell_id, window_name ORDER BY t_ms), 'FLAT') AS was FROM placed))"""
-MICRO = "round(round({}, 6) * 1000000)::HUGEINT"
+MICRO = "(round(({})::VARCHAR::DECIMAL(38, 15), 6) * 1000000)::HUGEINT"
 WALK = f"""{EXPANDED},
 trades AS (SELECT *, row_number() OVER (PARTITION BY asset, cell_id, window_name ORDER BY t_ms) AS k FROM moves WHERE side IS NOT NULL),
 fold AS (
@@ -66,14 +66,14 @@ drawn AS (SELECT asset, cell_id, window_name, max((peak - equity) / peak) AS max
 ends AS (SELECT asset, cell_id, window_name, arg_max(n_trades, k) AS n_trades, arg_max(trips, k) AS trips, arg_max(wins, k) AS wins FROM fold GROUP BY ALL),
 groups AS (SELECT DISTINCT asset, n, cell_id, unnest(['in', 'out']) AS window_name FROM cells)
 SELECT asset, cell_id, window_name, floor(n * 0.7)::INT AS split_index, CASE WHEN window_name = 'in' THEN floor(n * 0.7) ELSE n - floor(n * 0.7) END::INT AS n_bars,
-  coalesce(round(equity, 6), 10000) AS final_equity, round(coalesce(equity, 10000) / 10000 - 1, 9) AS total_return, round(max_drawdown, 9) AS max_drawdown, coalesce(n_trades, 0) AS n_trades,
+  coalesce(round(equity, 6), 10000) AS final_equity, coalesce(equity, 10000) / 10000 - 1 AS total_return, round(max_drawdown, 9) AS max_drawdown, coalesce(n_trades, 0) AS n_trades,
   coalesce(trips, 0) AS n_round_trips, CASE WHEN trips > 0 THEN round(wins / trips, 6) END AS win_rate, coalesce(trips, 0) < 10 AS weak_evidence, coalesce(n_trades, 0) % 2 = 1 AS open_at_end
 FROM groups LEFT JOIN drawn USING (asset, cell_id, window_name) LEFT JOIN ends USING (asset, cell_id, window_name)"""
 
 
 def walk_forward(s, d):
     got = B.walk_forward(proxy.bars(s, d)).drop("error")
-    return got.withColumns({"final_equity": r("final_equity"), "total_return": r("total_return", 9), "max_drawdown": r("max_drawdown", 9), "win_rate": r("win_rate")})
+    return got.withColumns({"final_equity": r("final_equity"), "max_drawdown": r("max_drawdown", 9), "win_rate": r("win_rate")})
 
 
 def steps(s, d):

@@ -36,7 +36,7 @@ one(
     """CASE WHEN x IS NULL OR isnan(x) OR x < 0 OR x > 1 THEN NULL WHEN x = 0 THEN 0 WHEN value / 100 < 0 OR value / 100 > 1 THEN NULL WHEN value = 0 THEN 0
        ELSE round(exp(0.25 * ln(x) + 0.5 * ln(value / 100) + 0.25 * ln(0.5)), 6) END""",
 )
-one("to_micro_usd", lambda: S.to_micro_usd("x").cast("bigint"), FIN.format("round(round(x, 6) * 1000000)::BIGINT"))
+one("to_micro_usd", lambda: S.to_micro_usd("x").cast("bigint"), FIN.format("(round(x::VARCHAR::DECIMAL(38, 15), 6) * 1000000)::BIGINT"))
 one(
     "micro_to_usd", lambda: S.micro_to_usd(F.col("event_id") * 1234567),
     "((event_id * 1234567) // 1000000)::VARCHAR || '.' || lpad(((event_id * 1234567) % 1000000)::VARCHAR, 6, '0')",
