@@ -84,9 +84,19 @@ def exact_std(window: Window, value: str = "close") -> Column:
     return F.when(F.size(xs) >= 2, F.sqrt(F.aggregate(xs, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.size(xs)))
 
 
+def by_asset(df: DataFrame) -> DataFrame:
+    """Dealt by asset to the session's number of shuffle partitions.
+
+    Replays cost far more per byte than adaptive coalescing assumes, which would put small bars into a single task; all
+    windows and groups by asset downstream reuse this partitioning.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "asset")
+
+
 def with_features(bars: DataFrame, cells: tuple[Params, ...] = (Params(),)) -> DataFrame:
     """bar_idx and one column per distinct look-back of the cells: ret_L, z_N, vol_N."""
-    df = with_log_return(with_bar_index(bars))
+    df = with_log_return(with_bar_index(by_asset(bars)))
     wanted = {f"ret_{c.momentum}": period_return(c.momentum) for c in cells}
     wanted |= {f"z_{c.z_window}": z_score(c.z_window) for c in cells}
     wanted |= {f"vol_{c.vol_window}": annualized_vol(c.vol_window) for c in cells}
