@@ -48,20 +48,27 @@ class Model:
 
 
 def _counts(texts: list[bytes], classes: np.ndarray, base: int, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per length 1..order+1: the distinct class strings (as numbers in the base) and how often each occurs."""
-    joined = [np.concatenate([np.zeros(order, np.int64), classes[np.frombuffer(t, np.uint8)].astype(np.int64)]) for t in texts]
+    """Per length 1..order+1: the distinct class strings (as numbers in the base) and how often each occurs.
+
+    Up to four classes of one byte each fit 32 bits, which keeps the arrays small on the driver.
+    """
+    kind = np.uint32 if base ** (order + 1) <= 2**32 else np.uint64
+    joined = [np.concatenate([np.zeros(order, np.uint8), classes[np.frombuffer(t, np.uint8)]]) for t in texts if t]
     out = []
     for k in range(1, order + 2):
-        codes = []
+        every = np.zeros(sum(len(c) - order for c in joined), kind)
+        at = 0
         for c in joined:
             n = len(c) - order
-            if n > 0:
-                code = np.zeros(n, np.int64)
-                for j in range(k):  # the last of the k classes is the byte itself
-                    code = code * base + c[order - k + 1 + j : order - k + 1 + j + n]
-                codes.append(code)
-        every = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        out.append(np.unique(every, return_counts=True))
+            code = every[at : at + n]
+            for j in range(k):  # the last of the k classes is the byte itself
+                code *= kind(base)
+                code += c[order - k + 1 + j : order - k + 1 + j + n]
+            at += n
+        every.sort()
+        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+        out.append((every[first].astype(np.int64), np.diff(np.r_[first, len(every)])))
+        del every
     return out
 
 

@@ -260,7 +260,9 @@ def _own(shared) -> Vocabulary:
 def share(spark: SparkSession, path: str = MODEL):
     """The vocabulary as a broadcast; its size is that of the model file, some hundred kilobytes."""
     v = load(path)
-    return spark.sparkContext.broadcast({"key": path, "vocabulary": {k: getattr(v, k) for k in ("ids", "scores", "bytes_ids", "as_bytes", "longest")}})
+    shared = spark.sparkContext.broadcast({"key": path, "vocabulary": {k: getattr(v, k) for k in ("ids", "scores", "bytes_ids", "as_bytes", "longest")}})
+    shared.longest = v.longest  # for the driver, which then need not load the broadcast
+    return shared
 
 
 def compose(a: frozenset, b: frozenset) -> frozenset:
@@ -300,7 +302,7 @@ def settle(matrices: list[list[tuple[State, State]]]) -> list[State]:
 
 def _giants(texts: DataFrame, shared, chunk: int) -> DataFrame:
     """(__row, ids) of long texts (__row, text)."""
-    longest = shared.value["vocabulary"]["longest"]
+    longest = shared.longest
     line = F.concat(F.lit(GAP), F.replace(F.col("text"), F.lit(" "), F.lit(GAP)))
     rows = texts.select("__row", line.alias("s"), F.ceil((F.length("text") + 1) / chunk).cast("int").alias("n"))
     k = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")
