@@ -83,8 +83,9 @@ def train(docs: DataFrame, text: str = "text", least: float = 0.3, backoff: floa
     df = with_base(docs.select(F.col(text).alias("text")))
     plain = F.filter(F.transform("__tokens", lambda s: s["hit"]), lambda t: ordinary(t, F.col("__secret")))
     df = df.select("__secret", plain.alias("__plain"))
-    labelled = df.select(F.explode(F.array(F.struct(F.lit(1).alias("random"), F.col("__secret").alias("t")), F.struct(F.lit(0).alias("random"), F.col("__plain").alias("t")))).alias("x"))
-    counted = labelled.where(F.size("x.t") > 0).select("x.random", F.explode(pairs(F.col("x.t"))).alias("pair")).groupBy("random", "pair").agg(F.count("*").alias("n"))
+    # outer explodes: an inner one would have its input computed once more, as a filter on its size
+    labelled = df.select(F.explode_outer(F.array(F.struct(F.lit(1).alias("random"), F.col("__secret").alias("t")), F.struct(F.lit(0).alias("random"), F.col("__plain").alias("t")))).alias("x"))
+    counted = labelled.select("x.random", F.explode_outer(pairs(F.col("x.t"))).alias("pair")).where("pair is not null").groupBy("random", "pair").agg(F.count("*").alias("n"))
     counts = [[0.0] * (SIZE * SIZE) for _ in range(2)]
     for r in counted.collect():
         if r["pair"] >= SIZE:
