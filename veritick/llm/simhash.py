@@ -12,6 +12,11 @@ set probes).  What meets under one value is verified on all 64 bits.  A meeting
 forest, found by breadth-first search, never all pairs; one of over ``block`` fingerprints is first split in blocks,
 each pair of blocks being a meeting place of its own.  Components then come from ``components``.
 
+``near_groups`` takes those links for candidates only: texts are told apart by their set of word shingles, a wider
+radius and more parts find candidate pairs, and a pair is linked if the exact Jaccard similarity of its sets suffices.
+A meeting place of over ``small`` sets gives each its ``most`` nearest later ones, so that a large cluster of near
+copies has a bounded number of pairs.
+
 Edge cases: a null or empty text, or one without words, has fingerprint zero, linked like any other. A text of fewer
 than ``shingle`` words has one shingle, its whole sequence. Rows with a null id are left out. Repeated ids share
 their component. Empty tables give empty results. Extra columns are not looked at.
@@ -35,19 +40,24 @@ from veritick.session import cut
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """The fingerprint of one text, as an unsigned 64-bit number."""
+def shingle_hashes(text: str | None, shingle: int = 4) -> list[int]:
+    """The hashes of the word shingles of one text, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(b" ".join(words), SEED)]
-    else:
-        line = b" ".join(words)
-        ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
-        starts = [0, *[e + 1 for e in ends[: len(words) - shingle]]]
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=True)]
+        return [digest(b" ".join(words), SEED)]
+    line = b" ".join(words)
+    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+    starts = [0, *[e + 1 for e in ends[: len(words) - shingle]]]
+    return [digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=True)]
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes; 0 without any."""
+    if not len(hashes):
+        return 0
     bits = np.array(hashes, dtype="<u8").view(np.uint8).reshape(len(hashes), 8)
     ones = np.zeros(64, dtype=np.int64)
     for lo in range(0, len(bits), 65536):
@@ -55,6 +65,11 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """The fingerprint of one text, as an unsigned 64-bit number."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit number, one row per row of ``docs`` with an id."""
 
@@ -129,7 +144,7 @@ def masks(width: int, limit: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for t in range(1, limit + 1) for c in itertools.combinations(range(width), t)], dtype=np.uint64)
 
 
-def plan_parts(fps: DataFrame, radius: int, probe_cost: float = 200.0) -> Parts | None:
+def plan_parts(fps: DataFrame, radius: int, probe_cost: float = 200.0, counts_of_parts: tuple[int, ...] = (2, 3, 4)) -> Parts | None:
     """Parts and thresholds from statistics over all distinct fingerprints; ``probe_cost``: one probe in pair checks."""
 
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +167,7 @@ def plan_parts(fps: DataFrame, radius: int, probe_cost: float = 200.0) -> Parts
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     corr = (both / n - np.outer(p, p)) / np.outer(spread, spread)
     agree = np.clip(p * p + (1 - p) ** 2, 1e-6, 1 - 1e-6)
-    layouts = [group_bits(corr, m) for m in (2, 3, 4)]
+    layouts = [group_bits(corr, m) for m in counts_of_parts]
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -175,6 +190,8 @@ def plan_parts(fps: DataFrame, radius: int, probe_cost: float = 200.0) -> Parts
             # the more bits may differ, the less the skew of exact matches matters
             costs.append(np.array([0.0] + [n * (1 + (balls[t] - 1) / 2) * probe_cost + n * n / 2 * near[t] * skew ** (1 / (1 + t)) for t in range(limit + 1)]))
             at += 1
+        if sum(len(c) - 2 for c in costs) < radius - len(layout) + 1:
+            continue  # too many probes
         cost, limits = allocate(costs, radius - len(layout) + 1)
         if best is None or cost < best[0]:
             best = (cost, Parts(layout, limits))
@@ -219,40 +236,45 @@ def run_edges(key: np.ndarray, fp: np.ndarray, radius: int, small: int = 64) ->
     return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
 
-def links(fps: DataFrame, radius: int = 4, block: int = 20_000) -> DataFrame:
-    """Edges (a, b) among distinct fingerprints ``fps`` (fp) that give the components of all links."""
-    parts = plan_parts(fps, radius)
-    if parts is None:
-        return fps.sparkSession.createDataFrame([], "a long, b long")
-    used = [(i, bits, t, masks(len(bits), t)) for i, (bits, t) in enumerate(zip(parts.bits, parts.limits, strict=True)) if t >= 0]
+def meetings(rows: DataFrame, parts: Parts, block: int) -> DataFrame:
+    """(key, columns of ``rows``): every row at its own values and those it probes; rows have ``fp`` and are distinct."""
+    used = [(i, bits, masks(len(bits), t)) for i, (bits, t) in enumerate(zip(parts.bits, parts.limits, strict=True)) if t >= 0]
+    columns = rows.columns
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            all_fp = pdf["fp"].to_numpy()
-            for lo in range(0, len(all_fp), 20_000):
-                fp = all_fp[lo : lo + 20_000]
-                for i, bits, _, flips in used:
-                    v = value_of(fp, bits)
-                    rows, who = [v], [fp]
+            for lo in range(0, len(pdf), 20_000):
+                some = {c: pdf[c].to_numpy()[lo : lo + 20_000] for c in columns}
+                for i, bits, flips in used:
+                    v = value_of(some["fp"], bits)
+                    values, who = [v], [np.arange(len(v))]
                     for mask in flips:
                         top = np.uint64(1 << (int(mask).bit_length() - 1))
                         probe = (v & top) != 0
-                        rows.append(v[probe] ^ mask)
-                        who.append(fp[probe])
-                    yield pd.DataFrame({"part": np.int32(i), "value": np.concatenate(rows).view(np.int64), "fp": np.concatenate(who)})
+                        values.append(v[probe] ^ mask)
+                        who.append(np.flatnonzero(probe))
+                    at = np.concatenate(who)
+                    yield pd.DataFrame({"part": np.int32(i), "value": np.concatenate(values).view(np.int64)} | {c: x[at] for c, x in some.items()})
 
-    met = fps.select("fp").mapInPandas(meet, "part int, value long, fp long")
+    met = rows.mapInPandas(meet, "part int, value long, " + ", ".join(f"{c} long" for c in columns))
     hot = met.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > block)
     hot = cut(hot.select("part", "value", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     at = F.col("part"), F.col("value")
     if hot.isEmpty():
-        placed = met.select(F.xxhash64(*at, F.lit(-1), F.lit(-1)).alias("key"), "fp")
-    else:
-        mine = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int")
-        split = met.join(hot, ["part", "value"], "left").withColumn("mine", mine)
-        other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")
-        split = split.select(*at, "fp", "mine", other)
-        placed = split.select(F.xxhash64(*at, F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "fp")
+        return met.select(F.xxhash64(*at, F.lit(-1), F.lit(-1)).alias("key"), *columns)
+    mine = F.pmod(F.xxhash64(*columns), F.coalesce("blocks", F.lit(1))).cast("int")
+    split = met.join(hot, ["part", "value"], "left").withColumn("mine", mine)
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")
+    split = split.select(*at, *columns, "mine", other)
+    return split.select(F.xxhash64(*at, F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), *columns)
+
+
+def links(fps: DataFrame, radius: int = 4, block: int = 20_000) -> DataFrame:
+    """Edges (a, b) among distinct fingerprints ``fps`` (fp) that give the components of all links."""
+    parts = plan_parts(fps, radius)
+    if parts is None:
+        return fps.sparkSession.createDataFrame([], "a long, b long")
+    placed = meetings(fps.select("fp"), parts, block)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
@@ -288,6 +310,109 @@ def groups(docs: DataFrame, shingle: int = 4, radius: int = 4, doc_id: str = "do
     return joined.select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def shingle_sets(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, node, fp, size): the row's set of shingles by its hash, with the set's fingerprint and size."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = (np.unique(np.array(shingle_hashes(t, shingle), np.uint64)) for t in pdf["text"])
+            found = [(xxhash.xxh3_64_intdigest(x.tobytes()), majority(x), len(x)) for x in sets]
+            node, fp, size = (np.array(x, np.uint64).view(np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": node, "fp": fp, "size": size})
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    return rows.mapInPandas(work, "doc_id long, node long, fp long, size long")
+
+
+def run_pairs(key: np.ndarray, fp: np.ndarray, size: np.ndarray, radius: int, per_mille: int, small: int = 64, most: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of equal key (sorted) within the radius whose sizes allow the similarity; of long runs the nearest."""
+
+    def fits(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        return 1000 * np.minimum(size[i], size[j]) >= per_mille * np.maximum(size[i], size[j])
+
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[start, len(key)])
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s, n in zip(start[count > small].tolist(), count[count > small].tolist(), strict=True):
+        run = fp[s : s + n]
+        for i in range(n - 1):
+            off = np.bitwise_count((run[i + 1 :] ^ run[i]).view(np.uint64))
+            near = np.flatnonzero(off <= radius)
+            if len(near):
+                near = near[fits(s + i, s + i + 1 + near)]
+                if len(near) > most:
+                    near = near[np.argpartition(off[near], most)[:most]]
+                a.append(np.full(len(near), s + i))
+                b.append(s + i + 1 + near)
+    short = np.flatnonzero(np.repeat((count > 1) & (count <= small), count))
+    key, near_fp = key[short], fp[short]
+    for d in range(1, small):
+        at = np.flatnonzero(key[d:] == key[:-d])
+        if not len(at):
+            break
+        at = at[np.bitwise_count((near_fp[at] ^ near_fp[at + d]).view(np.uint64)) <= radius]
+        i, j = short[at], short[at + d]
+        ok = fits(i, j)
+        a.append(i[ok])
+        b.append(j[ok])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def candidates(sets: DataFrame, radius: int, per_mille: int, block: int = 20_000) -> DataFrame:
+    """Distinct pairs (a, b) of the distinct ``sets`` (node, fp, size) that may be similar."""
+    parts = plan_parts(sets, radius, counts_of_parts=(2, 3, 4, 5, 6, 8))
+    if parts is None:
+        return sets.sparkSession.createDataFrame([], "a long, b long")
+
+    def pairs(key: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+        i, j = run_pairs(key, x[:, 1], x[:, 2], radius, per_mille)
+        return pd.DataFrame({"a": np.minimum(x[i, 0], x[j, 0]), "b": np.maximum(x[i, 0], x[j, 0])})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: tuple | None = None
+        for pdf in batches:
+            key, x = pdf["key"].to_numpy(), pdf[["node", "fp", "size"]].to_numpy()
+            if not len(key):
+                continue
+            if last is not None:
+                key, x = np.r_[last[0], key], np.r_[last[1], x]
+            end = np.searchsorted(key, key[-1])
+            last = (key[end:], x[end:])
+            yield pairs(key[:end], x[:end])
+        if last is not None:
+            yield pairs(*last)
+
+    placed = meetings(sets.select("node", "fp", "size"), parts, block)
+    found = placed.repartition("key").sortWithinPartitions("key").mapInPandas(compare, "a long, b long")
+    return found.where("a <> b").distinct()
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, per_mille: int = 800, radius: int = 14, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id): components of texts whose shingle sets have a Jaccard similarity of ``per_mille``/1000 or more."""
+    own = cut(shingle_sets(docs, shingle, doc_id, text))
+    by_set = cut(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.count("*").alias("n")))
+    pairs = cut(candidates(by_set.select("node", "fp", "size"), radius, per_mille))
+    wanted = by_set.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("first").alias("doc_id"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 500):
+                some = pdf.iloc[lo : lo + 500]
+                sets = [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)).view(np.int64) for t in some["text"]]
+                yield pd.DataFrame({"node": some["node"].to_numpy(), "hashes": sets})
+
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id").select("node", "text")
+    sets = cut(texts.mapInPandas(work, "node long, hashes array<long>"))
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    edges = both.where(1000 * shared >= per_mille * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    linked = by_set.join(components(edges), "node")
+    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    moved = linked.join(least, "root").select("node", "least")
+    named = by_set.where("n > 1").select("node", "first").join(moved, "node", "full").select("node", F.coalesce("least", "first").alias("component"))
+    return own.join(named, "node", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
 def op2_simhash_groups(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
