@@ -1,11 +1,12 @@
 """Secret scan: patterns, plus two character Markov models (random strings, ordinary identifiers) by likelihood ratio.
 
 Base patterns give the spans that always stay.  Labelled samples for the models come from the corpus itself: the
-values of base spans are random strings; long identifier-like tokens that share no span with them are ordinary ones.
+values of base spans are random strings; long identifier-like tokens that neither contain one nor lie in one are
+ordinary ones.
 Character pairs of both are counted over all documents; the counts (at most 2 * 67 * 67 numbers) give smoothed
 transition probabilities.  A token's score is its mean log-likelihood ratio per character.  The threshold lies midway
 between the mean scores of the two samples, over all documents, and not under ``least``; tokens over it become
-``markov`` spans.  A few unlabelled secrets among the ordinary tokens hardly move it.
+``markov`` spans unless they overlap a base span; a value that occurs again without its keyword is a token as any other.  A few unlabelled secrets among the ordinary tokens hardly move it.
 
 Edge cases: a null text counts as empty; empty texts have no spans. Rows with a null id are kept. Repeated rows are
 scanned one by one. Without any base span the models are untrained and add nothing. Extra columns pass through.
@@ -113,8 +114,8 @@ def scan(docs: DataFrame, text: str = "text", model: tuple | None = None) -> Dat
         added = F.array().cast("array<string>")
     else:
         table = constant(model[0])
-        found = F.filter("__tokens", lambda s: ordinary(s["hit"], F.col("__secret")) & (ratio(s["hit"], table) > model[1]))
-        added = spans.encoded(found, "markov", 3)
+        found = F.filter("__tokens", lambda s: ratio(s["hit"], table) > model[1])
+        added = spans.clear_of(spans.encoded(found, "markov", 3), F.col("__all_base"), same_kind=False)
     counts = [F.size(f"__base_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     return df.select(*docs.columns, F.struct(*counts, F.col("__all_base").alias("base"), F.concat("__all_base", added).alias("all")).alias("__found"))
 

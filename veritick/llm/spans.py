@@ -58,6 +58,19 @@ def encoded(spans: Column, kind: str, order: int) -> Column:
     )
 
 
+def clear_of(codes: Column, taken: Column, same_kind: bool) -> Column:
+    """The encoded spans that overlap none of ``taken`` (of the same kind only, if so asked)."""
+
+    def part(c: Column, k: int) -> Column:
+        return F.split_part(F.substring_index(c, "|", -1), F.lit(":"), F.lit(k))
+
+    def clash(a: Column, b: Column) -> Column:
+        meet = (part(a, 2).cast("int") < part(b, 3).cast("int")) & (part(b, 2).cast("int") < part(a, 3).cast("int"))
+        return meet & (part(a, 1) == part(b, 1)) if same_kind else meet
+
+    return F.filter(codes, lambda a: ~F.exists(taken, lambda b: clash(a, b)))
+
+
 def joined(codes: Column) -> Column:
     """``kind:start:end`` of encoded spans, by start and then kind, comma-joined."""
     return F.array_join(F.transform(F.sort_array(codes), lambda c: F.substring_index(c, "|", -1)), ",")
