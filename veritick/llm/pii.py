@@ -2,9 +2,15 @@
 
 Base patterns give the spans that always stay.  High-recall generators propose further, possibly overlapping spans of
 the same kinds.  Each candidate has binned format and context features; candidates of all documents are counted by
-feature cell (label: a base span of that kind starts there or, for cards, the number passes Luhn), boosted trees are
-fitted on the counted cells, and per kind the lowest score at which the kept candidates reach ``precision`` is the
-threshold.  Candidates at or over it become spans unless they lie at a base span of their kind.
+feature cell with a label, boosted trees are fitted on the counted cells, and per kind the lowest score at which the
+kept candidates reach ``precision`` is the threshold.  Candidates at or over it become spans unless they overlap a base
+span of their kind.
+
+Labels are weak, but do not come from the base patterns alone: a card passes Luhn's check; an e-mail ends in a known
+domain ending, however its at sign and dots are written; a phone number has an area code in brackets or of a valid first
+digit and the groups of a national number, or 9 to 15 digits after a cue such as "call". No feature tells a plus or an
+at sign from its other forms. Base e-mails and phone numbers without such evidence are left out of the sample. The only
+ip candidates are base spans and those with a part over 255, so that nothing is added for ip.
 
 Edge cases: a null text counts as empty; empty texts have no spans. Rows with a null id are kept with null id. Repeated
 rows are scored one by one. Where no candidate exists, the base spans are the result. Extra columns pass through.
@@ -32,7 +38,14 @@ WIDE = {
     "phone": r"(?<![0-9A-Za-z.-])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[\x20./-]\(?[0-9]{2,4}\)?){2,4}(?![0-9])",
 }
 OCTETS = r"^(0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.|$)){4}"
-FEATURES = ("kind", "luhn", "digits", "marks", "plus", "before", "after", "valid")
+ENDINGS = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|example|ac|ae|ai|ar|at|au|be|bg|br|ca|ch|cl|cn|co|cz|de|dk|ee|es|eu|fi|fr|gr|hk|hr|hu|id|ie|"
+    "il|in|io|is|it|jp|ke|kr|lt|lu|lv|me|mx|my|ng|nl|no|nz|pe|ph|pk|pl|pt|ro|rs|ru|se|sg|si|sk|th|tr|tv|tw|ua|uk|us|vn|za"
+)
+NATIONAL = r"^(?:(?:\+|00)?[0-9]{1,3}[\x20.-])?(?:\([0-9]{3}\)[\x20./-]?[0-9]{3}[\x20.-][0-9]{4}|[2-9][0-9]{2}([.-])[0-9]{3}\1[0-9]{4})$"
+DATE = r"^(?:19|20)[0-9]{2}[./-][0-9]{2}[./-][0-9]{2}"
+CUE = r"(?i)(?<![\p{L}0-9])(?:phone|tel|telephone|telefon|téléphone|teléfono|call|mobile|cell|fax|dial|sms|whatsapp)(?:[^\p{L}0-9]+\p{L}{1,8}){0,2}[^\p{L}0-9]{0,3}$"
+FEATURES = ("kind", "luhn", "digits", "marks", "cue", "before", "after", "valid")
 
 
 def digits_of(hit: Column) -> Column:
@@ -83,14 +96,23 @@ def _features(text: Column, order: int, c: Column) -> list[Column]:
         F.lit(order),
         F.when(n.between(13, 19) & luhn(digits), 1).otherwise(0),
         F.when(n < 7, 0).when(n < 10, 1).when(n < 13, 2).when(n < 16, 3).when(n == 16, 4).otherwise(5),
-        F.when(c["hit"].contains("@"), 4).when(c["hit"].contains("("), 3).when(c["hit"].rlike("[.-]"), 2).when(c["hit"].contains(" "), 1).otherwise(0),
-        F.when(c["hit"].startswith("+"), 1).otherwise(0),
+        F.lit(0) if KINDS[order] == "email" else F.when(c["hit"].contains("("), 3).when(c["hit"].rlike("[.-]"), 2).when(c["hit"].contains(" "), 1).otherwise(0),
+        F.when(F.substr(text, F.greatest(c["start"] - 31, F.lit(1)), F.least(c["start"], F.lit(32))).rlike(CUE), 1).otherwise(0) if KINDS[order] == "phone" else F.lit(0),
         _char_class(before),
         _char_class(F.substr(text, c["end"] + 1, F.lit(1))),
-        F.when(c["hit"].rlike(OCTETS), 2).when(c["hit"].rlike(r"^[^()\[\]]*$"), 1).otherwise(0),
+        _form(KINDS[order], c["hit"]),
     ]
 
 
+def _form(kind: str, hit: Column) -> Column:
+    """Binned validity of the form, whether or not a base pattern takes it."""
+    if kind == "email":
+        return F.when(hit.rlike(rf"(?i)(?:\.|dot[)\]]\x20?)(?:{ENDINGS})$"), 2).otherwise(0)
+    if kind == "phone":
+        return F.when(hit.rlike(OCTETS) | hit.rlike(DATE), 0).when(hit.rlike(NATIONAL), 2).when(F.length(digits_of(hit)).between(9, 15), 1).otherwise(0)
+    return F.when(hit.rlike(OCTETS), 2).otherwise(1)
+
+
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``__text`` (null as empty), ``__base_<kind>`` (encoded) per kind."""
     df = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
@@ -115,7 +137,9 @@ def with_candidates(df: DataFrame) -> DataFrame:
         def one(c: Column, code: Column) -> Column:
             found = F.array_contains(F.col(f"__base_{k}"), code)
             named = [x.alias(n) for n, x in zip(FEATURES, _features(t, i, c), strict=True)]
-            return F.struct(code.alias("code"), (found | (named[1] == 1) if k == "card" else found).alias("label"), *named)
+            cue, form = named[FEATURES.index("cue")], named[FEATURES.index("valid")]
+            evidence = {"card": found | (named[1] == 1), "ip": found, "email": form == 2, "phone": (form == 2) | (form == 1) & (cue == 1)}[k]
+            return F.struct(code.alias("code"), evidence.alias("label"), (evidence | ~found).alias("sample"), *named)
 
         return F.zip_with(F.col(f"__hits_{k}"), spans.encoded(F.col(f"__hits_{k}"), k, i), one)
 
@@ -126,9 +150,9 @@ def with_candidates(df: DataFrame) -> DataFrame:
 def train(docs: DataFrame, text: str = "text", precision: float = 0.9) -> tuple[float, list[boosting.Node], list[float]]:
     """Prior, trees and per-kind thresholds, from the counted feature cells of all candidates of all documents.
 
-    The cells number at most 4 * 2 * 6 * 5 * 2 * 5 * 5 * 3; they are what comes to the driver.
+    The cells number at most 4 * 2 * 6 * 4 * 2 * 5 * 5 * 3; they are what comes to the driver.
     """
-    one = with_candidates(with_base(docs.select(F.col(text).alias("text")))).select(F.explode("__cand").alias("c"))
+    one = with_candidates(with_base(docs.select(F.col(text).alias("text")))).select(F.explode("__cand").alias("c")).where("c.sample")
     counts = one.groupBy(*[F.col(f"c.{n}").alias(n) for n in FEATURES]).agg(F.count("*").alias("n"), F.count_if("c.label").alias("pos"))
     cells = sorted((tuple(r[n] for n in FEATURES), float(r["n"]), float(r["pos"])) for r in counts.collect())
     if not cells:
@@ -161,7 +185,7 @@ def detect(docs: DataFrame, text: str = "text", model: tuple | None = None) -> D
 
     df = df.withColumn("__all_base", F.concat(*[F.col(f"__base_{k}") for k in KINDS]))
     added = F.transform(F.filter("__cand", kept), lambda c: c["code"])
-    every = F.concat("__all_base", F.array_except(added, F.col("__all_base")))
+    every = F.concat("__all_base", spans.clear_of(F.array_except(added, F.col("__all_base")), F.col("__all_base"), same_kind=True))
     counts = [F.size(f"__base_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     return df.select(*docs.columns, F.struct(*counts, F.col("__all_base").alias("base"), every.alias("all")).alias("__found"))
 
