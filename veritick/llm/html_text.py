@@ -3,8 +3,9 @@
 The standard library's streaming parser delivers events; block elements end lines.  Each line has its text and the
 number of tags that occur in it.  Ratios (text length over tags, 0 for lines in navigation and the like) are smoothed
 with a Gaussian, and a two-cluster threshold on their logarithm marks content lines.  The content region is the
-``article`` or ``main`` element that holds most of the marked text, else the deepest sectioning element that holds nearly
-all of it, else the body; all its lines outside navigation and the like are returned, short ones and headings too.
+smallest sectioning element round all marked lines (those within ``article`` and ``main`` elements, if these hold most of
+the marked text), with the headings and paragraphs that adjoin it in the elements round it, up to the outermost ``article``
+or ``main`` if there is one; all its lines outside navigation and the like are returned, short ones and headings too.
 
 Elements are left out by name (``SKIP``), by role, by ``hidden`` or by a class or id word (``BOILER``).
 
@@ -31,6 +32,7 @@ BLOCK = frozenset(
     "header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 SECTION = frozenset("article body div main section table td".split())
+PARAGRAPH = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 SKIP = frozenset("aside button dialog footer form head iframe menu nav noscript object select script style svg template textarea title".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 BOILER = frozenset(
@@ -47,7 +49,7 @@ SPACE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Collects lines: text, tags, whether left out, and the element path (as section numbers)."""
+    """Collects lines: text, tags, whether left out, section number (sections have parents), whether heading or paragraph."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -55,12 +57,12 @@ class Lines(HTMLParser):
         self.sections: list[tuple[str, int]] = [("body", -1)]  # name, parent
         self.text: list[str] = []
         self.tags, self.dropped = 0, False
-        self.out: list[tuple[str, int, bool, int]] = []
+        self.out: list[tuple[str, int, bool, int, bool]] = []
 
     def flush(self) -> None:
         line = SPACE.sub(" ", "".join(self.text)).strip()
         if line or self.dropped:  # a line that is wholly left out still counts in the smoothing
-            self.out.append((line, self.tags, not line, self.stack[-1][2]))
+            self.out.append((line, self.tags, not line, self.stack[-1][2], next((x[0] for x in reversed(self.stack) if x[0] in BLOCK), "") in PARAGRAPH))
         self.text, self.tags, self.dropped = [], 0, False
 
     def _left_out(self, tag: str, attrs: list) -> bool:
@@ -164,23 +166,35 @@ def extract(html: str | None) -> str:
     kept = [not x[2] for x in lines]
     if not any(kept):
         return ""
-    ratio = np.array([len(t) / max(1, tags) if ok else 0.0 for (t, tags, _, _), ok in zip(lines, kept, strict=True)])
+    ratio = np.array([len(t) / max(1, tags) if ok else 0.0 for (t, tags, *_), ok in zip(lines, kept, strict=True)])
     mark = content_lines(ratio) & np.array(kept)
     if not mark.any():
         mark = np.array(kept)
-    weight = [0] * len(parents)
-    for (t, _, _, section), m in zip(lines, mark.tolist(), strict=True):
-        if m:
-            weight[section] += len(t)
-    for s in range(len(parents) - 1, 0, -1):  # parents come before their children
-        weight[parents[s][1]] += weight[s]
-    total = weight[0]
-    named = [s for s in range(1, len(parents)) if parents[s][0] in ("article", "main") and 2 * weight[s] >= total]
-    chosen = named[-1] if named else max((s for s in range(len(parents)) if weight[s] >= 0.95 * total), default=0)
+    named = [parents[0][0] in ("article", "main")]  # whether in an article or main; parents come before their children
+    for name, parent in parents[1:]:
+        named.append(name in ("article", "main") or named[parent])
+    marked = [(len(x[0]), x[3]) for x, m in zip(lines, mark.tolist(), strict=True) if m]
+    if 2 * sum(n for n, s in marked if named[s]) >= sum(n for n, _ in marked):
+        marked = [x for x in marked if named[x[1]]]
+    chosen = None
+    for s in dict.fromkeys(s for _, s in marked):  # parents have lower numbers than their children
+        chosen = s if chosen is None else chosen
+        while s != chosen:
+            s, chosen = (parents[s][1], chosen) if s > chosen else (s, parents[chosen][1])
     inside = [False] * len(parents)
     for s in range(len(parents)):
         inside[s] = s == chosen or s > 0 and inside[parents[s][1]]
-    return "\n".join(t for (t, _, _, section), ok in zip(lines, kept, strict=True) if ok and inside[section])
+    path, s = set(), chosen
+    while s > 0:
+        s = parents[s][1]
+        if named[chosen] <= named[s]:
+            path.add(s)
+    take = [ok and inside[x[3]] for x, ok in zip(lines, kept, strict=True)]
+    for order in (range(1, len(lines)), range(len(lines) - 2, -1, -1)):
+        for i in order:
+            near = take[i - 1 if order.step == 1 else i + 1]
+            take[i] = take[i] or near and kept[i] and lines[i][4] and lines[i][3] in path
+    return "\n".join(x[0] for x, ok in zip(lines, take, strict=True) if ok)
 
 
 def main_text(pages: DataFrame, html: str = "html") -> DataFrame:
