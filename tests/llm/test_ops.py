@@ -232,9 +232,8 @@ def test_boosting_fits_cells():
 
 # -- 4 ----------------------------------------------------------------------------------------------------------------
 def brute_bits(samples, lang, text, order):
-    """Code length by looking contexts up directly, padding (0) before each text and for bytes never seen."""
-    seen = set(b"".join(b"".join(v) for v in samples.values()))
-    padded = lambda t: [0] * order + [b + 1 if b in seen else 0 for b in t]
+    """Code length by looking contexts up directly, padding (0) before each text."""
+    padded = lambda t: [0] * order + [b + 1 for b in t]
     counts = defaultdict(lambda: defaultdict(int))
     for t in map(padded, samples[lang]):
         for i in range(order, len(t)):
@@ -252,11 +251,12 @@ def brute_bits(samples, lang, text, order):
     return total
 
 
-def test_ppm_code_lengths_are_exact():
-    samples = {"x": [b"abracadabra " * 3, b"banana"], "y": [b"lorem ipsum dolor", b"sit amet"]}
-    model = langid.build(samples, 3, 10_000)
+def test_ppm_code_lengths_are_exact(monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", 100)  # pieces of 100 bytes: long texts are counted and coded across pieces
+    samples = {"x": [b"abracadabra " * 30, b"banana"], "y": [b"lorem ipsum dolor", b"sit amet"]}
+    model = langid.build(samples, 3)
     texts = [b"abracadabra", b"lorem banana", b"", b"zzz\xc3\xa9", b"a" * 5000]
-    got = langid.code_lengths(model, texts, 3, 100)  # pieces of 100 bytes: long texts are coded across pieces
+    got = langid.code_lengths(model, texts)
     for t, row in zip(texts, got, strict=True):
         for lang, bits in zip(model.langs, row, strict=True):
             assert bits == pytest.approx(brute_bits(samples, lang, t, 3), rel=1e-4, abs=1e-3)
@@ -273,6 +273,9 @@ def test_language_edges_and_accuracy(spark):
     assert len(got) == len(rows) and {by[i]["lang_pred"] for i in (500, 501, 502)} == {"und"} and by[504]["lang_pred"] == "en"
     held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 200 and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
     assert sum(r["lang_pred"] == r["lang"] for r in held) > 0.95 * len(held) and all(0 <= r["score"] <= 1 for r in got)
+    rare = df.union(spark.createDataFrame([(900, "тут русский текст", "ru", "o")] * 3, df.schema))
+    model = langid.train(rare, sample_docs=2)
+    assert "ru" in model.langs and langid.training_rows(rare, "doc_id", "text", "lang", 2, 200).count() == 2 * len(model.langs)
     assert langid.train(df.where("lang is null")) is None
     assert {r["lang_pred"] for r in langid.identify(df, None).collect()} == {"und"}
     assert langid.identify(df.limit(0), langid.train(df)).count() == 0
