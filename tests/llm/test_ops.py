@@ -403,12 +403,50 @@ def test_pieces_equal_the_library(spark):
 
 def test_scan_is_associative_prefix():
     rnd = random.Random(3)
-    ms = [frozenset((rnd.randrange(3), rnd.randrange(3)) for _ in range(5)) for _ in range(9)]
+    ms = [{(rnd.randrange(3), rnd.randrange(3)): float(rnd.randrange(-5, 5)) for _ in range(5)} for _ in range(9)]
     want, now = [], None
     for m in ms:
         now = m if now is None else pieces.compose(now, m)
         want.append(now)
     assert pieces.scan(ms) == want
+    for (x, z), w in pieces.compose(ms[0], ms[1]).items():
+        assert w == max(v + ms[1][y, z] for (a, y), v in ms[0].items() if a == x and (y, z) in ms[1])
+
+
+def test_unigram_chunks_take_the_best_path(spark):
+    """Scores of a unigram model: chunked documents get the weight that whole-text search over all paths gives."""
+    rnd = random.Random(12)
+    known = {pieces.GAP: -3.0, "a": -4.0, "b": -4.5}
+    for _ in range(120):
+        p = rnd.choice(["", pieces.GAP]) + "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 5)))
+        known[p] = -rnd.uniform(1, 9)
+    as_bytes = [bytes([i]) for i in range(256)] + [p.encode() for p in known]
+    v = pieces.Vocabulary({p: 256 + i for i, p in enumerate(known)}, known, list(range(256)), as_bytes, max(map(len, known)), True)
+    texts = ["".join(rnd.choice("abcd" if k % 2 else "aabcd ") for _ in range(rnd.randint(30, 400))) for k in range(30)] + ["short ab", "a" * 200, "bé" * 60]
+    shared = pieces.share(spark, vocabulary=v)
+    df = docs_of(spark, texts)
+
+    def weight(ids):
+        out, at = 0.0, 0
+        while at < len(ids):
+            if ids[at] < 256:  # a character without a piece, in bytes
+                lead = ids[at]
+                at += 1 if lead < 128 else 2 if lead < 224 else 3
+                out += v.unknown
+            else:
+                out += known[as_bytes[ids[at]].decode()]
+                at += 1
+        return out
+
+    for chunk in (40, 10_000):
+        for r in pieces.decode(pieces.encode(df, shared, chunk=chunk), shared).collect():
+            line = pieces.GAP + texts[r["doc_id"]].replace(" ", pieces.GAP)
+            top = [0.0] + [-1e18] * len(line)
+            for i in range(len(line)):
+                for j in range(i + 1, min(len(line), i + v.longest) + 1):
+                    w = known.get(line[i:j], v.unknown if j == i + 1 else -1e18)
+                    top[j] = max(top[j], top[i] + w)
+            assert weight(r["ids"]) == pytest.approx(top[-1]) and r["decoded"] == texts[r["doc_id"]]
 
 
 # -- 10 ---------------------------------------------------------------------------------------------------------------

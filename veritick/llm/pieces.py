@@ -1,15 +1,17 @@
 """SentencePiece encoding and decoding, with a max-plus scan over the chunks of giant documents.
 
-A byte-pair model's segmentation is the one path through the pieces of a text in which every piece segments to itself
-and every two neighbours segment to themselves when joined.  So the weights of the max-plus search are 0 for such a
-step and minus infinity for any other, and a search over positions from left to right needs the last piece only.  No
-piece has a word start inside, so paths meet at word starts and words are segmented independently; a worker keeps the
-segmentations of frequent words.
+The segmentation of a text is its best path through pieces, the sum of the steps' weights.  A unigram model's step
+weighs its piece's score.  A byte-pair model's segmentation is the one path in which every piece segments to itself and
+every two neighbours segment to themselves when joined; a step weighs 0 then, and minus infinity otherwise.  Either way
+a search over positions from left to right needs the last piece only.  No piece has a word start inside, so paths meet
+at word starts and words are segmented independently; a worker keeps the segmentations of frequent words.  Within a
+word, byte-pair paths also meet wherever no piece of the vocabulary has the two characters side by side.
 
 A document longer than ``chunk`` characters is split in chunks.  A boundary's states are the pieces that may lie on or
-end at it.  A chunk gives its transfer matrix (which entry states lead to which exit states), matrices are combined
-associatively, from the left and from the right, which fixes the one state at every boundary, and each chunk is then
-traced back on its own between its two states.
+end at it.  A chunk gives its transfer matrix (the best weight from each entry state to each exit state), matrices are
+combined associatively, which gives the best weight up to every state of every boundary; the states are then fixed from
+the last boundary back, and each chunk is traced back on its own between its two states.  Equal weights go to the
+least state, the longer piece within a word.
 
 Text is taken as the model does without normalisation: a space in front, spaces written as U+2581; characters without
 a piece become UTF-8 byte pieces.  Decoding inverts this exactly, but that U+2581 itself comes back as a space.
@@ -22,12 +24,14 @@ named ``ids`` is replaced.
 from __future__ import annotations
 
 import re
+import uuid
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,44 +41,54 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GAP = "▁"
 WORDS = re.compile(f"{GAP}*[^{GAP}]+|{GAP}+")
 CHUNK = 65_536
-BATCH_ROWS = 512  # whole texts are large: a batch of them must fit beside the worker's memory of words
+ROWS = 512  # texts of an Arrow batch that are Python strings at one time
+KEPT = 200_000  # segmentations in each of a worker's two generations
 State = tuple[int, int]  # start and end of the piece on a boundary, relative to the boundary
+Matrix = dict[tuple[State, State], float]
+NONE = float("-inf")
 
 
-class Words(dict):
-    """Packed ids by word, filled on demand, of bounded size."""
+class Memory(dict):
+    """Results by text, made on demand, of bounded size: what was not asked for during a whole generation goes."""
 
-    def __init__(self, make, most: int = 200_000) -> None:
+    def __init__(self, make, most: int = KEPT) -> None:
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
-    def __missing__(self, rest: str) -> bytes:
-        got = self.make(rest)
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        if len(rest) < 64:
-            self[rest] = got
+        if len(key) < 64:
+            self[key] = got
         return got
 
 
 @dataclass
 class Vocabulary:
-    """Pieces with ids and scores (only those that segment to themselves), byte ids, bytes of each id."""
+    """Pieces with ids and scores (byte-pair: ``ids`` has only those that segment to themselves), byte ids, bytes of each id."""
 
     ids: dict[str, int]
     scores: dict[str, float]
     bytes_ids: list[int]
     as_bytes: list[bytes]
     longest: int
+    unigram: bool = False
 
     def __post_init__(self) -> None:
         self.pairs: dict[int, bool] = {}
-        self.words = Words(self.make_word)
-        self.newline = array("i", [self.bytes_ids[10]]).tobytes()
+        self.words = Memory(self.make_word)
+        self.stretches = Memory(lambda x: array("i", self.codes(self.segment(x))).tobytes())
         self.reaches: dict[str, int] = {}  # by its first two characters, the longest piece
         for p in self.ids:
             if len(p) > 1:
                 self.reaches[p[:2]] = max(self.reaches.get(p[:2], 1), len(p))
+        self.side_by_side = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+        self.unknown = min(self.scores.values(), default=0.0) - 10.0  # a character without a piece
+        self.of_ids = np.array(self.as_bytes, dtype=object)
 
     def merge(self, text: str) -> list[str]:
         """Byte-pair merging by definition: the best-scored neighbours first, leftmost of equals."""
@@ -114,7 +128,25 @@ class Vocabulary:
         return out
 
     def segment(self, word: str) -> list[str]:
-        """The pieces of a stretch whose both ends are fixed: the path found depth first, longest piece first.
+        """The pieces of a stretch whose both ends are fixed."""
+        return self.best(word) if self.unigram else self.only(word)
+
+    def best(self, word: str) -> list[str]:
+        """The path of the largest sum of scores."""
+        top, cut = [0.0] + [NONE] * len(word), [0] * (len(word) + 1)
+        for pos in range(len(word)):
+            for end in range(min(len(word), pos + self.longest), pos, -1):
+                w = self.scores.get(word[pos:end], self.unknown if end == pos + 1 else NONE)
+                if top[pos] + w > top[end]:
+                    top[end], cut[end] = top[pos] + w, pos
+        out, end = [], len(word)
+        while end:
+            out.append(word[cut[end] : end])
+            end = cut[end]
+        return out[::-1]
+
+    def only(self, word: str) -> list[str]:
+        """The one valid path, found depth first, longest piece first.
 
         A valid path to a position is the only one, so a position that leads nowhere is given up for good.
         """
@@ -136,10 +168,13 @@ class Vocabulary:
 
     def make_word(self, rest: str) -> bytes:
         """Ids, as packed 32-bit numbers, of a word whose first character is a word start, given without it."""
-        if "\n" in self.ids or "\n" not in rest:
-            return array("i", self.codes(self.segment(GAP + rest))).tobytes()
-        lines = (GAP + rest).split("\n")  # a line feed has no piece, so nothing joins across it
-        return self.newline.join(array("i", self.codes(self.segment(x))).tobytes() for x in lines)
+        word, near = GAP + rest, self.side_by_side
+        at, out = 0, []
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in near:  # no piece reaches across
+                out.append(self.stretches[word[at:i]])
+                at = i
+        return b"".join((*out, self.stretches[word[at:]]))
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text."""
@@ -150,8 +185,8 @@ class Vocabulary:
             words = [w[1:] for w in WORDS.findall(GAP + text.replace(" ", GAP))]
         return b"".join(map(self.words.__getitem__, words))
 
-    def decode(self, ids: list[int]) -> str:
-        line = b"".join(map(self.as_bytes.__getitem__, ids)).decode("utf-8", "replace").replace(GAP, " ")
+    def decode(self, ids: np.ndarray) -> str:
+        line = b"".join(self.of_ids[ids].tolist()).decode("utf-8", "replace").replace(GAP, " ")
         return line[1:] if line[:1] == " " else line
 
     # -- chunks -------------------------------------------------------------------------------------------------
@@ -167,18 +202,29 @@ class Vocabulary:
                     out.append((a - at, b - at))
         return out
 
-    def reach(self, x: str, start: int, at: int, stop: int) -> dict[State, State | None]:
-        """From the piece x[start:at], every (end, start) of a piece that a valid path leads to, with the one before it."""
-        back: dict[State, State | None] = {(at, start): None}
+    def weight(self, before: str | None, piece: str) -> float:
+        """The weight of a piece after the one before it (None: at a word start)."""
+        if self.unigram:
+            return self.scores.get(piece, self.unknown)
+        return 0.0 if before is None or self.agree(before, piece) else NONE
+
+    def reach(self, x: str, start: int, at: int, stop: int) -> dict[State, tuple[float, State | None]]:
+        """From the piece x[start:at], every (end, start) of a piece that a path leads to: best weight, the one before it."""
+        back: dict[State, tuple[float, State | None]] = {(at, start): (0.0, None)}
         waiting = {at: [start]}
-        for pos in range(at, stop):
-            for a in waiting.pop(pos, ()):
+        for pos in range(at, stop):  # paths to a position are complete before any leads on from it
+            for a in sorted(waiting.pop(pos, ())):
+                so_far = back[pos, a][0]
                 free = a == pos or x[pos] == GAP and x[pos - 1] != GAP
                 for b in range(pos + 1, min(len(x), pos + self.longest) + 1):
                     t = x[pos:b]
-                    if (b == pos + 1 or t in self.ids) and (b, pos) not in back and (free or self.agree(x[a:pos], t)):
-                        back[b, pos] = (pos, a)
-                        waiting.setdefault(b, []).append(pos)
+                    if b > pos + 1 and t not in self.ids:
+                        continue
+                    got = so_far + self.weight(None if free else x[a:pos], t)
+                    if got > back.get((b, pos), (NONE, None))[0]:
+                        if (b, pos) not in back:
+                            waiting.setdefault(b, []).append(pos)
+                        back[b, pos] = got, (pos, a)
         return back
 
     def breaks(self, x: str, lo: int, hi: int) -> tuple[int, int] | None:
@@ -186,27 +232,32 @@ class Vocabulary:
         at = [m.start() + 1 for m in re.compile(f"[^{GAP}](?={GAP})").finditer(x, max(0, lo - 1), hi + 1) if lo <= m.start() + 1 <= hi and m.start() + 1 < len(x)]
         return (at[0], at[-1]) if at else None
 
-    def transfer(self, x: str, lo: int, hi: int, last: bool) -> list[tuple[State, State]]:
+    def between(self, x: str, lo: int, hi: int) -> float:
+        """The weight of the words of x[lo:hi], which starts and ends at word starts."""
+        return sum(sum(self.weight(None, p) for p in self.best(w)) for w in WORDS.findall(x[lo:hi])) if self.unigram else 0.0
+
+    def transfer(self, x: str, lo: int, hi: int, last: bool) -> Matrix:
         """The finite entries of the transfer matrix of x[lo:hi]; x has the text around it."""
         leaving = {(a, b) for a, b in self.states(x, hi, last)}
         entering = self.states(x, lo, False)
         mid = self.breaks(x, lo + self.longest, hi)
+        if mid is not None and mid[1] == hi:  # a word start on the boundary itself is no place to begin the last part
+            inner = self.breaks(x, lo + self.longest, hi - 1)
+            mid = (inner[0], inner[1]) if inner else None
 
-        def exits(back: dict) -> list[State]:
-            return [(a - hi, b - hi) for b, a in back if b >= hi and a < hi and (a - hi, b - hi) in leaving]
+        def exits(back: dict) -> list[tuple[State, float]]:
+            return [((a - hi, b - hi), w) for (b, a), (w, _) in back.items() if b >= hi and a < hi and (a - hi, b - hi) in leaving]
 
         if mid is None:
-            return [(e, z) for e in entering for z in exits(self.reach(x, lo + e[0], lo + e[1], hi))]
-        if mid[1] == hi:  # every piece that ends at a word start on the boundary: paths through it are alike beyond
-            tail_from = max((m for m in [self.breaks(x, lo + self.longest, hi - 1)] if m), default=None)
-            tail = exits(self.reach(x, tail_from[1], tail_from[1], hi)) if tail_from else None
-            if tail is None:
-                return [(e, z) for e in entering for z in exits(self.reach(x, lo + e[0], lo + e[1], hi))]
-            head = tail_from[0]
-        else:
-            tail, head = exits(self.reach(x, mid[1], mid[1], hi)), mid[0]
-        ok = [e for e in entering if any(b == head for b, _ in self.reach(x, lo + e[0], lo + e[1], head))]
-        return [(e, z) for e in ok for z in tail]
+            return {(e, z): w for e in entering for z, w in exits(self.reach(x, lo + e[0], lo + e[1], hi))}
+        tail = exits(self.reach(x, mid[1], mid[1], hi))
+        inner_weight, out = self.between(x, *mid), {}
+        for e in entering:
+            heads = [w for (b, _), (w, _) in self.reach(x, lo + e[0], lo + e[1], mid[0]).items() if b == mid[0]]
+            if heads:
+                best = max(heads) + inner_weight
+                out |= {(e, z): best + w for z, w in tail}
+        return out
 
     def trace(self, x: str, lo: int, hi: int, entry: State, leave: State) -> bytes:
         """Packed ids of the pieces after the entry piece up to the exit piece."""
@@ -214,10 +265,10 @@ class Vocabulary:
         def path(start: int, at: int, end: int, first: int) -> list[str]:
             back, here, out = self.reach(x, start, at, min(hi, end)), (end, first), []
             if first < 0:
-                here = next(k for k in back if k[0] == end)
-            while back[here] is not None:
+                here = max((k for k in back if k[0] == end), key=lambda k: (back[k][0], -k[1]))
+            while back[here][1] is not None:
                 out.append(x[here[1] : here[0]])
-                here = back[here]
+                here = back[here][1]
             return out[::-1]
 
         a, b, end, first = lo + entry[0], lo + entry[1], hi + leave[1], hi + leave[0]
@@ -246,6 +297,7 @@ def load(path: str = MODEL) -> Vocabulary:
 
 
 _HERE: dict[str, Vocabulary] = {}
+FIELDS = ("ids", "scores", "bytes_ids", "as_bytes", "longest", "unigram")
 
 
 def _own(shared) -> Vocabulary:
@@ -257,23 +309,28 @@ def _own(shared) -> Vocabulary:
     return _HERE[key]
 
 
-def share(spark: SparkSession, path: str = MODEL):
-    """The vocabulary as a broadcast; its size is that of the model file, some hundred kilobytes."""
-    v = load(path)
-    shared = spark.sparkContext.broadcast({"key": path, "vocabulary": {k: getattr(v, k) for k in ("ids", "scores", "bytes_ids", "as_bytes", "longest")}})
+def share(spark: SparkSession, path: str = MODEL, vocabulary: Vocabulary | None = None):
+    """The vocabulary (of the file, if none is given) as a broadcast; its size is that of the model file, some hundred kilobytes."""
+    v = vocabulary or load(path)
+    shared = spark.sparkContext.broadcast({"key": path if vocabulary is None else uuid.uuid4().hex, "vocabulary": {k: getattr(v, k) for k in FIELDS}})
     shared.longest = v.longest  # for the driver, which then need not load the broadcast
     return shared
 
 
-def compose(a: frozenset, b: frozenset) -> frozenset:
-    """Max-plus product of two matrices of zeros, as sets of (row, column)."""
+def compose(a: Matrix, b: Matrix) -> Matrix:
+    """Max-plus product of two matrices; absent entries are minus infinity."""
     by: dict = {}
-    for x, y in b:
-        by.setdefault(x, []).append(y)
-    return frozenset((x, z) for x, y in a for z in by.get(y, ()))
+    for (x, y), w in b.items():
+        by.setdefault(x, []).append((y, w))
+    out: Matrix = {}
+    for (x, y), w in a.items():
+        for z, more in by.get(y, ()):
+            if w + more > out.get((x, z), NONE):
+                out[x, z] = w + more
+    return out
 
 
-def scan(items: list[frozenset]) -> list[frozenset]:
+def scan(items: list[Matrix]) -> list[Matrix]:
     """All prefix products, by doubling."""
     out, step = list(items), 1
     while step < len(out):
@@ -282,22 +339,18 @@ def scan(items: list[frozenset]) -> list[frozenset]:
     return out
 
 
-def settle(matrices: list[list[tuple[State, State]]]) -> list[State]:
-    """The one state at every boundary, the first and last included."""
-    sets = [frozenset(m) for m in matrices]
-    ahead = scan(sets)
-    flip = lambda m: frozenset((y, x) for x, y in m)
-    behind = scan([flip(m) for m in reversed(sets)])[::-1]  # behind[k]: (last state, state before chunk k)
-    out: list[State] = [(0, 0)]
-    for k in range(1, len(sets)):
-        here = {y for _, y in ahead[k - 1]} & {y for _, y in behind[k]}
-        if len(here) != 1:
-            raise ValueError(f"{len(here)} states at a boundary")
-        out.append(here.pop())
-    last = {y for _, y in ahead[-1]}
-    if len(last) != 1:
-        raise ValueError(f"{len(last)} states at the end")
-    return [*out, last.pop()]
+def settle(matrices: list[Matrix]) -> list[State]:
+    """The states of the best path at every boundary, the first and last included."""
+    ahead = scan(matrices)
+    at_end = {z: w for (_, z), w in ahead[-1].items()}
+    if not at_end:
+        raise ValueError("no path through the text")
+    out = [max(at_end, key=lambda z: (at_end[z], (-z[0], -z[1])))]
+    for k in range(len(matrices) - 1, 0, -1):
+        before = {y: w for (_, y), w in ahead[k - 1].items()}
+        ways = {y: before[y] + w for (y, z), w in matrices[k].items() if z == out[-1] and y in before}
+        out.append(max(ways, key=lambda y: (ways[y], (-y[0], -y[1]))))
+    return [(0, 0), *out[::-1]]
 
 
 def _giants(texts: DataFrame, shared, chunk: int) -> DataFrame:
@@ -318,15 +371,18 @@ def _giants(texts: DataFrame, shared, chunk: int) -> DataFrame:
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = _own(shared)
         for pdf in batches:
-            flat = []
+            flat, weights = [], []
             for r in pdf.itertuples():
                 lo, hi, last = ends(r)
-                flat.append([i for e, z in v.transfer(r.x, lo, hi, last) for i in (*e, *z)])
-            yield pd.DataFrame({"__row": pdf["__row"], "k": pdf["k"], "m": flat})
+                m = v.transfer(r.x, lo, hi, last)
+                flat.append([i for e, z in m for i in (*e, *z)])
+                weights.append(list(m.values()))
+            yield pd.DataFrame({"__row": pdf["__row"], "k": pdf["k"], "m": flat, "w": weights})
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
-        got = settle([[((m[i], m[i + 1]), (m[i + 2], m[i + 3])) for i in range(0, len(m), 4)] for m in map(list, pdf["m"])])
+        ends4 = [np.array(m, np.int64).reshape(-1, 4).tolist() for m in pdf["m"]]
+        got = settle([{((a, b), (c, d)): w for (a, b, c, d), w in zip(m, ws, strict=True)} for m, ws in zip(ends4, pdf["w"], strict=True)])
         a = np.array(got[:-1]).reshape(-1, 2)
         z = np.array(got[1:]).reshape(-1, 2)
         return pd.DataFrame({"__row": pdf["__row"], "k": pdf["k"], "a0": a[:, 0], "a1": a[:, 1], "z0": z[:, 0], "z1": z[:, 1]})
@@ -337,24 +393,29 @@ def _giants(texts: DataFrame, shared, chunk: int) -> DataFrame:
             ids = [np.frombuffer(v.trace(r.x, *ends(r)[:2], (r.a0, r.a1), (r.z0, r.z1)), np.int32) for r in pdf.itertuples()]
             yield pd.DataFrame({"__row": pdf["__row"], "k": pdf["k"], "ids": ids})
 
-    fixed = pieces.mapInPandas(matrices, f"{spot}, m array<int>").groupBy("__row").applyInPandas(combine, f"{spot}, a0 int, a1 int, z0 int, z1 int")
+    fixed = pieces.mapInPandas(matrices, f"{spot}, m array<int>, w array<double>").groupBy("__row").applyInPandas(combine, f"{spot}, a0 int, a1 int, z0 int, z1 int")
     traced = pieces.join(fixed, ["__row", "k"]).mapInPandas(traces, f"{spot}, ids array<int>")
     parts = F.array_sort(F.collect_list(F.struct("k", "ids")))
     return traced.groupBy("__row").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
 
 
 def encode(docs: DataFrame, shared, text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with ``ids`` (array<int>). Limits the session's Arrow batches to ``BATCH_ROWS``."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``docs`` with ``ids`` (array<int>)."""
 
-    def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = _own(shared)
-        for t in batches:
-            yield pd.Series([None if x is None else np.frombuffer(v.encode(x), np.int32) for x in t])
+        for batch in batches:
+            parts = []
+            for lo in range(0, len(batch), ROWS):
+                packed = [None if x is None else v.encode(x) for x in batch.slice(lo, ROWS).to_pylist()]
+                ends = np.cumsum([0] + [len(p or b"") // 4 for p in packed], dtype=np.int32)
+                values = pa.array(np.frombuffer(b"".join(p for p in packed if p), np.int32))
+                parts.append(pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([p is None for p in packed])))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     docs = docs.drop("ids") if text != "ids" else docs
     size = F.length(F.coalesce(F.col(text), F.lit("")))
-    short = docs.where(size <= chunk).withColumn("ids", F.pandas_udf(work, "array<int>")(F.col(text)))
+    short = docs.where(size <= chunk).withColumn("ids", F.arrow_udf(work, "array<int>")(F.col(text)))
     giants = cut(docs.where(size > chunk).withColumn("__row", F.monotonically_increasing_id()))
     if giants.isEmpty():
         return short
@@ -365,12 +426,17 @@ def encode(docs: DataFrame, shared, text: str = "text", chunk: int = CHUNK) -> D
 def decode(df: DataFrame, shared, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``df`` with the text of the ids."""
 
-    def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = _own(shared)
-        for x in batches:
-            yield pd.Series([None if i is None else v.decode(i.tolist()) for i in x])
-
-    return df.withColumn(into, F.pandas_udf(work, "string")(F.col(ids)))
+        for batch in batches:
+            parts = []
+            for lo in range(0, len(batch), ROWS):
+                some = batch.slice(lo, ROWS)
+                values, ends = some.values.to_numpy(zero_copy_only=False), some.offsets.to_pylist()
+                parts.append(pa.array([v.decode(values[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], some.is_valid().to_pylist(), strict=False)], pa.string()))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    return df.withColumn(into, F.arrow_udf(work, "string")(F.col(ids)))
 
 
 def round_trip(docs: DataFrame, path: str = MODEL) -> DataFrame:
