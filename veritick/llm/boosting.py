@@ -56,6 +56,11 @@ def value_at(node: Node, x: tuple[int, ...]) -> float:
     return node.value
 
 
+def total(prior: float, trees: list[Node], x: tuple[int, ...]) -> float:
+    """Log-odds of one row of features."""
+    return prior + sum(value_at(t, x) for t in trees)
+
+
 def fit(cells: list[tuple[tuple[int, ...], float, float]], trees: int = 30, depth: int = 3, rate: float = 0.3) -> tuple[float, list[Node]]:
     """Prior log-odds and trees from cells (features, rows, positive rows)."""
     n, pos = sum(c[1] for c in cells), sum(c[2] for c in cells)

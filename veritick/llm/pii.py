@@ -1,16 +1,19 @@
 """Personal data by candidate gradient boosting, with built-in functions only.
 
 Base patterns give the spans that always stay.  High-recall generators propose further, possibly overlapping spans of
-the same kinds.  Each candidate has binned format and context features; candidates of all documents are counted by
-feature cell with a label, boosted trees are fitted on the counted cells, and per kind the lowest score at which the
-kept candidates reach ``precision`` is the threshold.  Candidates at or over it become spans unless they overlap a base
-span of their kind.
-
-Labels are weak, but do not come from the base patterns alone: a card passes Luhn's check; an e-mail ends in a known
-domain ending, however its at sign and dots are written; a phone number has an area code in brackets or of a valid first
-digit and the groups of a national number, or 9 to 15 digits after a cue such as "call". No feature tells a plus or an
-at sign from its other forms. Base e-mails and phone numbers without such evidence are left out of the sample. The only
-ip candidates are base spans and those with a part over 255, so that nothing is added for ip.
+the same kinds, in forms that the base patterns do not take: an at sign or dots written out or set apart, numbers
+without a plus, cards of 13 digits or with dots, addresses with bracketed dots.  Each candidate has binned format and
+context features; candidates of all documents are counted by feature cell with a label, and boosted trees are fitted on the
+counted cells.  Thresholds are calibrated on held-out scores: texts fall in three folds, each scored by trees fitted on
+the other two, and per kind the lowest score at which the kept candidates reach ``precision`` is the threshold.
+Candidates at or over it become spans unless they overlap a base span of their kind.
+
+Labels are weak, and candidates without evidence either way stay out of the sample.  An e-mail is labelled by whether
+it ends in a known domain ending, however its at sign and dots are written; the trees do not see that list, but length
+and kind of the last part.  A card or an address is a positive if it is a base span, and a negative if it fails Luhn's
+check or has a part over 255; other forms that pass are judged, not learned from.  A phone number has an area code in
+brackets or of a valid first digit and the groups of a national number, or 9 to 15 digits after a cue such as "call".
+No feature tells a plus, an at sign, a 13th digit or a bracketed dot from its plain form.
 
 Edge cases: a null text counts as empty; empty texts have no spans. Rows with a null id are kept with null id. Repeated
 rows are scored one by one. Where no candidate exists, the base spans are the result. Extra columns pass through.
@@ -33,7 +36,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))
 WIDE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?)[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])",
+    "ip": r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z.-])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[\x20./-]\(?[0-9]{2,4}\)?){2,4}(?![0-9])",
 }
@@ -45,7 +48,8 @@ ENDINGS = (
 NATIONAL = r"^(?:(?:\+|00)?[0-9]{1,3}[\x20.-])?(?:\([0-9]{3}\)[\x20./-]?[0-9]{3}[\x20.-][0-9]{4}|[2-9][0-9]{2}([.-])[0-9]{3}\1[0-9]{4})$"
 DATE = r"^(?:19|20)[0-9]{2}[./-][0-9]{2}[./-][0-9]{2}"
 CUE = r"(?i)(?<![\p{L}0-9])(?:phone|tel|telephone|telefon|téléphone|teléfono|call|mobile|cell|fax|dial|sms|whatsapp)(?:[^\p{L}0-9]+\p{L}{1,8}){0,2}[^\p{L}0-9]{0,3}$"
-FEATURES = ("kind", "luhn", "digits", "marks", "cue", "before", "after", "valid")
+FEATURES = ("kind", "valid", "luhn", "digits", "marks", "cue", "before", "after")  # format before context: equal gains go to the first
+REACH = 32  # characters before a candidate that may hold a cue, or at its end that may hold a domain ending
 
 
 def digits_of(hit: Column) -> Column:
@@ -83,34 +87,50 @@ def _when(kind: str, text: Column) -> Column:
 
 def _char_class(c: Column) -> Column:
     return (
-        F.when(c.isNull() | (c == ""), 0).when(c.rlike(r"^\s"), 1).when(c.rlike("^[0-9]"), 4).when(c.rlike(r"^\p{L}"), 3).otherwise(2)
+        F.when(c.isNull() | (c == "") | c.rlike(r"^\s"), 1).when(c.rlike("^[0-9]"), 4).when(c.rlike(r"^\p{L}"), 3).otherwise(2)
     )
 
 
-def _features(text: Column, order: int, c: Column) -> list[Column]:
-    """Binned features of one candidate (hit, start, end) of ``KINDS[order]``; order as in ``FEATURES``."""
-    digits = digits_of(c["hit"])
-    n = F.length(digits)
-    before = F.when(c["start"] > 0, F.substr(text, c["start"], F.lit(1)))
+def _features(order: int, hit: Column, side: Column) -> list[Column]:
+    """Binned features of one candidate of ``KINDS[order]``; order as in ``FEATURES``."""
+    kind, n = KINDS[order], F.length(digits_of(hit))
     return [
         F.lit(order),
-        F.when(n.between(13, 19) & luhn(digits), 1).otherwise(0),
-        F.when(n < 7, 0).when(n < 10, 1).when(n < 13, 2).when(n < 16, 3).when(n == 16, 4).otherwise(5),
-        F.lit(0) if KINDS[order] == "email" else F.when(c["hit"].contains("("), 3).when(c["hit"].rlike("[.-]"), 2).when(c["hit"].contains(" "), 1).otherwise(0),
-        F.when(F.substr(text, F.greatest(c["start"] - 31, F.lit(1)), F.least(c["start"], F.lit(32))).rlike(CUE), 1).otherwise(0) if KINDS[order] == "phone" else F.lit(0),
-        _char_class(before),
-        _char_class(F.substr(text, c["end"] + 1, F.lit(1))),
-        _form(KINDS[order], c["hit"]),
+        _form(kind, hit),
+        F.when(n.between(13, 19) & luhn(digits_of(hit)), 1).otherwise(0) if kind in ("card", "phone") else F.lit(0),
+        F.lit(0) if kind == "ip" else F.when(n < 7, 0).when(n < 10, 1).when(n < 13, 2).when(n < 17, 3).otherwise(4),
+        F.when(hit.contains("("), 3).when(hit.rlike("[.-]"), 2).when(hit.contains(" "), 1).otherwise(0) if kind == "phone" else F.lit(0),
+        F.when(side["before"].rlike(CUE), 1).otherwise(0) if kind == "phone" else F.lit(0),
+        _char_class(F.right(side["before"], F.lit(1))),
+        _char_class(side["after"]),
     ]
 
 
+def _plain(hit: Column) -> Column:
+    return F.regexp_replace(hit, r"[\[\]()]", "")
+
+
 def _form(kind: str, hit: Column) -> Column:
-    """Binned validity of the form, whether or not a base pattern takes it."""
+    """Binned form, whether or not a base pattern takes it."""
     if kind == "email":
-        return F.when(hit.rlike(rf"(?i)(?:\.|dot[)\]]\x20?)(?:{ENDINGS})$"), 2).otherwise(0)
+        last = F.regexp_extract(F.right(hit, F.lit(REACH)), "([A-Za-z0-9-]+)$", 1)
+        return F.when(last.rlike("[0-9-]"), 0).when(F.length(last) == 2, 1).when(F.length(last) == 3, 2).otherwise(3)
     if kind == "phone":
         return F.when(hit.rlike(OCTETS) | hit.rlike(DATE), 0).when(hit.rlike(NATIONAL), 2).when(F.length(digits_of(hit)).between(9, 15), 1).otherwise(0)
-    return F.when(hit.rlike(OCTETS), 2).otherwise(1)
+    return F.when(_plain(hit).rlike(OCTETS), 2).otherwise(1)
+
+
+def _evidence(kind: str, hit: Column, found: Column, features: list[Column]) -> tuple[Column, Column]:
+    """Label, and whether the candidate is in the sample."""
+    form, cue = features[FEATURES.index("valid")], features[FEATURES.index("cue")]
+    if kind == "email":
+        known = F.right(hit, F.lit(REACH)).rlike(rf"(?i)(?:\.|dot[)\]]\x20?)(?:{ENDINGS})$")
+        return known, known | ~found
+    if kind == "phone":
+        known = (form == 2) | (form == 1) & (cue == 1)
+        return known, known | ~found
+    passes = features[FEATURES.index("luhn")] == 1 if kind == "card" else form == 2
+    return found, found | ~passes
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -130,46 +150,57 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
 def with_candidates(df: DataFrame) -> DataFrame:
     """Adds ``__cand``: candidates of all kinds with their features and label."""
     t = F.col("__text")
-    df = df.withColumns({f"__raw_{k}": spans.gaps_and_hits(t, p, _when(k, t)) for k, p in WIDE.items()})
+    df = df.withColumns({f"__raw_{k}": spans.gaps_and_hits(t, p, _when(k, t)) for k, p in WIDE.items()} | {f"__side_{k}": spans.sides(t, p, _when(k, t), REACH) for k, p in WIDE.items()})
     df = df.withColumns({f"__hits_{k}": spans.located(F.col(f"__raw_{k}")) for k in KINDS})
+    df = df.withColumns({f"__both_{k}": F.arrays_zip(F.col(f"__hits_{k}").alias("c"), spans.encoded(F.col(f"__hits_{k}"), k, i).alias("code"), F.col(f"__side_{k}").alias("side")) for i, k in enumerate(KINDS)})
 
     def described(i: int, k: str) -> Column:
-        def one(c: Column, code: Column) -> Column:
-            found = F.array_contains(F.col(f"__base_{k}"), code)
-            named = [x.alias(n) for n, x in zip(FEATURES, _features(t, i, c), strict=True)]
-            cue, form = named[FEATURES.index("cue")], named[FEATURES.index("valid")]
-            evidence = {"card": found | (named[1] == 1), "ip": found, "email": form == 2, "phone": (form == 2) | (form == 1) & (cue == 1)}[k]
-            return F.struct(code.alias("code"), evidence.alias("label"), (evidence | ~found).alias("sample"), *named)
+        def one(x: Column) -> Column:
+            found, features = F.array_contains(F.col(f"__base_{k}"), x["code"]), _features(i, x["c"]["hit"], x["side"])
+            label, sample = _evidence(k, x["c"]["hit"], found, features)
+            return F.struct(x["code"].alias("code"), label.alias("label"), sample.alias("sample"), *[f.alias(n) for n, f in zip(FEATURES, features, strict=True)])
 
-        return F.zip_with(F.col(f"__hits_{k}"), spans.encoded(F.col(f"__hits_{k}"), k, i), one)
+        return F.transform(f"__both_{k}", one)
 
     every = [described(i, k) for i, k in enumerate(KINDS)]
-    return df.withColumn("__cand", F.concat(*every)).drop(*[f"__{x}_{k}" for k in KINDS for x in ("raw", "hits")])
+    return df.withColumn("__cand", F.concat(*every)).drop(*[f"__{x}_{k}" for k in KINDS for x in ("raw", "hits", "side", "both")])
 
 
 def train(docs: DataFrame, text: str = "text", precision: float = 0.9) -> tuple[float, list[boosting.Node], list[float]]:
     """Prior, trees and per-kind thresholds, from the counted feature cells of all candidates of all documents.
 
-    The cells number at most 4 * 2 * 6 * 4 * 2 * 5 * 5 * 3; they are what comes to the driver.
+    The cells number at most 3 * 4 * 4 * 2 * 5 * 4 * 2 * 4 * 4; they are what comes to the driver.
     """
-    one = with_candidates(with_base(docs.select(F.col(text).alias("text")))).select(F.explode("__cand").alias("c")).where("c.sample")
-    counts = one.groupBy(*[F.col(f"c.{n}").alias(n) for n in FEATURES]).agg(F.count("*").alias("n"), F.count_if("c.label").alias("pos"))
-    cells = sorted((tuple(r[n] for n in FEATURES), float(r["n"]), float(r["pos"])) for r in counts.collect())
+    df = with_candidates(with_base(docs.select(F.col(text).alias("text"))))
+    fold = F.pmod(F.xxhash64("__text"), F.lit(3)).alias("fold")
+    # an outer explode: an inner one would have its input computed once more, for a filter on its size
+    one = df.select(fold, F.explode_outer("__cand").alias("c")).where("c is not null and c.sample")
+    counts = one.groupBy("fold", *[F.col(f"c.{n}").alias(n) for n in FEATURES]).agg(F.count("*").alias("n"), F.count_if("c.label").alias("pos"))
+    cells = sorted((r["fold"], tuple(r[n] for n in FEATURES), float(r["n"]), float(r["pos"])) for r in counts.collect())
     if not cells:
         return 0.0, [], [float("inf")] * len(KINDS)
-    prior, trees = boosting.fit(cells)
-    limits = []
-    for i in range(len(KINDS)):
-        scored = sorted(((prior + sum(boosting.value_at(t, c[0]) for t in trees), c[1], c[2]) for c in cells if c[0][0] == i), reverse=True)
-        limit, n, pos, k = float("inf"), 0.0, 0.0, 0
-        while k < len(scored):
-            s = scored[k][0]
-            while k < len(scored) and scored[k][0] == s:  # cells of one score stand or fall together
-                n, pos, k = n + scored[k][1], pos + scored[k][2], k + 1
-            if pos >= precision * n:
-                limit = s - 1e-9
-        limits.append(max(limit, 0.0))
-    return prior, trees, limits
+    held: list[tuple[int, float, float, float]] = []  # kind, score, candidates, positives
+    for f in range(3):
+        rest = [c[1:] for c in cells if c[0] != f]
+        if rest:
+            model = boosting.fit(rest)
+            held += [(x[0], boosting.total(*model, x), n, pos) for g, x, n, pos in cells if g == f]
+    prior, trees = boosting.fit([c[1:] for c in cells])
+    held = held or [(x[0], boosting.total(prior, trees, x), n, pos) for _, x, n, pos in cells]
+    return prior, trees, [threshold([c[1:] for c in held if c[0] == i], precision) for i in range(len(KINDS))]
+
+
+def threshold(cells: list[tuple[float, float, float]], precision: float) -> float:
+    """The lowest score, even odds or more, from which up all (score, candidates, positives) together reach the precision."""
+    scored = sorted(cells, reverse=True)
+    limit, n, pos, k = float("inf"), 0.0, 0.0, 0
+    while k < len(scored):
+        s = scored[k][0]
+        while k < len(scored) and scored[k][0] == s:  # cells of one score stand or fall together
+            n, pos, k = n + scored[k][1], pos + scored[k][2], k + 1
+        if pos >= precision * n:
+            limit = s - 1e-9
+    return max(limit, 0.0)
 
 
 def detect(docs: DataFrame, text: str = "text", model: tuple | None = None) -> DataFrame:

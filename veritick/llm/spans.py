@@ -1,8 +1,10 @@
 """Spans of regular-expression matches with built-in functions only: code-point positions, sorting, digests, masking.
 
 Positions come from the lengths of what lies between matches (``split``) and of the matches (``regexp_extract_all``).
-A span is carried as a sortable text ``start|order|kind:start:end``, so that sorting, comparing and removing spans are
-hash or sort operations on strings, of cost close to linear in the number of matches of a text.
+A span is carried as a sortable text ``start|order|kind:start:end``, so that sorting and joining spans are operations on
+strings.  Running sums go by blocks of 64 matches: linear cost up to some thousand matches of one text, and growing with
+the square of its number of blocks beyond.  What surrounds a match comes from the pieces between matches, each of which
+is looked at once, so that the length of a text does not multiply with its matches; ``masked`` does walk to each span.
 """
 
 from __future__ import annotations
@@ -39,6 +41,16 @@ def gaps_and_hits(text: Column, pattern: str, only_if: Column) -> Column:
     return F.when(only_if, F.struct(gaps.alias("gaps"), hits.alias("hits"))).otherwise(none)
 
 
+def sides(text: Column, pattern: str, only_if: Column, reach: int) -> Column:
+    """Per match, struct(before, after): the last ``reach`` characters since the match before, and the next character."""
+    pieces = F.split(text, pattern, -1)
+    tails = F.transform(pieces, lambda p: F.right(p, F.lit(reach)))
+    heads = F.transform(pieces, lambda p: F.left(p, F.lit(1)))
+    n = F.size(pieces) - 1
+    both = F.zip_with(F.slice(tails, F.lit(1), n), F.slice(heads, F.lit(2), n), lambda a, b: F.struct(a.alias("before"), b.alias("after")))
+    return F.when(only_if, both).otherwise(F.array().cast("array<struct<before:string,after:string>>"))
+
+
 def located(found: Column) -> Column:
     """``array<struct<hit, start, end>>`` from ``gaps_and_hits``: 0-based code points, end exclusive."""
     hits = found["hits"]
