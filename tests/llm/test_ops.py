@@ -94,7 +94,10 @@ def test_simhash_groups(spark):
     assert fps[0] == fps[1] == fps[2] == 0 and fps[3] == fps[4] and fps[5] == fps[6]
     assert [got[i]["fp"] & (2**64 - 1) for i in range(len(texts))] == fps
     assert [got[i]["component_id"] for i in range(len(texts))] == brute_components(list(range(len(texts))), fps, 4)
-    assert simhash.groups(docs_of(spark, ["a", "b"], [None, 3])).count() == 1
+    alone = {(r["doc_id"], r["component_id"]) for r in simhash.groups(docs_of(spark, ["a", "b", "b", "c d e f g"], [None, 2**60 + 1, None, None])).collect()}
+    assert alone == {(None, None), (2**60 + 1, 2**60 + 1), (None, 2**60 + 1)}
+    long = " ".join(rnd.choice(words) for _ in range(200_000))
+    assert {r["fp"] & (2**64 - 1) for r in simhash.groups(docs_of(spark, [long])).collect()} == {simhash.fingerprint(long)}
 
 
 def test_fingerprint_definition():
@@ -332,20 +335,20 @@ def brute_hits(text, items, width=10):
             if tuple(w[k : k + n]) in windows:
                 hit |= set(range(k, k + n))
                 found.add(str(i))
-    return len(w), len(hit), sorted(found)
+    return len(w), len(hit), sorted(found - {"None"})  # an item without an id hits, but has no name
 
 
 def test_decontamination(spark):
     rnd = random.Random(6)
     voc = ["a", "b", "c", "dd", "É", "é", "x1", "the", "THE"]
     some = lambda n: " ".join(rnd.choice(voc) for _ in range(n))
-    items = [(i, some(rnd.randint(1, 25))) for i in range(12)] + [(50, None), (51, ""), (52, "..."), (53, "zz yy"), (3, some(14)), (100, "a " * 30)]
+    items = [(i, some(rnd.randint(1, 25))) for i in range(12)] + [(50, None), (51, ""), (52, "..."), (53, "zz yy"), (3, some(14)), (100, "a " * 30), (None, "nobody knows this one"), (None, some(12))]
     texts = [None, "", "!!", "zz YY", "a " * 60] + [some(40) for _ in range(40)] + [some(5) + " " + items[k % 12][1].upper() + ". " + some(3) for k in range(40)]
-    texts += [texts[-1]] * 3
+    texts += [texts[-1]] * 3 + ["well, nobody knows this one here", some(100_000) + " " + items[3][1]]
     df = docs_of(spark, texts)
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, words int")
-    for inline in (50_000, 2):  # with and without the filter by slots
-        got = {r["doc_id"]: r for r in decontam.hits(df, bench, inline=inline).collect()}
+    for most in (8 << 20, 0):  # broadcast and salted
+        got = {r["doc_id"]: r for r in decontam.hits(df, bench, broadcast_bytes=most).collect()}
         for i, t in enumerate(texts):
             n, h, f = brute_hits(t, items)
             assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"], got[i]["n_items"]) == (n, h, f, len(f)), (i, t)

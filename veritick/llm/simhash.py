@@ -18,8 +18,9 @@ A meeting place of over ``small`` sets gives each its ``most`` nearest later one
 copies has a bounded number of pairs.
 
 Edge cases: a null or empty text, or one without words, has fingerprint zero, linked like any other. A text of fewer
-than ``shingle`` words has one shingle, its whole sequence. Rows with a null id are left out. Repeated ids share
-their component. Empty tables give empty results. Extra columns are not looked at.
+than ``shingle`` words has one shingle, its whole sequence. Rows with a null id are kept and link like any other; a
+component without any id is null. Repeated ids share their component. ``near_groups`` wants ids that are neither null
+nor repeated (row numbers). Empty tables give empty results. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -71,15 +72,14 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number, one row per row of ``docs`` with an id."""
+    """(doc_id, fp): the fingerprint as a signed 64-bit number, one row per row of ``docs``."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.fromiter((fingerprint(t, shingle) for t in pdf["text"]), np.uint64, len(pdf)).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp})
+    def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in batches:
+            yield pd.Series(np.fromiter((fingerprint(x, shingle) for x in t), np.uint64, len(t)).view(np.int64))
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    return rows.mapInPandas(work, "doc_id long, fp long")
+    fp = F.pandas_udf(work, "long")(F.coalesce(F.col(text), F.lit("")))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), fp.alias("fp"))
 
 
 @dataclass(frozen=True)
