@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ UND = "und"
 BASE = 257  # symbols: 0 is padding, a byte is its value plus 1
 PIECE = 1 << 16
 HASH_BITS = 30
+ROWS = 512
 
 
 class Table:
@@ -273,23 +275,28 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", evidence:
         return docs.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def score(known: list[bytes], ok: np.ndarray) -> pa.StructArray:
         m = shared.value
+        bits = code_lengths(m, known)
+        n = np.maximum(1, [len(x) for x in known])
+        best = bits.argmin(axis=1)
+        least = bits[np.arange(len(bits)), best]
+        post = 1 / np.exp2(-(bits - least[:, None]) / n[:, None] * np.minimum(evidence, n)[:, None]).sum(axis=1)
+        parts = np.where(ok, np.array(m.langs, dtype=object)[best], UND), np.where(ok, post, 0.0), pa.array(least / n, mask=~ok)
+        return pa.StructArray.from_arrays([pa.array(x) for x in parts], ["lang_pred", "score", "bits_per_byte"])
+
+    def work(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for t, letter in batches:
-            known = [x.encode("utf-8", "surrogatepass") if ok else b"" for x, ok in zip(t, letter, strict=True)]
-            bits = code_lengths(m, known)
-            n = np.maximum(1, [len(x) for x in known])
-            best = bits.argmin(axis=1)
-            least = bits[np.arange(len(bits)), best]
-            score = 1 / np.exp2(-(bits - least[:, None]) / n[:, None] * np.minimum(evidence, n)[:, None]).sum(axis=1)
-            ok = letter.to_numpy(dtype=bool)
-            yield pd.DataFrame({"lang_pred": np.where(ok, np.array(m.langs, dtype=object)[best], UND), "score": np.where(ok, score, 0.0), "bits_per_byte": np.where(ok, least / n, np.nan)})
-
-    scored = F.pandas_udf(work, "lang_pred string, score double, bits_per_byte double")
+            for lo in range(0, len(t), ROWS):  # few texts at a time are Python objects
+                ok = np.array(letter.slice(lo, ROWS).to_pylist(), dtype=bool)
+                raw = t.slice(lo, ROWS).cast(pa.binary()).to_pylist()
+                yield score([x if o else b"" for x, o in zip(raw, ok.tolist(), strict=True)], ok)
+
+    scored = F.arrow_udf(work, "lang_pred string, score double, bits_per_byte double")
     letter = F.coalesce(has_letter(F.col(text)), F.lit(False))
     df = docs.withColumn("__lang", scored(F.coalesce(F.col(text), F.lit("")), letter))
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]
-    return df.select(*kept, "__lang.lang_pred", "__lang.score", F.nanvl("__lang.bits_per_byte", F.lit(None).cast("double")).alias("bits_per_byte"))
+    return df.select(*kept, "__lang.lang_pred", "__lang.score", "__lang.bits_per_byte")
 
 
 def crc_mod(doc_id: object, by: int) -> int:

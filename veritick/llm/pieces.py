@@ -399,28 +399,41 @@ def _giants(texts: DataFrame, shared, chunk: int) -> DataFrame:
     return traced.groupBy("__row").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, shared, text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with ``ids`` (array<int>)."""
+def packed_ids(packed: list[bytes | None]) -> pa.Array:
+    """Packed ids of some texts as an Arrow list."""
+    ends = np.cumsum([0] + [len(p or b"") // 4 for p in packed], dtype=np.int32)
+    values = pa.array(np.frombuffer(b"".join(p for p in packed if p), np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([p is None for p in packed]))
+
+
+def encode(docs: DataFrame, shared, text: str = "text", chunk: int = CHUNK, back: str | None = None) -> DataFrame:
+    """``docs`` with ``ids`` (array<int>), and with ``back``, whether they decode to the text (null for a null text)."""
+    kind = f"ids array<int>{', back boolean' if back else ''}"
 
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = _own(shared)
         for batch in batches:
-            parts = []
             for lo in range(0, len(batch), ROWS):
-                packed = [None if x is None else v.encode(x) for x in batch.slice(lo, ROWS).to_pylist()]
-                ends = np.cumsum([0] + [len(p or b"") // 4 for p in packed], dtype=np.int32)
-                values = pa.array(np.frombuffer(b"".join(p for p in packed if p), np.int32))
-                parts.append(pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([p is None for p in packed])))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
-
-    docs = docs.drop("ids") if text != "ids" else docs
+                texts = batch.slice(lo, ROWS).to_pylist()
+                packed = [None if x is None else v.encode(x) for x in texts]
+                found = [packed_ids(packed)]
+                if back:
+                    found.append(pa.array([None if x is None else v.decode(np.frombuffer(p, np.int32)) == x.replace(GAP, " ") for x, p in zip(texts, packed, strict=True)], pa.bool_()))
+                yield pa.StructArray.from_arrays(found, ["ids", "back"][: len(found)])
+
+    docs = docs.drop(*[c for c in ("ids", back) if c and c != text])
     size = F.length(F.coalesce(F.col(text), F.lit("")))
-    short = docs.where(size <= chunk).withColumn("ids", F.arrow_udf(work, "array<int>")(F.col(text)))
+    some = docs.where(size <= chunk).withColumn("__pieces", F.arrow_udf(work, kind)(F.col(text)))
+    added = {"ids": F.col("__pieces.ids")} | ({back: F.col("__pieces.back")} if back else {})
+    short = some.withColumns(added).drop("__pieces")
     giants = cut(docs.where(size > chunk).withColumn("__row", F.monotonically_increasing_id()))
     if giants.isEmpty():
         return short
     found = _giants(giants.select("__row", F.col(text).alias("text")), shared, chunk)
-    return short.unionByName(giants.join(found, "__row").drop("__row"))
+    long = giants.join(found, "__row").drop("__row")
+    if back:
+        long = decode(long, shared, into="__decoded").withColumn(back, F.col("__decoded") == F.replace(F.col(text), F.lit(GAP), F.lit(" "))).drop("__decoded")
+    return short.unionByName(long)
 
 
 def decode(df: DataFrame, shared, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -429,22 +442,18 @@ def decode(df: DataFrame, shared, ids: str = "ids", into: str = "decoded") -> Da
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = _own(shared)
         for batch in batches:
-            parts = []
             for lo in range(0, len(batch), ROWS):
                 some = batch.slice(lo, ROWS)
                 values, ends = some.values.to_numpy(zero_copy_only=False), some.offsets.to_pylist()
-                parts.append(pa.array([v.decode(values[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], some.is_valid().to_pylist(), strict=False)], pa.string()))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+                yield pa.array([v.decode(values[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], some.is_valid().to_pylist(), strict=False)], pa.string())
 
     return df.withColumn(into, F.arrow_udf(work, "string")(F.col(ids)))
 
 
 def round_trip(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip): round_trip tells whether decoding gives the text back."""
-    shared = share(docs.sparkSession, path)
-    both = decode(encode(docs.select("doc_id", "text"), shared), shared)
-    back = F.coalesce(F.col("decoded") == F.replace("text", F.lit(GAP), F.lit(" ")), F.col("text").isNull())
-    return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", back.alias("round_trip"))
+    both = encode(docs.select("doc_id", "text"), share(docs.sparkSession, path), back="back")
+    return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.coalesce("back", F.lit(True)).alias("round_trip"))
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
