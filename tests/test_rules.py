@@ -57,6 +57,18 @@ def test_number_text():
     for x, want in ((1.0, "1"), (1e21, "1e+21"), (1e-7, "1e-7"), (0.00000318, "0.00000318"), (123456789012345680000.0, "123456789012345680000"), (-0.0, "0"), (1.5e300, "1.5e+300"), (-2.5, "-2.5"), (5e-324, "5e-324")):
         assert H.number_text(x) == want
     assert H.canonical({"b": [1, None, True], "a": "é\n"}) == '{"a":"é\\n","b":[1,null,true]}'
+    assert H.number_text(2**53) == "9007199254740992" and H.number_text(9007199254740993) == "9007199254740992" and H.number_text(10**20 + 1) == "100000000000000000000" and H.number_text(10**21) == "1e+21"
+    assert H.canonical("\ud800x\U0001f600") == '"\\ud800x\U0001f600"' and H.plain({"b": 1.0, "a": [None]}) == '{"b":1,"a":[null]}'
+    with pytest.raises(ValueError):
+        H.number_text(10**400)
+
+
+def test_odd_json_does_not_stop_a_job(spark):
+    texts = ['{"a":"\\ud800"}', "[" * 100_000, "{", None, '{"n":9007199254740993}', '{"n":1e400}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["c"] for r in rows.select("i", H.canonical_text("t").alias("c")).collect()}
+    assert got == {0: '{"a":"\\ud800"}', 1: None, 2: None, 3: None, 4: '{"n":9007199254740992}', 5: None}
+    assert rows.select(H.canonical_digest("t").alias("d"), H.over_ceiling("t").alias("o")).where("d is not null").count() == 2
 
 
 def test_gates_fail_closed(spark):
@@ -172,10 +184,10 @@ def test_proofs_for_all_small_trees(spark):
     for m, n, x, y, p in rows:
         if m < n:
             assert H.consistency_problem(m, n, y, x, p) and H.consistency_problem(m, n, x, y, p + [x]) and H.consistency_problem(m, n, x, y, p[:-1])
-    assert H.inclusion_problem(5, 5, incl[0][2], [], incl[0][4]) == "leaf index outside the tree"
-    assert H.inclusion_problem(0, 1, "00", [], "00") == "hash is not 32 bytes" and H.consistency_problem(2, 1, "", "", []) == "invalid tree sizes"
+    assert H.inclusion_problem(5, 5, incl[0][2], [], incl[0][4]) == "index"
+    assert H.inclusion_problem(0, 1, "00", [], "00") == "hash-format" and H.consistency_problem(2, 1, "", "", []) == "sizes"
     big = 2**31 + 5
-    assert H.consistency_problem(big, big, "ab" * 32, "ab" * 32, []) is None and H.consistency_problem(big, big, "ab" * 32, "cd" * 32, []) == "same size but different roots"
+    assert H.consistency_problem(big, big, "ab" * 32, "ab" * 32, []) is None and H.consistency_problem(big, big, "ab" * 32, "cd" * 32, []) == "new-root"
 
 
 def test_verdicts_and_split_views(spark):
@@ -213,6 +225,82 @@ def test_book_replay_and_audit(spark):
     forged = links.withColumn("cash_micro", F.when(F.col("seq") == 3, "5").otherwise(F.col("cash_micro")))
     assert sorted(r["seq"] for r in K.audit_book(forged, df).where("not ok").collect()) == [3, 4]
     assert [r["difference"] for r in K.audit_book(links.where("seq <> 2"), df).where("seq = 3").collect()] == ["previous link missing"]
+    silent = links.withColumn("events", F.when(F.col("seq") == 2, "[]").otherwise(F.col("events")))
+    assert [(r["seq"], r["difference"]) for r in K.audit_book(silent, df).where("not ok").collect()] == [(2, "events")]
+
+
+def test_as_of_is_linear_in_one_asset(spark):
+    import time
+
+    n = 200_000
+    bars = spark.range(n).select(F.lit("A").alias("asset"), (F.col("id") * 60_000).alias("t_ms"), F.col("id").cast("double").alias("close"))
+    sig = spark.range(n).select(F.col("id").alias("file"), F.lit("A").alias("asset"), (F.col("id") * 60_000 + 60_000 * n - 1).alias("at"))
+    start = time.time()
+    got = T.asof_forward(sig, bars, "at", "b").agg(F.count("b").alias("n"), F.max("b.close").alias("m")).first()
+    assert (got["n"], got["m"]) == (0, None)
+    near = T.asof_forward(sig.withColumn("at", F.col("at") - 60_000 * n), bars, "at", "b")
+    assert near.where("b.close <> file").count() == 0 and near.where("b is null").count() == 0
+    assert time.time() - start < 60
+    far = spark.createDataFrame([("A", 0, 1.0), ("A", 400 * DAY, 2.0)], "asset string, t_ms long, close double")
+    rows = spark.createDataFrame([(i, a, t) for i, (a, t) in enumerate([("A", 0), ("A", 1), ("A", 400 * DAY), ("A", 400 * DAY + 1), ("A", None), ("Z", 5), (None, 5)])], "file int, asset string, at long")
+    assert {r["file"]: r["b"] and r["b"]["close"] for r in T.asof_forward(rows, far, "at", "b").collect()} == {0: 1.0, 1: 2.0, 2: 2.0, 3: None, 4: None, 5: None, 6: None}
+
+
+def test_ordered_steps(spark):
+    import random
+
+    from veritick.operators import ordered
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), i) for i in rnd.sample(range(5000), 600)]
+    df = spark.createDataFrame(rows, "k string, o long")
+    for ahead in (False, True):
+        want = {}
+        for key in ("a", "b", None):
+            own = sorted((o for k, o in rows if k == key), reverse=ahead)
+            want |= {(key, o): p for p, o in zip([None, *own], own, strict=False)}
+        got = ordered.with_previous(df, "k", "o", ["o"], "p", ahead).collect()
+        assert {(r["k"], r["o"]): r["p"] and r["p"]["o"] for r in got} == want
+    values = spark.createDataFrame([(h, float(v) if v % 7 else None) for h in (1, 2) for v in range(100 + h)], "h int, v double")
+    got = {r["h"]: r["median"] for r in ordered.exact_median(values, "h", "v").collect()}
+    import statistics
+
+    assert got == {h: statistics.median(float(v) for v in range(100 + h) if v % 7) for h in (1, 2)}
+    assert ordered.exact_median(values.limit(0), "h", "v").count() == 0
+
+
+def test_book_stream_keeps_its_number_between_batches(spark, tmp_path):
+    from veritick.streaming import jobs
+
+    schema = "book_id string, run_dir string, pos long, symbol string, action string, verdict string, price_usd double"
+    for batch in (1, 2):
+        rows = [("b", f"r{batch}{k}", 1, "A", "HOLD", "ALLOWED", 1.0) for k in range(2)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        q = jobs.paper_book(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted((r["run_dir"], r["seq"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("r10", 1), ("r11", 2), ("r20", 3), ("r21", 4)]
+
+
+def test_export_rows_and_ceiling(spark):
+    import json
+
+    from veritick.operators import sft
+
+    bars = spark.createDataFrame(lcg_bars(120), "asset string, t_ms long, close double")
+    sources = spark.createDataFrame([("LCG", "receipts/x.json", "aa", "bb")], "asset string, receipt string, receipt_sha string, dataset_sha string")
+    rows = sft.export(bars, sources=sources).collect()
+    drill = [r for r in rows if r["action"] == "ABSTAIN"]
+    assert len(drill) == 4  # prefixes of other cells reach their look-backs and decide
+    user, said = (json.loads(drill[0]["messages"][k]["content"]) for k in (1, 2))
+    assert set(user["evidence"]) == {"trailingReturn", "zScore", "annualizedVol", "nObservations"} and None in user["evidence"].values()
+    assert said["action"] == "ABSTAIN" and said["note"] and len(said["caveats"]) == 4 and "conviction" not in said
+    one = json.loads(next(r for r in rows if r["action"] != "ABSTAIN")["messages"][2]["content"])
+    assert set(one) == {"action", "components", "conviction", "lambda", "caveats"} and one["conviction"] <= 0.97
+    assert rows[0]["provenance"]["receiptSha256"] == "aa" and rows[0]["provenance"]["datasetSha256"] == "bb"
+    with pytest.raises(Exception, match="no source for"):
+        sft.export(bars, sources=sources.where("asset = 'none'")).collect()
+    with pytest.raises(Exception, match="above the ceiling"):
+        sft.messages(sft.derived(bars).withColumn("conviction", F.lit(0.98))).collect()
 
 
 def test_chain_cases(spark):
@@ -261,6 +349,27 @@ def test_archive(spark, tmp_path):
     assert len(files) == 1 and hashlib.sha256(files[0]["text"].encode()).hexdigest() == files[0]["sha256"]
     pinned = spark.createDataFrame([("LCG", "00")], "asset string, pinned_sha string")
     assert [r["reason"] for r in sinks.archive_series(bars, str(tmp_path / "b"), pinned).collect()] == ["bytes differ from the pinned hash"]
+    spark.createDataFrame([("other", files[0]["sha256"])], "text string, sha256 string").write.mode("append").partitionBy("sha256").text(path)
+    assert [r["reason"] for r in sinks.archive_series(bars, path).collect()] == ["other bytes are archived under this hash"]
+    (tmp_path / "led").mkdir()
+    (tmp_path / "led" / "x.json").write_text("{}")
+    assert [r["content"] for r in I.binary_files(spark, str(tmp_path / "led")).collect()] == [b"{}"]
+
+
+def test_receipts_fail_closed(spark):
+    gate = lambda *g: '{"verdict":"BLOCKED","gates":[' + ",".join(f'{{"gate":"g","verdict":"{v}","reason":{w}}}' for v, w in g) + "]}"
+    block = '{"posture":{"mode":"ADVISORY_PAPER_ONLY","provenTrust":false},"trustCeiling":0.97,"lockedProvenFormulaIds":["F1","F11","F12","F18","F19","F22","F4","F7"],"lambdaStatus":"Conjecture 1"}'
+    cases = [
+        (gate(("BLOCKED", '"why"')), block, []), (gate(("BLOCKED", '"why"'), ("BLOCKED", "null")), block, ["blocking gate without a reason"]), (gate(("ALLOWED", '"x"')), block, ["blocked without a gate"]),
+        (gate(("BLOCKED", '"why"')), None, ["no doctrine"]), (gate(("BLOCKED", '"why"')), block.replace("false", "true"), ["trust not locked"]), (gate(("BLOCKED", '"why"')), block.replace("F7", "F8"), ["locked set"]),
+        (gate(("BLOCKED", '"why"')), block.replace("0.97", "0.98"), ["ceiling"]), (gate(("BLOCKED", '"why"')), block.replace("Conjecture 1", "Theorem"), ["status claims a theorem", "status without its conjecture"]),
+    ]
+    rows = [(str(i), "application/vnd.in-toto+json", "k", "k", True, "https://in-toto.io/Statement/v1", p, d) for i, (p, d, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "path string, payload_type string, key_id string, pinned_key_id string, sig_ok boolean, statement_type string, payload string, doctrine string")
+    got = {}
+    for r in L.audit_receipts(df.withColumn("subject_sha", H.canonical_digest("payload"))).collect():
+        got.setdefault(int(r["path"]), []).append(r["problem"])
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(w) for i, (_, _, w) in enumerate(cases) if w}
 
 
 def test_empty_tables(spark):

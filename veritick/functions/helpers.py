@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
@@ -17,9 +18,12 @@ def number_text(x: float | int) -> str:
     """A number as ECMAScript writes it."""
     if isinstance(x, bool):
         return "true" if x else "false"
-    if isinstance(x, int) and abs(x) < 10**21:
+    if isinstance(x, int) and abs(x) <= 2**53:
         return str(x)
-    x = float(x)
+    try:
+        x = float(x)  # an integer beyond 2^53 is the nearest double, as any JSON number
+    except OverflowError as large:
+        raise ValueError("non-finite number") from large
     if not math.isfinite(x):
         raise ValueError("non-finite number")
     if x == 0:
@@ -34,33 +38,59 @@ def number_text(x: float | int) -> str:
     return f"{sign}{digits[0]}" + (f".{digits[1:]}" if len(digits) > 1 else "") + f"e{'+' if e > 0 else '-'}{abs(e)}"
 
 
+ALONE = re.compile("[\ud800-\udfff]")
+
+
+def string_text(value: str) -> str:
+    """A string as ECMAScript writes it: a surrogate without its partner is escaped."""
+    return ALONE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, ensure_ascii=False))
+
+
+def plain(value: object) -> str:
+    """JSON text without spaces, keys in the order they came."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{string_text(k)}:{plain(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(plain, value)) + "]"
+    return canonical(value)
+
+
 def canonical(value: object) -> str:
     """Key-sorted JSON text without spaces; keys sort by UTF-16 units."""
     if isinstance(value, dict):
         keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k])}" for k in keys) + "}"
+        return "{" + ",".join(f"{string_text(k)}:{canonical(value[k])}" for k in keys) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
     if value is None:
         return "null"
     if isinstance(value, (bool, int, float)):
         return number_text(value)
-    return json.dumps(value, ensure_ascii=False)
-
+    return string_text(value)
 
-@F.pandas_udf(StringType())
-def canonical_text(texts: pd.Series) -> pd.Series:
-    """Canonical text of JSON texts; null where a text is not JSON."""
 
+def rewritten(texts: pd.Series, write) -> pd.Series:
     def one(t: str | None) -> str | None:
         try:
-            return None if t is None else canonical(json.loads(t))
-        except ValueError:
+            return None if t is None else write(json.loads(t))
+        except (ValueError, RecursionError):
             return None
 
     return texts.map(one)
 
 
+@F.pandas_udf(StringType())
+def canonical_text(texts: pd.Series) -> pd.Series:
+    """Canonical text of JSON texts; null where a text is not JSON, or nested too deep to read."""
+    return rewritten(texts, canonical)
+
+
+@F.pandas_udf(StringType())
+def plain_text(texts: pd.Series) -> pd.Series:
+    """JSON texts with numbers and strings as ECMAScript writes them, keys in their order; null as in ``canonical_text``."""
+    return rewritten(texts, plain)
+
+
 def canonical_digest(text: Column | str) -> Column:
     """sha256 of the canonical text of a JSON text."""
     return F.sha2(F.encode(canonical_text(text), "utf-8"), 256)
@@ -90,7 +120,7 @@ def over_ceiling(text: Column | str, ceiling: float = 0.97) -> Column:
         def one(t: str | None) -> list[str]:
             try:
                 return _over(json.loads(t), ceiling) if t else []
-            except ValueError:
+            except (ValueError, RecursionError):
                 return ["not JSON"]
 
         return texts.map(one)
@@ -115,59 +145,66 @@ def _hashes(items) -> list[bytes] | None:
     return out
 
 
+def _half(size: int) -> int:
+    """Leaves of the left subtree: the largest power of two below the size (RFC 6962, 2.1)."""
+    return 1 << (size - 1).bit_length() - 1
+
+
+def tree_root(index: int, size: int, leaf: bytes, path: list[bytes]) -> bytes | None:
+    """The root that PATH(index, D[size]) and a leaf hash give, by its definition; None if the path has another length.
+
+    The last hash of a path is the root of the half that the leaf is not in.
+    """
+    if size == 1:
+        return None if path else leaf
+    if not path:
+        return None
+    k, (*inner, other) = _half(size), path
+    within = tree_root(index, k, leaf, inner) if index < k else tree_root(index - k, size - k, leaf, inner)
+    return None if within is None else _node(within, other) if index < k else _node(other, within)
+
+
+def grown_roots(old: int, new: int, given: bytes | None, proof: list[bytes]) -> tuple[bytes, bytes] | None:
+    """Roots of the first ``old`` and of all ``new`` leaves that SUBPROOF(old, D[new]) gives, by its definition.
+
+    ``given`` is the root of the old tree while all of it is in view (the definition's flag is true), None otherwise; a
+    proof of another length gives None.
+    """
+    if old == new:
+        known = [given] if given is not None else proof
+        return (known[0], known[0]) if len(known) == 1 and (given is None or not proof) else None
+    if not proof:
+        return None
+    k, (*inner, other) = _half(new), proof
+    if old <= k:
+        both = grown_roots(old, k, given, inner)
+        return None if both is None else (both[0], _node(both[1], other))
+    both = grown_roots(old - k, new - k, None, inner)
+    return None if both is None else (_node(other, both[0]), _node(other, both[1]))
+
+
 def inclusion_problem(index: int, size: int, leaf_hex: str, path, root_hex: str) -> str | None:
-    """Why an audit path does not lead from the leaf to the root (RFC 6962); None if it does."""
+    """Code of why an audit path does not lead from the leaf to the root; None if it does."""
     if pd.isna(index) or pd.isna(size) or not 0 <= index < size:
-        return "leaf index outside the tree"
-    siblings, leaf = _hashes(path), _hashes([leaf_hex])
-    if siblings is None or leaf is None:
-        return "hash is not 32 bytes"
-    at, last, node, rest = int(index), int(size) - 1, leaf[0], list(siblings)
-    while last:
-        if at & 1 or at < last:
-            if not rest:
-                return "audit path too short"
-            other = rest.pop(0)
-            node = _node(other, node) if at & 1 else _node(node, other)
-        at, last = at >> 1, last >> 1
-    if rest:
-        return "unconsumed sibling hashes"
-    return None if node.hex() == root_hex else "path does not land on the root"
+        return "index"
+    hashes, ends = _hashes(path), _hashes([leaf_hex])
+    if hashes is None or ends is None:
+        return "hash-format"
+    found = tree_root(int(index), int(size), ends[0], hashes)
+    return "path-length" if found is None else None if found.hex() == root_hex else "root"
 
 
 def consistency_problem(first: int, second: int, first_root: str, second_root: str, proof) -> str | None:
-    """Why a proof does not show the first tree to be a prefix of the second (RFC 6962); None if it does."""
-    if pd.isna(first) or pd.isna(second) or not 1 <= first <= second <= 2**53 - 1:
-        return "invalid tree sizes"
+    """Code of why a proof does not show the first tree to be a prefix of the second; None if it does."""
+    if pd.isna(first) or pd.isna(second) or not 1 <= first <= second < 2**53:
+        return "sizes"
     roots, hashes = _hashes([first_root, second_root]), _hashes(proof)
     if roots is None or hashes is None:
-        return "hash is not 32 bytes"
-    old, new = roots
-    if first == second:
-        return "same-size proof must be empty" if hashes else None if old == new else "same size but different roots"
-    m, n = int(first), int(second)
-    rest = ([old] if m & (m - 1) == 0 else []) + hashes
-    if not rest:
-        return "empty proof for a grown tree"
-    a, b = m - 1, n - 1
-    while a & 1:
-        a, b = a >> 1, b >> 1
-    left = right = rest[0]
-    for h in rest[1:]:
-        if not b:
-            return "too many proof hashes"
-        if a & 1 or a == b:
-            left, right = _node(h, left), _node(h, right)
-            while a and not a & 1:
-                a, b = a >> 1, b >> 1
-        else:
-            right = _node(right, h)
-        a, b = a >> 1, b >> 1
-    if left != old:
-        return "old root differs"
-    if right != new:
-        return "new root differs"
-    return "proof ends before the root" if b else None
+        return "hash-format"
+    found = grown_roots(int(first), int(second), roots[0], hashes)
+    if found is None:
+        return "proof-length"
+    return "old-root" if found[0] != roots[0] else "new-root" if found[1] != roots[1] else None
 
 
 @F.pandas_udf(StringType())

@@ -52,8 +52,16 @@ def lambda_aggregate(scores: Column | str, weights: Column | None = None) -> Col
     return F.when(usable & (zero > 0) & ((bad == 0) | (zero < bad)), 0.0).when(usable & (bad == 0), F.exp(logs))
 
 
-def to_micro_usd(x: Column | str) -> Column:
-    """Integer millionths, half away from zero at the sixth decimal of the shortest text of the double."""
+def to_micro_usd(x: Column | str, exact: bool = False) -> Column:
+    """Integer millionths, half away from zero at the sixth decimal.
+
+    Of the shortest text of the double, within expressions; or, ``exact``, of its binary value, by an Arrow helper, as
+    books do.  They differ only where the shortest text lies half-way, such as 0.0000015.
+    """
+    if exact:
+        from veritick.functions.helpers import to_micro_usd_exact
+
+        return to_micro_usd_exact(finite(x)).cast(MONEY)
     return (F.round(finite(x).cast("decimal(38,18)"), 6) * MICRO).cast(MONEY)
 
 
@@ -104,33 +112,32 @@ def node_hash(left_hex: Column | str, right_hex: Column | str) -> Column:
     return F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(col(left_hex)), F.unhex(col(right_hex))), 256)
 
 
+HEADER = r"^([^\n]*)\n([^\n]*)\n([^\n]*)\n"
+
+
 def parse_checkpoint(note: Column | str) -> Column:
-    """struct(origin, tree_size, root_hex, n_signatures, reason) of a signed tree-head note; reason null if accepted."""
+    """struct(origin, tree_size, root_hex, n_signatures, reason) of a signed tree-head note.
+
+    A note is a text of three header lines (origin, decimal size, base64 root) and optional others, an empty line, and
+    signature lines.  ``reason`` is the code of the first rule that it breaks, null if it is sound: ``null``, ``gap`` (no
+    empty line), ``header`` (under three lines), ``origin``, ``size``, ``size-range``, ``root``, ``signature``,
+    ``signature-length`` (a key hash takes four bytes, and something must follow), ``unsigned``.
+    """
     n = col(note)
-    at = F.instr(n, "\n\n")
-    body = F.split(F.substring(n, F.lit(1), at), "\n")
-    lines = F.filter(F.split(F.substr(n, at + 2, F.length(n)), "\n"), lambda x: x != "")
-    origin, size_text, root = F.get(body, F.lit(0)), F.get(body, F.lit(1)), F.get(body, F.lit(2))
-    size = F.when(size_text.rlike(r"^\d{1,18}$"), size_text.cast("bigint"))
-    raw = F.when(root.rlike("^[A-Za-z0-9+/]{43}=$"), F.unbase64(root))
-    signature = lambda x: F.split_part(x, F.lit(" "), F.lit(3))
-    well_formed = lambda x: x.rlike("^— \\S+ \\S+$")
-    reason = (
-        F.when(n.isNull(), "not a string")
-        .when(at == 0, "no blank-line separator")
-        .when(F.size(body) < 4, "note body too short")
-        .when(~origin.rlike(r"^\S+ - \d+$"), "malformed origin line")
-        .when(~size_text.rlike(r"^\d+$"), "malformed tree-size line")
-        .when(size.isNull() | (size < 1) | (size > 2**53 - 1), "tree size out of range")
-        .when(raw.isNull() | (F.length(raw) != 32) | (F.base64(raw) != root), "root hash is not canonical 32-byte base64")
-        .when(F.exists(lines, lambda x: ~well_formed(x)), "malformed signature line")
-        .when(F.exists(lines, lambda x: F.length(F.try_to_binary(signature(x), F.lit("base64"))) < 5), "signature too short")
-        .when(F.size(lines) == 0, "no signature lines")
-    )
-    ok = reason.isNull()
-    return F.struct(
-        F.when(ok, origin).alias("origin"), F.when(ok, size).alias("tree_size"), F.when(ok, F.lower(F.hex(raw))).alias("root_hex"), F.when(ok, F.size(lines)).alias("n_signatures"), reason.alias("reason")
-    )
+    text, rest = F.split_part(n, F.lit("\n\n"), F.lit(1)), F.substr(n, F.instr(n, "\n\n") + 2, F.length(n))
+    line = lambda k: F.regexp_extract(F.concat(text, F.lit("\n")), HEADER, k)
+    origin, digits, root = line(1), line(2), F.unbase64(F.when(line(3).rlike("^[A-Za-z0-9+/]{43}=$"), line(3)))
+    size = F.when(digits.rlike(r"^\d{1,18}$"), digits.cast("bigint"))
+    lines = F.filter(F.split(rest, "\n"), lambda x: x != "")
+    blob = lambda x: F.try_to_binary(F.regexp_extract(x, "([^ ]*)$", 1), F.lit("base64"))
+    rules = (
+        ("gap", F.instr(n, "\n\n") > 0), ("header", F.concat(text, F.lit("\n")).rlike(HEADER)), ("origin", origin.rlike(r"^\S+ - \d+$")), ("size", digits.rlike(r"^\d+$")),
+        ("size-range", F.coalesce(size.between(1, 2**53 - 1), F.lit(False))), ("root", F.coalesce(F.base64(root) == line(3), F.lit(False))), ("signature", F.forall(lines, lambda x: x.rlike("^— \\S+ \\S+$"))),
+        ("signature-length", F.forall(lines, lambda x: F.coalesce(F.length(blob(x)) >= 5, F.lit(True)))), ("unsigned", F.size(lines) > 0),
+    )
+    reason = F.when(n.isNull(), "null").otherwise(F.coalesce(*[F.when(~ok, F.lit(code)) for code, ok in rules]))
+    sound = lambda c: F.when(reason.isNull(), c)
+    return F.struct(sound(origin).alias("origin"), sound(size).alias("tree_size"), sound(F.lower(F.hex(root))).alias("root_hex"), sound(F.size(lines)).alias("n_signatures"), reason.alias("reason"))
 
 
 ENTRY = "kind string, spec struct<data:struct<hash:struct<algorithm:string,value:string>>,signature:struct<content:string,format:string,publicKey:struct<content:string>>>"

@@ -6,11 +6,12 @@ arithmetic over one book's decisions; the audit instead checks every link on its
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritick.functions.helpers import exact_micro
@@ -83,9 +84,9 @@ def _state(held: dict[str, int]) -> str:
     return json.dumps({k: str(v) for k, v in sorted(held.items())}, separators=(",", ":"))
 
 
-def replay_rows(rows: Iterator[dict], cash: int | None = None, held: dict | None = None, config: dict = CONFIG) -> Iterator[dict]:
-    """Events of the runs in ``rows`` (ordered by run dir), each with the state after its run."""
-    cash, held, seq = config["start_micro"] if cash is None else cash, held or {}, 0
+def replay_rows(rows: Iterator[dict], cash: int | None = None, held: dict | None = None, config: dict = CONFIG, seq: int = 0) -> Iterator[dict]:
+    """Events of the runs in ``rows`` (ordered by run dir), each with the state after its run; ``seq`` runs came before."""
+    cash, held = config["start_micro"] if cash is None else cash, held or {}
     run: list[dict] = []
 
     def close() -> Iterator[dict]:
@@ -113,22 +114,52 @@ def _records(pdf: pd.DataFrame) -> list[dict]:
 
 
 def book_replay(decisions: DataFrame) -> DataFrame:
-    """Every event of every book from (book_id, run_dir, pos, symbol, action, verdict, price_usd)."""
+    """Every event of every book from (book_id, run_dir, pos, symbol, action, verdict, price_usd).
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(replay_rows(_records(pdf))), columns=COLUMNS)
+    Books are dealt to tasks and read in order, run by run: a task holds the state of one book and one run's decisions.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows() -> Iterator[dict]:
+            for pdf in batches:
+                yield from pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+
+        out: list[dict] = []
+        for _, own in itertools.groupby(rows(), key=lambda r: r["book_id"]):
+            for event in replay_rows(own):
+                out.append(event)
+                if len(out) >= 5_000:
+                    yield pd.DataFrame(out, columns=COLUMNS)
+                    out = []
+        yield pd.DataFrame(out, columns=COLUMNS)
 
     rows = decisions.select("book_id", "run_dir", "pos", "symbol", "action", "verdict", F.col("price_usd").cast("double").alias("price_usd"))
-    return rows.where("symbol is not null and run_dir is not null").groupBy("book_id").applyInPandas(fold, OUT)
+    rows = rows.where("symbol is not null and run_dir is not null and book_id is not null").withColumn("book_id", F.col("book_id").cast("string"))
+    return rows.repartition("book_id").sortWithinPartitions("book_id", "run_dir", "symbol", "pos").mapInPandas(fold, OUT)
+
+
+EVENT = ("symbol", "event", "why", "micro", "qty_e9")
 
 
 def book_links(replayed: DataFrame) -> DataFrame:
-    """(book_id, seq, run_dir, cash_micro, positions, equity_micro): one row per run of a book."""
-    return replayed.groupBy("book_id", "seq", "run_dir").agg(F.first("cash_micro").alias("cash_micro"), F.first("positions").alias("positions"), F.first("equity_micro").alias("equity_micro"))
+    """(book_id, seq, run_dir, cash_micro, positions, equity_micro, events): one row per run of a book, events as JSON text."""
+    events = F.to_json(F.array_sort(F.collect_list(F.struct(*EVENT))))
+    return replayed.groupBy("book_id", "seq", "run_dir").agg(F.first("cash_micro").alias("cash_micro"), F.first("positions").alias("positions"), F.first("equity_micro").alias("equity_micro"), events.alias("events"))
+
+
+def _events(events: list[dict]) -> str:
+    rows = sorted((e["symbol"], e["event"], e["why"], int(e["micro"]), str(e["qty_e9"])) for e in events)
+    return json.dumps([dict(zip(EVENT, r, strict=True)) for r in rows], separators=(",", ":"), ensure_ascii=False)
 
 
 def audit_book(links: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Each signed link against a replay of its run from the signed state before it; all links at once."""
+    """Each signed link against a replay of its run from the signed state before it; all links at once.
+
+    ``difference`` names the first of cash, positions, equity, events (where links have them) that differs, or the link before
+    that is missing.
+    """
+    stated = "events" in links.columns
+    links = links if stated else links.withColumn("events", F.lit(None).cast("string"))
     before = links.select("book_id", (F.col("seq") + 1).alias("seq"), F.col("cash_micro").alias("c0"), F.col("positions").alias("p0"))
     joined = links.join(before, ["book_id", "seq"], "left").withColumn("gap", (F.col("seq") > 1) & F.col("c0").isNull())
     rows = joined.join(decisions.select("book_id", "run_dir", "pos", "symbol", "action", "verdict", F.col("price_usd").cast("double").alias("price_usd")), ["book_id", "run_dir"], "left")
@@ -139,21 +170,57 @@ def audit_book(links: DataFrame, decisions: DataFrame) -> DataFrame:
             bad = "previous link missing"
         else:
             start = (CONFIG["start_micro"], {}) if r["c0"] is None else (int(r["c0"]), {k: int(v) for k, v in json.loads(r["p0"]).items()})
-            cash, held, _, mark = advance(*start, [d for d in _records(pdf) if d["symbol"] is not None])
-            got = (str(cash), _state(held), None if mark is None else str(mark))
-            bad = next((n for n, a, b in zip(("cash", "positions", "equity"), got, (r["cash_micro"], r["positions"], r["equity_micro"]), strict=True) if a != b), None)
+            cash, held, events, mark = advance(*start, [d for d in _records(pdf) if d["symbol"] is not None])
+            got = (str(cash), _state(held), None if mark is None else str(mark), _events(events) if stated else None)
+            bad = next((n for n, a, b in zip(("cash", "positions", "equity", "events"), got, (r["cash_micro"], r["positions"], r["equity_micro"], r["events"]), strict=True) if a != b), None)
         return pd.DataFrame({"book_id": [r["book_id"]], "seq": [r["seq"]], "run_dir": [r["run_dir"]], "ok": [bad is None], "difference": [bad]})
 
     return rows.groupBy("book_id", "seq").applyInPandas(check, LINK)
 
 
+def audit_book_chain(links: DataFrame, dirs: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(book_id, seq, problem) of what links state about each other, the ledger's dirs and their inputs; joins by seq only.
+
+    Links: book_id, seq, run_dir, file, sha256, stated_dir, prev(run_dir, file, sha256), config (JSON), skipped (dirs since
+    the link before, or before the first), signal_files.  ``dirs``: book_id, run_dir.  ``inputs``: book_id, run_dir, file
+    of the verified decisions.
+    """
+    from veritick.functions.helpers import canonical_text
+    from veritick.operators.ledger import problems
+
+    links = links.withColumn("config", canonical_text("config"))
+    before = links.select("book_id", (F.col("seq") + 1).alias("seq"), F.struct("run_dir", "file", "sha256").alias("__prev"), F.col("config").alias("__config"))
+    real = dirs.select("book_id", "run_dir").distinct()
+    at = Window.partitionBy("book_id").orderBy("run_dir").rowsBetween(Window.unboundedPreceding, -1)
+    books = links.select("book_id", "run_dir", "seq")
+    placed = real.join(books, ["book_id", "run_dir"], "left").withColumn("__after", F.coalesce(F.max("seq").over(at), F.lit(0)))
+    between = placed.where("seq is null").groupBy("book_id", (F.col("__after") + 1).alias("seq")).agg(F.array_sort(F.collect_list("run_dir")).alias("__skipped"))
+    there = real.withColumn("__there", F.lit(True))
+    files = inputs.groupBy("book_id", "run_dir").agg(F.array_sort(F.collect_list("file")).alias("__files"))
+    n = links.groupBy("book_id", "seq").agg(F.count("*").alias("__n"))
+    df = links.join(before, ["book_id", "seq"], "left").join(between, ["book_id", "seq"], "left").join(there, ["book_id", "run_dir"], "left").join(files, ["book_id", "run_dir"], "left").join(n, ["book_id", "seq"], "left")
+    number = lambda path: F.get_json_object("config", path).try_cast("double")
+    whole = number("$.costModel.feeBps").isNotNull() & number("$.costModel.slippageBps").isNotNull() & number("$.entryFractionBps").isNotNull() & (number("$.startingCashUsd") > 0)
+    none = F.array().cast("array<string>")
+    first, linked = F.col("seq") == 1, F.col("__prev").isNotNull()
+    same = lambda a, b: F.array_sort(F.coalesce(a, F.array(F.lit("?")))).eqNullSafe(F.coalesce(b, none))
+    return problems(
+        df, ["book_id", "seq"], **{
+            "seq not contiguous from 1": F.col("seq").isNull() | ~(first | linked), "seq repeated": F.coalesce(F.col("__n") > 1, F.lit(False)), "first book has a predecessor": first & F.col("prev").isNotNull(),
+            "states another dir": F.col("stated_dir") != F.col("run_dir"), "run dir missing": F.col("__there").isNull(), "previous pointer differs": ~first & linked & ~F.col("prev").eqNullSafe(F.col("__prev")),
+            "dir not after the one before": ~first & linked & ~(F.col("run_dir") > F.col("__prev.run_dir")), "config drifted": ~first & linked & ~F.col("config").eqNullSafe(F.col("__config")),
+            "config incomplete": ~F.coalesce(whole, F.lit(False)), "gaps differ from the ledger": ~same(F.col("skipped"), F.col("__skipped")), "inputs differ from the ledger": ~same(F.col("signal_files"), F.col("__files")),
+        },
+    )
+
+
 def mark_to_market(positions: DataFrame, cash: DataFrame, prices: DataFrame) -> DataFrame:
     """Per book: equity of cash plus quantity times price; null if any open position has no price, and how many."""
     from veritick.functions import scalars as S
 
     m = lambda c: F.col(c).cast(S.MONEY)
     open_ = positions.where("qty_e9 > 0").join(prices, "symbol", "left")
-    value = S.div((m("qty_e9") * S.to_micro_usd("price_usd")).cast(S.MONEY), F.lit(QTY).cast(S.MONEY))
+    value = S.div((m("qty_e9") * S.to_micro_usd("price_usd", exact=True)).cast(S.MONEY), F.lit(QTY).cast(S.MONEY))
     per = open_.groupBy("book_id").agg(F.sum(F.when(F.col("price_usd") > 0, value)).alias("value"), F.count_if(~F.coalesce(F.col("price_usd") > 0, F.lit(False))).alias("unpriced"))
     out = cash.join(per, "book_id", "left").withColumn("unpriced", F.coalesce("unpriced", F.lit(0)))
     return out.withColumn("equity_micro", F.when(F.col("unpriced") == 0, m("cash_micro") + F.coalesce("value", F.lit(0))).cast(S.MONEY)).drop("value")

@@ -92,14 +92,14 @@ def chain_coverage(links: DataFrame) -> DataFrame:
 def skipped_run_dirs(books: DataFrame, dirs: DataFrame) -> DataFrame:
     """(ledger, run_dir, after_seq): dirs strictly between consecutive books; after_seq null: before the first one.
 
-    Each dir takes the last book dir at or before it, by one window over both; no theta join. Dirs after the last book
-    are not skipped yet.
+    Each dir takes the last book dir before it, by one scan over both; no theta join. Dirs after the last book are not
+    skipped yet.
     """
     w = Window.partitionBy("ledger").orderBy("run_dir")
     rows = dirs.select("ledger", "run_dir").distinct().join(books.select("ledger", "run_dir", "seq"), ["ledger", "run_dir"], "left")
     rows = rows.withColumn("after_seq", F.last("seq", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("__later", F.first("seq", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    return rows.where("seq is null and __later is not null").select("ledger", "run_dir", "after_seq")
+    newest = books.where("seq is not null").groupBy("ledger").agg(F.max("run_dir").alias("__newest"))
+    return rows.join(newest, "ledger").where("seq is null and run_dir < __newest").select("ledger", "run_dir", "after_seq")
 
 
 def witness_targets(links: DataFrame, receipts: DataFrame, every: bool = False) -> DataFrame:
@@ -132,13 +132,48 @@ def new_observations(remote: DataFrame, archived: DataFrame) -> DataFrame:
 
 
 def recompute_diff(signed: DataFrame, again: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """Keys whose fields are not all equal (nulls equal nulls), with status and the first differing field."""
+    """Every key with its status (nulls equal nulls): OK, UNSIGNED, or FAIL with the first differing field, or ``missing``.
+
+    A signed result that was not computed again fails; whether one need not be is for the caller to say (``audit_recompute``).
+    """
     a = signed.select(*keys, F.struct(*fields).alias("a"))
     b = again.select(*keys, F.struct(*fields).alias("b"))
     both = a.join(b, keys, "full")
     unlike = F.array_compact(F.array(*[F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f)) for f in fields]))
-    status = F.when(F.col("b").isNull(), "SKIP").when(F.col("a").isNull(), "UNSIGNED").when(F.size(unlike) > 0, "FAIL").otherwise("OK")
-    return both.select(*keys, status.alias("status"), F.when(status == "FAIL", F.get(unlike, F.lit(0))).alias("first_difference"))
+    gone = F.col("b").isNull()
+    status = F.when(gone, "FAIL").when(F.col("a").isNull(), "UNSIGNED").when(F.size(unlike) > 0, "FAIL").otherwise("OK")
+    return both.select(*keys, status.alias("status"), F.when(gone, "missing").when(status == "FAIL", F.get(unlike, F.lit(0))).alias("first_difference"))
+
+
+RESULTS = ("final_equity", "total_return", "max_drawdown", "n_trades", "n_round_trips", "win_rate", "open_at_end")
+
+
+def audit_recompute(receipts: DataFrame, archive: DataFrame, signed: DataFrame, again: DataFrame, folder: str = "data/datasets") -> DataFrame:
+    """(path, status, reason) per backtest receipt; only one that declares no archive is skipped, all else fails closed.
+
+    Receipts: path, asset, archive_path, dataset_sha, dataset_n, n_cells, share, start_usd, fee_bps, slippage_bps.  Archive:
+    path, content (JSON rows of tMs and close).  ``signed`` has path, cell_id, window_name and ``RESULTS``; ``again`` has
+    asset, cell_id, window_name and ``RESULTS``, computed from the archived series.
+    """
+    points = F.from_json(F.col("content").cast("string"), "array<struct<tMs:double,close:double>>")
+    number = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    sound = (F.size(points) >= 2) & F.forall(points, lambda p: p.isNotNull() & number(p["tMs"]) & number(p["close"]) & (p["close"] > 0))
+    there = archive.select(F.col("path").alias("archive_path"), F.sha2(F.col("content").cast("binary"), 256).alias("__sha"), F.coalesce(sound, F.lit(False)).alias("__sound"), F.size(points).alias("__n"))
+    pairs = recompute_diff(signed.join(receipts.select("path", "asset"), "path").select("path", "cell_id", "window_name", *RESULTS), receipts.select("path", "asset").join(again, "asset").select("path", "cell_id", "window_name", *RESULTS), ["path", "cell_id", "window_name"], list(RESULTS))
+    place = F.struct("cell_id", "window_name")
+    unlike = pairs.where("status <> 'OK'").groupBy("path").agg(F.min_by(F.coalesce("first_difference", F.lit("not signed")), place).alias("__unlike"))
+    compared = pairs.groupBy("path").agg(F.count("*").alias("__compared"))
+    df = receipts.join(there, "archive_path", "left").join(unlike, "path", "left").join(compared, "path", "left")
+    hex64 = F.coalesce(F.col("dataset_sha").rlike("^[0-9a-f]{64}$"), F.lit(False))
+    rules = (
+        ("dataset hash is not 64 hex digits", ~hex64), ("archive path is not the canonical one", F.col("archive_path") != F.concat(F.lit(f"{folder}/"), "dataset_sha", F.lit(".json"))), ("archive missing", F.col("__sha").isNull()),
+        ("archive bytes differ", F.col("__sha") != F.col("dataset_sha")), ("archive rows invalid", ~F.col("__sound")), ("row count differs", ~F.col("dataset_n").eqNullSafe(F.col("__n"))),
+        ("no grid", ~F.coalesce(F.col("n_cells") > 0, F.lit(False))), ("no split", ~F.coalesce((F.col("share") > 0) & (F.col("share") < 1), F.lit(False))), ("no starting cash", ~F.coalesce((F.col("start_usd") > 0) & number(F.col("start_usd")), F.lit(False))),
+        ("no costs", ~(number(F.col("fee_bps")) & number(F.col("slippage_bps")))), ("results incomplete", ~F.coalesce(F.col("__compared") == 2 * F.col("n_cells"), F.lit(False))),
+    )
+    reason = F.coalesce(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules], F.concat(F.lit("recomputed result differs: "), F.col("__unlike")))
+    status = F.when(F.col("archive_path").isNull(), "SKIP").when(reason.isNull(), "OK").otherwise("FAIL")
+    return df.select("path", status.alias("status"), F.when(F.col("archive_path").isNull(), F.lit("no archive declared")).otherwise(reason).alias("reason"))
 
 
 def audit_refusals(decisions: DataFrame, stored: DataFrame) -> DataFrame:
@@ -148,21 +183,38 @@ def audit_refusals(decisions: DataFrame, stored: DataFrame) -> DataFrame:
     return recompute_diff(stored, refusal_census(decisions)[0], ["run_dir"], ["decisions", "allowed", "blocked"])
 
 
+# What the doctrine block of a receipt must state.
+POSTURE = "ADVISORY_PAPER_ONLY"
+LOCKED = ("F1", "F11", "F12", "F18", "F19", "F22", "F4", "F7")
+DOCTRINE = "struct<posture:struct<mode:string,provenTrust:boolean>,trustCeiling:double,lockedProvenFormulaIds:array<string>,lambdaStatus:string>"
+GATES = "array<struct<gate:string,verdict:string,reason:string>>"
+
+
 def audit_receipts(receipts: DataFrame) -> DataFrame:
-    """(path, problem) of receipts (path, payload_type, key_id, pinned_key_id, sig_ok, statement_type, payload, subject_sha).
+    """(path, problem) of receipts (path, payload_type, key_id, pinned_key_id, sig_ok, statement_type, payload, doctrine, subject_sha).
 
-    Payloads are JSON texts; the subject digest must be that of the canonical text, and no nested trust number may
-    exceed the ceiling. Gate verdicts must be legal, and a BLOCKED decision must name a blocking gate with a reason.
+    Payloads and doctrine blocks are JSON texts; the subject digest must be that of the canonical text, and no nested trust
+    number may exceed the ceiling. Gate verdicts must be legal, and a BLOCKED decision must name a blocking gate, each
+    blocking gate a reason. The doctrine block must be there and state posture, locked trust, ceiling, the locked set
+    exactly, and a status that names the conjecture and claims no theorem. A null anywhere counts as a failed check.
     """
     from veritick.functions.helpers import canonical_digest, over_ceiling
-
-    gates = F.from_json(F.get_json_object("payload", "$.gates"), "array<struct<gate:string,verdict:string,reason:string>>")
-    df = receipts.withColumns({"__digest": canonical_digest("payload"), "__over": over_ceiling("payload"), "__gates": F.coalesce(gates, F.array().cast("array<struct<gate:string,verdict:string,reason:string>>")), "__verdict": F.get_json_object("payload", "$.verdict")})
-    stop = F.exists("__gates", lambda g: (g["verdict"] == "BLOCKED") & (F.length(F.coalesce(g["reason"], F.lit(""))) > 0))
+    from veritick.functions.scalars import TRUST_CEILING
+
+    gates = F.coalesce(F.from_json(F.get_json_object("payload", "$.gates"), GATES), F.array().cast(GATES))
+    d = F.from_json("doctrine", DOCTRINE)
+    df = receipts.withColumns({"__digest": canonical_digest("payload"), "__over": over_ceiling("payload"), "__gates": gates, "__verdict": F.get_json_object("payload", "$.verdict"), "__d": F.when(F.col("doctrine").isNotNull(), d)})
+    d, blocked = F.col("__d"), F.coalesce(F.col("__verdict") == "BLOCKED", F.lit(False))
+    stops = F.filter("__gates", lambda g: F.coalesce(g["verdict"] == "BLOCKED", F.lit(False)))
+    there, status = d.isNotNull(), F.lower(F.coalesce(d["lambdaStatus"], F.lit("")))
     return problems(
         df, ["path"], **{
             "signature invalid": ~F.col("sig_ok"), "payload type": F.col("payload_type") != "application/vnd.in-toto+json", "key not pinned": F.col("key_id") != F.col("pinned_key_id"),
             "statement type": F.col("statement_type") != "https://in-toto.io/Statement/v1", "trust above ceiling": F.size("__over") > 0, "subject digest": F.col("subject_sha") != F.col("__digest"),
-            "gate verdict": F.exists("__gates", lambda g: ~F.coalesce(g["verdict"].isin("ALLOWED", "BLOCKED"), F.lit(False))), "blocked without a reason": F.coalesce(F.col("__verdict") == "BLOCKED", F.lit(False)) & ~stop,
+            "gate verdict": F.exists("__gates", lambda g: ~F.coalesce(g["verdict"].isin("ALLOWED", "BLOCKED"), F.lit(False))),
+            "blocked without a gate": blocked & (F.size(stops) == 0), "blocking gate without a reason": blocked & F.exists(stops, lambda g: F.coalesce(g["reason"], F.lit("")) == ""),
+            "no doctrine": ~there, "posture": there & ~d["posture"]["mode"].eqNullSafe(POSTURE), "trust not locked": there & ~d["posture"]["provenTrust"].eqNullSafe(False),
+            "ceiling": there & ~d["trustCeiling"].eqNullSafe(TRUST_CEILING), "locked set": there & ~F.array_sort("__d.lockedProvenFormulaIds").eqNullSafe(F.array(*map(F.lit, LOCKED))),
+            "status without its conjecture": there & ~status.contains("conjecture 1"), "status claims a theorem": there & status.contains("theorem"),
         },
     )

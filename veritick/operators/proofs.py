@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritick.functions.helpers import check_consistency, check_inclusion
+from veritick.operators.ordered import with_previous
 
 
 def audit_inclusion(proofs: DataFrame) -> DataFrame:
@@ -43,10 +44,9 @@ def distinct_sizes(checkpoints: DataFrame) -> DataFrame:
 
 
 def edges(checkpoints: DataFrame) -> DataFrame:
-    """Adjacent sizes per origin, ascending."""
-    w = Window.partitionBy("origin").orderBy("tree_size")
-    step = distinct_sizes(checkpoints).withColumns({"prev_size": F.lag("tree_size").over(w), "prev_root": F.lag("root_hex").over(w)})
-    return step.where("prev_size is not null").select("origin", "prev_size", F.col("tree_size").alias("next_size"), "prev_root", F.col("root_hex").alias("next_root"))
+    """Adjacent sizes per origin, ascending; the history of one log is spread over ranges of its sizes."""
+    step = with_previous(distinct_sizes(checkpoints), "origin", "tree_size", ["tree_size", "root_hex"], "__prev").where("__prev is not null")
+    return step.select("origin", F.col("__prev.tree_size").alias("prev_size"), F.col("tree_size").alias("next_size"), F.col("__prev.root_hex").alias("prev_root"), F.col("root_hex").alias("next_root"))
 
 
 def consistency_targets(checkpoints: DataFrame, covered: DataFrame) -> DataFrame:

@@ -6,64 +6,107 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritick.functions import scalars as S
-from veritick.functions.helpers import canonical_text
+from veritick.functions.helpers import canonical_text, plain_text
 from veritick.operators import features as X
 
 KEEP_EVERY = 7
 PROBES = (0, 10)
+GENERATOR = "veritick sft 1"
 SYSTEM = "You are an advisory research analyst. Label every value, never invent numbers, abstain when evidence is missing, and keep conviction at or below 0.97."
+CAVEATS = (
+    "scores are heuristic transforms of a reported price feed", "the aggregate is advisory; its uniqueness is a conjecture", "conviction is capped at 0.97 and proves nothing", "paper research only, no financial advice",
+)
+NOTE = "history does not reach the look-backs; a value that was not measured is not stated"
+STATUS = "Conjecture 1 (advisory)"
 
 
 def cell_decisions(bars: DataFrame, cells: tuple[X.Params, ...] = X.GRID) -> DataFrame:
-    """Every bar of every cell with evidence, scores and action: (asset, cell_id, bar_idx, t_ms, warmup, n, ...)."""
+    """Every bar of every cell with evidence, scores and action: (asset, cell_id, bar_idx, t_ms, warmup, n, params, ...)."""
     df = X.with_features(bars, cells).withColumn("n", F.count("*").over(Window.partitionBy("asset")))
     options = []
     for i, c in enumerate(cells):
         ret, z, vol = X.of_cell(c)
         fixed = [F.lit(v).alias(k) for k, v in (("cell_id", i), ("warmup", c.warmup), ("lookback", c.momentum), ("z_entry", c.z_entry))]
-        options.append(F.struct(*fixed, ret.alias("ret"), z.alias("z"), vol.alias("vol")))
+        named = (("momentumLookback", c.momentum), ("zWindow", c.z_window), ("zEntry", float(c.z_entry)), ("volWindow", c.vol_window), ("positionFraction", float(c.fraction)))
+        options.append(F.struct(*fixed, F.struct(*[F.lit(v).alias(k) for k, v in named]).alias("params"), ret.alias("ret"), z.alias("z"), vol.alias("vol")))
     rows = df.select("asset", "t_ms", "bar_idx", "n", F.explode(F.array(*options)).alias("c")).select("asset", "t_ms", "bar_idx", "n", "c.*")
     ret, z, vol = F.col("ret"), F.col("z"), F.col("vol")
     rows = X.with_scores(rows, ret, z, vol, F.col("bar_idx"), F.col("lookback"), F.col("z_entry"))
     return rows.withColumn("action", X.action(ret, z, vol, F.col("z_entry"))).drop("lookback", "z_entry")
 
 
-def decisions(bars: DataFrame, cells: tuple[X.Params, ...] = X.GRID, every: int = KEEP_EVERY) -> DataFrame:
-    """Replayed decisions of the warm range, HOLD thinned to every k-th per asset and cell."""
-    rows = cell_decisions(bars, cells).where("bar_idx >= warmup and bar_idx < n - 1 and action <> 'ABSTAIN'")
-    return X.hold_downsample(rows, every, "cell_id").withColumn("derivation", F.lit("deterministic-replay"))
-
+def derived(bars: DataFrame, cells: tuple[X.Params, ...] = X.GRID, every: int = KEEP_EVERY, offsets: tuple[int, ...] = PROBES) -> DataFrame:
+    """Rows to export with their ``derivation``, in one pass over all bars and cells.
 
-def abstain_probes(bars: DataFrame, cells: tuple[X.Params, ...] = X.GRID, offsets: tuple[int, ...] = PROBES) -> DataFrame:
-    """Prefixes shorter than the warm-up that really abstain; a prefix's features are those of its last bar."""
+    Replayed decisions of the warm range, HOLD thinned to every k-th per asset and cell; and prefixes shorter than the
+    warm-up that really abstain (a prefix's features are those of its last bar; one per offset).
+    """
+    rows = cell_decisions(bars, cells)
+    warm = (F.col("bar_idx") >= F.col("warmup")) & (F.col("bar_idx") < F.col("n") - 1) & (F.col("action") != "ABSTAIN")
+    hold = warm & (F.col("action") == "HOLD")
+    rows = rows.withColumn("__nth", F.count(F.when(hold, 1)).over(Window.partitionBy("asset", "cell_id").orderBy("t_ms")))
     last = F.array(*[F.greatest(F.lit(2), F.col("warmup") - 1 - o) - 1 for o in offsets])
-    rows = cell_decisions(bars, cells).withColumn("__at", F.explode(F.array_distinct(last)))
-    return rows.where("bar_idx = __at and action = 'ABSTAIN'").drop("__at").withColumn("derivation", F.lit("deterministic-abstain-drill"))
+    probes = F.transform(F.filter(last, lambda x: (x == F.col("bar_idx")) & (F.col("action") == "ABSTAIN")), lambda x: F.lit("deterministic-abstain-drill"))
+    kinds = F.when(warm & (~hold | (F.col("__nth") % every == 0)), F.array(F.lit("deterministic-replay"))).otherwise(probes)
+    return rows.withColumn("__kinds", kinds).withColumn("derivation", F.explode("__kinds")).drop("__kinds", "__nth")
+
+
+def decisions(bars: DataFrame, cells: tuple[X.Params, ...] = X.GRID, every: int = KEEP_EVERY) -> DataFrame:
+    """The replayed decisions among ``derived``."""
+    return derived(bars, cells, every).where("derivation = 'deterministic-replay'")
 
 
-def messages(rows: DataFrame) -> DataFrame:
-    """(asset, cell_id, bar_idx, messages, provenance): system, user and assistant turns."""
+def abstain_probes(bars: DataFrame, cells: tuple[X.Params, ...] = X.GRID, offsets: tuple[int, ...] = PROBES) -> DataFrame:
+    """The abstentions among ``derived``."""
+    return derived(bars, cells, offsets=offsets).where("derivation = 'deterministic-abstain-drill'")
+
+
+def messages(rows: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(asset, cell_id, bar_idx, action, conviction, messages, provenance): system, user and assistant turns.
+
+    Evidence that is missing is written as null, so that an abstention shows what it lacks.  ``sources`` (asset, receipt,
+    receipt_sha, dataset_sha) goes into the provenance; a row of an asset without a source stops the job, and so does a
+    conviction above the ceiling.
+    """
+    ceiling = F.when(F.col("conviction") > S.TRUST_CEILING, F.raise_error(F.concat(F.lit("conviction above the ceiling: "), F.col("conviction").cast("string"))).cast("double")).otherwise(F.col("conviction"))
+    rows = rows.withColumn("conviction", ceiling)
+    if sources is None:
+        none = F.lit(None).cast("string")
+        rows = rows.withColumns({"receipt": F.concat(F.lit("series/"), F.col("asset")), "receipt_sha": none, "dataset_sha": none})
+    else:
+        rows = rows.join(sources.select("asset", "receipt", "receipt_sha", "dataset_sha"), "asset", "left")
+        rows = rows.withColumn("receipt", F.when(F.col("dataset_sha").isNull() | F.col("receipt_sha").isNull(), F.raise_error(F.concat(F.lit("no source for "), "asset")).cast("string")).otherwise(F.col("receipt")))
     iso = F.date_format(F.timestamp_millis("t_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    user = F.to_json(F.struct(F.lit("advisory-signal-decision").alias("task"), "asset", iso.alias("asOfIso"), F.struct("cell_id").alias("params"), F.struct(F.col("ret").alias("trailingReturn"), F.col("z").alias("zScore"), F.col("vol").alias("annualizedVol"), F.col("bar_idx").alias("nObservations")).alias("evidence")))
-    answer = F.to_json(F.struct("action", F.struct("momentum", "reversion", "sample").alias("components"), "conviction"))
-    turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    chat = F.array(turn("system", F.lit(SYSTEM)), turn("user", user), turn("assistant", answer))
-    source = F.struct("derivation", F.col("bar_idx").alias("barIndex"), F.concat(F.lit("series/"), F.col("asset")).alias("source"))
+    text = lambda *fields: plain_text(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+    evidence = F.struct(F.col("ret").alias("trailingReturn"), F.col("z").alias("zScore"), F.col("vol").alias("annualizedVol"), F.col("bar_idx").alias("nObservations"))
+    user = text(F.lit("advisory-signal-decision").alias("task"), "asset", iso.alias("asOfIso"), "params", evidence.alias("evidence"))
+    caveats = F.array(*map(F.lit, CAVEATS)).alias("caveats")
+    part = lambda c: F.struct(F.col(c).alias("value"), F.lit("HEURISTIC").alias("label")).alias(c)
+    decided = text("action", F.struct(part("momentum"), part("reversion"), part("sample")).alias("components"), "conviction", F.struct(F.lit(STATUS).alias("status"), F.lit(True).alias("advisory")).alias("lambda"), caveats)
+    abstained = text("action", F.lit(NOTE).alias("note"), caveats)
+    turn = lambda role, said: F.struct(F.lit(role).alias("role"), said.alias("content"))
+    chat = F.array(turn("system", F.lit(SYSTEM)), turn("user", user), turn("assistant", F.when(F.col("action") == "ABSTAIN", abstained).otherwise(decided)))
+    source = F.struct("derivation", F.col("receipt").alias("sourceReceipt"), F.col("receipt_sha").alias("receiptSha256"), F.col("dataset_sha").alias("datasetSha256"), F.col("bar_idx").alias("barIndex"), F.lit(GENERATOR).alias("generator"))
     return rows.select("asset", "cell_id", "bar_idx", "action", "conviction", chat.alias("messages"), source.alias("provenance"))
 
 
-def export(bars: DataFrame, cells: tuple[X.Params, ...] = X.GRID) -> DataFrame:
-    return messages(decisions(bars, cells).unionByName(abstain_probes(bars, cells)))
+def export(bars: DataFrame, cells: tuple[X.Params, ...] = X.GRID, sources: DataFrame | None = None) -> DataFrame:
+    return messages(derived(bars, cells), sources)
 
 
 def jsonl(rows: DataFrame) -> DataFrame:
     """Canonical text per row, with its place."""
-    return rows.select("asset", "cell_id", "bar_idx", canonical_text(F.to_json(F.struct("messages", "provenance"))).alias("value"))
+    return rows.select("asset", "cell_id", "bar_idx", canonical_text(F.to_json(F.struct("messages", "provenance"), {"ignoreNullFields": "false"})).alias("value"))
+
 
+def manifest(rows: DataFrame, bars: DataFrame | None = None) -> DataFrame:
+    """Rows per asset and action with their source, and how many exceed the trust ceiling (must be none).
 
-def manifest(rows: DataFrame) -> DataFrame:
-    """Rows per asset and action, and how many exceed the trust ceiling (must be none)."""
+    ``rows`` are those of ``export``, or of ``derived`` where only counts are asked for.  With ``bars``, their number per asset.
+    """
     over = F.count_if(F.col("conviction") > S.TRUST_CEILING)
     names = ("ENTER_LONG", "EXIT_LONG", "HOLD", "ABSTAIN")
     counts: list[Column] = [F.count_if(F.col("action") == a).alias(a.lower()) for a in names]
-    return rows.groupBy("asset").agg(F.count("*").alias("rows"), *counts, over.alias("over_ceiling"))
+    source = [F.max("provenance.sourceReceipt").alias("receipt"), F.max("provenance.receiptSha256").alias("receipt_sha"), F.max("provenance.datasetSha256").alias("dataset_sha")] if "provenance" in rows.columns else []
+    out = rows.groupBy("asset").agg(F.count("*").alias("rows"), *counts, over.alias("over_ceiling"), *source)
+    return out if bars is None else out.join(bars.groupBy("asset").agg(F.count("*").alias("bars")), "asset", "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritick.operators.ordered import exact_median
+from veritick.session import cut
 from veritick.sources.ingest import DAY_MS
 
 HORIZONS = (1, 7)
@@ -16,17 +18,27 @@ def split_verified(receipts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return receipts.where(ok), receipts.where(~ok).withColumn("fails", F.coalesce("fails", F.array(F.lit("verification failed"))))
 
 
-def asof_forward(left: DataFrame, bars: DataFrame, at: str, into: str) -> DataFrame:
+def asof_forward(left: DataFrame, bars: DataFrame, at: str, into: str, bucket_ms: int = 32 * DAY_MS) -> DataFrame:
     """Adds ``into`` = struct(t_ms, close) of the first bar of the asset at or after the time in column ``at``.
 
-    Both sides meet by asset, in one sort by time with bars first on ties, so that the cost is one shuffle and one scan.
+    Both sides meet by asset and stretch of time, in one sort backwards in time (bars first on ties) and one scan that
+    carries the last bar seen.  A row without a bar in its own stretch takes the first bar of the next stretch that has
+    one; those are one per asset and stretch.  So the cost is linear and an asset with very many rows is spread.  A null
+    time or asset finds nothing; bars without a time are not looked at.
     """
-    keep = F.struct(*left.columns)
+    stretch = lambda t: F.floor(t / bucket_ms)
+    keep, bar = F.struct(*left.columns), F.struct(F.col("t_ms").cast("bigint").alias("t_ms"), F.col("close").cast("double").alias("close"))
+    ticks = bars.where("t_ms is not null and asset is not null").select("asset", F.col("t_ms").alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(keep).schema[0].dataType).alias("__row"), bar.alias("__bar"))
     rows = left.select("asset", F.col(at).alias("__t"), F.lit(1).alias("__side"), keep.alias("__row"), F.lit(None).cast("struct<t_ms:bigint,close:double>").alias("__bar"))
-    ticks = bars.select("asset", F.col("t_ms").alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(keep).schema[0].dataType).alias("__row"), F.struct(F.col("t_ms").cast("bigint").alias("t_ms"), F.col("close").cast("double").alias("close")).alias("__bar"))
-    w = Window.partitionBy("asset").orderBy(F.col("__t").asc_nulls_last(), F.col("__side").desc()).rowsBetween(0, Window.unboundedFollowing)
-    met = rows.unionByName(ticks).withColumn("__next", F.first("__bar", ignorenulls=True).over(w)).where("__side = 1")
-    return met.select("__row.*", F.when(F.col("__t").isNotNull(), F.col("__next")).alias(into))
+    ticks, rows = ticks.withColumn("__b", stretch(F.col("__t"))), rows.withColumn("__b", stretch(F.col("__t")))
+    w = Window.partitionBy("asset", "__b").orderBy(F.col("__t").desc_nulls_last(), F.col("__side")).rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.unionByName(ticks).withColumn("__own", F.last("__bar", ignorenulls=True).over(w)).where("__side = 1")
+    firsts = ticks.groupBy("asset", "__b").agg(F.min_by("__bar", "__t").alias("__first"))
+    asked = rows.where("__t is not null").groupBy("asset", "__b").agg(F.lit(None).cast("struct<t_ms:bigint,close:double>").alias("__first"))
+    each = firsts.unionByName(asked).groupBy("asset", "__b").agg(F.max("__first").alias("__first"))
+    later = F.last("__first", ignorenulls=True).over(Window.partitionBy("asset").orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1))
+    found = met.join(each.select("asset", "__b", later.alias("__later")), ["asset", "__b"], "left")
+    return found.select("__row.*", F.when(F.col("__t").isNotNull(), F.coalesce("__own", "__later")).alias(into))
 
 
 def score_signals(signals: DataFrame, bars: DataFrame, now_ms: Column, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
@@ -50,14 +62,18 @@ def score_signals(signals: DataFrame, bars: DataFrame, now_ms: Column, horizons:
 
 
 def track_aggregates(scored: DataFrame, weak_n: int = 10, exact: bool = True) -> DataFrame:
-    """Per horizon: realised, pending and missing outcomes, wins, hit rate, mean and median return."""
+    """Per horizon: realised, pending and missing outcomes, wins, hit rate, mean and median return.
+
+    The exact median sorts the returns by ranges; ``exact=False`` takes a mergeable sketch.
+    """
     ret, done = F.col("forward_return"), F.col("label") == "MEASURED"
-    median = F.percentile(ret, F.lit(0.5)) if exact else F.percentile_approx(ret, 0.5)
     n, wins = F.count_if(done), F.count_if(ret > 0)
-    return scored.groupBy("horizon").agg(
+    scored = cut(scored.select("horizon", "label", "note", "forward_return")) if exact else scored  # read twice
+    out = scored.groupBy("horizon").agg(
         n.alias("n_realized"), F.count_if(F.col("note") == "pending").alias("n_pending"), F.count_if(~done & (F.col("note") != "pending")).alias("n_gaps"), wins.alias("wins"),
-        F.when(n > 0, wins / n).alias("hit_rate"), F.avg(ret).alias("mean_return"), median.alias("median_return"), (n < weak_n).alias("weak_evidence"),
+        F.when(n > 0, wins / n).alias("hit_rate"), F.avg(ret).alias("mean_return"), (n < weak_n).alias("weak_evidence"), *([] if exact else [F.percentile_approx(ret, 0.5).alias("median_return")]),
     )
+    return out.join(exact_median(scored, "horizon", "forward_return").withColumnRenamed("median", "median_return"), "horizon", "left") if exact else out
 
 
 def track_population(decisions: DataFrame) -> DataFrame:

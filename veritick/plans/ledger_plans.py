@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veritick.operators import book as K
@@ -123,10 +124,26 @@ P.add(
     "choose_source", lambda s, d: I.choose_source(sources(s, d))[0].select("asset", "source", "t_ms", "close"),
     f"WITH {proxy.BARS} SELECT asset, source, t_ms, CASE WHEN source = 'A' THEN close ELSE close * 2 END AS close FROM (SELECT *, {SOURCE} AS source FROM (SELECT *, count(*) OVER (PARTITION BY asset) AS n FROM bars)) WHERE source IS NOT NULL",
 )
+
+
+def source_report(s, d):
+    """With the outcomes of the feeds: A has no mapping for one asset in three, B fails for one in seven."""
+    k = F.col("asset").cast("int")
+    every = proxy.bars(s, d).select("asset").distinct()
+    a = every.select("asset", F.lit("A").alias("source"), F.lit(0).alias("priority"), (k % 3 != 0).alias("ok"), F.when(k % 3 == 0, "no mapping").alias("note"))
+    b = every.select("asset", F.lit("B"), F.lit(1), k % 7 != 0, F.when(k % 7 == 0, "timed out"))
+    report = I.choose_source(sources(s, d), outcomes=a.union(b))[1]
+    attempts = F.array_join(F.transform("attempts", lambda x: F.concat_ws(":", x["source"], x["outcome"])), ",")
+    return report.select("asset", "source", "label", attempts.alias("attempts"), "note")
+
+
 P.add(
-    "source_report", lambda s, d: I.choose_source(sources(s, d))[1].select("asset", "source", "label"),
-    f"""WITH {proxy.BARS} SELECT asset, source, CASE WHEN source IS NULL THEN 'UNAVAILABLE' ELSE 'REPORTED' END AS label FROM (SELECT asset, {SOURCE} AS source FROM (SELECT asset, count(*) AS n FROM bars GROUP BY asset))
-    WHERE asset::INT % 3 <> 0 OR asset::INT % 5 <> 0""",
+    "source_report", source_report,
+    f"""WITH {proxy.BARS}, n AS (SELECT asset, asset::INT AS k, count(*) AS n FROM bars GROUP BY asset),
+    why AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'no mapping' WHEN k % 4 = 0 THEN 'valid closes: 0 of at least 2' WHEN n < 2 THEN 'valid closes: ' || n || ' of at least 2' END AS a,
+      CASE WHEN k % 7 = 0 THEN 'timed out' WHEN k % 5 = 0 THEN 'valid closes: 0 of at least 2' WHEN n < 2 THEN 'valid closes: ' || n || ' of at least 2' END AS b FROM n)
+    SELECT asset, CASE WHEN a IS NULL THEN 'A' WHEN b IS NULL THEN 'B' END AS source, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 'UNAVAILABLE' ELSE 'REPORTED' END AS label,
+    CASE WHEN a IS NULL THEN 'A:ok' WHEN b IS NULL THEN 'A:unavailable,B:ok' ELSE 'A:unavailable,B:unavailable' END AS attempts, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 'A: ' || a || ' | B: ' || b END AS note FROM why""",
 )
 
 
@@ -155,7 +172,17 @@ def archive_round_trip(s, d):
 
 ARCHIVE = f"WITH {proxy.BARS} SELECT count(*) AS n, min(t_ms) AS first_ms, max(t_ms) AS last_ms, round(sum(close), 3) AS total FROM bars GROUP BY asset"
 P.add("archive_series", archive_round_trip, ARCHIVE)
-P.add("read_series_archive", archive_round_trip, ARCHIVE)
+
+
+def read_archive_rows(s, d):
+    """Every bar as the archive gives it back."""
+    path = fresh(s, "archive")
+    sinks.archive_series(proxy.bars(s, d), path)
+    bars = I.read_series_archive(sinks.read_archive(s, path).select(F.encode("text", "utf-8").alias("content")))
+    return bars.groupBy("t_ms", "close").agg(F.count("*").alias("n"))
+
+
+P.add("read_series_archive", read_archive_rows, f"WITH {proxy.BARS} SELECT t_ms, close, count(*) AS n FROM bars GROUP BY ALL")
 
 
 def jsonl_round_trip(s, d):
@@ -163,15 +190,21 @@ def jsonl_round_trip(s, d):
 
     path = fresh(s, "sft")
     sinks.write_jsonl(sft.jsonl(sft.export(proxy.bars(s, d))), path)
-    back = s.read.text(path)
     place = lambda p: F.get_json_object("value", p)
-    return back.select(F.substring_index(place("$.provenance.source"), "/", -1).alias("asset"), place("$.provenance.derivation").alias("derivation")).groupBy("asset", "derivation").agg(F.count("*").alias("n"))
+    back = s.read.text(path).select("value", place("$.messages[1].content").alias("user"), place("$.messages[2].content").alias("said"))
+    asset = F.substring_index(place("$.provenance.sourceReceipt"), "/", -1)
+    vol = F.get_json_object("user", "$.evidence.annualizedVol").cast("double")
+    return back.select(
+        asset.alias("asset"), F.get_json_object("user", "$.asset").alias("named"), place("$.provenance.derivation").alias("derivation"), place("$.provenance.barIndex").cast("bigint").alias("bar_idx"),
+        F.get_json_object("user", "$.params.momentumLookback").cast("int").alias("momentum"), F.get_json_object("said", "$.action").alias("action"), r(vol).alias("vol"), F.col("value").contains("volWindow").alias("whole"),
+    ).groupBy("asset", "named", "derivation", "bar_idx", "momentum", "action", "vol", "whole").agg(F.count("*").alias("n"))
 
 
 def _jsonl_sql() -> str:
     from veritick.plans.replay_plans import SCORES
 
-    return f"{SCORES} SELECT asset, derivation, count(*) AS n FROM (SELECT asset, 'deterministic-replay' AS derivation FROM kept UNION ALL SELECT asset, 'deterministic-abstain-drill' FROM probes) GROUP BY ALL"
+    return f"""{SCORES} SELECT asset, asset AS named, derivation, bar_idx, momentum, action, round(vol, 6) AS vol, true AS whole, count(*) AS n
+    FROM (SELECT asset, bar_idx, momentum, action, vol, 'deterministic-replay' AS derivation FROM kept UNION ALL SELECT asset, bar_idx, momentum, action, vol, 'deterministic-abstain-drill' FROM probes) GROUP BY ALL"""
 
 
 P.add("write_sft_jsonl", jsonl_round_trip, _jsonl_sql())
@@ -248,8 +281,8 @@ def names(s, d, k):
 
 
 P.add(
-    "new_observations", lambda s, d: L.new_observations(names(s, d, 2), names(s, d, 6)),
-    "SELECT DISTINCT 'obs_' || (event_id // 2) || '.json' AS name FROM events WHERE event_id % 2 = 0 AND event_id % 6 <> 0",
+    "new_observations", lambda s, d: L.new_observations(names(s, d, 1), names(s, d, 6)),
+    "SELECT DISTINCT 'obs_' || (event_id // 2) || '.json' AS name FROM events WHERE event_id // 2 NOT IN (SELECT event_id // 2 FROM events WHERE event_id % 6 = 0)",
 )
 
 
@@ -261,8 +294,8 @@ def diff(s, d):
 
 P.add(
     "recompute_diff", diff,
-    f"""WITH {proxy.DECISIONS} SELECT file, CASE WHEN pos % 17 = 3 THEN 'SKIP' WHEN pos % 13 = 5 THEN 'FAIL' ELSE 'OK' END AS status,
-    CASE WHEN pos % 17 <> 3 AND pos % 13 = 5 THEN 'verdict' END AS first_difference FROM decisions""",
+    f"""WITH {proxy.DECISIONS} SELECT file, CASE WHEN pos % 17 = 3 OR pos % 13 = 5 THEN 'FAIL' ELSE 'OK' END AS status,
+    CASE WHEN pos % 17 = 3 THEN 'missing' WHEN pos % 13 = 5 THEN 'verdict' END AS first_difference FROM decisions""",
 )
 
 
@@ -282,18 +315,28 @@ P.add(
 
 
 def recompute(s, d):
-    """Signed walk-forward results, some forged, against a recomputation."""
+    """A receipt per archived series; one in eight each forged, tampered with, without its archive, with another path, without any."""
     from veritick.operators import backtest as B
 
-    again = B.walk_forward(proxy.bars(s, d))
-    signed = again.withColumn("n_trades", F.when(F.col("asset").cast("int") % 4 == 1, F.col("n_trades") + 1).otherwise(F.col("n_trades")))
-    return L.recompute_diff(signed, again, ["asset", "cell_id", "window_name"], ["final_equity", "total_return", "max_drawdown", "n_trades", "n_round_trips", "win_rate", "open_at_end"])
+    bars = proxy.bars(s, d)
+    again = B.walk_forward(bars)
+    k = F.col("asset").cast("int") % 8
+    texts = sinks.series_texts(bars)
+    path = F.concat(F.lit("data/datasets/"), "sha256", F.lit(".json"))
+    receipts = texts.join(bars.groupBy("asset").agg(F.count("*").cast("int").alias("n")), "asset").select(
+        F.concat(F.lit("backtest_"), "asset").alias("path"), "asset", F.when(k == 4, F.concat(F.lit("../"), path)).when(k != 5, path).alias("archive_path"), F.col("sha256").alias("dataset_sha"),
+        F.when(k == 6, F.col("n") + 1).otherwise(F.col("n")).alias("dataset_n"), F.lit(5).alias("n_cells"), F.lit(0.7).alias("share"), F.lit(10_000.0).alias("start_usd"), F.lit(30.0).alias("fee_bps"), F.when(k != 7, 20.0).alias("slippage_bps"),
+    )
+    archive = texts.where(k != 3).select(path.alias("path"), F.when(k == 2, F.concat("text", F.lit(" "))).otherwise(F.col("text")).alias("content"))
+    signed = again.withColumn("n_trades", F.when(k == 1, F.col("n_trades") + 1).otherwise(F.col("n_trades"))).withColumn("path", F.concat(F.lit("backtest_"), "asset"))
+    return L.audit_recompute(receipts, archive, signed, again)
 
 
 P.add(
     "audit_recompute", recompute,
-    f"""WITH {proxy.BARS} SELECT asset, cell_id::INT AS cell_id, window_name, CASE WHEN asset::INT % 4 = 1 THEN 'FAIL' ELSE 'OK' END AS status, CASE WHEN asset::INT % 4 = 1 THEN 'n_trades' END AS first_difference
-    FROM (SELECT DISTINCT asset FROM bars), (SELECT unnest(range(5)) AS cell_id), (SELECT unnest(['in', 'out']) AS window_name)""",
+    f"""WITH {proxy.BARS} SELECT 'backtest_' || asset AS path, CASE WHEN k = 5 THEN 'SKIP' WHEN why IS NULL THEN 'OK' ELSE 'FAIL' END AS status, CASE WHEN k = 5 THEN 'no archive declared' ELSE why END AS reason
+    FROM (SELECT *, CASE WHEN k = 1 AND n < 2 THEN 'archive rows invalid' WHEN k = 1 THEN 'recomputed result differs: n_trades' WHEN k = 2 THEN 'archive bytes differ' WHEN k = 3 THEN 'archive missing' WHEN k = 4 THEN 'archive path is not the canonical one'
+      WHEN n < 2 THEN 'archive rows invalid' WHEN k = 6 THEN 'row count differs' WHEN k = 7 THEN 'no costs' END AS why FROM (SELECT asset, asset::INT % 8 AS k, count(*) AS n FROM bars GROUP BY asset))""",
 )
 
 
@@ -302,17 +345,27 @@ def receipts_to_audit(s, d):
 
     x = proxy.decisions(s, d)
     gates = F.transform("blocked_by", lambda g: F.struct(g.alias("gate"), F.lit("BLOCKED").alias("verdict"), F.lit("over").alias("reason")))
-    x = x.select("file", "pos", F.to_json(F.struct("verdict", F.when(F.col("pos") % 31 == 0, 0.99).otherwise(0.5).alias("conviction"), F.when(F.col("pos") % 37 != 0, gates).alias("gates"))).alias("payload"))
+    mode = F.struct(F.when(F.col("pos") % 59 == 0, "LIVE").otherwise(L.POSTURE).alias("mode"), (F.col("pos") % 61 == 0).alias("provenTrust"))
+    ids = F.array(*map(F.lit, reversed(L.LOCKED)))
+    locked = F.when(F.col("pos") % 67 == 0, F.slice(ids, 1, 7)).otherwise(ids)
+    said = F.when(F.col("pos") % 71 == 0, "a theorem, once Conjecture 1").when(F.col("pos") % 73 == 0, "open").otherwise("Conjecture 1, advisory")
+    block = F.to_json(F.struct(mode.alias("posture"), F.when(F.col("pos") % 79 == 0, 0.98).otherwise(0.97).alias("trustCeiling"), locked.alias("lockedProvenFormulaIds"), said.alias("lambdaStatus")))
+    x = x.withColumn("doctrine", F.when(F.col("pos") % 83 != 0, block))
+    gates = F.when(F.col("pos") % 41 == 2, F.concat(gates, F.array(F.struct(F.lit("late").alias("gate"), F.lit("BLOCKED").alias("verdict"), F.lit("").alias("reason"))))).otherwise(gates)
+    x = x.select("file", "pos", "doctrine", F.to_json(F.struct("verdict", F.when(F.col("pos") % 31 == 0, 0.99).otherwise(0.5).alias("conviction"), F.when(F.col("pos") % 37 != 0, gates).alias("gates"))).alias("payload"))
     return x.select(
         F.col("file").alias("path"), F.lit("application/vnd.in-toto+json").alias("payload_type"), F.lit("k1").alias("key_id"), F.when(F.col("pos") % 43 == 0, "k2").otherwise("k1").alias("pinned_key_id"),
-        (F.col("pos") % 47 != 0).alias("sig_ok"), F.lit("https://in-toto.io/Statement/v1").alias("statement_type"), "payload", F.when(F.col("pos") % 53 == 0, "00").otherwise(canonical_digest("payload")).alias("subject_sha"),
+        (F.col("pos") % 47 != 0).alias("sig_ok"), F.lit("https://in-toto.io/Statement/v1").alias("statement_type"), "payload", "doctrine", F.when(F.col("pos") % 53 == 0, "00").otherwise(canonical_digest("payload")).alias("subject_sha"),
     )
 
 
 P.add(
     "audit_receipts", lambda s, d: L.audit_receipts(receipts_to_audit(s, d)),
     f"""WITH {proxy.DECISIONS} SELECT file AS path, unnest(list_filter([CASE WHEN pos % 47 = 0 THEN 'signature invalid' END, CASE WHEN pos % 43 = 0 THEN 'key not pinned' END,
-    CASE WHEN pos % 31 = 0 THEN 'trust above ceiling' END, CASE WHEN pos % 53 = 0 THEN 'subject digest' END, CASE WHEN pos % 37 = 0 AND verdict = 'BLOCKED' THEN 'blocked without a reason' END], lambda x: x IS NOT NULL)) AS problem FROM decisions""",
+    CASE WHEN pos % 31 = 0 THEN 'trust above ceiling' END, CASE WHEN pos % 53 = 0 THEN 'subject digest' END, CASE WHEN pos % 37 = 0 AND verdict = 'BLOCKED' THEN 'blocked without a gate' END,
+    CASE WHEN pos % 41 = 2 AND pos % 37 <> 0 AND verdict = 'BLOCKED' THEN 'blocking gate without a reason' END, CASE WHEN pos % 83 = 0 THEN 'no doctrine' END, CASE WHEN pos % 83 <> 0 AND pos % 59 = 0 THEN 'posture' END,
+    CASE WHEN pos % 83 <> 0 AND pos % 61 = 0 THEN 'trust not locked' END, CASE WHEN pos % 83 <> 0 AND pos % 79 = 0 THEN 'ceiling' END, CASE WHEN pos % 83 <> 0 AND pos % 67 = 0 THEN 'locked set' END,
+    CASE WHEN pos % 83 <> 0 AND pos % 73 = 0 AND pos % 71 <> 0 THEN 'status without its conjecture' END, CASE WHEN pos % 83 <> 0 AND pos % 71 = 0 THEN 'status claims a theorem' END], lambda x: x IS NOT NULL)) AS problem FROM decisions""",
 )
 
 # -- checkpoints --------------------------------------------------------------------------------------------------------
@@ -338,12 +391,11 @@ P.add("edge_coverage", lambda s, d: O.edge_coverage(proxy.checkpoints(s, d), pro
 
 def observed(s, d):
     """An observation per adjacent pair of documents of one source: the engine saw the first, the observer the second."""
-    from pyspark.sql import Window
+    from veritick.operators.ordered import with_previous
 
-    w = Window.partitionBy("origin").orderBy("pos")
-    x = proxy.checkpoints(s, d)
+    x = with_previous(proxy.checkpoints(s, d), "origin", "pos", ["tree_size", "root_hex"], "after", ahead=True)
     pair = lambda o, z, h: F.struct(o.alias("origin"), z.alias("tree_size"), h.alias("root_hex"))
-    x = x.select("pos", "origin", pair(F.col("origin"), F.col("tree_size"), F.col("root_hex")).alias("engine"), pair(F.when(F.col("pos") % 5 == 0, F.lit("other")).otherwise(F.col("origin")), F.lead("tree_size").over(w), F.lead("root_hex").over(w)).alias("live"))
+    x = x.select("pos", "origin", pair(F.col("origin"), F.col("tree_size"), F.col("root_hex")).alias("engine"), pair(F.when(F.col("pos") % 5 == 0, F.lit("other")).otherwise(F.col("origin")), F.col("after.tree_size"), F.col("after.root_hex")).alias("live"))
     x = x.where("live.tree_size is not null")
     stated = F.when(F.col("pos") % 7 == 0, "PREFIX_OK").when(F.col("live.origin") != F.col("engine.origin"), "SHARD_ROTATED").when(F.col("live.tree_size") < F.col("engine.tree_size"), "LOG_REGRESSED").otherwise("SPLIT_VIEW")
     return x.select(F.col("origin").alias("ledger"), "pos", "engine", "live", F.array().cast("array<string>").alias("proof"), stated.alias("verdict"), F.lit(True).alias("chain_binding_verified"), F.concat(F.lit("obs_"), F.lpad(F.col("pos").cast("string"), 9, "0")).alias("file"), F.col("pos").alias("observed_at"))
@@ -356,9 +408,9 @@ judged AS (SELECT *, CASE WHEN pos % 7 = 0 THEN 'PREFIX_OK' WHEN pos % 5 = 0 THE
 P.add("gossip_verdict", lambda s, d: O.gossip_verdict(observed(s, d)).select("pos", "verdict", "expected", "agrees"), f"WITH {OBS} SELECT pos, verdict, expected, verdict = expected AS agrees FROM judged")
 P.add("verdict_census", lambda s, d: O.verdict_census(observed(s, d)), f"WITH {OBS} SELECT verdict, count(*) AS n, 'obs_' || lpad(max(pos)::VARCHAR, 9, '0') AS newest FROM judged GROUP BY verdict")
 P.add(
-    "union_checkpoints", lambda s, d: O.union_checkpoints(proxy.checkpoints(s, d), observed(s, d)).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("origin", "tree_size").alias("sizes")),
-    f"""WITH {OBS}, every AS (SELECT source, origin, tree_size FROM checkpoints UNION ALL SELECT 'observer-engine', origin, e_size FROM obs
-    UNION ALL SELECT 'gossip-observation', CASE WHEN pos % 5 = 0 THEN 'other' ELSE origin END, l_size FROM obs) SELECT source, count(*) AS n, count(DISTINCT (origin, tree_size)) AS sizes FROM every GROUP BY source""",
+    "union_checkpoints", lambda s, d: O.union_checkpoints(proxy.checkpoints(s, d), observed(s, d)).select("origin", "tree_size", "root_hex", "source", F.col("pos.set").alias("part"), F.col("pos.pos").alias("pos")),
+    f"""WITH {OBS} SELECT origin, tree_size, root_hex, source, 0 AS part, pos FROM checkpoints UNION ALL SELECT origin, e_size, e_root, 'observer-engine', 1, pos FROM obs
+    UNION ALL SELECT CASE WHEN pos % 5 = 0 THEN 'other' ELSE origin END, l_size, l_root, 'gossip-observation', 2, pos FROM obs""",
 )
 P.add(
     "divergence_report", lambda s, d: O.divergence_report(observed(s, d), proxy.checkpoints(s, d).withColumn("ledger", F.col("origin"))).select("ledger", "observations", "alarms", "status"),
@@ -411,25 +463,31 @@ P.add(
 
 
 def small_trees(s, d):
-    """Every turn of a conversation as a leaf of its own tree of two: (leaf, sibling) with the right root, or a wrong one."""
+    """Every turn of a conversation as a leaf of its own tree of three, at place turn % 3; one root in four is wrong."""
     from veritick.functions import scalars as S
 
     t = table(s, d, "conversations").where("text is not null and conv_id is not null and turn is not null").select("conv_id", "turn", S.leaf_hash(F.encode("text", "utf-8")).alias("leaf_hash"))
-    sibling = F.sha2(F.col("turn").cast("string"), 256)
-    root = F.when(F.col("turn") % 4 == 3, sibling).otherwise(S.node_hash("leaf_hash", sibling))
-    return t.select("conv_id", "turn", F.lit(0).cast("bigint").alias("leaf_index"), F.lit(2).cast("bigint").alias("tree_size"), "leaf_hash", F.array(sibling).alias("path"), root.alias("root_hex"))
+    one, two, at = F.sha2(F.col("turn").cast("string"), 256), F.sha2(F.col("conv_id").cast("string"), 256), F.col("turn") % 3
+    first, second, third = (F.when(at == k, F.col("leaf_hash")).otherwise(x) for k, x in ((0, one), (1, F.when(at == 0, one).otherwise(two)), (2, two)))
+    t = t.select("conv_id", "turn", at.cast("bigint").alias("leaf_index"), "leaf_hash", first.alias("l0"), second.alias("l1"), third.alias("l2"))
+    t = t.withColumn("pair", S.node_hash("l0", "l1"))
+    path = F.when(F.col("leaf_index") == 0, F.array("l1", "l2")).when(F.col("leaf_index") == 1, F.array("l0", "l2")).otherwise(F.array("pair"))
+    root = F.when(F.col("turn") % 4 == 3, F.col("l2")).otherwise(S.node_hash("pair", "l2"))
+    return t.select("conv_id", "turn", "leaf_index", F.lit(3).cast("bigint").alias("tree_size"), "leaf_hash", path.alias("path"), root.alias("root_hex"), "pair", "l2")
 
 
 TURN = "FROM conversations WHERE text IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL"
-P.add("audit_inclusion", lambda s, d: O.audit_inclusion(small_trees(s, d)).select("conv_id", "turn", "problem"), f"SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'path does not land on the root' END AS problem {TURN}")
+P.add("audit_inclusion", lambda s, d: O.audit_inclusion(small_trees(s, d)).select("conv_id", "turn", "problem"), f"SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'root' END AS problem {TURN}")
 
 
 def small_proofs(s, d):
+    """The tree of the first two leaves as a prefix of that of all three; one old root in five is wrong."""
     x = small_trees(s, d)
-    return O.audit_consistency(x.select("conv_id", "turn", F.lit(1).cast("bigint").alias("first_size"), F.lit(2).cast("bigint").alias("second_size"), F.col("leaf_hash").alias("first_root"), F.col("root_hex").alias("second_root"), F.col("path").alias("proof")))
+    old = F.when(F.col("turn") % 5 == 4, F.col("l2")).otherwise(F.col("pair"))
+    return O.audit_consistency(x.select("conv_id", "turn", F.lit(2).cast("bigint").alias("first_size"), F.lit(3).cast("bigint").alias("second_size"), old.alias("first_root"), F.col("root_hex").alias("second_root"), F.array("l2").alias("proof")))
 
 
-P.add("audit_consistency", lambda s, d: small_proofs(s, d).select("conv_id", "turn", "problem"), f"SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'new root differs' END AS problem {TURN}")
+P.add("audit_consistency", lambda s, d: small_proofs(s, d).select("conv_id", "turn", "problem"), f"SELECT conv_id, turn, CASE WHEN turn % 4 = 3 OR turn % 5 = 4 THEN 'new-root' END AS problem {TURN}")
 
 
 def witnessed(s, d):
@@ -452,20 +510,85 @@ BOOK = ("book_id", "run_dir", "seq", "symbol", "event", "why", "micro", "qty_e9"
 
 
 def book_rows(s, d):
-    return proxy.decisions(s, d).where("price_usd is null or price_usd > 0.01").withColumn("book_id", F.col("asset"))
-
-
-P.add("book_replay", lambda s, d: K.book_replay(book_rows(s, d)).select(*BOOK))
+    """A book per five users; prices as they are, those below the money quantum too."""
+    return proxy.decisions(s, d).withColumn("book_id", F.concat(F.lit("B"), F.floor(F.substring("symbol", 2, 18).cast("bigint") / 5)))
+
+
+def _micro(x: str) -> str:
+    return f"(round(({x})::VARCHAR::DECIMAL(38, 15), 6) * 1000000)::HUGEINT"
+
+
+BOOKS = f"""{proxy.DECISIONS}, rows AS (SELECT *, 'B' || (substr(symbol, 2)::BIGINT // 5) AS book_id FROM decisions),
+prices AS (SELECT book_id, run_dir, map_from_entries(list((symbol, price))) AS price FROM (SELECT book_id, run_dir, symbol, arg_max(price_usd, pos) AS price FROM rows WHERE price_usd > 0 GROUP BY ALL) GROUP BY ALL),
+steps AS (SELECT r.*, coalesce(p.price, MAP {{}}) AS price, dense_rank() OVER (PARTITION BY r.book_id ORDER BY r.run_dir) AS seq, row_number() OVER (PARTITION BY r.book_id ORDER BY r.run_dir, symbol, pos) AS k
+  FROM rows r LEFT JOIN prices p ON p.book_id = r.book_id AND p.run_dir = r.run_dir),
+fold AS (
+  SELECT DISTINCT book_id, 0::BIGINT AS k, 10000000000::HUGEINT AS cash, []::STRUCT(s VARCHAR, q HUGEINT)[] AS held, ''::VARCHAR AS symbol, ''::VARCHAR AS event, ''::VARCHAR AS why, 0::HUGEINT AS micro, 0::HUGEINT AS qty FROM rows
+  UNION ALL
+  SELECT book_id, k, CASE event WHEN 'BUY' THEN cash - want WHEN 'SELL' THEN cash + got ELSE cash END,
+    CASE event WHEN 'BUY' THEN CASE WHEN bought > 0 THEN list_append(held, {{'s': symbol, 'q': bought}}) ELSE held END WHEN 'SELL' THEN list_filter(held, lambda h: h.s <> symbol) ELSE held END,
+    symbol, event, why, CASE WHEN event IN ('BUY', 'SKIPPED_INSUFFICIENT_CASH') THEN want WHEN event = 'SELL' THEN got ELSE 0 END, CASE event WHEN 'BUY' THEN bought WHEN 'SELL' THEN own ELSE 0 END
+  FROM (SELECT *, CASE WHEN why = 'entry' THEN 'BUY' WHEN why = 'exit' THEN 'SELL' WHEN why = 'insufficient cash' THEN 'SKIPPED_INSUFFICIENT_CASH' ELSE 'NONE' END AS event,
+      CASE WHEN why = 'entry' THEN want * 1000000000 // dear END AS bought, own * cheap // 1000000000 AS got FROM (
+    SELECT *, CASE WHEN verdict <> 'ALLOWED' THEN 'blocked' WHEN action = 'ENTER_LONG' AND own > 0 THEN 'already long' WHEN action = 'ENTER_LONG' AND NOT priced THEN 'no price' WHEN action = 'ENTER_LONG' AND now IS NULL THEN 'open position unpriced'
+      WHEN action = 'ENTER_LONG' AND NOT (want > 0 AND want <= cash) THEN 'insufficient cash' WHEN action = 'ENTER_LONG' AND dear <= 0 THEN 'price below quantum' WHEN action = 'ENTER_LONG' THEN 'entry'
+      WHEN action = 'EXIT_LONG' AND own = 0 THEN 'no position' WHEN action = 'EXIT_LONG' AND NOT priced THEN 'no price' WHEN action = 'EXIT_LONG' THEN 'exit' ELSE 'no book action' END AS why FROM (
+      SELECT *, now * 1000 // 10000 AS want FROM (
+        SELECT t.book_id, t.k, t.symbol, t.action, t.verdict, f.cash, f.held, coalesce(t.price_usd > 0, false) AS priced, coalesce(list_sum(list_transform(list_filter(f.held, lambda h: h.s = t.symbol), lambda h: h.q)), 0)::HUGEINT AS own,
+          {_micro("t.price_usd * 1.005")} AS dear, {_micro("t.price_usd * 0.995")} AS cheap,
+          CASE WHEN len(list_filter(f.held, lambda h: t.price[h.s] IS NULL)) = 0 THEN f.cash + coalesce(list_sum(list_transform(f.held, lambda h: h.q * {_micro("t.price[h.s]")} // 1000000000)), 0)::HUGEINT END AS now
+        FROM fold f JOIN steps t ON t.book_id = f.book_id AND t.k = f.k + 1))))),
+ends AS (SELECT s.book_id, s.seq, arg_max(f.cash, s.k) AS cash, arg_max(f.held, s.k) AS held, any_value(s.price) AS price FROM fold f JOIN steps s ON s.book_id = f.book_id AND s.k = f.k GROUP BY ALL),
+marks AS (SELECT *, CASE WHEN len(list_filter(held, lambda h: price[h.s] IS NULL)) = 0 THEN cash + coalesce(list_sum(list_transform(held, lambda h: h.q * {_micro("price[h.s]")} // 1000000000)), 0)::HUGEINT END AS mark FROM ends)"""
+REPLAYED = f"""WITH RECURSIVE {BOOKS} SELECT s.book_id, s.run_dir, s.seq::INT AS seq, s.symbol, f.event, f.why, f.micro::BIGINT AS micro, f.qty::VARCHAR AS qty_e9, m.cash::VARCHAR AS cash_micro, m.mark::VARCHAR AS equity_micro
+FROM steps s JOIN fold f ON f.book_id = s.book_id AND f.k = s.k JOIN marks m ON m.book_id = s.book_id AND m.seq = s.seq"""
+P.add("book_replay", lambda s, d: K.book_replay(book_rows(s, d)).select(*BOOK), REPLAYED)
 
 
 def audited(s, d):
+    """Signed links with every tenth run's cash or events forged: the link and, for cash, the one after it fail."""
     rows = book_rows(s, d)
     links = K.book_links(K.book_replay(rows))
-    forged = links.withColumn("cash_micro", F.when(F.col("seq") % 10 == 7, "1").otherwise(F.col("cash_micro")))
-    return K.audit_book(forged, rows)
+    forged = links.withColumn("cash_micro", F.when(F.col("seq") % 10 == 7, F.concat("cash_micro", F.lit("0"))).otherwise(F.col("cash_micro")))
+    return K.audit_book(forged.withColumn("events", F.when(F.col("seq") % 10 == 3, "[]").otherwise(F.col("events"))), rows).where("seq % 10 <> 8")
+
+
+P.add(
+    "audit_book", audited,
+    """WITH rows AS (SELECT DISTINCT 'B' || (user_id // 5) AS book_id, strftime(ts, '%Y-%m-%d') AS run_dir FROM events)
+    SELECT * FROM (SELECT book_id, seq::INT AS seq, run_dir, seq % 10 NOT IN (3, 7) AS ok, CASE seq % 10 WHEN 7 THEN 'cash' WHEN 3 THEN 'events' END AS difference
+    FROM (SELECT *, dense_rank() OVER (PARTITION BY book_id ORDER BY run_dir) AS seq FROM rows)) WHERE seq % 10 <> 8""",
+)
+
+
+def chained(s, d):
+    """Book links over the days of events: every run has a book but those of days 5, 15 and 25; some links lie."""
+    rows = book_rows(s, d).select("book_id", "run_dir", "file")
+    dirs = rows.select("book_id", "run_dir").distinct()
+    kept = dirs.where(F.substring("run_dir", -1, 1) != "5")
+    w = Window.partitionBy("book_id").orderBy("run_dir")
+    sha, name = F.sha2(F.concat("book_id", "run_dir"), 256), F.concat(F.lit("book_"), "seq", F.lit(".receipt.json"))
+    x = kept.withColumn("seq", F.row_number().over(w).cast("bigint")).select("book_id", "run_dir", "seq", name.alias("file"), sha.alias("sha256"))
+    w = Window.partitionBy("book_id").orderBy("seq")
+    before = F.struct(F.lag("run_dir").over(w).alias("run_dir"), F.lag("file").over(w).alias("file"), F.when(F.col("seq") % 7 == 0, "forged").otherwise(F.lag("sha256").over(w)).alias("sha256"))
+    x = x.withColumns({"prev": F.when(F.col("seq") > 1, before), "from": F.coalesce(F.lag("run_dir").over(w), F.lit(""))})
+    gaps = dirs.join(kept, ["book_id", "run_dir"], "left_anti").groupBy("book_id").agg(F.array_sort(F.collect_list("run_dir")).alias("gaps"))
+    files = rows.groupBy("book_id", "run_dir").agg(F.array_sort(F.collect_list("file")).alias("signal_files"))
+    config = F.when(F.col("seq") % 11 == 0, '{"costModel":{"feeBps":30,"slippageBps":20},"entryFractionBps":999,"startingCashUsd":10000}').otherwise('{"startingCashUsd":10000,"entryFractionBps":1000,"costModel":{"slippageBps":20,"feeBps":30}}')
+    x = x.join(gaps, "book_id", "left").join(files, ["book_id", "run_dir"])
+    skipped = F.filter(F.coalesce("gaps", F.array().cast("array<string>")), lambda g: (g > F.col("from")) & (g < F.col("run_dir")))
+    x = x.select("book_id", "seq", "run_dir", "file", "sha256", "run_dir", "prev", config.alias("config"), F.when(F.col("seq") % 5 == 0, F.array(F.lit("none"))).otherwise(skipped).alias("skipped"), F.when(F.col("seq") % 3 == 0, F.slice("signal_files", 2, 1 << 30)).otherwise(F.col("signal_files")).alias("signal_files"))
+    x = x.toDF("book_id", "seq", "run_dir", "file", "sha256", "stated_dir", "prev", "config", "skipped", "signal_files")
+    return K.audit_book_chain(x, dirs, rows)
 
 
-P.add("audit_book", audited)
+P.add(
+    "audit_book_chain", chained,
+    """WITH rows AS (SELECT DISTINCT 'B' || (user_id // 5) AS book_id, strftime(ts, '%Y-%m-%d') AS run_dir FROM events),
+    books AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY run_dir) AS seq, count(*) OVER (PARTITION BY book_id) AS n FROM rows WHERE right(run_dir, 1) <> '5')
+    SELECT book_id, seq, unnest(list_filter([CASE WHEN seq > 1 AND seq % 7 = 0 THEN 'previous pointer differs' END, CASE WHEN seq > 1 AND (seq % 11 = 0 OR seq % 11 = 1) THEN 'config drifted' END,
+    CASE WHEN seq % 5 = 0 THEN 'gaps differ from the ledger' END, CASE WHEN seq % 3 = 0 THEN 'inputs differ from the ledger' END], lambda x: x IS NOT NULL)) AS problem FROM books""",
+)
 
 
 def marked(s, d):
@@ -544,15 +667,18 @@ P.add(
 
 
 def stream_book(s, d):
-    """The rows of ``book_replay`` from a stream: one available batch per book."""
-    path = fresh(s, "decisions")
-    book_rows(s, d).select("book_id", "run_dir", "pos", "symbol", "action", "verdict", "price_usd").write.parquet(path)
-    out = fresh(s, "book")
-    feed = s.readStream.schema("book_id string, run_dir string, pos bigint, symbol string, action string, verdict string, price_usd double").parquet(path)
-    q = jobs.paper_book(feed).writeStream.format("parquet").option("path", f"{out}/out").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    """The rows of ``book_replay`` from a stream that is stopped half-way in time and taken up again from its checkpoint."""
+    path, out = fresh(s, "decisions"), fresh(s, "book")
+    rows = book_rows(s, d).select("book_id", "run_dir", "pos", "symbol", "action", "verdict", "price_usd")
+    span = table(s, d, "events").agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("a"), F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("z"))
+    middle = span.select(F.date_format(F.timestamp_seconds((F.col("a") + F.col("z")) / 2), "yyyy-MM-dd")).first()[0] or ""
+    for early in (True, False):
+        rows.where((F.col("run_dir") < middle) == F.lit(early)).write.mode("append").parquet(path)
+        feed = s.readStream.schema("book_id string, run_dir string, pos bigint, symbol string, action string, verdict string, price_usd double").parquet(path)
+        q = jobs.paper_book(feed).writeStream.format("parquet").option("path", f"{out}/out").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
     return s.read.parquet(f"{out}/out").select(*BOOK)
 
 
-P.add("stream_book", stream_book)
+P.add("stream_book", stream_book, REPLAYED)
 QUERIES, ORACLE_SQL = P.queries, P.sql

@@ -110,12 +110,12 @@ NOW = 915_148_800_000
 
 
 def signals(s, d):
-    rows = proxy.snapshots(s, d).where("pos % 5 = 0")
+    rows = proxy.snapshots(s, d)
     return rows.select(F.col("pos").alias("file"), F.when(F.col("pos") % 9 == 0, F.concat(F.lit("x"), "asset")).otherwise(F.col("asset")).alias("asset"), F.when(F.col("pos") % 7 != 0, F.col("observed_at_ms") + 3_600_000).alias("signal_ms"))
 
 
 SIGNALS = f"""{proxy.BARS}, {proxy.SNAPSHOTS},
-signals AS (SELECT pos AS file, CASE WHEN pos % 9 = 0 THEN 'x' || asset ELSE asset END AS asset, CASE WHEN pos % 7 <> 0 THEN observed_at_ms + 3600000 END AS signal_ms FROM snapshots WHERE pos % 5 = 0)"""
+signals AS (SELECT pos AS file, CASE WHEN pos % 9 = 0 THEN 'x' || asset ELSE asset END AS asset, CASE WHEN pos % 7 <> 0 THEN observed_at_ms + 3600000 END AS signal_ms FROM snapshots)"""
 SCORED = f"""WITH {SIGNALS},
 due AS (SELECT *, signal_ms + horizon * 86400000 AS due_ms FROM signals, (SELECT unnest([1, 7]) AS horizon)),
 based AS (SELECT d.*, b.t_ms AS b_ms, b.close AS b_close FROM due d ASOF LEFT JOIN bars b ON d.asset = b.asset AND d.signal_ms <= b.t_ms),
@@ -207,15 +207,49 @@ probes AS (SELECT DISTINCT f.* FROM facts f, (SELECT unnest([0, 10]) AS o) WHERE
 ROW = ("asset", "cell_id", "bar_idx", "action")
 P.add("sft_decisions", lambda s, d: sft.decisions(proxy.bars(s, d)).select(*ROW, r("conviction").alias("conviction")), f"{SCORES} SELECT asset, cell_id, bar_idx, action, round(conviction, 6) AS conviction FROM kept")
 P.add("sft_abstain_probes", lambda s, d: sft.abstain_probes(proxy.bars(s, d)).select(*ROW), f"{SCORES} SELECT asset, cell_id, bar_idx, action FROM probes")
+def sft_sources(s, d):
+    """Per asset the hash of its archived series, and a stand-in for the receipt that pins it."""
+    from veritick.sources import sinks
+
+    texts = sinks.series_texts(proxy.bars(s, d))
+    receipt = F.concat(F.lit("receipts/backtest_"), "asset", F.lit(".receipt.json"))
+    return texts.select("asset", receipt.alias("receipt"), F.sha2(F.concat(F.lit("receipt of "), "asset"), 256).alias("receipt_sha"), F.col("sha256").alias("dataset_sha"))
+
+
+def sft_messages(s, d):
+    """The exported rows, their texts read back field by field."""
+    x = sft.export(proxy.bars(s, d), sources=sft_sources(s, d))
+    user, said = (F.element_at("messages", k)["content"] for k in (2, 3))
+    number = lambda t, path: F.get_json_object(t, path).cast("double")
+    return x.select(
+        *ROW, F.size("messages").alias("n_messages"), F.get_json_object(user, "$.asOfIso").alias("as_of"), number(user, "$.params.momentumLookback").cast("int").alias("momentum"), number(user, "$.params.zWindow").cast("int").alias("z_window"),
+        number(user, "$.params.zEntry").alias("z_entry"), number(user, "$.params.volWindow").cast("int").alias("vol_window"), number(user, "$.params.positionFraction").alias("fraction"),
+        r(number(user, "$.evidence.trailingReturn")).alias("ret"), r(number(user, "$.evidence.zScore")).alias("z"), r(number(user, "$.evidence.annualizedVol")).alias("vol"), number(user, "$.evidence.nObservations").cast("bigint").alias("n_obs"),
+        user.contains('"trailingReturn":') .alias("names_all"), F.get_json_object(said, "$.action").alias("said"), r(number(said, "$.conviction")).alias("conviction"), r(number(said, "$.components.reversion.value")).alias("reversion"),
+        F.get_json_object(said, "$.lambda.advisory").alias("advisory"), F.get_json_object(said, "$.note").isNotNull().alias("has_note"), F.size(F.from_json(F.get_json_object(said, "$.caveats"), "array<string>")).alias("caveats"),
+        F.col("provenance.derivation").alias("derivation"), F.col("provenance.sourceReceipt").alias("receipt"), F.col("provenance.receiptSha256").alias("receipt_sha"), F.length("provenance.datasetSha256").alias("sha_length"), F.col("provenance.barIndex").cast("bigint").alias("at"),
+    )
+
+
+GRID_SQL = "(VALUES " + ", ".join(f"({i}, {c.momentum}, {c.z_window}, {float(c.z_entry)}::DOUBLE, {c.vol_window}, {c.fraction}::DOUBLE)" for i, c in enumerate(X.GRID)) + ") g(g_cell, g_momentum, g_zw, g_entry, g_vw, g_fraction)"
 P.add(
-    "sft_messages",
-    lambda s, d: sft.export(proxy.bars(s, d)).select(*ROW, F.size("messages").alias("n_messages"), F.get_json_object(F.element_at("messages", 3)["content"], "$.action").alias("said"), F.col("provenance.derivation").alias("derivation")),
-    f"""{SCORES} SELECT asset, cell_id, bar_idx, action, 3 AS n_messages, action AS said, 'deterministic-replay' AS derivation FROM kept
-    UNION ALL SELECT asset, cell_id, bar_idx, action, 3, action, 'deterministic-abstain-drill' FROM probes""",
+    "sft_messages", sft_messages,
+    f"""{SCORES} SELECT asset, cell_id, bar_idx, action, 3 AS n_messages, strftime(make_timestamp(t_ms * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad((t_ms % 1000)::VARCHAR, 3, '0') || 'Z' AS as_of, g_momentum AS momentum, g_zw AS z_window,
+    g_entry AS z_entry, g_vw AS vol_window, g_fraction AS fraction, round(ret, 6) AS ret, round(z, 6) AS z, round(vol, 6) AS vol, bar_idx AS n_obs, true AS names_all, action AS said,
+    CASE WHEN action <> 'ABSTAIN' THEN round(conviction, 6) END AS conviction, CASE WHEN action <> 'ABSTAIN' THEN round(1 / (1 + exp(z / g_entry)), 6) END AS reversion, CASE WHEN action <> 'ABSTAIN' THEN 'true' END AS advisory,
+    action = 'ABSTAIN' AS has_note, 4 AS caveats, derivation, 'receipts/backtest_' || asset || '.receipt.json' AS receipt, sha256('receipt of ' || asset) AS receipt_sha, 64 AS sha_length, bar_idx AS at
+    FROM (SELECT *, 'deterministic-replay' AS derivation FROM kept UNION ALL SELECT *, NULL AS k, 'deterministic-abstain-drill' FROM probes) JOIN {GRID_SQL} ON g_cell = cell_id""",
 )
+
+
+def sft_manifest(s, d):
+    bars = proxy.bars(s, d)
+    return sft.manifest(sft.derived(bars), bars)
+
+
 P.add(
-    "sft_manifest", lambda s, d: sft.manifest(sft.export(proxy.bars(s, d))),
+    "sft_manifest", sft_manifest,
     f"""{SCORES} SELECT asset, count(*) AS rows, count(*) FILTER (action = 'ENTER_LONG') AS enter_long, count(*) FILTER (action = 'EXIT_LONG') AS exit_long, count(*) FILTER (action = 'HOLD') AS hold,
-    count(*) FILTER (action = 'ABSTAIN') AS abstain, 0::BIGINT AS over_ceiling FROM (SELECT asset, action FROM kept UNION ALL SELECT asset, action FROM probes) GROUP BY asset""",
+    count(*) FILTER (action = 'ABSTAIN') AS abstain, 0::BIGINT AS over_ceiling, any_value(n) AS bars FROM (SELECT asset, action, n FROM kept UNION ALL SELECT asset, action, n FROM probes) GROUP BY asset""",
 )
 QUERIES, ORACLE_SQL = P.queries, P.sql

@@ -106,8 +106,8 @@ P.add(
     "parse_checkpoint", parse_checkpoint,
     """SELECT doc_id, CASE WHEN ok THEN source || ' - ' || doc_id END AS origin, CASE WHEN ok THEN length(coalesce(text, '')) + 1 END AS tree_size,
     CASE WHEN ok THEN sha256(coalesce(text, '')) END AS root_hex, CASE WHEN ok THEN 1 END AS n_signatures, reason
-    FROM (SELECT *, reason IS NULL AS ok FROM (SELECT *, CASE doc_id % 7 WHEN 1 THEN 'malformed tree-size line' WHEN 2 THEN 'no blank-line separator'
-    WHEN 3 THEN 'root hash is not canonical 32-byte base64' WHEN 4 THEN 'malformed signature line' WHEN 5 THEN 'malformed origin line' END AS reason FROM documents WHERE doc_id IS NOT NULL))""",
+    FROM (SELECT *, reason IS NULL AS ok FROM (SELECT *, CASE doc_id % 7 WHEN 1 THEN 'size' WHEN 2 THEN 'gap'
+    WHEN 3 THEN 'root' WHEN 4 THEN 'signature' WHEN 5 THEN 'origin' END AS reason FROM documents WHERE doc_id IS NOT NULL))""",
 )
 
 

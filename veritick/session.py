@@ -23,12 +23,14 @@ def build_session(app: str = "veritick", master: str = "local[*]", shuffle_parti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a temporary one where none is set (tests)."""
+    """The folder all executors share, as the cluster names it; in local mode (tests), where none is set, a temporary one."""
     sc = spark.sparkContext
     there = sc.getConf().get("spark.checkpoint.dir")
     if there is None:
         there = sc.getCheckpointDir()
     if there is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         there = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(there)
     elif sc.getCheckpointDir() is None:

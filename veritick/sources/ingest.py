@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritick.functions import scalars as S
@@ -46,11 +46,6 @@ def normalize_price_pairs(pairs: DataFrame) -> DataFrame:
     return rows.where("close > 0")
 
 
-def _number(x: Column) -> Column:
-    """A JSON number; text in quotes does not count."""
-    return S.finite(F.when(~x.startswith('"'), x).try_cast("double"))
-
-
 def normalize_pairs(snapshots: DataFrame) -> DataFrame:
     """(pos, observed_at_ms, json) -> flat snapshot; price may be text (a JSON null or empty text is 0), the rest not."""
     p = F.from_json("json", PAIR)
@@ -109,16 +104,29 @@ def ledger_file_hashes(files: DataFrame) -> DataFrame:
     return rows.where(F.col("name").endswith(".json") & (F.coalesce(chain, F.lit("")) != "chain"))
 
 
-def choose_source(series: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
+def choose_source(series: DataFrame, least: int = 2, outcomes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(asset, source, priority, t_ms, close) -> rows of each asset's first healthy source, and a report per asset.
 
-    A source is healthy with ``least`` valid closes; sources are never mixed. The report lists every attempt in order.
+    A source is healthy if its feed did not fail (``outcomes``: asset, source, priority, ok, note; optional) and it gave
+    ``least`` valid closes; sources are never mixed. The report lists every attempt in order, up to the first healthy one,
+    with its outcome and the reason of a failure, and sums the reasons up where no source is left.
     """
-    ok = F.count_if(S.finite("close") > 0)
-    tried = series.groupBy("asset", "source", "priority").agg(ok.alias("n"))
-    attempts = F.array_sort(F.collect_list(F.struct("priority", "source", "n")))
-    report = tried.groupBy("asset").agg(F.min_by("source", F.when(F.col("n") >= least, F.col("priority"))).alias("source"), attempts.alias("attempts"))
-    report = report.withColumn("label", F.when(F.col("source").isNull(), "UNAVAILABLE").otherwise("REPORTED"))
+    valid = F.count_if(S.finite("close") > 0)
+    tried = series.groupBy("asset", "source", "priority").agg(valid.alias("n"))
+    if outcomes is not None:
+        tried = tried.join(outcomes.select("asset", "source", "priority", "ok", "note"), ["asset", "source", "priority"], "full")
+    else:
+        tried = tried.withColumns({"ok": F.lit(True), "note": F.lit(None).cast("string")})
+    n = F.coalesce("n", F.lit(0))
+    failed = ~F.coalesce("ok", F.lit(True))
+    why = F.when(failed, F.coalesce("note", F.lit("unknown error"))).when(n < least, F.concat(F.lit("valid closes: "), n.cast("string"), F.lit(f" of at least {least}")))
+    tried = tried.select("asset", "source", "priority", n.alias("n"), F.when(why.isNull(), "ok").otherwise("unavailable").alias("outcome"), why.alias("note"))
+    best = F.min(F.when(F.col("outcome") == "ok", F.struct("priority", "source"))).alias("best")
+    every = F.array_sort(F.collect_list(F.struct("priority", "source", "n", "outcome", "note"))).alias("every")
+    report = tried.groupBy("asset").agg(best, every)
+    attempts = F.filter("every", lambda a: F.col("best").isNull() | (F.struct(a["priority"], a["source"]) <= F.struct("best.priority", "best.source")))
+    reasons = F.concat_ws(" | ", F.transform("every", lambda a: F.concat_ws(": ", a["source"], a["note"])))
+    report = report.select("asset", F.col("best.source").alias("source"), attempts.alias("attempts"), F.when(F.col("best").isNull(), "UNAVAILABLE").otherwise("REPORTED").alias("label"), F.when(F.col("best").isNull(), reasons).alias("note"))
     return series.join(report.where("source is not null").select("asset", "source"), ["asset", "source"]).where(S.finite("close") > 0), report
 
 
@@ -131,9 +139,3 @@ def attach_history(rows: DataFrame, ids: DataFrame, most_rows: int = 100_000) ->
 
 def series_summary(bars: DataFrame) -> DataFrame:
     return bars.groupBy("asset").agg(F.count("*").alias("n"), F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"))
-
-
-def latest_by(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """The row of greatest order per key."""
-    w = Window.partitionBy(key).orderBy(*[F.desc(o) for o in order])
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

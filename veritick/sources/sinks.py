@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritick.functions.helpers import canonical_text
+from veritick.session import cut
 
 
 def series_texts(bars: DataFrame) -> DataFrame:
@@ -21,9 +22,10 @@ def canonical_input(points):
 
 
 def archive_series(bars: DataFrame, path: str, pinned: DataFrame | None = None) -> DataFrame:
-    """Write each series once below ``path``, partitioned by its hash; returns rejects (asset, sha256, reason).
+    """Write each series once below ``path``, in a folder named by its hash; returns rejects (asset, sha256, reason).
 
-    Series that are there already are not written again. ``pinned`` (asset, pinned_sha) refuses any other bytes.
+    Series that are there already are not written again; other bytes under the same name are a collision and rejected.
+    ``pinned`` (asset, pinned_sha) refuses any other bytes.
     """
     spark = bars.sparkSession
     texts = series_texts(bars)
@@ -36,7 +38,10 @@ def archive_series(bars: DataFrame, path: str, pinned: DataFrame | None = None)
     new = texts.dropDuplicates(["sha256"])
     there = read_archive(spark, path)
     if there is not None:
-        new = new.join(there.select("sha256"), "sha256", "left_anti")
+        there = there.withColumn("stored", F.sha2(F.encode("text", "utf-8"), 256))
+        torn = texts.join(there.where("stored <> sha256").select("sha256").distinct(), "sha256").select("asset", "sha256", F.lit("other bytes are archived under this hash").alias("reason"))
+        rejects = cut(rejects.unionByName(torn))
+        new = new.join(there.select("sha256").distinct(), "sha256", "left_anti")
     new.select("text", "sha256").repartition("sha256").write.mode("append").partitionBy("sha256").text(path)
     return rejects
 
@@ -47,7 +52,9 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame | None:
 
     try:
         return spark.read.schema("value string, sha256 string").text(path).select(F.col("value").alias("text"), "sha256")
-    except AnalysisException:
+    except AnalysisException as gone:
+        if gone.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

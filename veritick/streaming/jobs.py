@@ -38,22 +38,22 @@ def refusal_census(decisions: DataFrame, length: str = "6 hours", slide: str | N
     return out.select(F.unix_millis("w.start").alias("start_ms"), F.unix_millis("w.end").alias("end_ms"), "decisions", "allowed", "blocked")
 
 
-STATE = "run string, cash string, held string"
+STATE = "run string, cash string, held string, seq int"
 
 
 def paper_book(decisions: DataFrame) -> DataFrame:
-    """Book events as runs arrive: state per book is cash, positions and the last run; runs at or before it are skipped.
+    """Book events as runs arrive: state per book is cash, positions, the last run and its number; runs at or before it are skipped.
 
     A run must arrive whole within one batch of its book (a run dir is written at once); late runs are not back-filled.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, cash, held = state.get if state.exists else (None, str(book.CONFIG["start_micro"]), "{}")
+        last, cash, held, seq = state.get if state.exists else (None, str(book.CONFIG["start_micro"]), "{}", 0)
         pdf = pd.concat(list(batches))
         rows = [r for r in book._records(pdf) if last is None or r["run_dir"] > last]
-        events = list(book.replay_rows(iter(rows), int(cash), {k: int(v) for k, v in json.loads(held).items()}))
+        events = list(book.replay_rows(iter(rows), int(cash), {k: int(v) for k, v in json.loads(held).items()}, seq=seq))
         if events:
-            state.update((events[-1]["run_dir"], events[-1]["cash_micro"], events[-1]["positions"]))
+            state.update((events[-1]["run_dir"], events[-1]["cash_micro"], events[-1]["positions"], events[-1]["seq"]))
         yield pd.DataFrame(events, columns=book.COLUMNS)
 
     rows = decisions.select("book_id", "run_dir", "pos", "symbol", "action", "verdict", F.col("price_usd").cast("double").alias("price_usd"))
