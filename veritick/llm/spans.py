@@ -9,7 +9,7 @@ is looked at once, so that the length of a text does not multiply with its match
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 64
@@ -83,6 +83,27 @@ def clear_of(codes: Column, taken: Column, same_kind: bool) -> Column:
     return F.filter(codes, lambda a: ~F.exists(taken, lambda b: clash(a, b)))
 
 
+LATEST = 2**31 - 1
+
+
+def with_free(df: DataFrame, found: str, taken: str, into: str) -> DataFrame:
+    """Adds ``into``: the located spans of ``found`` that overlap none of ``taken``; both are arrays of ``HIT``.
+
+    One sort of both by start, then the greatest end of a taken span before each span and the next start of one after it,
+    as running values: no span is compared with every other.
+    """
+    tagged = lambda c, own: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s["hit"].alias("hit")))
+    df = df.withColumn("__u", F.array_sort(F.concat(tagged(taken, 0), tagged(found, 1))))
+    ends = F.transform("__u", lambda x: F.when(x["own"] == 0, x["end"]).otherwise(0))
+    starts = F.transform(F.reverse("__u"), lambda x: F.when(x["own"] == 0, F.lit(LATEST) - x["start"]).otherwise(0))
+    df = df.withColumns({"__ends": ends, "__starts": starts})
+    df = df.withColumns({"__before": running(F.col("__ends"), largest=True), "__after": F.reverse(running(F.col("__starts"), largest=True))})
+    apart = lambda x: (x["u"]["own"] == 1) & (x["before"] <= x["u"]["start"]) & (F.lit(LATEST) - x["after"] >= x["u"]["end"])
+    kept = F.filter(F.arrays_zip(F.col("__u").alias("u"), F.col("__before").alias("before"), F.col("__after").alias("after")), apart)
+    plain = F.transform(kept, lambda x: F.struct(x["u"]["hit"].alias("hit"), x["u"]["start"].alias("start"), x["u"]["end"].alias("end")))
+    return df.withColumn(into, plain).drop("__u", "__ends", "__starts", "__before", "__after")
+
+
 def joined(codes: Column) -> Column:
     """``kind:start:end`` of encoded spans, by start and then kind, comma-joined."""
     return F.array_join(F.transform(F.sort_array(codes), lambda c: F.substring_index(c, "|", -1)), ",")
