@@ -8,8 +8,10 @@ distances to the bucket borders that a perturbation crosses).  The number of vis
 last rung visits every bucket, which is exact search, so no bound on probes can lose neighbours unnoticed.
 
 Work is dealt by *cell*: a hash of (table, bucket, block), where a bucket of over ``block`` vectors is split in blocks
-of that size and a probe goes to each block.  A vector travels once per table, a query once per cell that it visits.
-Every cell keeps the ``k`` best of each query, and one window per query merges them.
+of that size and a probe goes to each block.  A vector travels once per table, a query once per cell that it visits; a
+cell that over ``block`` queries visit meets them in blocks too.  In exact search a vector travels once, to a block of
+its own, and every query visits every block.  Of equal vectors only the ``k + 1`` of smallest id are candidates: no
+other can be among the k nearest.  Every cell keeps the ``k`` best of each query, and one window per query merges them.
 
 Edge cases: null, empty and zero vectors, those with null or non-finite components and those whose length is not the
 most common one take no part, as candidate or as query; rows with null ids neither. Repeated rows with one id and one
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -46,7 +48,6 @@ class Plan:
     seed: int = 7
     n_hash: int = 6
     probes: int = 0
-    hot: dict = field(default_factory=dict, compare=False)
 
     def functions(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(self.seed)
@@ -100,11 +101,6 @@ def probe_order(slot: np.ndarray, moves: np.ndarray, width: float, n: int) -> np
     return np.argsort(cost.T, axis=1, kind="stable")[:, :n]
 
 
-def cell_of(plan: Plan, key: np.ndarray, block: np.ndarray) -> np.ndarray:
-    h = (key.view(np.uint64) ^ (block.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9)
-    return ((h >> np.uint64(20)) % np.uint64(plan.cells)).astype(np.int64)
-
-
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, int, float, int]:
     """Valid rows as (id, v), with their dimension, largest norm and number."""
     v = F.col(vector)
@@ -194,53 +190,23 @@ def search(
     rows, dim, radius, n = usable(vectors, vec_id, vector)
     if not n:
         return vectors.sparkSession.createDataFrame([], RESULT)
+    spark, kind = vectors.sparkSession, vectors.schema[vector].dataType.simpleString()
     rows = cut(rows)
-    queries = rows.where(is_query)
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    candidates = cut(rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"))
+    queries, n = rows.where(is_query), candidates.count()
     plan = Plan(dim, radius, n, tables, width, block, seed, hash_count(n))
-    plan = Plan(dim, radius, n, tables, width, block, seed, plan.n_hash, calibrate(rows, queries, plan, k, sample, ladder, target))
-    kind = vectors.schema[vector].dataType.simpleString()
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["v"].to_numpy()).astype(float)
-                for t, s in enumerate(slots(plan, x, False)):
-                    yield pd.DataFrame({"key": key_of(np.floor(s).astype(np.int64), t), "id": pdf["id"], "v": pdf["v"]})
-
-    hashed = rows.mapInPandas(keyed, f"key long, id long, v {kind}")
-    # Buckets above one block: at most tables * rows / block of them.
-    hot = {r["key"]: -(-r["n"] // block) for r in hashed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()}
-    moves = perturbations(plan.n_hash)
-
-    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            key, ids = pdf["key"].to_numpy(), pdf["id"].to_numpy()
-            blocks = np.array([hot.get(i, 1) for i in key.tolist()], dtype=np.int64)
-            mixed = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            yield pd.DataFrame({"cell": cell_of(plan, key, (mixed % blocks.astype(np.uint64)).astype(np.int64)), "key": key, "id": ids, "v": pdf["v"]})
-
-    def probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["v"].to_numpy()).astype(float)
-            if not plan.probes:
-                cells = np.arange(plan.cells)
-                for i, v in zip(pdf["id"], pdf["v"], strict=True):
-                    yield pd.DataFrame({"cell": cells, "id": i, "v": [v] * len(cells), "keys": [[]] * len(cells)})
-                continue
-            who, keys = [], []
-            for t, s in enumerate(slots(plan, x, True)):
-                order = probe_order(s, moves, plan.width, plan.probes)
-                key = key_of(np.floor(s).astype(np.int64)[:, None, :] + moves[order], t)
-                who.append(np.repeat(np.arange(len(x)), key.shape[1]))
-                keys.append(key.ravel())
-            who, keys = np.concatenate(who), np.concatenate(keys)
-            blocks = np.array([hot.get(i, 1) for i in keys.tolist()], dtype=np.int64)
-            at = np.repeat(np.arange(len(keys)), blocks)
-            nth = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            flat = pd.DataFrame({"row": who[at], "cell": cell_of(plan, keys[at], nth), "key": keys[at]}).groupby(["row", "cell"])["key"].agg(list).reset_index()
-            yield pd.DataFrame({"cell": flat["cell"], "id": pdf["id"].to_numpy()[flat["row"]], "v": pdf["v"].to_numpy()[flat["row"]], "keys": flat["key"]})
+    plan = Plan(dim, radius, n, tables, width, block, seed, plan.n_hash, calibrate(candidates, queries, plan, k, sample, ladder, target))
+    data, asks = by_probes(candidates, queries, plan, kind) if plan.probes else by_blocks(candidates, queries, plan)
+
+    if queries.count() > block:  # else no cell has more
+        busy = asks.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block)
+        busy = sized(cut(busy.select("cell", F.ceil(F.col("n") / block).cast("int").alias("parts"))), 12)
+        parts = F.coalesce("parts", F.lit(1))
+        data = data.join(busy, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        asks = asks.join(busy, "cell", "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("parts")
+    else:
+        data, asks = data.withColumn("part", F.lit(0)), asks.withColumn("part", F.lit(0))
 
     def meet(data: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
@@ -264,14 +230,60 @@ def search(
         all_found = pd.concat(found).drop_duplicates(["query_id", "vec_id"]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
         return all_found[all_found.groupby("query_id").cumcount() < k]
 
-    data = hashed.mapInPandas(dealt, f"cell long, key long, id long, v {kind}")
-    asks = queries.mapInPandas(probing, f"cell long, id long, v {kind}, keys array<long>")
-    found = data.groupBy("cell").cogroup(asks.groupBy("cell")).applyInPandas(meet, FOUND)
+    found = data.groupBy("cell", "part").cogroup(asks.groupBy("cell", "part")).applyInPandas(meet, FOUND)
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def sized(df: DataFrame, row_bytes: int, most: int = 8 << 20) -> DataFrame:
+    """A stored table, to be broadcast if its rows are few enough."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
+def by_blocks(candidates: DataFrame, queries: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
+    """Exact search: each vector lies in one block, each query visits all."""
+    n = max(1, -(-plan.n_rows // plan.block))
+    data = candidates.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("long").alias("cell"), F.lit(0).cast("long").alias("key"), "id", "v")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("cell")
+    return data, queries.select(every, "id", "v", F.array().cast("array<bigint>").alias("keys"))
+
+
+def by_probes(candidates: DataFrame, queries: DataFrame, plan: Plan, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(cell, key, id, v) of the vectors in every table, and (cell, id, v, keys) of the queries in the cells they visit."""
+    moves = perturbations(plan.n_hash)
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy()).astype(float)
+                for t, s in enumerate(slots(plan, x, False)):
+                    yield pd.DataFrame({"key": key_of(np.floor(s).astype(np.int64), t), "id": pdf["id"], "v": pdf["v"]})
+
+    def probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["v"].to_numpy()).astype(float)
+            for t, s in enumerate(slots(plan, x, True)):
+                order = probe_order(s, moves, plan.width, plan.probes)
+                key = key_of(np.floor(s).astype(np.int64)[:, None, :] + moves[order], t)
+                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "keys": list(key)})
+
+    def cell(block: Column) -> Column:
+        return F.pmod(F.xxhash64("key", block), F.lit(plan.cells))
+
+    hashed = candidates.mapInPandas(keyed, f"key long, id long, v {kind}")
+    hot = hashed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > plan.block)
+    hot = sized(cut(hot.select("key", F.ceil(F.col("n") / plan.block).cast("long").alias("blocks"))), 16)
+    blocks = F.coalesce("blocks", F.lit(1))
+    data = hashed.join(hot, "key", "left").select(cell(F.pmod(F.xxhash64("id"), blocks)).alias("cell"), "key", "id", "v")
+    probes = queries.mapInPandas(probing, f"id long, v {kind}, keys array<long>").select("id", "v", F.explode("keys").alias("key"))
+    spread = probes.join(hot, "key", "left").select("id", "v", "key", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    asks = spread.select(cell(F.col("block")).alias("cell"), "id", "v", "key").groupBy("cell", "id").agg(F.first("v").alias("v"), F.collect_set("key").alias("keys"))
+    return data, asks
+
+
 def op1_nearest_vectors(spark, sf_dir: str) -> DataFrame:
     """The 20 nearest other rows of ``embeddings`` for every row whose id is divisible by 20."""
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
