@@ -55,7 +55,7 @@ def test_shard_sql(spark):
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
     from veritick.llm import sharding
 
-    for limit in (sharding.LIMIT, 20_000):
-        sql = sharding.OP5_SQL.replace(str(sharding.LIMIT), str(limit))
+    for limit in (sharding.LIMIT, sharding.QUERY_LIMIT, 20_000):
+        sql = sharding.OP5_SQL.replace(str(sharding.QUERY_LIMIT), str(limit))
         got = sharding.shards(spark.read.parquet(f"{SF}/documents.parquet"), limit).select("doc_id", "shard", "depth", "shard_bytes", "shard_rows").collect()
         assert sorted(map(tuple, got)) == sorted(con.execute(sql).fetchall())

@@ -9,7 +9,8 @@ per feature and pair, taken for whole batches at once.
 Training rows are a bounded sample: at most ``sample_docs`` labelled documents (least hash of the id first), whole texts.
 
 Edge cases: null and empty texts have the features of an empty text and get a score too. Ids null in ``docs`` are
-scored and never trained on; null labels are left out; a repeated label counts each time. With labels of one kind (or none) every score is their
+scored and never trained on; null labels are left out; a repeated label counts once, and of documents of one id the one
+of least features. With labels of one kind (or none) every score is their
 share (or 0.5). Repeated rows are scored one by one. Extra columns pass through; one named ``score`` is
 replaced.
 """
@@ -160,9 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", label:
     """A model from at most ``sample_docs`` labelled documents whose crc32(id) mod 5 is not 0."""
     crc = F.crc32(F.col("id").cast("string")) % 5 != 0
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("y")).where(F.col("y").isNotNull() & crc)
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample_docs)
+    chosen = known.distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), "id")  # bounded by sample_docs
-    got = sorted((r["id"], r["y"], r["features"]) for r in with_features(rows, "t").select("id", "y", "features").collect())
+    one = with_features(rows, "t").groupBy("id", "y").agg(F.min("features").alias("features"))  # of documents of one id the least: at most sample_docs rows
+    got = sorted((r["id"], r["y"], r["features"]) for r in one.collect())
     x = np.array([r[2] for r in got], dtype=float).reshape(len(got), len(NAMES))
     return fit(x, np.array([float(r[1]) for r in got]))
 

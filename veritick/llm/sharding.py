@@ -22,6 +22,7 @@ from veritick.session import cut
 
 BITS = 60
 LIMIT = 32 << 20
+QUERY_LIMIT = 1 << 20  # of the registered query: small enough that the smallest tables are split too
 
 
 def hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -90,8 +91,8 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "
 
 
 def op5_extendible_shards(spark, sf_dir: str) -> DataFrame:
-    """The shard of every document."""
-    return shards(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
+    """The shard of every document, of at most ``QUERY_LIMIT`` bytes of text each."""
+    return shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), QUERY_LIMIT).drop("row")
 
 
 OP5_SQL = f"""
@@ -103,7 +104,7 @@ lines AS (SELECT doc_id, bytes, h, depth, h >> ({BITS} - depth) AS prefix FROM d
 sizes AS (SELECT depth, prefix, sum(bytes)::BIGINT AS size, count(*) AS n FROM lines GROUP BY ALL),
 leaf AS (
   SELECT l.doc_id, l.h, min(l.depth) AS depth FROM lines l JOIN sizes s USING (depth, prefix)
-  WHERE s.size <= {LIMIT} OR s.n = 1 GROUP BY l.doc_id, l.h)
+  WHERE s.size <= {QUERY_LIMIT} OR s.n = 1 GROUP BY l.doc_id, l.h)
 SELECT d.doc_id, CASE WHEN l.depth = 0 THEN '' ELSE right(lpad(bin(d.h), {BITS}, '0')[1:l.depth], l.depth) END AS shard, l.depth AS depth,
        s.size AS shard_bytes, s.n AS shard_rows
 FROM d JOIN leaf l ON l.h = d.h AND l.doc_id IS NOT DISTINCT FROM d.doc_id
