@@ -38,6 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote in the shared one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder, so a lost executor costs only its own tasks."""
     shared_dir(df.sparkSession)
