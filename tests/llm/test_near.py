@@ -58,10 +58,29 @@ def test_dense_cluster_of_near_copies_is_one_group(spark):
 
 def test_run_pairs_is_complete_on_short_runs_and_bounded_on_long_ones():
     rng = np.random.default_rng(5)
-    key, fp = np.sort(rng.integers(0, 40, 400)), rng.integers(0, 2**16, 400)
+    key, fp, other = np.sort(rng.integers(0, 40, 400)), rng.integers(0, 2**16, 400), rng.integers(0, 2**16, 400)
     size = rng.integers(80, 120, 400)
-    i, j = simhash.run_pairs(key, fp, size, 5, 800)
-    want = {(x, y) for x in range(400) for y in range(x + 1, 400) if key[x] == key[y] and bin(int(fp[x] ^ fp[y])).count("1") <= 5 and 10 * min(size[x], size[y]) >= 8 * max(size[x], size[y])}
-    assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
-    i, _ = simhash.run_pairs(np.zeros(300, np.int64), np.zeros(300, np.int64), np.full(300, 9), 5, 800)
-    assert np.bincount(i).max() == 16 and len(set(i.tolist())) == 299
+    i, j = simhash.run_pairs(key, fp, other, size, 5, 7, 800)
+    off = lambda x, a, b: bin(int(x[a] ^ x[b])).count("1")
+    want = {(x, y) for x in range(400) for y in range(x + 1, 400) if key[x] == key[y] and off(fp, x, y) <= 5 and off(other, x, y) <= 7 and 10 * min(size[x], size[y]) >= 8 * max(size[x], size[y])}
+    assert want and set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)
+    i, _ = simhash.run_pairs(np.zeros(300, np.int64), np.zeros(300, np.int64), np.zeros(300, np.int64), np.full(300, 9), 5, 7, 800)
+    assert np.bincount(i).max() == 6 and len(set(i.tolist())) == 299
+
+
+def test_either_fingerprint_finds_a_pair():
+    """Pairs of a similarity of 0.8 to 0.85: their distances, and how many are candidates."""
+    rng = random.Random(8)
+    found = total = 0
+    for _ in range(300):
+        n = rng.randrange(40, 400)
+        base = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+        drop = int(n * rng.uniform(0.08, 0.105))
+        a = base
+        b = np.concatenate([base[drop:], np.array([rng.getrandbits(64) for _ in range(drop)], np.uint64)])
+        if not 0.8 <= len(set(a) & set(b)) / len(set(a) | set(b)) < 0.86:
+            continue
+        d = [bin(simhash.majority(f(a)) ^ simhash.majority(f(b))).count("1") for f in (lambda x: x, simhash.second)]
+        total += 1
+        found += min(d) <= 14 and max(d) <= 24
+    assert total > 200 and found >= 0.99 * total

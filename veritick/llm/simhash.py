@@ -12,10 +12,12 @@ set probes).  What meets under one value is verified on all 64 bits.  A meeting
 forest, found by breadth-first search, never all pairs; one of over ``block`` fingerprints is first split in blocks,
 each pair of blocks being a meeting place of its own.  Components then come from ``components``.
 
-``near_groups`` takes those links for candidates only: texts are told apart by their set of word shingles, a wider
+``near_groups`` takes such links for candidates only: texts are told apart by their set of word shingles, a wider
 radius and more parts find candidate pairs, and a pair is linked if the exact Jaccard similarity of its sets suffices.
-A meeting place of over ``small`` sets gives each its ``most`` nearest later ones, so that a large cluster of near
-copies has a bounded number of pairs.
+As the distance of fingerprints scatters (at a similarity of 0.8 about 10 bits, give or take 3), each set has two
+independent ones; a pair is a candidate if either is within ``radius`` and the other within ``wide``, which spares most
+chance pairs their exact check.  A meeting place of over ``small`` sets gives each its ``most`` nearest later ones, in an
+order that all places share, so that a large cluster of near copies has few pairs and yet a path to its last member.
 
 Edge cases: a null or empty text, or one without words, has fingerprint zero, linked like any other. A text of fewer
 than ``shingle`` words has one shingle, its whole sequence. Rows with a null id are kept and link like any other; a
@@ -31,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -310,68 +313,76 @@ def groups(docs: DataFrame, shingle: int = 4, radius: int = 4, doc_id: str = "do
     return joined.select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+ROWS = 512
+
+
+def second(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles, by a multiply and xor-shift mix of the first ones."""
+    h = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def shingle_sets(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, node, fp, size): the row's set of shingles by its hash, with the set's fingerprint and size."""
+    """(doc_id, node, fp, fp2, size): the row's set of shingles by its hash, with the set's two fingerprints and size."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = (np.unique(np.array(shingle_hashes(t, shingle), np.uint64)) for t in pdf["text"])
-            found = [(xxhash.xxh3_64_intdigest(x.tobytes()), majority(x), len(x)) for x in sets]
-            node, fp, size = (np.array(x, np.uint64).view(np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": node, "fp": fp, "size": size})
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for lo in range(0, len(batch), ROWS):  # few texts at a time are Python objects
+                sets = (np.unique(np.array(shingle_hashes(t, shingle), np.uint64)) for t in batch.slice(lo, ROWS).to_pylist())
+                found = [(xxhash.xxh3_64_intdigest(x.tobytes()), majority(x), majority(second(x)), len(x)) for x in sets]
+                yield pa.StructArray.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in zip(*found, strict=True)], ["node", "fp", "fp2", "size"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    return rows.mapInPandas(work, "doc_id long, node long, fp long, size long")
+    one = F.arrow_udf(work, "node long, fp long, fp2 long, size long")(F.coalesce(F.col(text), F.lit("")))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), one.alias("s")).select("doc_id", "s.*")
 
 
-def run_pairs(key: np.ndarray, fp: np.ndarray, size: np.ndarray, radius: int, per_mille: int, small: int = 64, most: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of equal key (sorted) within the radius whose sizes allow the similarity; of long runs the nearest."""
+def run_pairs(key: np.ndarray, fp: np.ndarray, other: np.ndarray, size: np.ndarray, radius: int, wide: int, per_mille: int, small: int = 64, most: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Places of candidate pairs of equal key (sorted) whose sizes allow the similarity; of long runs the nearest later ones."""
 
     def fits(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
         return 1000 * np.minimum(size[i], size[j]) >= per_mille * np.maximum(size[i], size[j])
 
+    def off(x: np.ndarray, i: np.ndarray | int, j: np.ndarray | slice) -> np.ndarray:
+        return np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int32)
+
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.r_[start, len(key)])
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s, n in zip(start[count > small].tolist(), count[count > small].tolist(), strict=True):
-        run = fp[s : s + n]
-        for i in range(n - 1):
-            off = np.bitwise_count((run[i + 1 :] ^ run[i]).view(np.uint64))
-            near = np.flatnonzero(off <= radius)
-            if len(near):
-                near = near[fits(s + i, s + i + 1 + near)]
-                if len(near) > most:
-                    near = near[np.argpartition(off[near], most)[:most]]
-                a.append(np.full(len(near), s + i))
-                b.append(s + i + 1 + near)
+        for i in range(s, s + n - 1):
+            near = i + 1 + np.flatnonzero(off(fp, i, slice(i + 1, s + n)) <= radius)
+            near = near[fits(i, near)]
+            far = off(other, i, near)
+            near, far = near[far <= wide], far[far <= wide]
+            if len(near) > most:
+                near = near[np.argsort(far + off(fp, i, near), kind="stable")[:most]]
+            a.append(np.full(len(near), i))
+            b.append(near)
     short = np.flatnonzero(np.repeat((count > 1) & (count <= small), count))
-    key, near_fp = key[short], fp[short]
+    key = key[short]
     for d in range(1, small):
         at = np.flatnonzero(key[d:] == key[:-d])
         if not len(at):
             break
-        at = at[np.bitwise_count((near_fp[at] ^ near_fp[at + d]).view(np.uint64)) <= radius]
         i, j = short[at], short[at + d]
-        ok = fits(i, j)
+        ok = (off(fp, i, j) <= radius) & (off(other, i, j) <= wide) & fits(i, j)
         a.append(i[ok])
         b.append(j[ok])
     return np.concatenate(a), np.concatenate(b)
 
 
-def candidates(sets: DataFrame, radius: int, per_mille: int, block: int = 20_000) -> DataFrame:
-    """Distinct pairs (a, b) of the distinct ``sets`` (node, fp, size) that may be similar."""
-    parts = plan_parts(sets, radius, counts_of_parts=(2, 3, 4, 5, 6, 8))
-    if parts is None:
-        return sets.sparkSession.createDataFrame([], "a long, b long")
+def candidates(sets: DataFrame, radius: int, wide: int, per_mille: int, block: int = 20_000) -> DataFrame:
+    """Distinct pairs (a, b) of the distinct ``sets`` (node, fp, fp2, size) that may be similar, by either fingerprint."""
 
     def pairs(key: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-        i, j = run_pairs(key, x[:, 1], x[:, 2], radius, per_mille)
+        i, j = run_pairs(key, x[:, 1], x[:, 2], x[:, 3], radius, wide, per_mille)
         return pd.DataFrame({"a": np.minimum(x[i, 0], x[j, 0]), "b": np.maximum(x[i, 0], x[j, 0])})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple | None = None
         for pdf in batches:
-            key, x = pdf["key"].to_numpy(), pdf[["node", "fp", "size"]].to_numpy()
+            key, x = pdf["key"].to_numpy(), pdf[["node", "fp", "other", "size"]].to_numpy()
             if not len(key):
                 continue
             if last is not None:
@@ -382,16 +393,21 @@ def candidates(sets: DataFrame, radius: int, per_mille: int, block: int = 20_000
         if last is not None:
             yield pairs(*last)
 
-    placed = meetings(sets.select("node", "fp", "size"), parts, block)
-    found = placed.repartition("key").sortWithinPartitions("key").mapInPandas(compare, "a long, b long")
-    return found.where("a <> b").distinct()
+    out = sets.sparkSession.createDataFrame([], "a long, b long")
+    for own, other in (("fp", "fp2"), ("fp2", "fp")):
+        rows = sets.select("node", F.col(own).alias("fp"), F.col(other).alias("other"), "size")
+        parts = plan_parts(rows, radius, counts_of_parts=(2, 3, 4, 5, 6, 8))
+        if parts is not None:
+            placed = meetings(rows, parts, block)
+            out = out.union(placed.repartition("key").sortWithinPartitions("key", "node").mapInPandas(compare, "a long, b long"))
+    return out.where("a <> b").distinct()
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, per_mille: int = 800, radius: int = 14, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 5, per_mille: int = 800, radius: int = 14, wide: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id): components of texts whose shingle sets have a Jaccard similarity of ``per_mille``/1000 or more."""
     own = cut(shingle_sets(docs, shingle, doc_id, text))
-    by_set = cut(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.count("*").alias("n")))
-    pairs = cut(candidates(by_set.select("node", "fp", "size"), radius, per_mille))
+    by_set = cut(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("size").alias("size"), F.count("*").alias("n")))
+    pairs = cut(candidates(by_set.select("node", "fp", "fp2", "size"), radius, wide, per_mille))
     wanted = by_set.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("first").alias("doc_id"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
