@@ -60,6 +60,13 @@ def edge_coverage(checkpoints: DataFrame, proven: DataFrame) -> DataFrame:
     return edges(checkpoints).join(done, ["origin", "prev_size", "next_size"], "left").groupBy("origin").agg(F.count("*").alias("edges"), F.count("ok").alias("proven"))
 
 
+def audit_history(checkpoints: DataFrame, proven: DataFrame) -> DataFrame:
+    """(origin, at, problem) of what a log showed over time: sizes with several roots, and steps without a proof."""
+    torn = split_views(checkpoints).select("origin", F.col("tree_size").cast("string").alias("at")).distinct().withColumn("problem", F.lit("split view"))
+    bare = consistency_targets(checkpoints, proven).select("origin", F.concat_ws("-", "prev_size", "next_size").alias("at"), F.lit("step without a proof").alias("problem"))
+    return torn.unionByName(bare)
+
+
 def consistency_endpoints(receipts: DataFrame, witnesses: DataFrame) -> DataFrame:
     """Adds ``problem``: both witness receipts of a consistency receipt exist and agree in sha, origin, size and root."""
     out = receipts

@@ -386,6 +386,11 @@ P.add(
     "consistency_targets", lambda s, d: O.consistency_targets(proxy.checkpoints(s, d), proven(s, d)),
     f"WITH {C}, {EDGES} SELECT * FROM edges WHERE next_size % 3 <> 0",
 )
+P.add(
+    "audit_history", lambda s, d: O.audit_history(proxy.checkpoints(s, d), proven(s, d)),
+    f"""WITH {C}, {EDGES} SELECT origin, prev_size || '-' || next_size AS at, 'step without a proof' AS problem FROM edges WHERE next_size % 3 <> 0
+    UNION ALL SELECT origin, tree_size::VARCHAR, 'split view' FROM checkpoints GROUP BY origin, tree_size HAVING count(DISTINCT root_hex) > 1""",
+)
 P.add("edge_coverage", lambda s, d: O.edge_coverage(proxy.checkpoints(s, d), proven(s, d)), f"WITH {C}, {EDGES} SELECT origin, count(*) AS edges, count(*) FILTER (next_size % 3 = 0) AS proven FROM edges GROUP BY origin")
 
 

@@ -154,9 +154,19 @@ P.add(
 
 
 def canonical_digest(spark, d):
-    e = table(spark, d, "events")
-    return e.select("event_id", H.canonical_digest(F.to_json(F.struct("value", "event_type", F.col("user_id").alias("Aid")))).alias("digest"))
+    """Digests of documents as JSON with keys out of order, a nested object, an array and nulls."""
+    docs = table(spark, d, "documents")
+    nested = F.struct(F.array("n_chars", F.lit(1.5)).alias("z"), F.lit(True).alias("a"))
+    return docs.select("doc_id", H.canonical_digest(F.to_json(F.struct("text", nested.alias("nested"), "lang", "source", F.col("doc_id").alias("Aid")), {"ignoreNullFields": "false"})).alias("digest"))
 
 
-P.add("canonical_digest", canonical_digest)
+def _json(c: str) -> str:
+    return f"coalesce(to_json({c})::VARCHAR, 'null')"
+
+
+P.add(
+    "canonical_digest", canonical_digest,
+    f"""SELECT doc_id, sha256('{{"Aid":' || coalesce(doc_id::VARCHAR, 'null') || ',"lang":' || {_json("lang")} || ',"nested":{{"a":true,"z":[' || coalesce(n_chars::VARCHAR, 'null') || ',1.5]}},"source":'
+    || {_json("source")} || ',"text":' || {_json("text")} || '}}') AS digest FROM documents""",
+)
 QUERIES, ORACLE_SQL = P.queries, P.sql
