@@ -28,6 +28,9 @@ def number_text(x: float | int) -> str:
         raise ValueError("non-finite number")
     if x == 0:
         return "0"
+    short = repr(x)
+    if "e" not in short:  # between 0.0001 and 10^16 both write the shortest digits alike
+        return short.removesuffix(".0")
     digits, exp = format(Decimal(repr(x)).normalize(), "e").split("e")
     sign, digits, e = ("-" if digits.startswith("-") else ""), digits.lstrip("-").replace(".", ""), int(exp)
     if -7 < e < 21:
