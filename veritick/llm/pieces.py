@@ -42,7 +42,7 @@ GAP = "▁"
 WORDS = re.compile(f"{GAP}*[^{GAP}]+|{GAP}+")
 CHUNK = 65_536
 ROWS = 512  # texts of an Arrow batch that are Python strings at one time
-KEPT = 200_000  # segmentations in each of a worker's two generations
+KEPT = 100_000  # segmentations in each of a worker's two generations
 State = tuple[int, int]  # start and end of the piece on a boundary, relative to the boundary
 Matrix = dict[tuple[State, State], float]
 NONE = float("-inf")

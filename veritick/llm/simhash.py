@@ -246,8 +246,8 @@ def meetings(rows: DataFrame, parts: Parts, block: int) -> DataFrame:
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lo in range(0, len(pdf), 20_000):
-                some = {c: pdf[c].to_numpy()[lo : lo + 20_000] for c in columns}
+            for lo in range(0, len(pdf), 4_000):
+                some = {c: pdf[c].to_numpy()[lo : lo + 4_000] for c in columns}
                 for i, bits, flips in used:
                     v = value_of(some["fp"], bits)
                     values, who = [v], [np.arange(len(v))]
@@ -337,7 +337,7 @@ def shingle_sets(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataF
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), one.alias("s")).select("doc_id", "s.*")
 
 
-def run_pairs(key: np.ndarray, fp: np.ndarray, other: np.ndarray, size: np.ndarray, radius: int, wide: int, per_mille: int, small: int = 64, most: int = 6) -> tuple[np.ndarray, np.ndarray]:
+def run_pairs(key: np.ndarray, fp: np.ndarray, other: np.ndarray, size: np.ndarray, radius: int, wide: int, per_mille: int, small: int = 64, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Places of candidate pairs of equal key (sorted) whose sizes allow the similarity; of long runs the nearest later ones."""
 
     def fits(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
