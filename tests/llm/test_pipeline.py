@@ -1,5 +1,6 @@
 """The corpus pipeline stage by stage, and the registered queries on the smallest tables."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -60,16 +61,15 @@ def through(spark, now, tmp_path):
 
 def test_stages_keep_extra_columns_and_take_empty_and_very_long_input(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    long = " ".join(r["text"] for r in docs.where("text is not null and lang = 'en'").limit(60).collect())
+    words = " ".join(r["text"] for r in docs.where("text is not null and lang = 'en'").limit(60).collect()).split(" ")
+    random.Random(1).shuffle(words)  # so that no benchmark passage is left in it
+    long = " ".join(words)
     more = spark.createDataFrame([(7777, long + " mail someone@mail.example.com", "en", "s", 1)], docs.schema)
     extra = docs.union(more).withColumns({"ids": F.col("doc_id"), "score": F.lit("s"), "key": F.lit(1), "words": F.lit("w"), "start": F.lit(2.5)})
     for name, before, after in through(spark, extra, tmp_path / "a"):
         if name != "tokens":
             assert after.columns == before.columns and after.where("score = 's' and key = 1 and words = 'w' and start = 2.5 and ids = doc_id").count() == after.count() > 0
-            kept = name == "decontamination" or after.where("doc_id = 7777").count() == 1
-            assert kept
-            if name == "near_duplicates":
-                assert {r["doc_id"] for r in after.where("length(text) > 50000").collect()} >= {7777}
+        assert after.where("doc_id = 7777").count() == 1
     for name, before, after in through(spark, extra.limit(0), tmp_path / "b"):
         assert after.count() == 0
 
