@@ -7,7 +7,7 @@ per second (so that rules which reject the same texts do not stand one behind th
 and which rule is named, never the verdict: a text is kept if no rule rejects it.
 
 Edge cases: null and empty texts have no words, all counts 0, and fail ``few_words``. Words are separated by ASCII white
-space alone. Null ids, repeated rows and ties of the sampling order are texts like any other; an empty table gives an
+space alone. Null ids, repeated rows and ids are texts like any other; an empty table gives an
 empty result (the rules stay in their given order). Extra columns pass through; those named like a result are replaced. A
 text is held with its list of words, so that one of n bytes needs a small multiple of n in its task.
 """
@@ -179,8 +179,8 @@ RULES = BASE + MORE
 def estimates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 1000) -> tuple[np.ndarray, np.ndarray]:
     """(seconds a text of each rule by itself, which rule rejects which sampled text).
 
-    The sample is the ``sample_docs`` rows of least hash of id and text, whole texts; they are tried where they are, and
-    only times and outcomes come to the driver.
+    The sample is ``sample_docs`` rows of least hash of the id, whole texts; they are tried where they are read, and only
+    times and outcomes move.
     """
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +196,10 @@ def estimates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, doc_id: str =
                     found.append((took, gone))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.list_(pa.float64())), pa.array([x[1] for x in found], pa.list_(pa.bool_()))], ["took", "gone"])
 
-    some = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).orderBy(F.xxhash64("i", "t")).limit(sample_docs).select("t")
-    rows = some.mapInArrow(tried, "took array<double>, gone array<boolean>").collect()
+    place = F.xxhash64(F.col(doc_id))
+    last = docs.select(place.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    some = docs.where(place <= last).select(text)
+    rows = some.mapInArrow(tried, "took array<double>, gone array<boolean>").limit(sample_docs).collect()
     n = len(rules)
     took = np.array([r["took"] for r in rows], dtype=float).reshape(len(rows), n)
     gone = np.array([r["gone"] for r in rows], dtype=bool).reshape(len(rows), n)
