@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritick.llm import ann, decontam, html_text, langid, pieces, pii, quality, rules, secrets, sharding, simhash
+from veritick.llm import ann, decontam, html_text, langid, pieces, pii, quality, repair, rules, secrets, sharding, simhash
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_secrets": secrets.op9_secrets,
         "op10_main_text": html_text.op10_main_text,
         "op11_quality_rules": rules.op11_quality_rules,
+        "op12_repair": repair.op12_repair,
     }
 
 
