@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritick.llm import ann, decontam, html_text, langid, pieces, pii, quality, repair, rules, secrets, sharding, simhash
+from veritick.llm import ann, decontam, html_text, langid, pieces, pii, quality, repair, rules, secrets, sharding, simhash, trie
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_main_text": html_text.op10_main_text,
         "op11_quality_rules": rules.op11_quality_rules,
         "op12_repair": repair.op12_repair,
+        "op13_prefix_trie": trie.op13_prefix_trie,
     }
 
 
