@@ -1,13 +1,21 @@
 """Walk-forward replay of a parameter grid: assets x cells x two windows, with integer money.
 
-Features are computed once per distinct look-back, then every bar is expanded to the cells and windows it lies in.
-Within a window the replay starts after the cell's warm-up and ends at the bar before the last; look-backs lie inside
-the window by then, so whole-series features are exact.  A group is one (asset, cell, window), of at most one asset's
-bars; its bars are folded in order by a higher-order ``aggregate`` over exact decimals.
+Features are computed once per distinct look-back (differences of running sums).  Within a window the replay starts after
+the cell's warm-up and ends at the bar before the last; look-backs lie inside the window by then, so whole-series features
+are exact.
+
+``walk_forward`` sweeps the bars of an asset in order, once for all cells: a bar is no row per cell, but a column of a
+matrix of cells x bars, a few thousand bars at a time; what is carried on is the state of each cell.  So 1,000 cells cost
+no more rows or shuffles than five.  ``grid_expand``, ``decision_bars`` and ``cell_equity`` are the same replay as rows,
+for questions about single decisions; there the bars of one (asset, cell, window) are folded by an ``aggregate``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +30,7 @@ def grid_expand(bars: DataFrame, cells: tuple[X.Params, ...] = X.GRID, share: fl
 
     The grid is a constant array, so no join is needed; rows grow by at most twice the number of cells.
     """
-    df = X.with_features(bars, cells).withColumn("n", F.count("*").over(Window.partitionBy("asset")))
+    df = X.with_features(bars, cells)
     split = F.floor(F.col("n") * F.lit(share)).cast("int")
     start = F.greatest(split - CONTEXT, F.lit(0))
     windows = F.array(
@@ -119,24 +127,166 @@ def cell_equity(decisions: DataFrame, fee_bps: float = 30, slippage_bps: float =
     return marked.select(*keys, summary.alias("s"))
 
 
-def walk_forward(bars: DataFrame, cells: tuple[X.Params, ...] = X.GRID, share: float = 0.7, fee_bps: float = 30, slippage_bps: float = 20, start_usd: float = 10_000) -> DataFrame:
-    """One row per asset, cell and window, those without a decision included; never sorted by result."""
-    expanded = grid_expand(bars, cells, share)
-    folded = cell_equity(decision_bars(expanded), fee_bps, slippage_bps, start_usd)
-    n = bars.groupBy("asset").agg(F.count("*").alias("n"))
+CELLS_AT_ONCE = 1 << 19  # entries of a matrix of cells x bars
+SWEPT = (
+    "asset string, cell_id int, window_name string, split_index int, n_bars int, equity double, drawdown double, marks bigint, held boolean, trades int, trips int, wins int, error string"
+)
+
+
+def integers(x: list[int]) -> np.ndarray:
+    return np.array(x, dtype=np.int64 if max(x) < 1 << 62 else object)
+
+
+def worth(cash: np.ndarray, qty: np.ndarray, price: np.ndarray) -> np.ndarray:
+    """Dollars of cash and quantity (of 1e-9) at prices, all integers; products of over 64 bits are taken apart, exactly."""
+    unit = S.QTY
+    if qty.dtype == object or cash.dtype == object or price.dtype == object or float(qty.max(initial=0)) / unit * float(price.max(initial=0)) > 4e18:
+        total = cash.astype(object) + np.where(qty > 0, qty.astype(object) * price.astype(object) // unit, 0)
+        return total.astype(float) / S.MICRO
+    a, b, c, d = qty // unit, qty % unit, price // unit, price % unit
+    return (cash + a * price + b * c + b * d // unit) / S.MICRO
+
+
+class Sweep:
+    """The replay of one window of one asset under all cells, fed with stretches of its bars in order."""
+
+    def __init__(self, cells: tuple[X.Params, ...], start_usd: float) -> None:
+        c = len(cells)
+        self.cells, self.warmup = cells, np.array([x.warmup for x in cells])[:, None]
+        self.entry = np.array([x.z_entry for x in cells])[:, None]
+        self.long = np.zeros(c, bool)
+        self.cash, self.qty, self.held = [round(start_usd * S.MICRO)] * c, [0] * c, [False] * c
+        self.bought, self.trades, self.trips, self.wins = [0.0] * c, [0] * c, [0] * c, [0] * c
+        self.error: list[str | None] = [None] * c
+        self.marks, self.peak, self.fall, self.equity = np.zeros(c, np.int64), np.full(c, -np.inf), np.zeros(c), np.full(c, float(start_usd))
+
+    def trade(self, c: int, buy: bool, now: float, dear: int, cheap: int) -> None:
+        """A purchase of a share of the cash, or the sale of all. Too small ones do not happen."""
+        if buy and not self.held[c]:
+            cents = int(self.cash[c] / S.MICRO * self.cells[c].fraction * 100)
+            if cents < 1000:
+                return
+            if dear <= 0:
+                self.error[c] = self.error[c] or "price below quantum"
+            else:
+                self.cash[c] -= cents * 10_000
+                self.qty[c] = cents * 10_000 * S.QTY // dear
+            self.held[c], self.bought[c], self.trades[c] = True, now, self.trades[c] + 1
+        elif not buy and self.held[c] and self.qty[c] > 0:
+            self.cash[c] += self.qty[c] * cheap // S.QTY
+            self.qty[c], self.held[c], self.trades[c], self.trips[c] = 0, False, self.trades[c] + 1, self.trips[c] + 1
+            self.wins[c] += now > self.bought[c]
+
+    def feed(self, rel: np.ndarray, look: list[np.ndarray], money: list[np.ndarray]) -> None:
+        """Bars at ``rel`` in the window; look: ret, z, vol by cell; money: next close, and its price, dear and cheap in millionths."""
+        ret, z, vol = look
+        valid = rel[None, :] >= self.warmup
+        if not valid.any():
+            return
+        known = ~(np.isnan(ret) | np.isnan(z) | np.isnan(vol)) & valid
+        with np.errstate(invalid="ignore"):
+            enter = known & (ret > 0) & ((z <= -self.entry) | (np.abs(z) < self.entry))
+            leave = known & ~enter & (z >= 0) & (ret <= 0)
+        place = np.where(enter | leave, np.arange(1, len(rel) + 1), 0)
+        last = np.maximum.accumulate(place, axis=1)
+        long = np.where(last > 0, np.take_along_axis(enter, np.maximum(last - 1, 0), axis=1), self.long[:, None])
+        turned = long != np.concatenate([self.long[:, None], long[:, :-1]], axis=1)
+        self.long = long[:, -1].copy()
+        cash, qty = list(self.cash), list(self.qty)  # the states that occur, by number: first those carried in
+        number = np.zeros(turned.shape, np.int64)
+        price, dear, cheap = (m.tolist() for m in money[1:])
+        for c, k in zip(*(x.tolist() for x in np.nonzero(turned)), strict=True):
+            self.trade(c, bool(long[c, k]), float(money[0][k]), dear[k], cheap[k])
+            number[c, k] = len(cash)
+            cash.append(self.cash[c])
+            qty.append(self.qty[c])
+        at = np.maximum.accumulate(number, axis=1)
+        at = np.where(at > 0, at, np.arange(len(self.cells))[:, None])
+        e = worth(integers(cash)[at], integers(qty)[at], integers(price)[None, :])
+        peak = np.maximum(np.maximum.accumulate(np.where(valid, e, -np.inf), axis=1), self.peak[:, None])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            fall = np.where(valid & (peak > 0), (peak - e) / peak, 0.0)
+        self.peak, self.fall = peak[:, -1], np.maximum(self.fall, fall.max(axis=1))
+        self.equity = np.where(valid[:, -1], e[:, -1], self.equity)
+        self.marks += valid.sum(axis=1)
+
+    def rows(self) -> list[tuple]:
+        return list(zip(self.equity.tolist(), self.fall.tolist(), self.marks.tolist(), self.held, self.trades, self.trips, self.wins, self.error, strict=True))
+
+
+def sweep(featured: DataFrame, cells: tuple[X.Params, ...], share: float, rate: float, start_usd: float) -> DataFrame:
+    """``SWEPT``: one row per asset, cell and window, from ``X.with_features`` in partitions by asset."""
+    rets, zs, vols = (sorted({getattr(c, x) for c in cells}) for x in ("momentum", "z_window", "vol_window"))
+    looks = [("ret", rets, "momentum"), ("z", zs, "z_window"), ("vol", vols, "vol_window")]
+    place = [np.array([known.index(getattr(c, x)) for c in cells]) for _, known, x in looks]
+    at_once = max(1, CELLS_AT_ONCE // len(cells))
+    context = CONTEXT
+    fixed = ["asset", "bar_idx", "n", "split", "next_close", "price", "dear", "cheap"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asset, n, split, states = None, 0, 0, {}
+
+        def done() -> pa.RecordBatch:
+            out = [(asset, c, w, split, split if w == "in" else n - split, *r) for w, s in states.items() for c, r in enumerate(s.rows())]
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], [x.split(" ")[0] for x in SWEPT.split(", ")])
+
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            cols = [batch.column(j).to_numpy(zero_copy_only=False) for j in range(1, batch.num_columns)]
+            lo = 0
+            while lo < len(names):
+                hi = lo
+                while hi < len(names) and hi < lo + at_once and names[hi] == names[lo]:
+                    hi += 1
+                if not states or names[lo] != asset:
+                    if states:
+                        yield done()
+                    asset, n, split = names[lo], int(cols[1][lo]), int(cols[2][lo])
+                    states = {"in": Sweep(cells, start_usd), "out": Sweep(cells, start_usd)}
+                idx = cols[0][lo:hi].astype(np.int64)
+                first = max(split - context, 0)
+                for w, start, end in (("in", 0, split), ("out", first, n)):
+                    own = (idx >= start) & (idx < end - 1)
+                    if own.any():
+                        money = [m[lo:hi][own] for m in cols[3:7]]
+                        money = [money[0], *(m.astype(np.int64) for m in money[1:])]
+                        table, k = [], 7
+                        for (_, known, _), chosen in zip(looks, place, strict=True):
+                            each = np.stack([cols[k + j][lo:hi][own].astype(float) for j in range(len(known))])
+                            table.append(each[chosen])
+                            k += len(known)
+                        states[w].feed(idx[own] - start, table, money)
+                lo = hi
+        if states:
+            yield done()
+
+    micro = lambda c: F.coalesce(S.to_micro_usd(c).cast("long"), F.lit(0))
+    nxt = F.col("next_close")
     split = F.floor(F.col("n") * F.lit(share)).cast("int")
-    every = n.select("asset", "n", split.alias("split_index"), F.explode(F.sequence(F.lit(0), F.lit(len(cells) - 1))).alias("cell_id"))
-    every = every.select("*", F.explode(F.array(F.lit("in"), F.lit("out"))).alias("window_name"))
-    bad = F.col("s.error").isNotNull()
-    value = lambda c: F.when(bad, None).otherwise(c)
-    out = every.join(folded, ["asset", "cell_id", "window_name"], "left")
-    equity = F.coalesce(F.col("s.equity"), F.lit(float(start_usd)))
-    trips = F.coalesce(F.col("s.trips"), F.lit(0))
-    return out.select(
-        "asset", "cell_id", "window_name", "split_index", F.when(F.col("window_name") == "in", F.col("split_index")).otherwise(F.col("n") - F.col("split_index")).cast("int").alias("n_bars"),
-        value(equity).alias("final_equity"), value(equity / start_usd - 1).alias("total_return"), value(F.when(F.col("s.marks") > 0, F.col("s.drawdown"))).alias("max_drawdown"),
-        F.coalesce(F.col("s.trades"), F.lit(0)).alias("n_trades"), trips.alias("n_round_trips"), F.when(trips > 0, F.col("s.wins") / trips).alias("win_rate"),
-        (trips < 10).alias("weak_evidence"), F.coalesce(F.col("s.held"), F.lit(False)).alias("open_at_end"), F.col("s.error").alias("error"),
+    rows = featured.withColumns({"split": split, "price": micro(nxt), "dear": micro(nxt * (1 + rate)), "cheap": micro(nxt * (1 - rate))})
+    rows = rows.withColumn("asset", F.col("asset").cast("string")).select(*fixed, *[f"{name}_{k}" for name, known, _ in looks for k in known])
+    return rows.sortWithinPartitions("asset", "bar_idx").mapInArrow(work, SWEPT)
+
+
+def walk_forward(
+    bars: DataFrame, cells: tuple[X.Params, ...] = X.GRID, share: float = 0.7, fee_bps: float = 30, slippage_bps: float = 20, start_usd: float = 10_000, block: int | None = None
+) -> DataFrame:
+    """One row per asset, cell and window, those without a decision included; never sorted by result.
+
+    ``block``: rows of an asset whose features are computed together (``X.rolling``), for assets with very many bars.
+    """
+    featured = X.with_features(bars, cells, block)
+    if block is not None:
+        featured = X.by_asset(featured)
+    s = sweep(featured, cells, share, (fee_bps + slippage_bps) / 10_000, start_usd)
+    bad = F.col("error").isNotNull()
+    value = lambda c: F.when(~bad, c)
+    trips = F.col("trips")
+    return s.select(
+        "asset", "cell_id", "window_name", "split_index", "n_bars", value(F.col("equity")).alias("final_equity"), value(F.col("equity") / start_usd - 1).alias("total_return"),
+        value(F.when(F.col("marks") > 0, F.col("drawdown"))).alias("max_drawdown"), F.col("trades").alias("n_trades"), trips.alias("n_round_trips"), F.when(trips > 0, F.col("wins") / trips).alias("win_rate"),
+        (trips < 10).alias("weak_evidence"), F.col("held").alias("open_at_end"), "error",
     )
 
 

@@ -11,11 +11,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritick.functions.helpers import exact_micro
 from veritick.functions.scalars import MICRO, QTY
+from veritick.operators.ordered import running
 
 CONFIG = {"start_micro": 10_000 * MICRO, "entry_bps": 1000, "fee_bps": 30.0, "slippage_bps": 20.0}  # fixed values
 OUT = "book_id string, run_dir string, seq int, symbol string, event string, why string, price double, micro long, qty_e9 string, cash_micro string, positions string, equity_micro string"
@@ -179,7 +180,7 @@ def audit_book(links: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def audit_book_chain(links: DataFrame, dirs: DataFrame, inputs: DataFrame) -> DataFrame:
-    """(book_id, seq, problem) of what links state about each other, the ledger's dirs and their inputs; joins by seq only.
+    """(book_id, seq, problem) of what links state about each other, the ledger's dirs and their inputs; joins by seq and one scan by blocks.
 
     Links: book_id, seq, run_dir, file, sha256, stated_dir, prev(run_dir, file, sha256), config (JSON), skipped (dirs since
     the link before, or before the first), signal_files.  ``dirs``: book_id, run_dir.  ``inputs``: book_id, run_dir, file
@@ -191,9 +192,8 @@ def audit_book_chain(links: DataFrame, dirs: DataFrame, inputs: DataFrame) -> Da
     links = links.withColumn("config", canonical_text("config"))
     before = links.select("book_id", (F.col("seq") + 1).alias("seq"), F.struct("run_dir", "file", "sha256").alias("__prev"), F.col("config").alias("__config"))
     real = dirs.select("book_id", "run_dir").distinct()
-    at = Window.partitionBy("book_id").orderBy("run_dir").rowsBetween(Window.unboundedPreceding, -1)
     books = links.select("book_id", "run_dir", "seq")
-    placed = real.join(books, ["book_id", "run_dir"], "left").withColumn("__after", F.coalesce(F.max("seq").over(at), F.lit(0)))
+    placed = running(real.join(books, ["book_id", "run_dir"], "left"), "book_id", "run_dir", __after=("max", F.col("seq"))).withColumn("__after", F.coalesce("__after", F.lit(0)))
     between = placed.where("seq is null").groupBy("book_id", (F.col("__after") + 1).alias("seq")).agg(F.array_sort(F.collect_list("run_dir")).alias("__skipped"))
     there = real.withColumn("__there", F.lit(True))
     files = inputs.groupBy("book_id", "run_dir").agg(F.array_sort(F.collect_list("file")).alias("__files"))

@@ -1,7 +1,11 @@
 """Rolling features and decisions: windows of rows per asset, all sharing one partitioning by asset.
 
-``bars`` has asset, t_ms, close; one row per asset and time.  A window of N means N rows, never N days.  Partitions are
-whole histories of daily bars, so that ticks must be reduced to bars first (``ingest.normalize_candles``).
+``bars`` has asset, t_ms, close; one row per asset and time.  A window of N means N rows, never N days.
+
+``rolling`` gives the features of any number of look-backs from one table of exact running sums: each is a difference of
+two of its rows, so that a further look-back costs a lag and not a window.  Its partitions are whole histories, which
+suits daily bars; with ``block`` they are stretches of that many rows with a halo of the longest look-back before them,
+so that a single asset of many ticks fills all tasks.  ``z_score`` and ``annualized_vol`` are the same as window functions.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritick.functions import scalars as S
+from veritick.operators.ordered import running, with_halo
 
 YEAR = 365.0
 
@@ -94,13 +99,76 @@ def by_asset(df: DataFrame) -> DataFrame:
     return df.repartition(n, "asset")
 
 
-def with_features(bars: DataFrame, cells: tuple[Params, ...] = (Params(),)) -> DataFrame:
-    """bar_idx and one column per distinct look-back of the cells: ret_L, z_N, vol_N."""
-    df = with_log_return(with_bar_index(by_asset(bars)))
-    wanted = {f"ret_{c.momentum}": period_return(c.momentum) for c in cells}
-    wanted |= {f"z_{c.z_window}": z_score(c.z_window) for c in cells}
-    wanted |= {f"vol_{c.vol_window}": annualized_vol(c.vol_window) for c in cells}
-    return df.withColumns(wanted)
+EXACT = "decimal(38,0)"
+DIGITS, LOG_UNIT = 14, 1e14  # closes are counted in units of 1e-14 of the greatest of a partition, log returns in 1e-14
+
+
+def prefix_sums(df: DataFrame, *part: str) -> DataFrame:
+    """Adds ``log_return``, ``units`` and ``sums``: exact sums over the rows before this one, by ``part`` in order of t_ms.
+
+    units: the close as an integer. sums: closes (n, s, q: number, units, their squares), log returns (m, r, p) and bad
+    closes (not positive). Integers keep differences of two rows exact, where floating sums would cancel; a look-back of
+    up to 10,000 rows cannot overflow them. Closes that are not finite count as missing.
+    """
+    w = Window.partitionBy(*part).orderBy("t_ms")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    close, before = S.finite("close"), S.finite(F.lag("close").over(w))
+    top = F.max(F.abs(close)).over(Window.partitionBy(*part))
+    digits = F.when(top > 0, DIGITS - F.ceil(F.log10(top))).otherwise(0).cast("double")
+    df = df.withColumn("log_return", F.when((before > 0) & (close > 0), F.ln(close / before)))
+    df = df.withColumn("units", F.round(close * F.pow(F.lit(10.0), digits)).cast(EXACT))
+    turned = F.round(F.col("log_return") * F.lit(LOG_UNIT)).cast(EXACT)
+    so_far = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0).cast(EXACT))
+    square = lambda c: (c * c).cast(EXACT)
+    counted = lambda c: F.coalesce(F.count_if(c).over(earlier), F.lit(0))
+    parts = {"n": counted(close.isNotNull()), "s": so_far(F.col("units")), "q": so_far(square(F.col("units"))), "m": counted(F.col("log_return").isNotNull()), "r": so_far(turned), "p": so_far(square(turned)), "bad": counted(close <= 0)}
+    return df.withColumn("sums", F.struct(*[v.alias(k) for k, v in parts.items()]))
+
+
+def _spread(n: Column, total: Column, squares: Column) -> Column:
+    """n times the population deviation of n integers, from their exact sums."""
+    return F.sqrt(((n * squares).cast(EXACT) - (total * total).cast(EXACT)).cast("double"))
+
+
+def rolling(bars: DataFrame, ret: set[int] = frozenset(), z: set[int] = frozenset(), vol: set[int] = frozenset(), block: int | None = None) -> DataFrame:
+    """``bars`` with bar_idx, n (bars of the asset), next_close, next_t_ms, log_return and ret_L, z_N, vol_N for the look-backs asked for."""
+    deep = max([1, *ret, *z, *(v + 1 for v in vol)])
+    if block is None:
+        part, df = ("asset",), by_asset(bars)
+        w = Window.partitionBy("asset")
+        df = df.withColumns({"bar_idx": F.row_number().over(w.orderBy("t_ms")) - 1, "n": F.count("*").over(w)})
+    else:
+        part, df = ("asset", "block"), with_halo(bars, "asset", "t_ms", block, deep + 1, 1).withColumnRenamed("idx", "bar_idx")
+    df = prefix_sums(df, *part)
+    w = Window.partitionBy(*part).orderBy("t_ms")
+    steps = {f"__next_{c}": F.lead(c).over(w) for c in ("close", "t_ms")}
+    steps |= {f"__sums_{k}": F.lag("sums", k).over(w) for k in {*z, *(v - 1 for v in vol), *vol} if k} | {"__sums_0": F.col("sums")}
+    steps |= {f"__close_{k}": F.lag("close", k).over(w) for k in ret}
+    df = df.withColumns(steps)
+    idx, now, close = F.col("bar_idx"), F.col("sums"), S.finite("close")
+    found = {f"ret_{k}": F.when((F.col(f"__close_{k}") > 0) & close.isNotNull(), close / F.col(f"__close_{k}") - 1) for k in ret}
+    for k in z:
+        past = F.col(f"__sums_{k}")
+        n, s, q = (now[x] - past[x] for x in ("n", "s", "q"))
+        spread = _spread(n, s, q)
+        found[f"z_{k}"] = F.when((idx >= k) & (n >= 2) & (spread > 0), ((F.col("units") * n).cast(EXACT) - s).cast("double") / spread)
+    turned = F.coalesce(F.round(F.col("log_return") * F.lit(LOG_UNIT)).cast(EXACT), F.lit(0).cast(EXACT))
+    for k in vol:
+        past, zero = F.col(f"__sums_{k - 1}"), F.lit(0).cast(EXACT)
+        gone = lambda x, past=past, k=k: F.when(idx >= k - 1, past[x]).otherwise(zero)
+        n = now["m"] + F.when(F.col("log_return").isNotNull(), 1).otherwise(0) - gone("m")
+        s, q = now["r"] + turned - gone("r"), now["p"] + (turned * turned).cast(EXACT) - gone("p")
+        bad = now["bad"] + F.when(close <= 0, 1).otherwise(0) - F.when(idx >= k, F.col(f"__sums_{k}")["bad"]).otherwise(0)
+        found[f"vol_{k}"] = F.when((bad == 0) & (n >= 2), _spread(n, s, q) / n / F.lit(LOG_UNIT) * F.sqrt(F.lit(YEAR)))
+    df = df.withColumns(found | {"next_close": F.col("__next_close"), "next_t_ms": F.col("__next_t_ms")})
+    if block is not None:
+        df = df.where("own").drop("own", "block")
+    return df.drop(*steps, "sums", "units")
+
+
+def with_features(bars: DataFrame, cells: tuple[Params, ...] = (Params(),), block: int | None = None) -> DataFrame:
+    """``rolling`` with one column per distinct look-back of the cells: ret_L, z_N, vol_N."""
+    return rolling(bars, {c.momentum for c in cells}, {c.z_window for c in cells}, {c.vol_window for c in cells}, block)
 
 
 def of_cell(c: Params) -> tuple[Column, Column, Column]:
@@ -130,10 +198,10 @@ def with_scores(df: DataFrame, ret: Column, z: Column, vol: Column, n_obs: Colum
     return df.withColumns(parts).withColumn("conviction", S.cap_trust(mean))
 
 
-def with_decision(bars: DataFrame, p: Params = Params()) -> DataFrame:
+def with_decision(bars: DataFrame, p: Params = Params(), block: int | None = None) -> DataFrame:
     """Features, scores and action of every bar under one cell."""
     ret, z, vol = of_cell(p)
-    df = with_scores(with_features(bars, (p,)), ret, z, vol, F.col("bar_idx"), F.lit(p.momentum), F.lit(p.z_entry))
+    df = with_scores(with_features(bars, (p,), block), ret, z, vol, F.col("bar_idx"), F.lit(p.momentum), F.lit(p.z_entry))
     return df.withColumn("action", action(ret, z, vol, p.z_entry))
 
 
@@ -143,20 +211,33 @@ def with_next_fill(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumns({"next_close": F.lead("close").over(w), "next_t_ms": F.lead("t_ms").over(w)})
 
 
-def with_position(df: DataFrame, *keys: str) -> DataFrame:
-    """Adds position (LONG or FLAT after the bar's decision) and traded (BUY, SELL or null)."""
-    w = Window.partitionBy("asset", *keys).orderBy("t_ms")
+def with_position(df: DataFrame, *keys: str, block: int | None = None) -> DataFrame:
+    """Adds position (LONG or FLAT after the bar's decision) and traded (BUY, SELL or null).
+
+    With ``block``, the last decision to move is carried from block to block of that many bars (``ordered.running``), so
+    that one asset need not fit a task.
+    """
     move = F.when(F.col("action").isin("ENTER_LONG", "EXIT_LONG"), F.col("action"))
-    state = F.when(F.last(move, ignorenulls=True).over(w) == "ENTER_LONG", "LONG").otherwise("FLAT")
-    df = df.withColumn("position", state)
-    was = F.coalesce(F.lag("position").over(w), F.lit("FLAT"))
-    return df.withColumn("traded", F.when((was == "FLAT") & (F.col("position") == "LONG"), "BUY").when((was == "LONG") & (F.col("position") == "FLAT"), "SELL"))
+    if block is None:
+        w = Window.partitionBy("asset", *keys).orderBy("t_ms")
+        last = lambda upto: F.last(move, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, upto))
+        df = df.withColumns({"__now": last(0), "__was": last(-1)})
+    else:
+        df = running(df.withColumn("__key", F.struct("asset", *keys)), "__key", "t_ms", block, __now=("last", move), __was=("last", move, -1)).drop("__key", "idx", "n")
+    now, was = F.coalesce(F.col("__now") == "ENTER_LONG", F.lit(False)), F.coalesce(F.col("__was") == "ENTER_LONG", F.lit(False))
+    return df.withColumns({"position": F.when(now, "LONG").otherwise("FLAT"), "traded": F.when(~was & now, "BUY").when(was & ~now, "SELL")}).drop("__now", "__was")
 
 
-def max_drawdown(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Per asset and keys, the largest fall from a running peak, as a share of it; null without values."""
-    w = Window.partitionBy("asset", *keys).orderBy("t_ms").rowsBetween(Window.unboundedPreceding, 0)
-    peaks = df.withColumn("__peak", F.max(value).over(w))
+def max_drawdown(df: DataFrame, value: str, *keys: str, block: int | None = None) -> DataFrame:
+    """Per asset and keys, the largest fall from a running peak, as a share of it; null without values.
+
+    With ``block``, peaks are carried from block to block.
+    """
+    if block is None:
+        w = Window.partitionBy("asset", *keys).orderBy("t_ms").rowsBetween(Window.unboundedPreceding, 0)
+        peaks = df.withColumn("__peak", F.max(value).over(w))
+    else:
+        peaks = running(df.withColumn("__key", F.struct("asset", *keys)), "__key", "t_ms", block, __peak=("max", F.col(value)))
     fall = F.when(F.col("__peak") > 0, (F.col("__peak") - F.col(value)) / F.col("__peak"))
     return peaks.groupBy("asset", *keys).agg(F.when(F.count(value) > 0, F.greatest(F.max(fall), F.lit(0.0))).alias("max_drawdown"))
 

@@ -6,9 +6,11 @@ ledger is spread over all tasks as well.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritick.operators.ordered import running
+
 
 def problems(df: DataFrame, keys: list[str], **checks: Column) -> DataFrame:
     """One row per failed check: the keys and the problem's name. A null condition counts as failed."""
@@ -92,12 +94,11 @@ def chain_coverage(links: DataFrame) -> DataFrame:
 def skipped_run_dirs(books: DataFrame, dirs: DataFrame) -> DataFrame:
     """(ledger, run_dir, after_seq): dirs strictly between consecutive books; after_seq null: before the first one.
 
-    Each dir takes the last book dir before it, by one scan over both; no theta join. Dirs after the last book are not
-    skipped yet.
+    Each dir takes the last book dir before it, by one segmented scan over both; no theta join, and no ledger in one task.
+    Dirs after the last book are not skipped yet.
     """
-    w = Window.partitionBy("ledger").orderBy("run_dir")
     rows = dirs.select("ledger", "run_dir").distinct().join(books.select("ledger", "run_dir", "seq"), ["ledger", "run_dir"], "left")
-    rows = rows.withColumn("after_seq", F.last("seq", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = running(rows, "ledger", "run_dir", after_seq=("last", F.col("seq")))
     newest = books.where("seq is not null").groupBy("ledger").agg(F.max("run_dir").alias("__newest"))
     return rows.join(newest, "ledger").where("seq is null and run_dir < __newest").select("ledger", "run_dir", "after_seq")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritick.session import cut
@@ -34,6 +34,58 @@ def with_previous(df: DataFrame, key: str, order: str, take: list[str], into: st
     return both.withColumn(into, F.when(F.col("__nth") == 1, F.col("__carried")).otherwise(F.col(into))).drop("__range", "__nth", "__r", "__k", "__carried")
 
 
+def positions(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Adds ``idx``, the place from 0 of a row within ``key`` (nulls first; a null key is a key), and ``n``, the rows of the key.
+
+    Rows are counted by range and key; only these counts meet in a window by key, so that one key fills as many tasks as
+    it needs. Rows of equal order stand in no fixed order, but one that stays.
+    """
+    rows = ranges(df.drop("idx", "n"), key, order).withColumn("__at", F.monotonically_increasing_id())
+    starts = rows.groupBy("__range", key).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    w = Window.partitionBy(key)
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.select(F.col("__range").alias("__r"), F.col(key).alias("__k"), (F.col("__first") - before).alias("__shift"), F.sum("__n").over(w).alias("n"))
+    both = rows.join(starts, (F.col("__range") == F.col("__r")) & F.col(key).eqNullSafe(F.col("__k")))
+    return both.withColumn("idx", F.col("__at") - F.col("__shift")).drop("__range", "__r", "__k", "__at", "__shift")
+
+
+def with_halo(df: DataFrame, key: str, order: str, size: int, halo: int, after: int = 0) -> DataFrame:
+    """Rows in blocks of ``size`` neighbours of a key, each with the ``halo`` rows before it and the ``after`` rows behind it.
+
+    Adds idx, n, block and ``own`` (false for the copies from the blocks beside). A window by (key, block) ordered by idx
+    that looks back no more than ``halo`` rows is right for all own rows, however long a key is.
+    """
+    if not 0 <= max(halo, after) <= size:
+        raise ValueError("a halo comes from the next block alone")
+    at, block = F.col("idx") % size, F.floor(F.col("idx") / size)
+    place = lambda b, own: F.struct(b.cast("long").alias("block"), F.lit(own).alias("own"))
+    spots = F.array_compact(F.array(place(block, True), F.when(at >= size - halo, place(block + 1, False)), F.when((at < after) & (block > 0), place(block - 1, False))))
+    return positions(df, key, order).select("*", F.inline(spots))
+
+
+JOINED = {"max": F.greatest, "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "last": lambda a, b: F.coalesce(b, a)}  # of what comes before and what is here
+
+
+def running(df: DataFrame, key: str, order: str, size: int = 65_536, **scans: tuple) -> DataFrame:
+    """Adds running aggregates within ``key`` in ``order``: name=(kind, value), or (kind, value, -1) for the rows before this one.
+
+    kind is max, sum or last (of those not null). A segmented scan: blocks of ``size`` neighbours are scanned by themselves,
+    and the totals of the blocks before (one row a block and key) are carried in. Adds idx and n as well.
+    """
+    kinds = {x: s[0] for x, s in scans.items()}
+    rows = positions(df.withColumns({f"__v_{x}": s[1] for x, s in scans.items()}), key, order).withColumn("__block", F.floor(F.col("idx") / size))
+    w = Window.partitionBy(key, "__block").orderBy("idx")
+    here = {"max": F.max, "sum": F.sum, "last": lambda c: F.last(c, ignorenulls=True)}
+    total = {"max": F.max, "sum": F.sum, "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("idx")))}
+    local = rows.withColumns({x: here[s[0]](f"__v_{x}").over(w.rowsBetween(Window.unboundedPreceding, s[2] if len(s) > 2 else 0)) for x, s in scans.items()})
+    totals = rows.groupBy(key, "__block").agg(*[total[k](f"__v_{x}").alias(f"__v_{x}") for x, k in kinds.items()])
+    earlier = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(F.col(key).alias("__k"), F.col("__block").alias("__b"), *[here[k](f"__v_{x}").over(earlier).alias(f"__c_{x}") for x, k in kinds.items()])
+    both = local.join(carried, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__block") == F.col("__b")))
+    out = both.withColumns({x: JOINED[k](F.col(f"__c_{x}"), F.col(x)) for x, k in kinds.items()})
+    return out.drop("__block", "__k", "__b", *[f"{p}_{x}" for x in scans for p in ("__v", "__c")])
+
+
 def exact_median(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, median): exact, of the non-null values of few keys, however many values each has.
 

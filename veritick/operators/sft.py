@@ -22,7 +22,7 @@ STATUS = "Conjecture 1 (advisory)"
 
 def cell_decisions(bars: DataFrame, cells: tuple[X.Params, ...] = X.GRID) -> DataFrame:
     """Every bar of every cell with evidence, scores and action: (asset, cell_id, bar_idx, t_ms, warmup, n, params, ...)."""
-    df = X.with_features(bars, cells).withColumn("n", F.count("*").over(Window.partitionBy("asset")))
+    df = X.with_features(bars, cells)
     options = []
     for i, c in enumerate(cells):
         ret, z, vol = X.of_cell(c)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veritick.operators import features as X
 from veritick.operators import gates as G
 from veritick.plans.base import Plans, r
+from veritick.session import table
 from veritick.sources import proxy
 
 P = Plans()
@@ -52,9 +53,45 @@ P.add(
     "mean_std", mean_std,
     sql(f"CASE WHEN count(*) OVER w >= 2 THEN round(avg(close) OVER w, 6) END AS mean, CASE WHEN count(*) OVER w >= 2 THEN round(stddev_pop(close) OVER w, 6) END AS std", "bars", f"WINDOW w AS ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"),
 )
-P.add("z_score", lambda s, d: proxy.bars(s, d).select(*KEY, r(X.z_score(20)).alias("z")), sql("round(z, 6) AS z", "feat"))
+P.add("z_score", lambda s, d: X.rolling(proxy.bars(s, d), z={20}).select(*KEY, r("z_20").alias("z")), sql("round(z, 6) AS z", "feat"))
 P.add("log_returns", lambda s, d: X.with_log_return(proxy.bars(s, d)).select(*KEY, r("log_return").alias("log_return")), sql("round(log_return, 6) AS log_return", "lr"))
-P.add("annualized_vol", lambda s, d: X.with_log_return(proxy.bars(s, d)).select(*KEY, r(X.annualized_vol(30)).alias("vol")), sql("round(vol, 6) AS vol", "feat"))
+P.add("annualized_vol", lambda s, d: X.rolling(proxy.bars(s, d), vol={30}).select(*KEY, r("vol_30").alias("vol")), sql("round(vol, 6) AS vol", "feat"))
+
+# A few series of very many rows: order totals by status in order of their key, in blocks of 512 rows with a halo.
+BLOCK = 512
+LONG = """raw_bars AS (SELECT o_orderstatus AS asset, o_orderkey::BIGINT AS t_ms, o_totalprice AS close FROM orders),
+bars AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t_ms) - 1 AS bar_idx FROM raw_bars)"""
+
+
+def long_series(s, d):
+    return table(s, d, "orders").select(F.col("o_orderstatus").alias("asset"), F.col("o_orderkey").cast("long").alias("t_ms"), F.col("o_totalprice").alias("close"))
+
+
+def rolling_in_blocks(s, d):
+    got = X.rolling(long_series(s, d), {28}, {20}, {30}, BLOCK)
+    return got.select(*KEY, F.col("bar_idx").cast("long").alias("bar_idx"), F.col("n").alias("n"), r("ret_28").alias("ret"), r("z_20").alias("z"), r("vol_30").alias("vol"), "next_close")
+
+
+P.add(
+    "rolling_in_blocks", rolling_in_blocks,
+    f"""WITH {FEATURES.replace(proxy.BARS, LONG)} SELECT asset, t_ms, bar_idx, count(*) OVER (PARTITION BY asset) AS n, round(ret, 6) AS ret, round(z, 6) AS z, round(vol, 6) AS vol, lead(close) OVER ({W}) AS next_close FROM feat""",
+)
+
+
+def long_drawdown(s, d):
+    decided = X.with_decision(long_series(s, d), DEFAULT, BLOCK)
+    placed = X.with_position(decided, block=BLOCK).where("traded is not null").groupBy("asset").agg(F.count_if(F.col("traded") == "BUY").alias("buys"), F.count_if(F.col("traded") == "SELL").alias("sells"))
+    return X.max_drawdown(long_series(s, d), "close", block=BLOCK).join(placed, "asset", "left").select("asset", r("max_drawdown").alias("max_drawdown"), "buys", "sells")
+
+
+P.add(
+    "scans_in_blocks", long_drawdown,
+    f"""WITH {FEATURES.replace(proxy.BARS, LONG)},
+    placed AS (SELECT *, CASE WHEN last_value(CASE WHEN action IN ('ENTER_LONG', 'EXIT_LONG') THEN action END IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 'ENTER_LONG' THEN 1 ELSE 0 END AS held,
+      max(close) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM decided),
+    moved AS (SELECT *, held - coalesce(lag(held) OVER ({W}), 0) AS move FROM placed)
+    SELECT asset, round(max((peak - close) / peak), 6) AS max_drawdown, nullif(count(*) FILTER (move = 1), 0) AS buys, CASE WHEN count(*) FILTER (move = 1) > 0 THEN count(*) FILTER (move = -1) END AS sells FROM moved GROUP BY asset""",
+)
 P.add(
     "signal_scores", lambda s, d: decided(s, d).select(*KEY, *[r(c).alias(c) for c in ("momentum", "reversion", "sample", "conviction")]),
     sql("round(momentum, 6) AS momentum, round(reversion, 6) AS reversion, round(sample, 6) AS sample, round(conviction, 6) AS conviction"),
@@ -73,11 +110,11 @@ P.add("next_bar_fill", lambda s, d: X.with_next_fill(proxy.bars(s, d)).select(*K
 POSITION = f"""(SELECT *, CASE WHEN last_value(CASE WHEN action IN ('ENTER_LONG', 'EXIT_LONG') THEN action END IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
   = 'ENTER_LONG' THEN 'LONG' ELSE 'FLAT' END AS position FROM decided)"""
 P.add(
-    "position_state", lambda s, d: X.with_position(decided(s, d)).select(*KEY, "position", "traded"),
+    "position_state", lambda s, d: X.with_position(decided(s, d), block=4096).select(*KEY, "position", "traded"),
     sql(f"position, CASE WHEN coalesce(lag(position) OVER ({W}), 'FLAT') = 'FLAT' AND position = 'LONG' THEN 'BUY' WHEN lag(position) OVER ({W}) = 'LONG' AND position = 'FLAT' THEN 'SELL' END AS traded", POSITION),
 )
 P.add(
-    "max_drawdown", lambda s, d: X.max_drawdown(proxy.bars(s, d), "close").select("asset", r("max_drawdown").alias("max_drawdown")),
+    "max_drawdown", lambda s, d: X.max_drawdown(proxy.bars(s, d), "close", block=4096).select("asset", r("max_drawdown").alias("max_drawdown")),
     f"WITH {proxy.BARS} SELECT asset, round(max((peak - close) / peak), 6) AS max_drawdown FROM (SELECT *, max(close) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM bars) GROUP BY asset",
 )
 P.add(

@@ -16,29 +16,29 @@ W = "PARTITION BY asset ORDER BY t_ms"
 CELL = ("asset", "cell_id", "window_name")
 
 
-def _features() -> str:
-    ret = ",\n".join(f"CASE WHEN lag(close, {n}) OVER ({W}) > 0 THEN close / lag(close, {n}) OVER ({W}) - 1 END AS ret_{n}" for n in (14, 28, 56))
-    z = ",\n".join(f"CASE WHEN bar_idx >= {n} AND max(close) OVER z{n} > min(close) OVER z{n} THEN (close - avg(close) OVER z{n}) / stddev_pop(close) OVER z{n} END AS z_{n}" for n in (10, 20, 30))
-    frames = ", ".join(f"z{n} AS ({W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (10, 20, 30))
-    return f"""{proxy.BARS},
+def _features(grid=X.GRID, bars: str = proxy.BARS) -> str:
+    looks = lambda name: sorted({getattr(c, name) for c in grid})
+    ret = ",\n".join(f"CASE WHEN lag(close, {n}) OVER ({W}) > 0 THEN close / lag(close, {n}) OVER ({W}) - 1 END AS ret_{n}" for n in looks("momentum"))
+    z = ",\n".join(f"CASE WHEN bar_idx >= {n} AND max(close) OVER z{n} > min(close) OVER z{n} THEN (close - avg(close) OVER z{n}) / stddev_pop(close) OVER z{n} END AS z_{n}" for n in looks("z_window"))
+    vol = ",\n".join(f"CASE WHEN count(log_return) OVER v{n} >= 2 AND min(close) OVER u{n} > 0 THEN stddev_pop(log_return) OVER v{n} * sqrt(365) END AS vol_{n}" for n in looks("vol_window"))
+    frames = [f"z{n} AS ({W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in looks("z_window")]
+    frames += [f"v{n} AS ({W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), u{n} AS ({W} ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)" for n in looks("vol_window")]
+    return f"""{bars},
 lr AS (SELECT *, CASE WHEN lag(close) OVER ({W}) > 0 AND close > 0 THEN ln(close / lag(close) OVER ({W})) END AS log_return FROM bars),
-feat AS (SELECT *, {ret}, {z},
-  CASE WHEN count(log_return) OVER v >= 2 AND min(close) OVER v1 > 0 THEN stddev_pop(log_return) OVER v * sqrt(365) END AS vol
-  FROM lr WINDOW {frames}, v AS ({W} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), v1 AS ({W} ROWS BETWEEN 30 PRECEDING AND CURRENT ROW))"""
+feat AS (SELECT *, {ret}, {z}, {vol} FROM lr WINDOW {", ".join(frames)})"""
 
 
-def _cells() -> str:
+def _cells(grid=X.GRID) -> str:
     """All bars of all cells, with the cell's features."""
     parts = [
-        f"SELECT asset, t_ms, close, bar_idx, count(*) OVER (PARTITION BY asset) AS n, {i} AS cell_id, {c.warmup} AS warmup, {c.momentum} AS momentum, {c.z_entry}::DOUBLE AS z_entry, ret_{c.momentum} AS ret, z_{c.z_window} AS z, vol FROM feat"
-        for i, c in enumerate(X.GRID)
+        f"SELECT asset, t_ms, close, bar_idx, count(*) OVER (PARTITION BY asset) AS n, {i} AS cell_id, {c.warmup} AS warmup, {c.momentum} AS momentum, {c.z_entry}::DOUBLE AS z_entry, ret_{c.momentum} AS ret, z_{c.z_window} AS z, vol_{c.vol_window} AS vol FROM feat"
+        for i, c in enumerate(grid)
     ]
     action = "CASE WHEN ret IS NULL OR z IS NULL OR vol IS NULL THEN 'ABSTAIN' WHEN ret > 0 AND (z <= -z_entry OR abs(z) < z_entry) THEN 'ENTER_LONG' WHEN z >= 0 AND ret <= 0 THEN 'EXIT_LONG' ELSE 'HOLD' END AS action"
     return f"cells AS (SELECT *, {action} FROM ({' UNION ALL '.join(parts)}))"
 
 
-BASE = f"WITH RECURSIVE {_features()}, {_cells()}"
-EXPANDED = f"""{BASE},
+EXPANSION = """
 expanded AS (SELECT asset, t_ms, close, bar_idx, cell_id, 'in' AS window_name, bar_idx AS rel, floor(n * 0.7)::INT AS n_window, warmup, action FROM cells WHERE bar_idx < floor(n * 0.7)
   UNION ALL SELECT asset, t_ms, close, bar_idx, cell_id, 'out', bar_idx - s, n - s, warmup, action FROM (SELECT *, greatest(floor(n * 0.7)::INT - 60, 0) AS s FROM cells) WHERE bar_idx >= s),
 steps AS (SELECT * FROM (SELECT *, lead(close) OVER w AS next_close, lead(t_ms) OVER w AS next_t_ms FROM expanded WINDOW w AS (PARTITION BY asset, cell_id, window_name ORDER BY t_ms))
@@ -47,8 +47,10 @@ placed AS (SELECT *, CASE WHEN last_value(CASE WHEN action IN ('ENTER_LONG', 'EX
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 'ENTER_LONG' THEN 'LONG' ELSE 'FLAT' END AS position FROM steps),
 moves AS (SELECT *, CASE WHEN was = 'FLAT' AND position = 'LONG' THEN 'BUY' WHEN was = 'LONG' AND position = 'FLAT' THEN 'SELL' END AS side FROM
   (SELECT *, coalesce(lag(position) OVER (PARTITION BY asset, cell_id, window_name ORDER BY t_ms), 'FLAT') AS was FROM placed))"""
+BASE = f"WITH RECURSIVE {_features()}, {_cells()}"
+EXPANDED = f"{BASE},{EXPANSION}"
 MICRO = "(round(({})::VARCHAR::DECIMAL(38, 15), 6) * 1000000)::HUGEINT"
-WALK = f"""{EXPANDED},
+REPLAY = f"""
 trades AS (SELECT *, row_number() OVER (PARTITION BY asset, cell_id, window_name ORDER BY t_ms) AS k FROM moves WHERE side IS NOT NULL),
 fold AS (
   SELECT DISTINCT asset, cell_id, window_name, 0::BIGINT AS k, 10000000000::HUGEINT AS cash, 0::HUGEINT AS qty, 0::DOUBLE AS bought, 0 AS n_trades, 0 AS trips, 0 AS wins FROM steps
@@ -69,10 +71,13 @@ SELECT asset, cell_id, window_name, floor(n * 0.7)::INT AS split_index, CASE WHE
   coalesce(round(equity, 6), 10000) AS final_equity, coalesce(equity, 10000) / 10000 - 1 AS total_return, round(max_drawdown, 9) AS max_drawdown, coalesce(n_trades, 0) AS n_trades,
   coalesce(trips, 0) AS n_round_trips, CASE WHEN trips > 0 THEN round(wins / trips, 6) END AS win_rate, coalesce(trips, 0) < 10 AS weak_evidence, coalesce(n_trades, 0) % 2 = 1 AS open_at_end
 FROM groups LEFT JOIN drawn USING (asset, cell_id, window_name) LEFT JOIN ends USING (asset, cell_id, window_name)"""
+WALK = f"{EXPANDED},{REPLAY}"
+# A hundred cells: five look-backs of momentum, five of the mean, two of the deviation, two thresholds.
+WIDE = tuple(X.Params(m, z, e, v) for m in (7, 14, 28, 42, 56) for z in (10, 15, 20, 25, 30) for v in (20, 30) for e in (1.0, 1.5))
 
 
-def walk_forward(s, d):
-    got = B.walk_forward(proxy.bars(s, d)).drop("error")
+def walk_forward(s, d, cells=X.GRID):
+    got = B.walk_forward(proxy.bars(s, d), cells).drop("error")
     return got.withColumns({"final_equity": r("final_equity"), "max_drawdown": r("max_drawdown", 9), "win_rate": r("win_rate")})
 
 
@@ -81,6 +86,7 @@ def steps(s, d):
 
 
 P.add("walk_forward", walk_forward, WALK)
+P.add("walk_forward_grid", lambda s, d: walk_forward(s, d, WIDE), f"WITH RECURSIVE {_features(WIDE)}, {_cells(WIDE)},{EXPANSION},{REPLAY}")
 P.add("grid_expand", lambda s, d: B.grid_expand(proxy.bars(s, d)).select(*CELL, "t_ms", "rel", "n_window", "action"), f"{EXPANDED} SELECT asset, cell_id, window_name, t_ms, rel, n_window, action FROM expanded")
 P.add(
     "trade_list", lambda s, d: B.trade_list(steps(s, d)),
