@@ -28,6 +28,16 @@ def _right(x: Column, by: Column | int) -> Column:
     return F.call_function("shiftright", x, by if isinstance(by, Column) else F.lit(by))
 
 
+def _paired(name: str) -> Column:
+    """Hashes of the neighbours two by two; one without a neighbour is left out."""
+    return F.array_compact(F.transform(name, lambda x, p: F.when(p % 2 == 0, S.node_hash(x, F.get(F.col(name), p + 1)))))
+
+
+def _placed(name: str, level: int, start: Column) -> Column:
+    """Rows of the hashes of one level of a tile whose first is number ``start``."""
+    return F.transform(name, lambda x, p: F.struct(F.lit(level).alias("level"), (start + p).alias("i"), x.alias("hash")))
+
+
 def tile_table(leaves: DataFrame, height: int = HEIGHT) -> DataFrame:
     """(log, level, i, hash): every perfect subtree of every log. Raises where places are missing or taken twice."""
     now = cut(leaves.select("log", F.lit(0).alias("level"), F.col("idx").cast("long").alias("i"), F.col("leaf_hash").alias("hash")))
@@ -40,10 +50,8 @@ def tile_table(leaves: DataFrame, height: int = HEIGHT) -> DataFrame:
         tile = now.groupBy("log", _right(F.col("i"), height).alias("t")).agg(F.array_sort(F.collect_list(F.struct("i", "hash"))).alias("x"))
         tile = tile.select("log", "t", F.transform("x", lambda x: x["hash"]).alias("h0"))
         for k in range(height):
-            below = F.col(f"h{k}")
-            pairs = F.transform(below, lambda x, p, below=below: F.when(p % 2 == 0, S.node_hash(x, F.get(below, p + 1))))
-            tile = tile.withColumn(f"h{k + 1}", F.array_compact(pairs))
-        made = [F.transform(f"h{k}", lambda x, p, k=k: F.struct(F.lit(level + k).alias("level"), (_left(F.col("t"), height - k) + p).alias("i"), x.alias("hash"))) for k in range(1, height + 1)]
+            tile = tile.withColumn(f"h{k + 1}", _paired(f"h{k}"))
+        made = [_placed(f"h{k}", level + k, _left(F.col("t"), height - k)) for k in range(1, height + 1)]
         rows = cut(tile.select("log", F.inline(F.flatten(F.array(*made)))))
         level += height
         table, now = table.unionByName(rows), rows.where(F.col("level") == level)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritick.plans import feature_plans, ledger_plans, replay_plans, scalar_plans
+from veritick.plans import feature_plans, ledger_plans, merkle_plans, replay_plans, scalar_plans
 
 FLAGSHIP = "walk_forward"
-MODULES = (scalar_plans, feature_plans, replay_plans, ledger_plans)
+MODULES = (scalar_plans, feature_plans, replay_plans, ledger_plans, merkle_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
