@@ -269,18 +269,6 @@ def test_ordered_steps(spark):
     assert ordered.exact_median(values.limit(0), "h", "v").count() == 0
 
 
-def test_book_stream_keeps_its_number_between_batches(spark, tmp_path):
-    from veritick.streaming import jobs
-
-    schema = "book_id string, run_dir string, pos long, symbol string, action string, verdict string, price_usd double"
-    for batch in (1, 2):
-        rows = [("b", f"r{batch}{k}", 1, "A", "HOLD", "ALLOWED", 1.0) for k in range(2)]
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
-        q = jobs.paper_book(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-        q.awaitTermination()
-    assert sorted((r["run_dir"], r["seq"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("r10", 1), ("r11", 2), ("r20", 3), ("r21", 4)]
-
-
 def test_export_rows_and_ceiling(spark):
     import json
 

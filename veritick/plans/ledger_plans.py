@@ -672,15 +672,20 @@ P.add(
 
 
 def stream_book(s, d):
-    """The rows of ``book_replay`` from a stream that is stopped half-way in time and taken up again from its checkpoint."""
+    """The rows of ``book_replay`` from a stream that is stopped in the midst of a run and taken up again from its checkpoint.
+
+    Every third decision of the day before is held back until then. A last row in a book of its own lets the watermark pass.
+    """
     path, out = fresh(s, "decisions"), fresh(s, "book")
-    rows = book_rows(s, d).select("book_id", "run_dir", "pos", "symbol", "action", "verdict", "price_usd")
-    span = table(s, d, "events").agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("a"), F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("z"))
-    middle = span.select(F.date_format(F.timestamp_seconds((F.col("a") + F.col("z")) / 2), "yyyy-MM-dd")).first()[0] or ""
-    for early in (True, False):
-        rows.where((F.col("run_dir") < middle) == F.lit(early)).write.mode("append").parquet(path)
-        feed = s.readStream.schema("book_id string, run_dir string, pos bigint, symbol string, action string, verdict string, price_usd double").parquet(path)
-        q = jobs.paper_book(feed).writeStream.format("parquet").option("path", f"{out}/out").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
+    rows = book_rows(s, d).select("book_id", "run_dir", "pos", "symbol", "action", "verdict", "price_usd", F.timestamp_millis("ts_ms").alias("ts"))
+    span = rows.agg(F.unix_millis(F.min("ts")).alias("a"), F.unix_millis(F.max("ts")).alias("z")).first()
+    middle, schema = ((span["a"] or 0) + (span["z"] or 0)) // 2, rows.schema
+    at = F.unix_millis("ts")
+    first = (at < middle) & ~((at >= middle - DAY) & (F.col("pos") % 3 == 0))
+    flush = s.createDataFrame([("~", "~", 0, "~", "HOLD", "ALLOWED", 1.0)], "book_id string, run_dir string, pos bigint, symbol string, action string, verdict string, price_usd double").withColumn("ts", F.timestamp_millis(F.lit((span["z"] or 0) + 30 * DAY)))
+    for part in (rows.where(first), rows.where(~first), flush):
+        part.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]).write.mode("append").parquet(path)
+        q = jobs.paper_book(s.readStream.schema(schema).parquet(path)).writeStream.format("parquet").option("path", f"{out}/out").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
     return s.read.parquet(f"{out}/out").select(*BOOK)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from veritick.operators import book, gates
 
@@ -38,23 +40,80 @@ def refusal_census(decisions: DataFrame, length: str = "6 hours", slide: str | N
     return out.select(F.unix_millis("w.start").alias("start_ms"), F.unix_millis("w.end").alias("end_ms"), "decisions", "allowed", "blocked")
 
 
-STATE = "run string, cash string, held string, seq int"
+LATE = "LATE"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ROW = "pos bigint, symbol string, action string, verdict string, price_usd double"
 
 
-def paper_book(decisions: DataFrame) -> DataFrame:
-    """Book events as runs arrive: state per book is cash, positions, the last run and its number; runs at or before it are skipped.
+class PaperBook(StatefulProcessor):
+    """One book: the last closed run, and the rows of runs that are still open, each run with the time it was last heard of.
 
-    A run must arrive whole within one batch of its book (a run dir is written at once); late runs are not back-filled.
+    A run closes when the watermark has passed its last row; runs close in order of run dir, so that one which is still open
+    holds back those after it. Rows of a run at or before the last closed one come out as they are, with the event ``LATE``.
     """
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, cash, held, seq = state.get if state.exists else (None, str(book.CONFIG["start_micro"]), "{}", 0)
-        pdf = pd.concat(list(batches))
-        rows = [r for r in book._records(pdf) if last is None or r["run_dir"] > last]
-        events = list(book.replay_rows(iter(rows), int(cash), {k: int(v) for k, v in json.loads(held).items()}, seq=seq))
-        if events:
-            state.update((events[-1]["run_dir"], events[-1]["cash_micro"], events[-1]["positions"], events[-1]["seq"]))
-        yield pd.DataFrame(events, columns=book.COLUMNS)
-
-    rows = decisions.select("book_id", "run_dir", "pos", "symbol", "action", "verdict", F.col("price_usd").cast("double").alias("price_usd"))
-    return rows.groupBy("book_id").applyInPandasWithState(fold, book.OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.book = handle.getValueState("book", "run string, cash string, held string, seq int")
+        self.heard = handle.getMapState("heard", "run_dir string", "ms bigint")
+        self.waiting = handle.getMapState("waiting", "run_dir string, n int", ROW)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        last = self.book.get()[0] if self.book.exists() else None
+        late, counts = [], {}
+        heard = {k[0]: v[0] for k, v in self.heard.iterator()}
+        for k, _ in self.waiting.iterator():
+            counts[k[0]] = max(counts.get(k[0], 0), k[1] + 1)
+        before = dict(heard)
+        for pdf in rows:
+            for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+                run = r["run_dir"]
+                if last is not None and run <= last:
+                    late.append(dict.fromkeys(book.COLUMNS) | {"book_id": key[0], "run_dir": run, "symbol": r["symbol"], "event": LATE, "why": "run is closed", "price": r["price_usd"]})
+                    continue
+                n = counts.get(run, 0)
+                counts[run] = n + 1
+                self.waiting.updateValue((run, n), tuple(r[c] for c in ("pos", "symbol", "action", "verdict", "price_usd")))
+                heard[run] = max(heard.get(run, r["ms"]), r["ms"])
+        for run, ms in heard.items():
+            if before.get(run) != ms:
+                self.heard.updateValue((run,), (ms,))
+                self.handle.registerTimer(ms + 1)
+        if late:
+            yield pd.DataFrame(late, columns=book.COLUMNS, dtype=object)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        heard = dict(sorted((k[0], v[0]) for k, v in self.heard.iterator()))
+        ready = list(itertools.takewhile(lambda run: heard[run] < now, heard))
+        if not ready:
+            return
+        _, cash, held, seq = self.book.get() if self.book.exists() else (None, str(book.CONFIG["start_micro"]), "{}", 0)
+        rows: dict[str, list] = {run: [] for run in ready}
+        for k, v in list(self.waiting.iterator()):
+            if k[0] in rows:
+                rows[k[0]].append({"book_id": key[0], "run_dir": k[0], **dict(zip(("pos", "symbol", "action", "verdict", "price_usd"), v, strict=True))})
+                self.waiting.removeKey(k)
+        ordered = (r for run in ready for r in sorted(rows[run], key=lambda r: (r["symbol"], r["pos"])))
+        events = list(book.replay_rows(ordered, int(cash), {k: int(v) for k, v in json.loads(held).items()}, seq=seq))
+        for run in ready:
+            self.heard.removeKey((run,))
+        self.book.update((events[-1]["run_dir"], events[-1]["cash_micro"], events[-1]["positions"], events[-1]["seq"]))
+        yield pd.DataFrame(events, columns=book.COLUMNS, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def paper_book(decisions: DataFrame, ts: str = "ts", settle: str = "1 day") -> DataFrame:
+    """Book events as runs close, from (book_id, run_dir, pos, symbol, action, verdict, price_usd, ts).
+
+    A run may come in any number of batches: its rows wait as state until ``settle`` after its last row, by the watermark
+    over all books. What comes after that is not lost, but comes out with the event ``LATE`` and no place in the book.
+    Rows without symbol, run, book or time take no part. State is kept in RocksDB, which this sets for the session.
+    """
+    decisions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = decisions.withWatermark(ts, settle).where(f"symbol is not null and run_dir is not null and book_id is not null and {ts} is not null")
+    # A plain number in place of the time: rows behind the watermark must reach the processor, which tells late runs by itself.
+    rows = rows.select(F.col("book_id").cast("string").alias("book_id"), "run_dir", F.unix_millis(ts).alias("ms"), F.col("pos").cast("long").alias("pos"), "symbol", "action", "verdict", F.col("price_usd").cast("double").alias("price_usd"))
+    return rows.groupBy("book_id").transformWithStateInPandas(PaperBook(), book.OUT, "append", "eventTime")
