@@ -64,8 +64,9 @@ def test_run_pairs_is_complete_on_short_runs_and_bounded_on_long_ones():
     off = lambda x, a, b: bin(int(x[a] ^ x[b])).count("1")
     want = {(x, y) for x in range(400) for y in range(x + 1, 400) if key[x] == key[y] and off(fp, x, y) <= 5 and off(other, x, y) <= 7 and 10 * min(size[x], size[y]) >= 8 * max(size[x], size[y])}
     assert want and set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)
-    i, _ = simhash.run_pairs(np.zeros(300, np.int64), np.zeros(300, np.int64), np.zeros(300, np.int64), np.full(300, 9), 5, 7, 800)
-    assert np.bincount(i).max() == 4 and len(set(i.tolist())) == 299
+    i, j = simhash.run_pairs(np.zeros(300, np.int64), np.zeros(300, np.int64), np.zeros(300, np.int64), np.full(300, 9), 5, 7, 800)
+    assert set(i[i == j].tolist()) == set(range(300))  # all have more partners than are listed, and are marked
+    assert np.bincount(i[i != j]).max() == 4 and len(set(i[i != j].tolist())) == 299
 
 
 def test_either_fingerprint_finds_a_pair():
@@ -84,3 +85,59 @@ def test_either_fingerprint_finds_a_pair():
         total += 1
         found += min(d) <= 14 and max(d) <= 24
     assert total > 200 and found >= 0.99 * total
+
+
+def dense_corpus(share, change, pairs, seed, n=400):
+    """Texts of one template, each with words of its own; every second one a near copy of the one before. (texts, similarities)"""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(n)]
+    texts = []
+    for _ in range(pairs):
+        words = list(template)
+        for k in range(int(n * share) // 20):
+            at = rng.randrange(0, n - 20)
+            words[at : at + 20] = [f"u{rng.randrange(10**9)}" for _ in range(20)]
+        other = list(words)
+        at = rng.randrange(0, n - 20)
+        other[at : at + change] = [f"v{rng.randrange(10**9)}" for _ in range(change)]
+        texts += [" ".join(words), " ".join(other)]
+    return texts
+
+
+def test_dense_places_lose_no_links(spark):
+    """A thousand pairs of 0.9 and over among texts of 0.6 to 0.79 to each other, all of one template: links as by an exact join."""
+    for share, change, seed in ((0.05, 12, 1), (0.10, 14, 2)):
+        texts = dense_corpus(share, change, 1000, seed)
+        sets = [shingles(t) for t in texts]
+        pair = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(texts), 2)]
+        rng = random.Random(7)
+        apart = sorted(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in ((rng.randrange(2000), rng.randrange(2000)) for _ in range(300)) if i // 2 != j // 2)
+        assert min(pair) >= 0.89 and 0.5 < apart[150] < 0.8
+        print("similarity", min(pair), "among", apart[150])
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        found = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()}
+        linked = sum(found[i] == found[i + 1] for i in range(0, len(texts), 2))
+        print("linked", linked)
+        assert linked >= 990, (share, linked)
+        # no text is linked to a group without a similar one: components by brute force over rare shingles
+        for c in set(found.values()):
+            members = [i for i in found if found[i] == c]
+            if len(members) > 2:
+                for i in members:
+                    assert any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in members if j != i)
+
+
+def test_prefix_pairs_are_those_of_all_pairs():
+    rng = np.random.default_rng(3)
+    key = np.sort(np.r_[np.zeros(100, np.int64), rng.integers(1, 40, 300)])
+    x = np.stack([np.arange(400), rng.integers(0, 2**10, 400), rng.integers(0, 2**10, 400), rng.integers(80, 120, 400), rng.integers(0, 5, 400), rng.integers(0, 2, 400)], axis=1)
+    off = lambda a, b, c: bin(int(x[a, c] ^ x[b, c])).count("1")
+    want = set()
+    for i in range(400):
+        for j in range(i + 1, 400):
+            d = sorted((off(i, j, 1), off(i, j, 2)))
+            small = min((x[i, 3], i), (x[j, 3], j))[1]
+            if key[i] == key[j] and d[0] <= 4 and d[1] <= 6 and 10 * min(x[i, 3], x[j, 3]) >= 8 * max(x[i, 3], x[j, 3]) and x[i, 4] != x[j, 4] and x[small, 5]:
+                want.add((i, j))
+    i, j = simhash.prefix_pairs(key, x, 4, 6, 800)
+    assert want and set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)

@@ -260,6 +260,11 @@ def meetings(rows: DataFrame, parts: Parts, block: int) -> DataFrame:
                     yield pd.DataFrame({"part": np.int32(i), "value": np.concatenate(values).view(np.int64)} | {c: x[at] for c, x in some.items()})
 
     met = rows.mapInPandas(meet, "part int, value long, " + ", ".join(f"{c} long" for c in columns))
+    return in_blocks(met, columns, block)
+
+
+def in_blocks(met: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """(key, ``columns``) of rows that meet at (part, value); places of over ``block`` rows are dealt as pairs of blocks."""
     hot = met.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > block)
     hot = cut(hot.select("part", "value", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     at = F.col("part"), F.col("value")
@@ -338,7 +343,11 @@ def shingle_sets(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataF
 
 
 def run_pairs(key: np.ndarray, fp: np.ndarray, other: np.ndarray, size: np.ndarray, radius: int, wide: int, per_mille: int, small: int = 64, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Places of candidate pairs of equal key (sorted) whose sizes allow the similarity; of long runs the nearest later ones."""
+    """Places of candidate pairs of equal key (sorted) whose sizes allow the similarity.
+
+    Of runs over ``small``, each row's ``most`` nearest later ones; a row that has more, and every row left out, is paired
+    with itself, so that what is missing is known.
+    """
 
     def fits(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
         return 1000 * np.minimum(size[i], size[j]) >= per_mille * np.maximum(size[i], size[j])
@@ -349,6 +358,7 @@ def run_pairs(key: np.ndarray, fp: np.ndarray, other: np.ndarray, size: np.ndarr
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.r_[start, len(key)])
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    cut_off = np.zeros(len(key), bool)
     for s, n in zip(start[count > small].tolist(), count[count > small].tolist(), strict=True):
         for i in range(s, s + n - 1):
             near = i + 1 + np.flatnonzero(off(fp, i, slice(i + 1, s + n)) <= radius)
@@ -356,9 +366,14 @@ def run_pairs(key: np.ndarray, fp: np.ndarray, other: np.ndarray, size: np.ndarr
             far = off(other, i, near)
             near, far = near[far <= wide], far[far <= wide]
             if len(near) > most:
-                near = near[np.argsort(far + off(fp, i, near), kind="stable")[:most]]
+                order = np.argsort(far + off(fp, i, near), kind="stable")
+                cut_off[i] = True
+                cut_off[near[order[most:]]] = True
+                near = near[order[:most]]
             a.append(np.full(len(near), i))
             b.append(near)
+    a.append(np.flatnonzero(cut_off))
+    b.append(a[-1])
     short = np.flatnonzero(np.repeat((count > 1) & (count <= small), count))
     key = key[short]
     for d in range(1, small):
@@ -373,7 +388,10 @@ def run_pairs(key: np.ndarray, fp: np.ndarray, other: np.ndarray, size: np.ndarr
 
 
 def candidates(sets: DataFrame, radius: int, wide: int, per_mille: int, block: int = 20_000) -> DataFrame:
-    """Distinct pairs (a, b) of the distinct ``sets`` (node, fp, fp2, size) that may be similar, by either fingerprint."""
+    """Distinct pairs (a, b) of the distinct ``sets`` (node, fp, fp2, size) that may be similar, by either fingerprint.
+
+    A pair of a node with itself marks a node that has more partners than are listed (``run_pairs``).
+    """
 
     def pairs(key: np.ndarray, x: np.ndarray) -> pd.DataFrame:
         i, j = run_pairs(key, x[:, 1], x[:, 2], x[:, 3], radius, wide, per_mille)
@@ -400,15 +418,97 @@ def candidates(sets: DataFrame, radius: int, wide: int, per_mille: int, block: i
         if parts is not None:
             placed = meetings(rows, parts, block)
             out = out.union(placed.repartition("key").sortWithinPartitions("key", "node").mapInPandas(compare, "a long, b long"))
-    return out.where("a <> b").distinct()
+    return out.distinct()
+
+
+def prefix_pairs(key: np.ndarray, x: np.ndarray, radius: int, wide: int, per_mille: int, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of equal key (sorted); columns of ``x``: node, fp, fp2, size, component, whether the shingle is in the shorter prefix.
+
+    The smaller set of a pair must hold the key in its shorter prefix; both fingerprints, the sizes and the components decide.
+    """
+
+    def ok(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        one, two = (np.bitwise_count((x[i, c] ^ x[j, c]).view(np.uint64)).astype(np.int32) for c in (1, 2))
+        first = (x[i, 3] < x[j, 3]) | (x[i, 3] == x[j, 3]) & (x[i, 0] < x[j, 0])
+        low, high = np.minimum(x[i, 3], x[j, 3]), np.maximum(x[i, 3], x[j, 3])
+        near = (np.minimum(one, two) <= radius) & (np.maximum(one, two) <= wide) & (1000 * low >= per_mille * high)
+        return near & (x[i, 4] != x[j, 4]) & (np.where(first, x[i, 5], x[j, 5]) == 1)
+
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[start, len(key)])
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s, n in zip(start[count > small].tolist(), count[count > small].tolist(), strict=True):
+        for i in range(s, s + n - 1):
+            j = i + 1 + np.flatnonzero(ok(i, np.arange(i + 1, s + n)))
+            a.append(np.full(len(j), i))
+            b.append(j)
+    short = np.flatnonzero(np.repeat((count > 1) & (count <= small), count))
+    own = key[short]
+    for d in range(1, small):
+        at = np.flatnonzero(own[d:] == own[:-d])
+        if not len(at):
+            break
+        i, j = short[at], short[at + d]
+        good = ok(i, j)
+        a.append(i[good])
+        b.append(j[good])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def dense_candidates(nodes: DataFrame, sets: DataFrame, radius: int, wide: int, per_mille: int, block: int = 20_000) -> DataFrame:
+    """Distinct pairs (a, b) among ``nodes`` (node, fp, fp2, size, comp), of different components, that may be similar.
+
+    For dense places, where fingerprints tell too little: a prefix-filtered join of whole shingle sets (``sets``: node, hashes).
+    Shingles are ordered by how rare they are among these sets; similar sets share one that is early in both. The smaller
+    set needs fewer of them than the larger, so that what a whole corpus shares (a template) meets no one. Shingles whose
+    sets are linked already, such as those of a group of near copies, drop out before rows meet.
+    """
+    each = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("hashes").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")  # a shingle of one set joins nothing, but is the rarest
+    ranked = each.join(often, "token", "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("tokens"))
+    n = F.col("size")
+    shorter = n - F.ceil(2 * per_mille * n / (1000 + per_mille)) + 1
+    longer = (n - F.ceil(per_mille * n / 1000) + 1).cast("int")
+    rows = nodes.join(ranked, "node").select("node", "fp", "fp2", "size", "comp", shorter.alias("shorter"), F.posexplode(F.slice("tokens", F.lit(1), longer)).alias("at", "t"))
+    rows = rows.where("t.n > 1").select(F.lit(0).alias("part"), F.col("t.token").alias("value"), "node", "fp", "fp2", "size", "comp", (F.col("at") < F.col("shorter")).cast("long").alias("early"))
+    rows = cut(rows)
+    live = rows.groupBy("value").agg(F.max("early").alias("e"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("e = 1 and lo < hi").select("value")
+    columns = ["node", "fp", "fp2", "size", "comp", "early"]
+    placed = in_blocks(rows.join(live, "value", "left_semi").select("part", "value", *columns), columns, block)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: tuple | None = None
+        for pdf in batches:
+            key, x = pdf["key"].to_numpy(), pdf[columns].to_numpy()
+            if not len(key):
+                continue
+            if last is not None:
+                key, x = np.r_[last[0], key], np.r_[last[1], x]
+            end = np.searchsorted(key, key[-1])
+            last = (key[end:], x[end:])
+            yield pairs(key[:end], x[:end])
+        if last is not None:
+            yield pairs(*last)
+
+    def pairs(key: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+        i, j = prefix_pairs(key, x, radius, wide, per_mille)
+        return pd.DataFrame({"a": np.minimum(x[i, 0], x[j, 0]), "b": np.maximum(x[i, 0], x[j, 0])})
+
+    return placed.repartition("key").sortWithinPartitions("key", "node").mapInPandas(compare, "a long, b long").where("a <> b").distinct()
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, per_mille: int = 800, radius: int = 14, wide: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id): components of texts whose shingle sets have a Jaccard similarity of ``per_mille``/1000 or more."""
+    """(doc_id, component_id): components of texts whose shingle sets have a Jaccard similarity of ``per_mille``/1000 or more.
+
+    Candidates are pairs that are near by one fingerprint and not far by the other. Where many sets meet at one place, each
+    is compared with its nearest first, which links groups of near copies; sets that had more partners than those are then
+    compared once more with all sets that they are not linked to, by rare shingles (``dense_candidates``).
+    """
     own = cut(shingle_sets(docs, shingle, doc_id, text))
     by_set = cut(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("size").alias("size"), F.count("*").alias("n")))
-    pairs = cut(candidates(by_set.select("node", "fp", "fp2", "size"), radius, wide, per_mille))
-    wanted = by_set.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("first").alias("doc_id"))
+    found = cut(candidates(by_set.select("node", "fp", "fp2", "size"), radius, wide, per_mille))
+    pairs, dense = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("node"))
+    wanted = by_set.join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("first").alias("doc_id"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -419,9 +519,17 @@ def near_groups(docs: DataFrame, shingle: int = 5, per_mille: int = 800, radius:
 
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id").select("node", "text")
     sets = cut(texts.mapInPandas(work, "node long, hashes array<long>"))
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    edges = both.where(1000 * shared >= per_mille * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(1000 * shared >= per_mille * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+    edges = cut(similar(pairs))
+    if not dense.isEmpty():
+        so_far = components(edges).select("node", F.col("root").alias("__root"))
+        nodes = cut(by_set.join(dense.distinct(), "node", "left_semi").join(so_far, "node", "left").select("node", "fp", "fp2", "size", F.coalesce("__root", "node").alias("comp")))
+        edges = edges.union(similar(cut(dense_candidates(nodes, sets, radius, wide, per_mille))))
     linked = by_set.join(components(edges), "node")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     moved = linked.join(least, "root").select("node", "least")
