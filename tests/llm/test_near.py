@@ -106,19 +106,19 @@ def dense_corpus(share, change, pairs, seed, n=400):
 
 def test_dense_places_lose_no_links(spark):
     """A thousand pairs of 0.9 and over among texts of 0.6 to 0.79 to each other, all of one template: links as by an exact join."""
-    for share, change, seed in ((0.05, 12, 1), (0.10, 14, 2)):
-        texts = dense_corpus(share, change, 1000, seed)
+    for share, change, seed, count in ((0.05, 12, 1, 1000), (0.10, 14, 2, 200)):
+        texts = dense_corpus(share, change, count, seed)
         sets = [shingles(t) for t in texts]
         pair = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(texts), 2)]
         rng = random.Random(7)
-        apart = sorted(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in ((rng.randrange(2000), rng.randrange(2000)) for _ in range(300)) if i // 2 != j // 2)
+        apart = sorted(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in ((rng.randrange(2 * count), rng.randrange(2 * count)) for _ in range(300)) if i // 2 != j // 2)
         assert min(pair) >= 0.89 and 0.5 < apart[150] < 0.8
         print("similarity", min(pair), "among", apart[150])
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         found = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()}
         linked = sum(found[i] == found[i + 1] for i in range(0, len(texts), 2))
         print("linked", linked)
-        assert linked >= 990, (share, linked)
+        assert linked >= 0.99 * count, (share, linked)
         # no text is linked to a group without a similar one: components by brute force over rare shingles
         for c in set(found.values()):
             members = [i for i in found if found[i] == c]
@@ -131,6 +131,8 @@ def test_prefix_pairs_are_those_of_all_pairs():
     rng = np.random.default_rng(3)
     key = np.sort(np.r_[np.zeros(100, np.int64), rng.integers(1, 40, 300)])
     x = np.stack([np.arange(400), rng.integers(0, 2**10, 400), rng.integers(0, 2**10, 400), rng.integers(80, 120, 400), rng.integers(0, 5, 400), rng.integers(0, 2, 400)], axis=1)
+    order = np.lexsort((x[:, 0], x[:, 3], key))
+    key, x = key[order], x[order]
     off = lambda a, b, c: bin(int(x[a, c] ^ x[b, c])).count("1")
     want = set()
     for i in range(400):

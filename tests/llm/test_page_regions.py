@@ -67,3 +67,16 @@ def test_forms_headers_names_and_odd_markup():
     for _ in range(3000):
         html_text.extract("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 30))))
     assert html_text.extract("<b>" * 20_000 + "</i>" * 20_000 + "<p>z") == "z"
+
+
+def test_comment_lists_and_boilerplate_paragraphs_go():
+    body = "".join(f"<p>Paragraph {i} of the article has a good many words to tell its readers about.</p>" for i in range(4))
+    for extra in (
+        '<ol class="commentlist"><li>First! I liked this one a lot, thank you so much for it.</li></ol>', '<div id="usercomments"><p>A reader says that this is not so at all.</p></div>',
+        '<ul class="comment-list"><li>Another reader with an opinion of some length.</li></ul>', '<p class="comment">A reader remarks that the second paragraph is wrong.</p>', '<p class="advert">Buy one, get the second for half the price today only.</p>',
+    ):
+        for page in (f"<body><article>{body}{extra}</article></body>", f"<body><article>{body}</article>{extra}</body>", f'<body><div class="x1">{body}{extra}</div></body>'):
+            got = html_text.extract(page)
+            assert got.split("\n") == [f"Paragraph {i} of the article has a good many words to tell its readers about." for i in range(4)], (extra, page)
+    kept = html_text.extract(f'<article>{body}<p class="comment-policy-note">Kept, as other words are in its name.</p><pre><span class="comment"># code stays</span></pre></article>')
+    assert "Kept, as other" in kept and "# code stays" in kept

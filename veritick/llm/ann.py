@@ -186,7 +186,7 @@ def search(
     vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", *, tables: int = 4,
     width: float = 3.0, block: int = 1024, seed: int = 7, sample: int = 128, target: float = 0.95, ladder: tuple = (4, 8, 16, 32, 64, 128, 256),
 ) -> DataFrame:
-    """Each query's k nearest other rows (``RESULT``). ``is_query`` is a condition on column ``id``."""
+    """Each query's k nearest other rows (``RESULT``). ``is_query`` is a condition on column ``id``; ``width`` is in units of the largest norm."""
     rows, dim, radius, n = usable(vectors, vec_id, vector)
     if not n:
         return vectors.sparkSession.createDataFrame([], RESULT)
@@ -195,8 +195,9 @@ def search(
     nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     candidates = cut(rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"))
     queries, n = rows.where(is_query), candidates.count()
-    plan = Plan(dim, radius, n, tables, width, block, seed, hash_count(n))
-    plan = Plan(dim, radius, n, tables, width, block, seed, plan.n_hash, calibrate(candidates, queries, plan, k, sample, ladder, target))
+    step = width * radius  # the same buckets for the same vectors in another unit
+    plan = Plan(dim, radius, n, tables, step, block, seed, hash_count(n))
+    plan = Plan(dim, radius, n, tables, step, block, seed, plan.n_hash, calibrate(candidates, queries, plan, k, sample, ladder, target))
     data, asks = by_probes(candidates, queries, plan, kind) if plan.probes else by_blocks(candidates, queries, plan)
 
     if queries.count() > block:  # else no cell has more

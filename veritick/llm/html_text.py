@@ -13,8 +13,8 @@ with a Gaussian, and a two-cluster threshold on their logarithm marks content li
 All lines of a region that are not left out are returned, short ones and headings too, with the headings and paragraphs
 that adjoin it in the elements round it.
 
-Elements are left out by name (``SKIP``), by role, by ``hidden``, or, containers only, by a class or id that is made up of
-words for boilerplate (``BOILER``, with ``FILLER``) alone.  A form is left out unless it wraps an article, a main element
+Elements are left out by name (``SKIP``), by role, by ``hidden``, or, containers only, by a class or id that
+is made up of words for boilerplate (``BOILER``, with ``FILLER``) alone; ``commentlist`` or ``usercomments`` are such words. Paragraphs are left out by words for adverts and comments.  A form is left out unless it wraps an article, a main element
 or most of the page's text; its controls always are.
 
 Edge cases: a null or empty page has the empty text. Unclosed and crossed tags are closed by the next block of their
@@ -54,6 +54,7 @@ BOILER = frozenset(
     "related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 COMMENT = frozenset("comment comments discussion replies reply".split())
+ASIDE = COMMENT | frozenset("ad ads adsense advert advertisement advertising adverts promo promoted sponsor sponsored".split())  # of paragraphs
 FILLER = frozenset(
     "area articles bar block blog bottom box btn button buttons column container content entry footer form global group header icons inner item items left links list main module "
     "outer page panel post posts primary reader region right row secondary section site slot stories thread top unit user wrap wrapper".split()
@@ -90,7 +91,7 @@ class Line:
 def is_boilerplate(names: str, words: frozenset[str]) -> bool:
     """Whether one of the names is made up of the given words and fillers alone."""
     for name in names.lower().split():
-        parts = set(filter(None, WORD.split(name)))
+        parts = {"comments" if p.startswith("comment") or p.endswith("comments") else p for p in WORD.split(name) if p}
         if not parts.isdisjoint(words) and parts <= words | BOILER | FILLER:
             return True
     return False
@@ -130,7 +131,7 @@ class Lines(HTMLParser):
                 return True
             if name == "role" and value in ROLES and tag != "form":
                 return True
-            if name in ("class", "id") and value and tag in CONTAINER and is_boilerplate(value, COMMENT if tag == "article" else BOILER):
+            if name in ("class", "id") and value and (tag in CONTAINER or tag == "p") and is_boilerplate(value, {"article": COMMENT, "p": ASIDE}.get(tag, BOILER)):
                 return True
         return False
 

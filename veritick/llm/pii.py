@@ -152,18 +152,20 @@ def with_candidates(df: DataFrame) -> DataFrame:
     t = F.col("__text")
     df = df.withColumns({f"__raw_{k}": spans.gaps_and_hits(t, p, _when(k, t)) for k, p in WIDE.items()} | {f"__side_{k}": spans.sides(t, p, _when(k, t), REACH) for k, p in WIDE.items()})
     df = df.withColumns({f"__hits_{k}": spans.located(F.col(f"__raw_{k}")) for k in KINDS})
-    df = df.withColumns({f"__both_{k}": F.arrays_zip(F.col(f"__hits_{k}").alias("c"), spans.encoded(F.col(f"__hits_{k}"), k, i).alias("code"), F.col(f"__side_{k}").alias("side")) for i, k in enumerate(KINDS)})
+    df = df.withColumns({f"__code_{k}": spans.encoded(F.col(f"__hits_{k}"), k, i) for i, k in enumerate(KINDS)})
+    df = df.withColumns({f"__is_{k}": spans.member(F.col(f"__code_{k}"), F.col(f"__base_{k}")) for k in KINDS})
+    df = df.withColumns({f"__both_{k}": F.arrays_zip(*[F.col(f"__{x}_{k}").alias(n) for x, n in (("hits", "c"), ("code", "code"), ("side", "side"), ("is", "found"))]) for k in KINDS})
 
     def described(i: int, k: str) -> Column:
         def one(x: Column) -> Column:
-            found, features = F.array_contains(F.col(f"__base_{k}"), x["code"]), _features(i, x["c"]["hit"], x["side"])
+            found, features = x["found"], _features(i, x["c"]["hit"], x["side"])
             label, sample = _evidence(k, x["c"]["hit"], found, features)
             return F.struct(x["code"].alias("code"), label.alias("label"), sample.alias("sample"), *[f.alias(n) for n, f in zip(FEATURES, features, strict=True)])
 
         return F.transform(f"__both_{k}", one)
 
     every = [described(i, k) for i, k in enumerate(KINDS)]
-    return df.withColumn("__cand", F.concat(*every)).drop(*[f"__{x}_{k}" for k in KINDS for x in ("raw", "hits", "side", "both")])
+    return df.withColumn("__cand", F.concat(*every)).drop(*[f"__{x}_{k}" for k in KINDS for x in ("raw", "hits", "side", "code", "is", "both")])
 
 
 def train(docs: DataFrame, text: str = "text", precision: float = 0.9) -> tuple[float, list[boosting.Node], list[float]]:
@@ -216,7 +218,9 @@ def detect(docs: DataFrame, text: str = "text", model: tuple | None = None) -> D
 
     df = df.withColumn("__all_base", F.concat(*[F.col(f"__base_{k}") for k in KINDS]))
     added = F.transform(F.filter("__cand", kept), lambda c: c["code"])
-    every = F.concat("__all_base", spans.clear_of(F.array_except(added, F.col("__all_base")), F.col("__all_base"), same_kind=True))
+    df = df.withColumns({"__added": spans.by_kind(F.array_except(added, F.col("__all_base"))), "__taken": spans.by_kind(F.col("__all_base"))})
+    df = spans.with_free(df, "__added", "__taken", "__free")
+    every = F.concat("__all_base", F.transform("__free", lambda x: x["hit"]))
     counts = [F.size(f"__base_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     return df.select(*docs.columns, F.struct(*counts, F.col("__all_base").alias("base"), every.alias("all")).alias("__found"))
 

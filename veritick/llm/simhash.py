@@ -421,37 +421,26 @@ def candidates(sets: DataFrame, radius: int, wide: int, per_mille: int, block: i
     return out.distinct()
 
 
-def prefix_pairs(key: np.ndarray, x: np.ndarray, radius: int, wide: int, per_mille: int, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of equal key (sorted); columns of ``x``: node, fp, fp2, size, component, whether the shingle is in the shorter prefix.
+def prefix_pairs(key: np.ndarray, x: np.ndarray, radius: int, wide: int, per_mille: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of equal key; columns of ``x``: node, fp, fp2, size, component, whether the key is early in the set.
 
-    The smaller set of a pair must hold the key in its shorter prefix; both fingerprints, the sizes and the components decide.
+    Rows are sorted by key, size and node. The smaller set of a pair must hold the key early, so that only such rows look for
+    partners, and only among the sizes that the similarity allows; both fingerprints and the components decide.
     """
-
-    def ok(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
-        one, two = (np.bitwise_count((x[i, c] ^ x[j, c]).view(np.uint64)).astype(np.int32) for c in (1, 2))
-        first = (x[i, 3] < x[j, 3]) | (x[i, 3] == x[j, 3]) & (x[i, 0] < x[j, 0])
-        low, high = np.minimum(x[i, 3], x[j, 3]), np.maximum(x[i, 3], x[j, 3])
-        near = (np.minimum(one, two) <= radius) & (np.maximum(one, two) <= wide) & (1000 * low >= per_mille * high)
-        return near & (x[i, 4] != x[j, 4]) & (np.where(first, x[i, 5], x[j, 5]) == 1)
-
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[start, len(key)])
+    node, fp, fp2, size, comp, early = x.T
+    most = size * 1000 // per_mille  # of a partner that is no smaller
+    end = np.searchsorted(key, key, side="right")
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for s, n in zip(start[count > small].tolist(), count[count > small].tolist(), strict=True):
-        for i in range(s, s + n - 1):
-            j = i + 1 + np.flatnonzero(ok(i, np.arange(i + 1, s + n)))
-            a.append(np.full(len(j), i))
-            b.append(j)
-    short = np.flatnonzero(np.repeat((count > 1) & (count <= small), count))
-    own = key[short]
-    for d in range(1, small):
-        at = np.flatnonzero(own[d:] == own[:-d])
-        if not len(at):
-            break
-        i, j = short[at], short[at + d]
-        good = ok(i, j)
-        a.append(i[good])
-        b.append(j[good])
+    for i in np.flatnonzero((early == 1) & (end - np.arange(len(key)) > 1)).tolist():
+        last = i + 1 + int(np.searchsorted(size[i + 1 : end[i]], most[i], side="right"))
+        j = i + 1 + np.flatnonzero(comp[i + 1 : last] != comp[i])
+        if not len(j):
+            continue
+        one = np.bitwise_count((fp[j] ^ fp[i]).view(np.uint64))
+        two = np.bitwise_count((fp2[j] ^ fp2[i]).view(np.uint64))
+        j = j[(np.minimum(one, two) <= radius) & (np.maximum(one, two) <= wide)]
+        a.append(np.full(len(j), i))
+        b.append(j)
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -494,7 +483,9 @@ def dense_candidates(nodes: DataFrame, sets: DataFrame, radius: int, wide: int,
         i, j = prefix_pairs(key, x, radius, wide, per_mille)
         return pd.DataFrame({"a": np.minimum(x[i, 0], x[j, 0]), "b": np.maximum(x[i, 0], x[j, 0])})
 
-    return placed.repartition("key").sortWithinPartitions("key", "node").mapInPandas(compare, "a long, b long").where("a <> b").distinct()
+    # a fixed number of tasks: comparing costs far more per byte than merging small partitions assumes
+    n_tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(n_tasks, "key").sortWithinPartitions("key", "size", "node").mapInPandas(compare, "a long, b long").where("a <> b").distinct()
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, per_mille: int = 800, radius: int = 14, wide: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

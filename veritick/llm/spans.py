@@ -9,6 +9,8 @@ is looked at once, so that the length of a text does not multiply with its match
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ BLOCK = 64
 HIT = "struct<hit:string,start:int,end:int>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once: within a lambda a plain expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running(values: Column, largest: bool = False) -> Column:
     """Per element, the sum (or maximum) of those before it, 0 for the first; by blocks, so that cost stays near linear."""
 
@@ -25,12 +32,17 @@ def running(values: Column, largest: bool = False) -> Column:
     def join(a: Column, b: Column) -> Column:
         return F.greatest(a, b) if largest else a + b
 
-    n_blocks = F.ceil(F.size(values) / BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
-    totals = F.transform(blocks, fold)
-    offsets = F.transform(totals, lambda _, b: fold(F.slice(totals, F.lit(1), b)))
-    parts = F.zip_with(blocks, offsets, lambda x, o: F.transform(x, lambda _, i: join(o, fold(F.slice(x, F.lit(1), i)))))
-    return F.when(F.size(values) > 0, F.flatten(parts)).otherwise(F.array().cast("array<int>"))
+    def parts(blocks: Column, totals: Column) -> Column:
+        offsets = F.transform(totals, lambda _, b: fold(F.slice(totals, F.lit(1), b)))
+        return F.flatten(F.zip_with(blocks, offsets, lambda x, o: F.transform(x, lambda _, i: join(o, fold(F.slice(x, F.lit(1), i))))))
+
+    def blocked(v: Column) -> Column:
+        n_blocks = F.ceil(F.size(v) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+        made = let(blocks, lambda x: let(F.transform(x, fold), lambda t: parts(x, t)))
+        return F.when(F.size(v) > 0, made).otherwise(F.array().cast("array<int>"))
+
+    return let(values, blocked)
 
 
 def gaps_and_hits(text: Column, pattern: str, only_if: Column) -> Column:
@@ -70,17 +82,30 @@ def encoded(spans: Column, kind: str, order: int) -> Column:
     )
 
 
-def clear_of(codes: Column, taken: Column, same_kind: bool) -> Column:
-    """The encoded spans that overlap none of ``taken`` (of the same kind only, if so asked)."""
+def member(codes: Column, among: Column) -> Column:
+    """Per encoded span of ``codes`` (distinct, ascending), whether it is in ``among``: one sort of both."""
+    tag = lambda own: lambda c: F.struct(c.alias("code"), F.lit(own).alias("own"))
+    none = F.array(F.struct(F.lit("").alias("code"), F.lit(0).alias("own")))
+
+    def told(u: Column) -> Column:
+        before = F.concat(none, F.slice(u, F.lit(1), F.greatest(F.size(u) - 1, F.lit(0))))
+        both = F.zip_with(u, before, lambda x, p: F.struct(x["own"].alias("own"), (x["code"] == p["code"]).alias("found")))
+        return F.transform(F.filter(both, lambda x: x["own"] == 1), lambda x: x["found"])
+
+    return let(F.array_sort(F.concat(F.transform(among, tag(0)), F.transform(codes, tag(1)))), told)
+
+
+KIND_STEP = 1 << 28  # longer than any text: spans of different kinds never meet where each kind has its own stretch
 
-    def part(c: Column, k: int) -> Column:
-        return F.split_part(F.substring_index(c, "|", -1), F.lit(":"), F.lit(k))
 
-    def clash(a: Column, b: Column) -> Column:
-        meet = (part(a, 2).cast("int") < part(b, 3).cast("int")) & (part(b, 2).cast("int") < part(a, 3).cast("int"))
-        return meet & (part(a, 1) == part(b, 1)) if same_kind else meet
+def by_kind(codes: Column) -> Column:
+    """Encoded spans as ``HIT`` (the code as hit), each kind moved to a stretch of its own."""
 
-    return F.filter(codes, lambda a: ~F.exists(taken, lambda b: clash(a, b)))
+    def one(c: Column) -> Column:
+        place = F.split_part(c, F.lit("|"), F.lit(2)).cast("int") * KIND_STEP
+        return F.struct(c.alias("hit"), *[(F.split_part(c, F.lit(":"), F.lit(k)).cast("int") + place).alias(n) for k, n in ((2, "start"), (3, "end"))])
+
+    return F.transform(codes, one)
 
 
 LATEST = 2**31 - 1
@@ -110,7 +135,11 @@ def joined(codes: Column) -> Column:
 
 
 def masked(text: Column, codes: Column) -> Column:
-    """The text with each span replaced by its kind in capitals and brackets; overlapping spans merge into the first."""
+    """The text with each span replaced by its kind in capitals and brackets; overlapping spans merge into the first.
+
+    Pieces are cut out of the text in a code of four bytes a character, where no walk from its start is needed.
+    """
+    wide = "UTF-32"
     spans = F.transform(
         F.sort_array(codes),
         lambda c: F.struct(
@@ -119,11 +148,14 @@ def masked(text: Column, codes: Column) -> Column:
             F.upper(F.split_part(F.substring_index(c, "|", -1), F.lit(":"), F.lit(1))).alias("kind"),
         ),
     )
-    ends = F.transform(spans, lambda s: s["end"])
-    pieces = F.zip_with(
-        spans,
-        running(ends, largest=True),
-        lambda s, p: F.when(s["start"] >= p, F.concat(F.substr(text, p + 1, s["start"] - p), F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit("")),
-    )
-    tail = F.substr(text, F.array_max(ends) + 1, F.length(text))
-    return F.when(F.size(codes) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
+
+    def cut_out(raw: Column, s: Column, p: Column) -> Column:
+        piece = F.decode(F.substring(raw, 4 * p + 1, 4 * (s["start"] - p)), wide)
+        return F.when(s["start"] >= p, F.concat(piece, F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
+
+    def made(spans: Column, raw: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"])
+        pieces = F.zip_with(spans, running(ends, largest=True), lambda s, p: cut_out(raw, s, p))
+        return F.concat(F.array_join(pieces, ""), F.decode(F.substring(raw, 4 * F.array_max(ends) + 1, F.length(raw)), wide))
+
+    return F.when(F.size(codes) > 0, let(spans, lambda s: let(F.encode(text, wide), lambda raw: made(s, raw)))).otherwise(text)
