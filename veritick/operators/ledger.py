@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritick.operators.ordered import running
+from veritick.session import cut
 
 
 def problems(df: DataFrame, keys: list[str], **checks: Column) -> DataFrame:
@@ -74,6 +75,46 @@ def audit_chain(links: DataFrame, files: DataFrame) -> DataFrame:
     return out
 
 
+def chain_reach(links: DataFrame) -> DataFrame:
+    """(ledger, sha256, before, end) of every link, from (ledger, sha256, prev_sha): where the pointers back lead.
+
+    end: ``genesis`` (a link without a pointer), ``missing`` (a pointer to what is not there) or ``loop``; before: the links
+    passed on the way, null for a loop. Pointer doubling: each round, what a link points to is replaced by what that one points
+    to, so that a chain of n links takes log n joins and is never walked; rows that have arrived leave the joins.
+    """
+    steps = links.groupBy("ledger", "sha256").agg(F.min("prev_sha").alias("to")).where("sha256 is not null")
+    first = F.col("to").isNull()
+    now = cut(steps.select("ledger", "sha256", "to", F.when(first, 0).otherwise(1).cast("long").alias("hops"), F.when(first, "genesis").alias("end")))
+    longest = now.groupBy("ledger").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    done, moving = now.where("end is not null"), now.where("end is null")
+    for _ in range(longest.bit_length() + 1):
+        if moving.isEmpty():
+            break
+        there = now.select("ledger", F.col("sha256").alias("to"), F.col("to").alias("__to"), F.col("hops").alias("__hops"), F.col("end").alias("__end"), F.lit(True).alias("__there"))
+        moved = moving.join(there, ["ledger", "to"], "left")
+        gone = F.col("__there").isNull()
+        hops = F.when(gone, F.col("hops") - 1).otherwise(F.col("hops") + F.col("__hops"))
+        moved = cut(moved.select("ledger", "sha256", F.when(~gone, F.col("__to")).alias("to"), hops.alias("hops"), F.when(gone, "missing").otherwise(F.col("__end")).alias("end")))
+        done, moving = done.unionByName(moved.where("end is not null")), moved.where("end is null")
+        now = done.unionByName(moving)
+    lost = moving.withColumns({"hops": F.lit(None).cast("long"), "end": F.lit("loop")})
+    return done.unionByName(lost).select("ledger", "sha256", F.col("hops").alias("before"), "end")
+
+
+def chain_shape(links: DataFrame) -> DataFrame:
+    """Per ledger: links, sound (links of the one chain from genesis before any fork), beyond (on it, from the first fork on), cut_off, looped.
+
+    Links are sound up to the first place where several reach genesis over as many links: from there on it is open which
+    of the branches is the ledger. ``cut_off`` links have lost what comes before them; they are no branch.
+    """
+    reach = chain_reach(links)
+    per = reach.where("end = 'genesis'").groupBy("ledger", "before").agg(F.count("*").alias("n"))
+    sound = per.groupBy("ledger").agg(F.coalesce(F.min(F.when(F.col("n") > 1, F.col("before"))), F.max("before") + 1).alias("sound"))
+    all_ = reach.groupBy("ledger").agg(F.count("*").alias("links"), *[F.count_if(F.col("end") == e).alias(c) for e, c in (("genesis", "reached"), ("missing", "cut_off"), ("loop", "looped"))])
+    out = all_.join(sound, "ledger", "left").withColumn("sound", F.coalesce("sound", F.lit(0).cast("long")))
+    return out.select("ledger", "links", "sound", (F.col("reached") - F.col("sound")).alias("beyond"), "cut_off", "looped")
+
+
 def build_chain_link(files: DataFrame, links: DataFrame) -> DataFrame:
     """The next link of each ledger with unsealed dirs: seq, prev and covers; ``error`` where the head has no seq."""
     new = files.join(unsealed_dirs(files, links), ["ledger", "run_dir"], "left_semi")

@@ -1,10 +1,11 @@
-"""Queries of whole transparency logs: every event is an entry, in order of its id; every 997th size is a checkpoint, and the last."""
+"""Queries of long chains of links and of whole transparency logs: every event is an entry, in order of its id; every 997th size is a checkpoint, and the last."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from veritick.functions import scalars as S
+from veritick.operators import ledger as L
 from veritick.operators import merkle as M
 from veritick.operators import proofs as O
 from veritick.operators.ordered import positions
@@ -89,4 +90,30 @@ P.add(
     SELECT m::BIGINT AS first_size, n::BIGINT AS second_size, coalesce(string_agg(u.h, ',' ORDER BY d.level) FILTER (u.h IS NOT NULL), '') AS proof, CASE WHEN m // {STEP} % 3 = 0 THEN 'new-root' END AS problem
     FROM needed d LEFT JOIN up u ON u.tree_size = d.n AND u.level = d.at AND u.i = d.i GROUP BY m, n""",
 )
+
+
+# Long chains: a ledger per type of event, a link per event. Some links have lost their pointer's target, some have a twin
+# after the same link.
+def long_chains(s, d):
+    e = positions(table(s, d, "events").select("event_type", "event_id", "user_id"), "event_type", "event_id")
+    sha = lambda k: F.sha2(F.concat_ws("/", "event_type", k), 256)
+    prev = F.when(F.col("idx") == 0, None).when(F.col("user_id") % 401 == 77, F.sha2("event_type", 256)).otherwise(sha(F.col("idx") - 1))
+    rows = e.select(F.col("event_type").alias("ledger"), "idx", sha(F.col("idx")).alias("sha256"), prev.alias("prev_sha"), "user_id")
+    twins = rows.where("user_id % 307 = 5 and idx > 0").withColumn("prev_sha", F.sha2(F.concat_ws("/", "ledger", F.col("idx") - 1), 256)).withColumn("sha256", F.sha2(F.concat_ws("/", "ledger", "idx", F.lit("twin")), 256))
+    return rows.unionByName(twins).select("ledger", "idx", "sha256", "prev_sha")
+
+
+CHAINS = """e AS (SELECT event_type AS ledger, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS idx, user_id FROM events),
+torn AS (SELECT ledger, idx FROM e WHERE idx > 0 AND user_id % 401 = 77),
+rows AS (SELECT ledger, idx, sha256(ledger || '/' || idx) AS sha256, (SELECT max(t.idx) FROM torn t WHERE t.ledger = e.ledger AND t.idx <= e.idx) AS torn_at FROM e
+  UNION ALL SELECT ledger, idx, sha256(ledger || '/' || idx || '/twin'), (SELECT max(t.idx) FROM torn t WHERE t.ledger = e.ledger AND t.idx < e.idx) FROM e WHERE user_id % 307 = 5 AND idx > 0)"""
+P.add(
+    "chain_reach", lambda s, d: L.chain_reach(long_chains(s, d)),
+    f"WITH {CHAINS} SELECT ledger, sha256, idx - coalesce(torn_at, 0) AS before, CASE WHEN torn_at IS NULL THEN 'genesis' ELSE 'missing' END AS end FROM rows",
+)
+P.add(
+    "chain_shape", lambda s, d: L.chain_shape(long_chains(s, d)),
+    f"""WITH {CHAINS}, per AS (SELECT ledger, idx, count(*) AS n FROM rows WHERE torn_at IS NULL GROUP BY ALL), sound AS (SELECT ledger, coalesce(min(CASE WHEN n > 1 THEN idx END), max(idx) + 1) AS sound FROM per GROUP BY ledger)
+    SELECT ledger, count(*) AS links, any_value(sound) AS sound, count(*) FILTER (torn_at IS NULL) - any_value(sound) AS beyond, count(*) FILTER (torn_at IS NOT NULL) AS cut_off, 0::BIGINT AS looped FROM rows JOIN sound USING (ledger) GROUP BY ledger""",
+)
 QUERIES, ORACLE_SQL = P.queries, P.sql
