@@ -345,33 +345,35 @@ def shingle_sets(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataF
 def run_pairs(key: np.ndarray, fp: np.ndarray, other: np.ndarray, size: np.ndarray, radius: int, wide: int, per_mille: int, small: int = 64, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Places of candidate pairs of equal key (sorted) whose sizes allow the similarity.
 
-    Of runs over ``small``, each row's ``most`` nearest later ones; a row that has more, and every row left out, is paired
-    with itself, so that what is missing is known.
+    Of runs over ``small``, each row's ``most`` nearest later ones; a row that has more, and all of them, are paired with
+    themselves, so that it is known where pairs are missing.
     """
+    fp, other, size = (np.ascontiguousarray(c) for c in (fp, other, size))
+    own, far = fp.view(np.uint64), other.view(np.uint64)
 
     def fits(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
         return 1000 * np.minimum(size[i], size[j]) >= per_mille * np.maximum(size[i], size[j])
 
-    def off(x: np.ndarray, i: np.ndarray | int, j: np.ndarray | slice) -> np.ndarray:
-        return np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int32)
-
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.r_[start, len(key)])
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     cut_off = np.zeros(len(key), bool)
     for s, n in zip(start[count > small].tolist(), count[count > small].tolist(), strict=True):
         for i in range(s, s + n - 1):
-            near = i + 1 + np.flatnonzero(off(fp, i, slice(i + 1, s + n)) <= radius)
-            near = near[fits(i, near)]
-            far = off(other, i, near)
-            near, far = near[far <= wide], far[far <= wide]
+            one = np.bitwise_count(own[i + 1 : s + n] ^ own[i])
+            near = np.flatnonzero(one <= radius)
+            if not len(near):
+                continue
+            two = np.bitwise_count(far[i + 1 + near] ^ far[i])
+            ok = (two <= wide) & fits(i, i + 1 + near)
+            near, apart = near[ok], (one[near] + two)[ok]
             if len(near) > most:
-                order = np.argsort(far + off(fp, i, near), kind="stable")
                 cut_off[i] = True
-                cut_off[near[order[most:]]] = True
-                near = near[order[:most]]
+                cut_off[i + 1 + near] = True
+                rank = apart.astype(np.int64) * n + np.arange(len(near))  # of equal distances the first
+                near = near[np.argpartition(rank, most - 1)[:most]]
             a.append(np.full(len(near), i))
-            b.append(near)
+            b.append(i + 1 + near)
     a.append(np.flatnonzero(cut_off))
     b.append(a[-1])
     short = np.flatnonzero(np.repeat((count > 1) & (count <= small), count))
@@ -381,7 +383,7 @@ def run_pairs(key: np.ndarray, fp: np.ndarray, other: np.ndarray, size: np.ndarr
         if not len(at):
             break
         i, j = short[at], short[at + d]
-        ok = (off(fp, i, j) <= radius) & (off(other, i, j) <= wide) & fits(i, j)
+        ok = (np.bitwise_count(own[i] ^ own[j]) <= radius) & (np.bitwise_count(far[i] ^ far[j]) <= wide) & fits(i, j)
         a.append(i[ok])
         b.append(j[ok])
     return np.concatenate(a), np.concatenate(b)
