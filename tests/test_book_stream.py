@@ -26,7 +26,10 @@ def feed(spark, tmp_path):
         q.awaitTermination()
         return spark.read.parquet(str(tmp_path / "out")).collect()
 
-    return take
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2)  # few stores of state, for speed
+    yield take
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 FLUSH = [("~", "~", 0, "~", "HOLD", "ALLOWED", 1.0, day(400))]
