@@ -142,3 +142,28 @@ def test_many_cells_cost_little_more(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
     assert df.count() == 4 * 1000 * 2
+
+
+def test_features_take_one_window_and_no_decimals(spark):
+    """Look-backs come from batches of exact integers: no windows of decimals, whatever their number; rows of cells are not shuffled."""
+    bars = series(spark, (300,) * 4).transform(cut)
+    df = B.trade_list(B.decision_bars(B.grid_expand(bars)))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate")] and "decimal" not in plan
+
+
+def test_look_backs_go_over_batches(spark):
+    """Batches of ten rows, far less than a look-back, give the same as one."""
+    bars = series(spark, (300, 1, 2, 70)).transform(cut)
+    looks = ({5}, {20}, {30})
+    whole = sorted(map(tuple, X.rolling(bars, *looks).drop("close").collect()), key=str)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        assert sorted(map(tuple, X.rolling(bars, *looks).drop("close").collect()), key=str) == whole
+        late = X.rolling(bars, *looks).where("bar_idx >= 25").drop("close")  # a filter is not moved below the look-backs
+        assert sorted(map(tuple, late.collect()), key=str) == [r for r in whole if r[late.columns.index("bar_idx")] >= 25]
+        money = sorted(map(str, B.cell_equity(B.decision_bars(B.grid_expand(bars, GRID[:3]))).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert money == sorted(map(str, B.cell_equity(B.decision_bars(B.grid_expand(bars, GRID[:3]))).collect()))
