@@ -291,6 +291,30 @@ def test_export_rows_and_ceiling(spark):
         sft.messages(sft.derived(bars).withColumn("conviction", F.lit(0.98))).collect()
 
 
+def test_export_texts_are_written_by_expressions(spark):
+    """Texts need no reader of JSON: odd names and numbers come out as by one."""
+    import json
+
+    from veritick.functions.helpers import canonical, plain
+    from veritick.operators import sft
+
+    names = ['a"\\b', "tab\t\x0b\x1f", "\\u001F", "é\u2028😀", "x"]
+    bars = spark.createDataFrame([(a, t, c) for a in names for _, t, c in lcg_bars(90)], "asset string, t_ms long, close double")
+    rows = sft.derived(bars).where("bar_idx % 9 = 0 or action = 'ABSTAIN'").withColumn("ret", F.expr("case when bar_idx = 63 then 1e-7 when bar_idx = 72 then 1e21 when bar_idx = 81 then double('NaN') else ret end"))
+    made = sft.messages(rows)
+    assert "plain_text" not in made._jdf.queryExecution().executedPlan().toString()
+    got = made.collect()
+    assert {r["asset"] for r in got} == set(names)
+    for r in got:
+        for m in r["messages"][1:]:
+            assert plain(json.loads(m["content"])) == m["content"]
+        assert json.loads(r["messages"][1]["content"])["asset"] == r["asset"]
+    said = {r["bar_idx"]: r["messages"][1]["content"] for r in got if r["action"] != "ABSTAIN"}
+    assert '"trailingReturn":1e-7,' in said[63] and '"trailingReturn":1e+21,' in said[72] and '"trailingReturn":"NaN",' in said[81]
+    lines = sft.jsonl(made).collect()
+    assert len(lines) == len(got) and all(canonical(json.loads(r["value"])) == r["value"] for r in lines)
+
+
 def test_chain_cases(spark):
     f = "ledger string, run_dir string, name string, sha256 string"
     c = "array<struct<dir:string,files:array<struct<name:string,sha256:string>>>>"
