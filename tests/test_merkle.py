@@ -86,3 +86,18 @@ def test_gaps_and_empty(spark, leaves):
     assert none.count() == 0 and M.roots(none, leaves.select("log", F.lit(1).alias("tree_size"))).count() == 0
     asked = leaves.select("log", F.lit(0).alias("leaf_index"), F.lit(1).alias("tree_size"))
     assert M.inclusion_proofs(none, asked).count() == 0
+
+
+def test_paths_are_joined_by_tile(spark):
+    """Entries of over two tiles' levels: a row a tile meets the entries, no row an entry and level."""
+    import hashlib
+
+    n = 600
+    hashes = [hashlib.sha256(b"\0" + str(i).encode()).hexdigest() for i in range(n)]
+    table = M.tile_table(spark.createDataFrame([("a", i, h) for i, h in enumerate(hashes)], "log string, idx long, leaf_hash string"))
+    asked = spark.createDataFrame([("a", i, size) for size in (n, 513, 512, 257, 3) for i in range(size)], "log string, leaf_index long, tree_size long")
+    proofs = M.inclusion_proofs(table, asked)
+    assert "nth" not in proofs._jdf.queryExecution().executedPlan().toString()
+    rooted = proofs.join(M.roots(table, asked.select("log", "tree_size").distinct()), ["log", "tree_size"])
+    assert rooted.count() == n + 513 + 512 + 257 + 3 and P.audit_inclusion(rooted).where("problem is not null").isEmpty()
+    assert all(r["leaf_hash"] == hashes[r["leaf_index"]] for r in proofs.collect())

@@ -111,18 +111,62 @@ def _proofs(asked: DataFrame, table: DataFrame, keys: list[str], ranges: Column)
     return found.groupBy(*[F.col(f"__{k}").alias(k) for k in keys]).agg(path.alias("path"))
 
 
+def _edges(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """(log, tree_size, edges): by level b, the hash of the last size mod 2^b entries of each tree, where there are any."""
+    sizes = asked.select("log", "tree_size").distinct()
+    size, levels = F.col("tree_size"), F.sequence(F.lit(0), F.length(F.bin("tree_size")))
+
+    def one(b: Column) -> Column:
+        start = _left(_right(size, b), b)
+        return F.when(start < size, F.struct(b.alias("nth"), _pieces(start, size - start).alias("pieces")))
+
+    wanted = sizes.select(F.col("log").alias("__log"), "tree_size", "log", F.inline(F.array_compact(F.transform(levels, one))))
+    found = _hashes(wanted, table, ["__log", "tree_size"])
+    found = cut(found.groupBy(F.col("__log").alias("log"), "tree_size").agg(F.map_from_entries(F.collect_list(F.struct("nth", "hash"))).alias("edges")))
+    return F.broadcast(found) if found.count() <= TOP_NODES else found
+
+
+def _within(wanted: DataFrame, table: DataFrame, edges: DataFrame, low: int, above: DataFrame | None) -> DataFrame:
+    """(log, tree_size, i, hash, path) of nodes ``wanted`` (log, tree_size, i) of level ``low``: their path in a tile, then that ``above`` it.
+
+    A tile is one row, and so are the nodes of a tree that are asked for in it: a path is put together where they meet.
+    """
+    tile = table.where(F.col("level").between(low, low + HEIGHT - 1)).withColumn("t", _right(F.col("i"), (HEIGHT + low) - F.col("level")))
+    at = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == low + k, F.struct("i", "hash")))), lambda x: x["hash"])
+    tile = tile.groupBy("log", "t").agg(*[at(k).alias(f"h{k}") for k in range(HEIGHT)])
+    rows = wanted.groupBy("log", "tree_size", _right(F.col("i"), HEIGHT).alias("t")).agg(F.collect_set("i").alias("all"))
+    rows = rows.join(tile, ["log", "t"], "left").join(edges, ["log", "tree_size"], "left")
+    rows = rows.withColumn("up", F.array().cast("array<string>")) if above is None else rows.join(above.select("log", "tree_size", F.col("i").alias("t"), F.col("path").alias("up")), ["log", "tree_size", "t"])
+    size, t = F.col("tree_size"), F.col("t")
+
+    def step(i: Column, k: int) -> Column:
+        beside = _right(i, k).bitwiseXOR(F.lit(1).cast("long"))
+        start = _left(beside, low + k)
+        full = F.get(F.col(f"h{k}"), (beside - _left(t, HEIGHT - k)).cast("int"))
+        return F.when(start + (1 << low + k) <= size, full).when(start < size, F.try_element_at("edges", F.lit(low + k)))
+
+    one = lambda i: F.struct(i.alias("i"), F.get("h0", (i - _left(t, HEIGHT)).cast("int")).alias("hash"), F.concat(F.array_compact(F.array(*[step(i, k) for k in range(HEIGHT)])), "up").alias("path"))
+    return rows.select("log", "tree_size", F.inline(F.transform("all", one)))
+
+
 def inclusion_proofs(table: DataFrame, asked: DataFrame) -> DataFrame:
     """(log, leaf_index, tree_size, leaf_hash, path) for ``asked`` (log, leaf_index, tree_size): PATH(m, D[n]) of RFC 6962, from the leaf upwards.
 
-    Of entries that lie in the tree and trees that lie in the log; others have no row.
+    Of entries that lie in the tree and trees that lie in the log; others have no row.  Entries of one tile share the path
+    above it, so that hashes are joined by tile and not by entry and level.
     """
-    keys = ["log", "leaf_index", "tree_size"]
-    there = table.where("level = 0").groupBy("log").agg(F.count("*").alias("__n"))
-    asked = asked.select("log", *[F.col(k).cast("long").alias(k) for k in keys[1:]]).distinct().join(there, "log").where("leaf_index >= 0 and leaf_index < tree_size and tree_size <= __n")
-    paths = _proofs(asked, table, keys, _beside(F.lit(0), F.col("leaf_index"), F.col("tree_size")))
-    own = table.where("level = 0").select("log", F.col("i").alias("leaf_index"), F.col("hash").alias("leaf_hash"))
-    none = F.array().cast("array<string>")
-    return asked.join(own, ["log", "leaf_index"]).join(paths, keys, "left").select(*keys, "leaf_hash", F.coalesce("path", none).alias("path"))
+    there = cut(table.where("level = 0").groupBy("log").agg(F.count("*").alias("__n")))
+    there = F.broadcast(there) if there.count() <= TOP_NODES else there
+    asked = asked.select("log", *[F.col(k).cast("long").alias(k) for k in ("leaf_index", "tree_size")]).join(there, "log").where("leaf_index >= 0 and leaf_index < tree_size and tree_size <= __n")
+    wanted = [asked.select("log", "tree_size", F.col("leaf_index").alias("i"))]
+    top = table.agg(F.max("level")).first()[0] or 0
+    for _ in range(top // HEIGHT):
+        wanted.append(cut(wanted[-1].select("log", "tree_size", _right(F.col("i"), HEIGHT).alias("i")).distinct()))
+    edges, paths = _edges(table, wanted[-1]), None
+    for k in reversed(range(len(wanted))):
+        paths = _within(wanted[k], table, edges, k * HEIGHT, paths)
+        paths = cut(paths) if k else paths
+    return paths.select("log", F.col("i").alias("leaf_index"), "tree_size", F.col("hash").alias("leaf_hash"), "path")
 
 
 def consistency_proofs(table: DataFrame, asked: DataFrame) -> DataFrame:
