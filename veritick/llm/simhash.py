@@ -423,70 +423,113 @@ def candidates(sets: DataFrame, radius: int, wide: int, per_mille: int, block: i
     return out.distinct()
 
 
-def prefix_pairs(key: np.ndarray, x: np.ndarray, radius: int, wide: int, per_mille: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of equal key; columns of ``x``: node, fp, fp2, size, component, whether the key is early in the set.
+BITS, MOST = 1024, 4  # of a set's parities; partners that a set is compared with first
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """For each value of a shingle's low ten bits, whether an odd number of the set's shingles have it.
+
+    Of two sets, every bit that differs is a shingle that only one of them has: no fewer than so many are not shared.
+    """
+    odd = np.bincount((hashes.view(np.uint64) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+PAIRS_AT_ONCE = 1 << 18
+
+
+def pairs_at_once(key: np.ndarray, x: np.ndarray, radius: int, wide: int, per_mille: int, odd: np.ndarray | None = None, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of equal key, some at a time; columns of ``x``: node, fp, fp2, size, component, whether the key is early in the set, and with ``odd``, the set's shingles from the key on.
 
     Rows are sorted by key, size and node. The smaller set of a pair must hold the key early, so that only such rows look for
-    partners, and only among the sizes that the similarity allows; both fingerprints and the components decide.
+    partners, and only among the sizes that the similarity allows; both fingerprints and the components decide. Then come
+    bounds that no similar pair misses: the first shingle that both have leaves enough of both, and the parities (``odd``) do
+    not differ in more places than the sets may. With ``most``, a row is paired with so many of those of the nearest parities.
     """
-    node, fp, fp2, size, comp, early = x.T
-    most = size * 1000 // per_mille  # of a partner that is no smaller
+    node, fp, fp2, size, comp, early = x.T[:6]
+    largest = size * 1000 // per_mille  # of a partner that is no smaller
     end = np.searchsorted(key, key, side="right")
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a, b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for i in np.flatnonzero((early == 1) & (end - np.arange(len(key)) > 1)).tolist():
-        last = i + 1 + int(np.searchsorted(size[i + 1 : end[i]], most[i], side="right"))
+        last = i + 1 + int(np.searchsorted(size[i + 1 : end[i]], largest[i], side="right"))
         j = i + 1 + np.flatnonzero(comp[i + 1 : last] != comp[i])
         if not len(j):
             continue
         one = np.bitwise_count((fp[j] ^ fp[i]).view(np.uint64))
         two = np.bitwise_count((fp2[j] ^ fp2[i]).view(np.uint64))
         j = j[(np.minimum(one, two) <= radius) & (np.maximum(one, two) <= wide)]
+        if odd is not None and len(j):
+            rest, both = x[:, 6], size[j] + size[i]
+            shared = -(-per_mille * both // (1000 + per_mille))  # at least, of similar sets
+            enough = np.minimum(rest[j], rest[i]) >= shared
+            j, apart = j[enough], (both - 2 * shared)[enough]
+            differ = np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1, dtype=np.int64)
+            j, differ = j[differ <= apart], differ[differ <= apart]
+            if most is not None and len(j) > most:
+                j = j[np.argsort(differ, kind="stable")[:most]]
         a.append(np.full(len(j), i))
         b.append(j)
-    return np.concatenate(a), np.concatenate(b)
+        held += len(j)
+        if held >= PAIRS_AT_ONCE:
+            yield np.concatenate(a), np.concatenate(b)
+            a, b, held = [], [], 0
+    if a:
+        yield np.concatenate(a), np.concatenate(b)
 
 
-def dense_candidates(nodes: DataFrame, sets: DataFrame, radius: int, wide: int, per_mille: int, block: int = 20_000) -> DataFrame:
-    """Distinct pairs (a, b) among ``nodes`` (node, fp, fp2, size, comp), of different components, that may be similar.
+def prefix_pairs(key: np.ndarray, x: np.ndarray, radius: int, wide: int, per_mille: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``pairs_at_once``, all of them, without the bounds on what is shared."""
+    a, b = zip(*pairs_at_once(key, x, radius, wide, per_mille), strict=True)
+    return np.concatenate(a), np.concatenate(b)
 
-    For dense places, where fingerprints tell too little: a prefix-filtered join of whole shingle sets (``sets``: node, hashes).
-    Shingles are ordered by how rare they are among these sets; similar sets share one that is early in both. The smaller
-    set needs fewer of them than the larger, so that what a whole corpus shares (a template) meets no one. Shingles whose
-    sets are linked already, such as those of a group of near copies, drop out before rows meet.
-    """
+
+def dense_rows(nodes: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
+    """(part, value, node, fp, fp2, size, early, rest, odd): the rows at which ``dense_candidates`` meet, of all ``nodes``."""
     each = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("hashes").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")  # a shingle of one set joins nothing, but is the rarest
     ranked = each.join(often, "token", "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("tokens"))
     n = F.col("size")
     shorter = n - F.ceil(2 * per_mille * n / (1000 + per_mille)) + 1
     longer = (n - F.ceil(per_mille * n / 1000) + 1).cast("int")
-    rows = nodes.join(ranked, "node").select("node", "fp", "fp2", "size", "comp", shorter.alias("shorter"), F.posexplode(F.slice("tokens", F.lit(1), longer)).alias("at", "t"))
-    rows = rows.where("t.n > 1").select(F.lit(0).alias("part"), F.col("t.token").alias("value"), "node", "fp", "fp2", "size", "comp", (F.col("at") < F.col("shorter")).cast("long").alias("early"))
-    rows = cut(rows)
+    rows = nodes.join(ranked, "node").select("node", "fp", "fp2", "size", "odd", shorter.alias("shorter"), F.posexplode(F.slice("tokens", F.lit(1), longer)).alias("at", "t"))
+    early, rest = (F.col("at") < F.col("shorter")).cast("long"), (F.col("size") - F.col("at")).cast("long")
+    return rows.where("t.n > 1").select(F.lit(0).alias("part"), F.col("t.token").alias("value"), "node", "fp", "fp2", "size", early.alias("early"), rest.alias("rest"), "odd")
+
+
+def dense_candidates(rows: DataFrame, comps: DataFrame, radius: int, wide: int, per_mille: int, block: int = 20_000, most: int | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different components (``comps``: node, comp) that may be similar, from ``dense_rows``.
+
+    For dense places, where fingerprints tell too little: a prefix-filtered join of whole shingle sets.
+    Shingles are ordered by how rare they are among these sets; similar sets share one that is early in both. The smaller
+    set needs fewer of them than the larger, so that what a whole corpus shares (a template) meets no one. Shingles whose
+    sets are linked already, such as those of a group of near copies, drop out before rows meet. ``most``: see ``pairs_at_once``.
+    """
+    rows = rows.join(comps, "node")
     live = rows.groupBy("value").agg(F.max("early").alias("e"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("e = 1 and lo < hi").select("value")
-    columns = ["node", "fp", "fp2", "size", "comp", "early"]
-    placed = in_blocks(rows.join(live, "value", "left_semi").select("part", "value", *columns), columns, block)
+    columns = ["node", "fp", "fp2", "size", "comp", "early", "rest"]
+    placed = in_blocks(rows.join(live, "value", "left_semi").select("part", "value", *columns, "odd"), [*columns, "odd"], block)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple | None = None
         for pdf in batches:
-            key, x = pdf["key"].to_numpy(), pdf[columns].to_numpy()
-            if not len(key):
+            if not len(pdf):
                 continue
+            key, x = pdf["key"].to_numpy(), pdf[columns].to_numpy()
+            odd = np.frombuffer(b"".join(pdf["odd"]), np.uint64).reshape(len(pdf), -1)
             if last is not None:
-                key, x = np.r_[last[0], key], np.r_[last[1], x]
+                key, x, odd = np.r_[last[0], key], np.r_[last[1], x], np.r_[last[2], odd]
             end = np.searchsorted(key, key[-1])
-            last = (key[end:], x[end:])
-            yield pairs(key[:end], x[:end])
+            last = (key[end:], x[end:], odd[end:])
+            yield from pairs(key[:end], x[:end], odd[:end])
         if last is not None:
-            yield pairs(*last)
+            yield from pairs(*last)
 
-    def pairs(key: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-        i, j = prefix_pairs(key, x, radius, wide, per_mille)
-        return pd.DataFrame({"a": np.minimum(x[i, 0], x[j, 0]), "b": np.maximum(x[i, 0], x[j, 0])})
+    def pairs(key: np.ndarray, x: np.ndarray, odd: np.ndarray) -> Iterator[pd.DataFrame]:
+        for i, j in pairs_at_once(key, x, radius, wide, per_mille, odd, most):
+            yield pd.DataFrame({"a": np.minimum(x[i, 0], x[j, 0]), "b": np.maximum(x[i, 0], x[j, 0])}).drop_duplicates()
 
     # a fixed number of tasks: comparing costs far more per byte than merging small partitions assumes
-    n_tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartition(n_tasks, "key").sortWithinPartitions("key", "size", "node").mapInPandas(compare, "a long, b long").where("a <> b").distinct()
 
 
@@ -495,7 +538,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, per_mille: int = 800, radius:
 
     Candidates are pairs that are near by one fingerprint and not far by the other. Where many sets meet at one place, each
     is compared with its nearest first, which links groups of near copies; sets that had more partners than those are then
-    compared once more with all sets that they are not linked to, by rare shingles (``dense_candidates``).
+    compared with all sets that they are not linked to, by rare shingles (``dense_candidates``): with the nearest of them, and
+    once those are linked, with the rest.
     """
     own = cut(shingle_sets(docs, shingle, doc_id, text))
     by_set = cut(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("size").alias("size"), F.count("*").alias("n")))
@@ -508,10 +552,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, per_mille: int = 800, radius:
             for lo in range(0, len(pdf), 500):
                 some = pdf.iloc[lo : lo + 500]
                 sets = [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)).view(np.int64) for t in some["text"]]
-                yield pd.DataFrame({"node": some["node"].to_numpy(), "hashes": sets})
+                yield pd.DataFrame({"node": some["node"].to_numpy(), "hashes": sets, "odd": [parities(x) for x in sets]})
 
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id").select("node", "text")
-    sets = cut(texts.mapInPandas(work, "node long, hashes array<long>"))
+    told = cut(texts.mapInPandas(work, "node long, hashes array<long>, odd binary"))
+    sets = told.select("node", "hashes")
 
     def similar(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
@@ -520,9 +565,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, per_mille: int = 800, radius:
 
     edges = cut(similar(pairs))
     if not dense.isEmpty():
-        so_far = components(edges).select("node", F.col("root").alias("__root"))
-        nodes = cut(by_set.join(dense.distinct(), "node", "left_semi").join(so_far, "node", "left").select("node", "fp", "fp2", "size", F.coalesce("__root", "node").alias("comp")))
-        edges = edges.union(similar(cut(dense_candidates(nodes, sets, radius, wide, per_mille))))
+        nodes = cut(by_set.join(dense.distinct(), "node", "left_semi").join(told.select("node", "odd"), "node").select("node", "fp", "fp2", "size", "odd"))
+        rows = cut(dense_rows(nodes, sets, per_mille))
+        for most in (MOST, None):  # the nearest first, which joins groups of similar sets; then all that are still apart
+            so_far = components(edges).select("node", F.col("root").alias("__root"))
+            comps = cut(nodes.select("node").join(so_far, "node", "left").select("node", F.coalesce("__root", "node").alias("comp")))
+            edges = cut(edges.union(similar(cut(dense_candidates(rows, comps, radius, wide, per_mille, most=most)))))
     linked = by_set.join(components(edges), "node")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     moved = linked.join(least, "root").select("node", "least")
