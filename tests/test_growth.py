@@ -22,3 +22,15 @@ def test_digests_are_made_where_texts_are_read(spark):
     got = df.select("id", H.canonical_digest("t").alias("d"), F.sha2(F.concat(F.lit('{"a":'), "id", F.lit(',"b":1}')), 256).alias("want"))
     assert "sha2" not in plan(df.select(H.canonical_digest("t")))
     assert all(r["d"] == (None if r["id"] in (7, 8) else r["want"]) for r in got.collect())
+
+
+def test_chains_go_by_number(spark, monkeypatch):
+    """Hashes are joined once, for the pointers; the rounds hold numbers alone."""
+    from veritick.operators import ledger as L
+
+    seen, cut = [], L.cut
+    monkeypatch.setattr(L, "cut", lambda df: seen.append({t for _, t in df.dtypes}) or cut(df))
+    rows = [("a", f"h{i}", f"h{i - 1}" if i else None) for i in range(9)] + [("a", "x", "gone"), ("a", "y", "x"), ("a", "p", "q"), ("a", "q", "p"), (None, "n", "h1")]
+    got = {r["sha256"]: (r["before"], r["end"]) for r in L.chain_reach(spark.createDataFrame(rows, "ledger string, sha256 string, prev_sha string")).collect()}
+    assert got == {f"h{i}": (i, "genesis") for i in range(9)} | {"x": (0, "missing"), "y": (1, "missing"), "p": (None, "loop"), "q": (None, "loop"), "n": (0, "missing")}
+    assert len(seen) > 3 and all("string" not in kinds for kinds in seen[1:])
