@@ -34,3 +34,15 @@ def test_chains_go_by_number(spark, monkeypatch):
     got = {r["sha256"]: (r["before"], r["end"]) for r in L.chain_reach(spark.createDataFrame(rows, "ledger string, sha256 string, prev_sha string")).collect()}
     assert got == {f"h{i}": (i, "genesis") for i in range(9)} | {"x": (0, "missing"), "y": (1, "missing"), "p": (None, "loop"), "q": (None, "loop"), "n": (0, "missing")}
     assert len(seen) > 3 and all("string" not in kinds for kinds in seen[1:])
+
+
+def test_book_links_are_audited_by_the_batch(spark):
+    """No frame and no call per link; of two links with one number each is audited."""
+    from veritick.operators import book as K
+
+    rows = spark.createDataFrame([("B", f"r{i}", i, "S", "ENTER_LONG" if i % 2 == 0 else "EXIT_LONG", "ALLOWED", 10.0 + i) for i in range(6)], "book_id string, run_dir string, pos long, symbol string, action string, verdict string, price_usd double")
+    links = K.book_links(K.book_replay(rows)).localCheckpoint()
+    twin = links.where("seq = 6").withColumn("cash_micro", F.lit("1"))
+    found = K.audit_book(links.unionByName(twin), rows)
+    assert "FlatMapGroupsInPandas" not in plan(found)
+    assert sorted((r["seq"], r["ok"], r["difference"]) for r in found.collect()) == sorted([(i, True, None) for i in range(1, 7)] + [(6, False, "cash")])
