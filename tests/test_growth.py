@@ -46,3 +46,65 @@ def test_book_links_are_audited_by_the_batch(spark):
     found = K.audit_book(links.unionByName(twin), rows)
     assert "FlatMapGroupsInPandas" not in plan(found)
     assert sorted((r["seq"], r["ok"], r["difference"]) for r in found.collect()) == sorted([(i, True, None) for i in range(1, 7)] + [(6, False, "cash")])
+
+
+class Held(dict):
+    """A state variable of a stand-in store that counts what is written."""
+
+    writes = 0
+
+    def updateValue(self, k, v):
+        self.writes += 1
+        self[k] = v
+
+    def getValue(self, k):
+        return self[k]
+
+    def removeKey(self, k):
+        del self[k]
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def exists(self):
+        return "value" in self
+
+    def get(self):
+        return self["value"]
+
+    def update(self, v):
+        self["value"] = v
+
+
+class Store:
+    def __init__(self):
+        self.vars, self.timers = {}, []
+
+    def getValueState(self, name, schema):
+        return self.vars.setdefault(name, Held())
+
+    getMapState = lambda self, name, k, v: self.vars.setdefault(name, Held())
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_a_batch_costs_a_book_few_state_writes():
+    """100 decisions of four runs: a value a run, one timer; the runs close together and in order."""
+    from veritick.streaming import jobs
+
+    store, p = Store(), jobs.PaperBook()
+    p.init(store)
+    rows = [{"run_dir": f"r{i % 4}", "ms": i, "pos": i, "symbol": f"S{i % 9}", "action": "HOLD", "verdict": "ALLOWED", "price_usd": 1.0} for i in range(100)]
+    list(p.handleInputRows(("B",), iter([pd.DataFrame(rows[:60]), pd.DataFrame(rows[60:])]), None))
+    assert store.vars["waiting"].writes == 4 and store.timers == [97]
+    list(p.handleInputRows(("B",), iter([pd.DataFrame([rows[0] | {"run_dir": "r9", "ms": 500}])]), None))
+    assert len(store.timers) == 1  # a run behind the first open one needs no timer yet
+    out = pd.concat(p.handleExpiredTimer(("B",), Now(101), None))
+    assert list(dict.fromkeys(out["run_dir"])) == ["r0", "r1", "r2", "r3"] and len(out) == 100 and store.timers[1:] == [501]
+    assert [k[0] for k in store.vars["waiting"]] == ["r9"]
