@@ -108,3 +108,19 @@ def test_a_batch_costs_a_book_few_state_writes():
     out = pd.concat(p.handleExpiredTimer(("B",), Now(101), None))
     assert list(dict.fromkeys(out["run_dir"])) == ["r0", "r1", "r2", "r3"] and len(out) == 100 and store.timers[1:] == [501]
     assert [k[0] for k in store.vars["waiting"]] == ["r9"]
+
+
+def test_archives_have_a_bounded_number_of_folders(spark, tmp_path):
+    """600 series: 256 folders at most; each comes back once under its hash, and so does one in a folder of its own."""
+    from veritick.sources import sinks
+
+    bars = spark.range(600).select(F.col("id").cast("string").alias("asset"), F.lit(1).cast("long").alias("t_ms"), F.col("id").cast("double").alias("close"))
+    path = str(tmp_path / "a")
+    for _ in range(2):
+        assert sinks.archive_series(bars, path).count() == 0
+    assert len([p for p in (tmp_path / "a").iterdir() if p.is_dir()]) <= 256
+    alone = F.sha2(F.lit("[]"), 256)
+    spark.range(1).select(F.lit("[]").alias("text"), alone.alias("sha256")).write.mode("append").partitionBy("sha256").text(path)
+    back = sinks.read_archive(spark, path)
+    assert back.count() == back.select("sha256").distinct().count() == 601
+    assert back.where(F.sha2(F.encode("text", "utf-8"), 256) != F.col("sha256")).count() == 0
