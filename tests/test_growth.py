@@ -124,3 +124,9 @@ def test_archives_have_a_bounded_number_of_folders(spark, tmp_path):
     back = sinks.read_archive(spark, path)
     assert back.count() == back.select("sha256").distinct().count() == 601
     assert back.where(F.sha2(F.encode("text", "utf-8"), 256) != F.col("sha256")).count() == 0
+
+
+def test_recomputed_results_are_computed_once(spark):
+    from veritick.plans import ledger_plans
+
+    assert "MapInArrow" not in plan(ledger_plans.recompute(spark, "/root/testdata/sf0.001"))
