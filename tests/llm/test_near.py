@@ -161,3 +161,20 @@ def test_half_similar_sets_give_few_pairs_and_similar_ones_all():
     got = lambda *a: {p for i, j in simhash.pairs_at_once(np.zeros(300, np.int64), x, 14, 24, 800, *a) for p in zip(i.tolist(), j.tolist(), strict=True)}
     assert similar and got() > got(odd) >= similar and 10 * len(got(odd)) < len(got())
     assert max(np.unique([i for i, _ in got(odd, 1)], return_counts=True)[1]) == 1
+
+
+def test_links_of_a_dense_group_are_walked_once(spark, monkeypatch):
+    """Later rounds take one edge a node of what is linked, and new links; components are the same."""
+    rng, real, walked = random.Random(6), simhash.components, []
+
+    def counted(edges):
+        walked.append((edges.count(), edges.select("a").union(edges.select("b")).distinct().count()))
+        return real(edges)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    n, words = 150, [f"w{i}" for i in range(200)]
+    texts = [" ".join(words[:k] + [f"x{rng.randrange(10**9)}"] + words[k + 1 :]) for k in (rng.randrange(200) for _ in range(n))]
+    docs = spark.createDataFrame([*enumerate(texts), (n, "quite another text")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()} == {i: 0 for i in range(n)} | {n: n}
+    (first, nodes), *later = walked
+    assert first > 3 * nodes and later and all(edges < nodes for edges, _ in later)

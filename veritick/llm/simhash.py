@@ -568,9 +568,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, per_mille: int = 800, radius:
         nodes = cut(by_set.join(dense.distinct(), "node", "left_semi").join(told.select("node", "odd"), "node").select("node", "fp", "fp2", "size", "odd"))
         rows = cut(dense_rows(nodes, sets, per_mille))
         for most in (MOST, None):  # the nearest first, which joins groups of similar sets; then all that are still apart
-            so_far = components(edges).select("node", F.col("root").alias("__root"))
-            comps = cut(nodes.select("node").join(so_far, "node", "left").select("node", F.coalesce("__root", "node").alias("comp")))
-            edges = cut(edges.union(similar(cut(dense_candidates(rows, comps, radius, wide, per_mille, most=most)))))
+            so_far = components(edges)
+            comps = cut(nodes.select("node").join(so_far.toDF("node", "__root"), "node", "left").select("node", F.coalesce("__root", "node").alias("comp")))
+            # what is linked goes on as one edge a node: the many links of a group of near copies are walked once
+            tree = so_far.where("node <> root").toDF("a", "b")
+            edges = cut(tree.union(similar(cut(dense_candidates(rows, comps, radius, wide, per_mille, most=most)))))
     linked = by_set.join(components(edges), "node")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     moved = linked.join(least, "root").select("node", "least")
