@@ -1,6 +1,7 @@
 """Steps that must not grow faster than their input."""
 
 import io
+import math
 from contextlib import redirect_stdout
 
 import pandas as pd
@@ -130,3 +131,26 @@ def test_recomputed_results_are_computed_once(spark):
     from veritick.plans import ledger_plans
 
     assert "MapInArrow" not in plan(ledger_plans.recompute(spark, "/root/testdata/sf0.001"))
+
+
+def test_last_bars_alone_give_the_features_of_whole_series(spark):
+    """Decisions at the last bars: as from whole series, but look-backs see no more bars than they need, and gates are no lambdas."""
+    from veritick.operators import features as X
+    from veritick.operators import gates as G
+
+    rows = [(f"a{n}", 86_400_000 * i, 50 + 10 * math.sin(i * (n + 1) / 7) + (i * 7919 % 13) / 10 if i % 50 != 3 else -1.0) for n in (1, 20, 21, 29, 31, 32, 33, 34, 120) for i in range(n)]
+    bars = spark.createDataFrame(rows, "asset string, t_ms long, close double")
+    p = X.Params()
+    every = {r["asset"]: r for r in X.with_decision(bars, p).where("bar_idx = n - 1").collect()}
+    last = X.with_decision(bars, p, last=True)
+    for r in last.collect():
+        for c in ("bar_idx", "n", "action", "ret_28", "z_20", "vol_30", "conviction"):
+            want = every[r["asset"]][c]
+            assert r[c] == want or abs(r[c] - want) < 1e-9 * max(1, abs(want)), (r["asset"], c, r[c], want)
+    assert last.count() == len(every) == 9
+    shots = spark.createDataFrame([("s", i, f"a{n}", 3e5, 2e5, 1000) for i, n in enumerate((120, 33, 1, 7))], "session string, pos long, asset string, liquidity_usd double, volume24h_usd double, observed_at_ms long")
+    got = G.decide(shots, bars, F.lit(2000), budget=3)
+    for r in got.collect():
+        assert r["blocked_by"] == [g["gate"] for g in r["gates"] if g["verdict"] == "BLOCKED"] and (r["verdict"] == "BLOCKED") == bool(r["blocked_by"])
+    plan = got.select("verdict", "blocked_by")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.index("ArrowEvalPython") < plan.index("isnull(__later")
