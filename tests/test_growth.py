@@ -154,3 +154,36 @@ def test_last_bars_alone_give_the_features_of_whole_series(spark):
         assert r["blocked_by"] == [g["gate"] for g in r["gates"] if g["verdict"] == "BLOCKED"] and (r["verdict"] == "BLOCKED") == bool(r["blocked_by"])
     plan = got.select("verdict", "blocked_by")._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and plan.index("ArrowEvalPython") < plan.index("isnull(__later")
+
+
+def test_scores_make_baselines_once(spark):
+    """Baselines are looked up once, no wide join by asset alone; notes by brute force, with bars and signals without a time."""
+    import random
+
+    from veritick.operators import track as T
+
+    rng, day = random.Random(4), 86_400_000
+    ticks = [(a, rng.randrange(400) * day, float(rng.randrange(1, 99))) for a in "abc" for _ in range(25)] + [("d", None, 5.0), (None, 5, 1.0)]
+    ticks = list({(a, t): (a, t, c) for a, t, c in ticks}.values())
+    calls = [(i, rng.choice(["a", "b", "c", "d", "e", None]), rng.choice([None, *[rng.randrange(-50, 420) * day + rng.randrange(day)] * 5])) for i in range(400)]
+    bars = spark.createDataFrame(ticks, "asset string, t_ms long, close double")
+    signals = spark.createDataFrame(calls, "file long, asset string, signal_ms long")
+    now = 405 * day
+    df = T.score_signals(signals, bars, F.lit(now))
+
+    def first(a, t):
+        return min(((u, c) for b, u, c in ticks if b == a and a is not None and u is not None and t is not None and u >= t), default=None)
+
+    want = {}
+    for i, a, t in calls:
+        for h in (1, 7):
+            due = None if t is None else t + h * day
+            b, o = first(a, t), first(a, due)
+            late = lambda x: "pending" if now < x + day else "gap"
+            known = a is not None and any(x[0] == a for x in ticks)
+            note = "no history" if not known else "unparseable time" if t is None else late(t) if b is None else late(due) if o is None else None
+            want[i, h] = ("MEASURED" if b and o else "UNAVAILABLE", note, o[1] / b[1] - 1 if b and o else None)
+    assert {(r["file"], r["horizon"]): (r["label"], r["note"], r["forward_return"]) for r in df.collect()} == want
+    assert {n for _, n, _ in want.values()} == {"no history", "unparseable time", "pending", "gap", None}
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Window [last(__bar") == 2 and text.count("Join LeftOuter") == 2
