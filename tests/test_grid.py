@@ -167,3 +167,58 @@ def test_look_backs_go_over_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert money == sorted(map(str, B.cell_equity(B.decision_bars(B.grid_expand(bars, GRID[:3]))).collect()))
+
+
+def lanes(windows, rng, price=1e9):
+    """Bars of some windows, one after the other, with random moves: (edges, rel, valid, enter, leave, money) of ``Sweep.feed``."""
+    import numpy as np
+
+    lengths = rng.integers(1, 90, windows)
+    edges, n, c = np.concatenate([[0], np.cumsum(lengths)]), int(lengths.sum()), len(GRID)
+    rel = np.arange(n) - np.repeat(edges[:-1], lengths)
+    valid = rel[None, :] >= rng.integers(0, 40, c)[:, None]
+    kind = rng.integers(0, 4, (c, n))
+    close = rng.uniform(0.5, 2, n) * price
+    return edges, rel, valid, valid & (kind == 0), valid & (kind == 1), [close / 1e6, *((close * x).astype(np.int64) for x in (1, 1.005, 0.995))]
+
+
+@pytest.mark.parametrize("price", [1e9, 3e4, 4e14, 4e17])
+def test_trades_of_many_windows_are_made_together(price, monkeypatch):
+    """One sweep over forty windows, the trades of all lanes step by step, equals forty sweeps that trade one by one in Python's integers."""
+    import numpy as np
+
+    edges, rel, valid, enter, leave, money = lanes(40, np.random.default_rng(3), price)
+    all_at_once, steps = B.Sweep(GRID, 40, 10_000), []
+    plain = all_at_once.one_by_one
+    monkeypatch.setattr(all_at_once, "one_by_one", lambda *a: steps.append(a) or plain(*a))
+    all_at_once.feed(np.arange(40), edges, rel, valid, enter, leave, money)
+    assert all_at_once.trades.sum() > 5_000 and bool(steps) == (price > 9e15)  # only prices beyond 64 bits go one by one
+    for w, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        one = B.Sweep(GRID, 1, 10_000)
+        monkeypatch.setattr(one, "together", lambda *a: None)
+        mid = (lo + hi) // 2
+        for a, b in ((lo, mid), (mid, hi)):  # in two stretches
+            if a < b:
+                one.feed(np.array([0]), np.array([0, b - a]), rel[a:b], valid[:, a:b], enter[:, a:b], leave[:, a:b], [m[a:b] for m in money])
+        for name in B.Sweep.LANE:
+            assert (getattr(one, name)[:, 0] == getattr(all_at_once, name)[:, w]).all(), (w, name)
+
+
+def test_micro_equals_the_column(spark):
+    """Millionths by floating point, or by text next to half-way, are those of the column."""
+    import numpy as np
+
+    from veritick.functions import scalars as S
+
+    rng = random.Random(8)
+    xs = [None, 0.0, -0.0, float("nan"), float("inf"), 0.0000015, 5e-7, 4.9999999999999999e-7, 1.0000005, -2.5e-6, 1e-300, 9.1e12, 2251799813.6852485, 123456789012.1234565]
+    xs += [rng.randrange(10**9) / 10**6 + 5e-7 for _ in range(300)] + [rng.uniform(0, 3000) * r for r in (1, 1.005, 0.995) for _ in range(300)] + [10 ** rng.uniform(-9, 12) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(xs)), "i int, x double").select("i", F.coalesce(S.to_micro_usd("x").cast("long"), F.lit(0)).alias("m"))
+    want = [r["m"] for r in sorted(df.collect())]
+    assert B.micro(np.array([math.nan if x is None else x for x in xs])).tolist() == want
+
+
+def test_sweep_stops_at_rows_out_of_order(spark):
+    bars = X.with_features(series(spark, (100, 100)), GRID)
+    with pytest.raises(Exception, match="all bars of an asset in order"):
+        B.sweep(bars.where("bar_idx <> 50"), GRID, 0.7, 0.005, 10_000).count()
