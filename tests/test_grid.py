@@ -222,3 +222,23 @@ def test_sweep_stops_at_rows_out_of_order(spark):
     bars = X.with_features(series(spark, (100, 100)), GRID)
     with pytest.raises(Exception, match="all bars of an asset in order"):
         B.sweep(bars.where("bar_idx <> 50"), GRID, 0.7, 0.005, 10_000).count()
+
+
+@pytest.mark.parametrize("top, calls", [(10**14, False), (10**3, False), (2**46, False), (2**50, True)])
+def test_deviations_in_64_bits_are_exact(top, calls):
+    """n times the deviation of any stretch is that of Python's integers, to the last bit, and needs none of them for closes and daily returns."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(-top, top + 1, 3_000)
+    x[100:160], x[200:230], x[300:400:3] = top, 7, 0
+    x[500:560:2], x[501:560:2] = top, -top
+    hi = np.arange(1, 3_001)
+    for deep in (2, 30, 128):
+        lo = np.maximum(hi - deep, 0)
+        n = hi - lo - (rng.random(3_000) < 0.1) * (x[hi - 1] == 0)
+        got = X.spreads(x, 128)(lo, hi, n)
+        want = [math.sqrt(float(int(k) * sum(v * v for v in own) - sum(own) ** 2)) for k, own in ((k, x[a:b].tolist()) for a, b, k in zip(lo, hi, n, strict=True))]
+        assert got.tolist() == want
+    assert (X.spreads(x, 128).__name__ == "plain") == calls
+    assert X.spreads(x, 129).__name__ == "plain"
