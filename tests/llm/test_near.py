@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veritick.llm import simhash
@@ -178,3 +179,37 @@ def test_links_of_a_dense_group_are_walked_once(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()} == {i: 0 for i in range(n)} | {n: n}
     (first, nodes), *later = walked
     assert first > 3 * nodes and later and all(edges < nodes for edges, _ in later)
+
+
+def test_sets_meet_at_first_shingles_whatever_their_number(spark, monkeypatch):
+    """Similar texts of two line-sharing families meet, all others do not; no text sends more than a fifth of its shingles, and none probes places that depend on how many texts there are."""
+    rng, texts = random.Random(9), []
+    line = [f"line{i}" for i in range(12)]
+    for i in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40, 160))]
+        texts.append(" ".join(words + line))
+        if i % 3 == 0:
+            at = rng.randrange(len(words) - 1)
+            texts.append(" ".join(words[:at] + [f"new{i}"] + words[at + 1 :] + line))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    usual = simhash.frequent(docs, 5, "text")
+    assert set(usual.view(np.uint64).tolist()) == shingles(" ".join(line))  # all that three texts share
+    own = simhash.shingle_sets(docs, 5, 800, usual, "doc_id", "text").cache()
+    sets = {r["doc_id"]: r for r in own.collect()}
+    assert all(len(r["tokens"]) == r["size"] - -(-4 * r["size"] // 5) + 1 for r in sets.values())
+    rows = simhash.meeting_rows(own.select("node", F.col("node").alias("comp"), "size", "tokens"), 800).collect()
+    at = {}
+    for r in rows:
+        at.setdefault(r["node"], set()).add(r["value"])
+    node = {i: r["node"] for i, r in sets.items()}
+    similar = {(i, j) for i in sets for j in sets if i < j and similarity(texts[i], texts[j]) >= 0.8}
+    assert len(similar) > 40 and set(at) == {node[i] for p in similar for i in p}
+    assert all(at[node[i]] & at[node[j]] for i, j in similar)
+    assert not simhash.meeting_rows(own.select("node", F.lit(1).alias("comp"), "size", "tokens"), 800).count()  # linked already
+
+    def no_probes(*_, **__):
+        raise AssertionError("probes")
+
+    monkeypatch.setattr(simhash, "meetings", no_probes)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()}
+    assert {(i, j) for i in found for j in found if i < j and found[i] == found[j]} == similar

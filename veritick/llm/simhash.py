@@ -12,12 +12,13 @@ set probes).  What meets under one value is verified on all 64 bits.  A meeting
 forest, found by breadth-first search, never all pairs; one of over ``block`` fingerprints is first split in blocks,
 each pair of blocks being a meeting place of its own.  Components then come from ``components``.
 
-``near_groups`` takes such links for candidates only: texts are told apart by their set of word shingles, a wider
-radius and more parts find candidate pairs, and a pair is linked if the exact Jaccard similarity of its sets suffices.
-As the distance of fingerprints scatters (at a similarity of 0.8 about 10 bits, give or take 3), each set has two
-independent ones; a pair is a candidate if either is within ``radius`` and the other within ``wide``, which spares most
-chance pairs their exact check.  A meeting place of over ``small`` sets gives each its ``most`` nearest later ones, in an
-order that all places share, so that a large cluster of near copies has few pairs and yet a path to its last member.
+``near_groups`` works on sets of word shingles: a pair is linked if the exact Jaccard similarity of its sets suffices.  Pairs
+meet at shingles: similar sets share one that is early in both, in any order that all sets have in common (prefix filter).
+The order is that of hashes, with shingles last that are frequent in a sample; it decides how many meet, not what is found,
+so that rows grow with the words and not with the square of the sets.  Fingerprints then decide: as the distance of two
+scatters (at a similarity of 0.8 about 10 bits, give or take 3), each set has two independent ones; a pair is a candidate
+if either is within ``radius`` and the other within ``wide``, which spares most chance pairs their exact check.  Sets are
+compared with few neighbours at their least hashes first, which links near copies; what is linked does not meet again.
 
 Edge cases: a null or empty text, or one without words, has fingerprint zero, linked like any other. A text of fewer
 than ``shingle`` words has one shingle, its whole sequence. Rows with a null id are kept and link like any other; a
@@ -318,7 +319,7 @@ def groups(docs: DataFrame, shingle: int = 4, radius: int = 4, doc_id: str = "do
     return joined.select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-ROWS = 512
+ROWS = 128
 
 
 def second(hashes: np.ndarray) -> np.ndarray:
@@ -328,17 +329,76 @@ def second(hashes: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, node, fp, fp2, size): the row's set of shingles by its hash, with the set's two fingerprints and size."""
+LEAST = 4  # shingles of the least hashes at which sets meet first
+ONE_IN, SAMPLED, OFTEN, FREQUENT = 64, 1 << 12, 3, 1 << 17
+
+
+def frequent(docs: DataFrame, shingle: int, text: str) -> np.ndarray:
+    """Hashes of shingles that come often (in ``OFTEN`` or more distinct texts of a sample), the rarest first, at most ``FREQUENT``.
+
+    The sample is one text in 64, or more where there are few. It only orders shingles: any order finds the same pairs.
+    """
+    one_in = min(ONE_IN, max(1, docs.count() // SAMPLED))
+    some = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).distinct()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                found = [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)) for t in batch.column(0).slice(lo, ROWS).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
+
+    counts = cut(some.mapInArrow(work, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN))
+    least, total = OFTEN, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n")).collect():
+        total += r["m"]
+        if total > FREQUENT:
+            least = r["n"] + 1
+            break
+    found = counts.where(F.col("n") >= least).toArrow()
+    token, n = (found.column(c).to_numpy() for c in ("token", "n"))
+    return token[np.lexsort((token, n))]
+
+
+def lengths(size: np.ndarray | int, per_mille: int):
+    """How many of a set's first shingles the larger set of a similar pair must look at, and how many the smaller one."""
+    return size - -(-per_mille * size // 1000) + 1, size - -(-2 * per_mille * size // (1000 + per_mille)) + 1
+
+
+def shingle_sets(docs: DataFrame, shingle: int, per_mille: int, usual: np.ndarray, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, node, fp, fp2, size, odd, least0.., tokens): the row's set of shingles by its hash, with its two fingerprints, size, parities, least hashes and first shingles.
+
+    ``tokens`` are those at which a similar set is met: in the order of hashes, those of ``usual`` (``frequent``) last.
+    """
+    by_hash = np.argsort(usual.view(np.uint64))
+    sorted_usual = usual.view(np.uint64)[by_hash]
+    many = pa.list_(pa.field("element", pa.int64()))
+
+    def first(x: np.ndarray) -> np.ndarray:
+        some = x
+        if len(sorted_usual):
+            at = np.minimum(np.searchsorted(sorted_usual, x), len(sorted_usual) - 1)
+            known = sorted_usual[at] == x
+            if known.any():
+                some = np.concatenate([x[~known], x[known][np.argsort(by_hash[at[known]])]])
+        return some[: lengths(len(x), per_mille)[0]]
 
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             for lo in range(0, len(batch), ROWS):  # few texts at a time are Python objects
-                sets = (np.unique(np.array(shingle_hashes(t, shingle), np.uint64)) for t in batch.slice(lo, ROWS).to_pylist())
-                found = [(xxhash.xxh3_64_intdigest(x.tobytes()), majority(x), majority(second(x)), len(x)) for x in sets]
-                yield pa.StructArray.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in zip(*found, strict=True)], ["node", "fp", "fp2", "size"])
-
-    one = F.arrow_udf(work, "node long, fp long, fp2 long, size long")(F.coalesce(F.col(text), F.lit("")))
+                found, odd, least, tokens = [], [], [], []
+                for t in batch.slice(lo, ROWS).to_pylist():
+                    x = np.unique(np.array(shingle_hashes(t, shingle), np.uint64))
+                    found.append((xxhash.xxh3_64_intdigest(x.tobytes()), majority(x), majority(second(x)), len(x)))
+                    odd.append(parities(x))
+                    least.append([*x[:LEAST].view(np.int64).tolist(), *[None] * (LEAST - len(x))])
+                    tokens.append(first(x).view(np.int64))
+                ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
+                columns = [*(pa.array(np.array(c, np.uint64).view(np.int64)) for c in zip(*found, strict=True)), pa.array(odd, pa.binary()), *(pa.array(c, pa.int64()) for c in zip(*least, strict=True))]
+                yield pa.StructArray.from_arrays([*columns, pa.ListArray.from_arrays(ends, np.concatenate(tokens), type=many)], names)
+
+    names = ["node", "fp", "fp2", "size", "odd", *(f"least{k}" for k in range(LEAST)), "tokens"]
+    kinds = ", ".join(f"{c} {'binary' if c == 'odd' else 'array<long>' if c == 'tokens' else 'long'}" for c in names)
+    one = F.arrow_udf(work, kinds)(F.coalesce(F.col(text), F.lit("")))
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), one.alias("s")).select("doc_id", "s.*")
 
 
@@ -389,38 +449,46 @@ def run_pairs(key: np.ndarray, fp: np.ndarray, other: np.ndarray, size: np.ndarr
     return np.concatenate(a), np.concatenate(b)
 
 
-def candidates(sets: DataFrame, radius: int, wide: int, per_mille: int, block: int = 20_000) -> DataFrame:
-    """Distinct pairs (a, b) of the distinct ``sets`` (node, fp, fp2, size) that may be similar, by either fingerprint.
+AHEAD = 8
 
-    A pair of a node with itself marks a node that has more partners than are listed (``run_pairs``).
-    """
 
-    def pairs(key: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-        i, j = run_pairs(key, x[:, 1], x[:, 2], x[:, 3], radius, wide, per_mille)
-        return pd.DataFrame({"a": np.minimum(x[i, 0], x[j, 0]), "b": np.maximum(x[i, 0], x[j, 0])})
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows of whole keys, keys being the first of the columns (longs) and sorted."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+        x = x if held is None else np.concatenate([held, x])
+        end = np.searchsorted(x[:, 0], x[-1, 0])
+        if end:
+            yield x[:end]
+        held = x[end:]
+    if held is not None:
+        yield held
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple | None = None
-        for pdf in batches:
-            key, x = pdf["key"].to_numpy(), pdf[["node", "fp", "other", "size"]].to_numpy()
-            if not len(key):
-                continue
-            if last is not None:
-                key, x = np.r_[last[0], key], np.r_[last[1], x]
-            end = np.searchsorted(key, key[-1])
-            last = (key[end:], x[end:])
-            yield pairs(key[:end], x[:end])
-        if last is not None:
-            yield pairs(*last)
 
-    out = sets.sparkSession.createDataFrame([], "a long, b long")
-    for own, other in (("fp", "fp2"), ("fp2", "fp")):
-        rows = sets.select("node", F.col(own).alias("fp"), F.col(other).alias("other"), "size")
-        parts = plan_parts(rows, radius, counts_of_parts=(2, 3, 4, 5, 6, 8))
-        if parts is not None:
-            placed = meetings(rows, parts, block)
-            out = out.union(placed.repartition("key").sortWithinPartitions("key", "node").mapInPandas(compare, "a long, b long"))
-    return out.distinct()
+def neighbours(sets: DataFrame, radius: int, wide: int, per_mille: int) -> DataFrame:
+    """Distinct pairs (a, b) of ``sets`` (node, fp, fp2, size, least0..) that may be similar, of those that meet at a least hash.
+
+    In the order of size each set is paired with the ``AHEAD`` next ones at most, so that pairs grow with the sets; what is
+    missing is for ``dense_candidates`` to find.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in by_key(batches):
+            for d in range(1, AHEAD + 1):
+                i = np.flatnonzero(x[d:, 0] == x[:-d, 0])
+                if not len(i):
+                    break
+                j = i + d
+                one, two = (np.bitwise_count((x[i, c] ^ x[j, c]).view(np.uint64)) for c in (3, 4))
+                ok = (np.minimum(one, two) <= radius) & (np.maximum(one, two) <= wide) & (1000 * x[i, 1] >= per_mille * x[j, 1])
+                a, b = x[i[ok], 2], x[j[ok], 2]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    met = sets.select(F.explode(F.array_compact(F.array(*[f"least{k}" for k in range(LEAST)]))).alias("key"), "size", "node", "fp", "fp2")
+    return met.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
 BITS, MOST = 1024, 4  # of a set's parities; partners that a set is compared with first
@@ -483,24 +551,39 @@ def prefix_pairs(key: np.ndarray, x: np.ndarray, radius: int, wide: int, per_mil
     return np.concatenate(a), np.concatenate(b)
 
 
-def dense_rows(nodes: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
-    """(part, value, node, fp, fp2, size, early, rest, odd): the rows at which ``dense_candidates`` meet, of all ``nodes``."""
-    each = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("hashes").alias("token"))
-    often = each.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")  # a shingle of one set joins nothing, but is the rarest
-    ranked = each.join(often, "token", "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("tokens"))
-    n = F.col("size")
-    shorter = n - F.ceil(2 * per_mille * n / (1000 + per_mille)) + 1
-    longer = (n - F.ceil(per_mille * n / 1000) + 1).cast("int")
-    rows = nodes.join(ranked, "node").select("node", "fp", "fp2", "size", "odd", shorter.alias("shorter"), F.posexplode(F.slice("tokens", F.lit(1), longer)).alias("at", "t"))
-    early, rest = (F.col("at") < F.col("shorter")).cast("long"), (F.col("size") - F.col("at")).cast("long")
-    return rows.where("t.n > 1").select(F.lit(0).alias("part"), F.col("t.token").alias("value"), "node", "fp", "fp2", "size", early.alias("early"), rest.alias("rest"), "odd")
+def meeting_rows(sets: DataFrame, per_mille: int) -> DataFrame:
+    """(value, node, size, early, rest): the shingles of ``sets`` (node, comp, size, tokens) at which another set of a fitting size and another component is met."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in by_key(batches):
+            new = np.r_[True, x[1:, 0] != x[:-1, 0]]
+            x = x[~(new & np.r_[new[1:], True])]  # a shingle of one set joins nothing
+            if not len(x):
+                continue
+            value, place, node, comp = x.T
+            size, at = place >> 32, place & 0xFFFFFFFF
+            group = np.cumsum(np.r_[True, value[1:] != value[:-1]]) << 32
+            last = np.searchsorted(group + size, group + size * 1000 // per_mille, side="right")
+            changes = np.cumsum(np.r_[False, comp[1:] != comp[:-1]])
+            here = np.arange(len(x))
+            early = at < lengths(size, per_mille)[1]
+            met = early & (changes[last - 1] > changes[here])
+            within = np.zeros(len(x) + 1, np.int64)
+            np.add.at(within, here[met], 1)
+            np.add.at(within, last[met], -1)
+            kept = np.cumsum(within[:-1]) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(c[kept].astype(np.int64)) for c in (value, node, size, early, size - at)], ["value", "node", "size", "early", "rest"])
+
+    n_tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # sorting small rows costs more per byte than merging partitions assumes
+    rows = sets.select("node", "comp", "size", F.posexplode("tokens").alias("at", "value"))
+    rows = rows.select("value", (F.shiftleft("size", 32) + F.col("at")).alias("place"), "node", "comp")
+    return rows.repartition(n_tasks, "value").sortWithinPartitions("value", "place", "node").mapInArrow(work, "value long, node long, size long, early long, rest long")
 
 
 def dense_candidates(rows: DataFrame, comps: DataFrame, radius: int, wide: int, per_mille: int, block: int = 20_000, most: int | None = None) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of different components (``comps``: node, comp) that may be similar, from ``dense_rows``.
+    """Distinct pairs (a, b) of nodes of different components (``comps``: node, comp) that may be similar; ``rows``: part, value, node, fp, fp2, size, early, rest, odd.
 
-    For dense places, where fingerprints tell too little: a prefix-filtered join of whole shingle sets.
-    Shingles are ordered by how rare they are among these sets; similar sets share one that is early in both. The smaller
+    A prefix-filtered join of whole shingle sets: similar sets share a shingle that is early in both. The smaller
     set needs fewer of them than the larger, so that what a whole corpus shares (a template) meets no one. Shingles whose
     sets are linked already, such as those of a group of near copies, drop out before rows meet. ``most``: see ``pairs_at_once``.
     """
@@ -536,43 +619,45 @@ def dense_candidates(rows: DataFrame, comps: DataFrame, radius: int, wide: int,
 def near_groups(docs: DataFrame, shingle: int = 5, per_mille: int = 800, radius: int = 14, wide: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id): components of texts whose shingle sets have a Jaccard similarity of ``per_mille``/1000 or more.
 
-    Candidates are pairs that are near by one fingerprint and not far by the other. Where many sets meet at one place, each
-    is compared with its nearest first, which links groups of near copies; sets that had more partners than those are then
-    compared with all sets that they are not linked to, by rare shingles (``dense_candidates``): with the nearest of them, and
-    once those are linked, with the rest.
+    Candidates are pairs that are near by one fingerprint and not far by the other. Sets are compared with a few neighbours
+    first (``neighbours``), which links groups of near copies; then with all sets that they are not linked to, by their first
+    shingles (``dense_candidates``): with the nearest of them, and once those are linked, with the rest.
     """
-    own = cut(shingle_sets(docs, shingle, doc_id, text))
-    by_set = cut(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("size").alias("size"), F.count("*").alias("n")))
-    found = cut(candidates(by_set.select("node", "fp", "fp2", "size"), radius, wide, per_mille))
-    pairs, dense = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("node"))
-    wanted = by_set.join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("first").alias("doc_id"))
+    own = cut(shingle_sets(docs, shingle, per_mille, frequent(docs, shingle, text), doc_id, text))
+    same = [F.first(c).alias(c) for c in ("fp", "fp2", "size", *(f"least{k}" for k in range(LEAST)))]
+    by_set = cut(own.groupBy("node").agg(F.min("doc_id").alias("first"), *same, F.count("*").alias("n")))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
                 some = pdf.iloc[lo : lo + 500]
                 sets = [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)).view(np.int64) for t in some["text"]]
-                yield pd.DataFrame({"node": some["node"].to_numpy(), "hashes": sets, "odd": [parities(x) for x in sets]})
-
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id").select("node", "text")
-    told = cut(texts.mapInPandas(work, "node long, hashes array<long>, odd binary"))
-    sets = told.select("node", "hashes")
+                yield pd.DataFrame({"node": some["node"].to_numpy(), "hashes": sets})
 
     def similar(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        wanted = by_set.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("first").alias("doc_id"))
+        texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id").select("node", "text")
+        sets = cut(texts.mapInPandas(work, "node long, hashes array<long>"))
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(1000 * shared >= per_mille * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
-    edges = cut(similar(pairs))
-    if not dense.isEmpty():
-        nodes = cut(by_set.join(dense.distinct(), "node", "left_semi").join(told.select("node", "odd"), "node").select("node", "fp", "fp2", "size", "odd"))
-        rows = cut(dense_rows(nodes, sets, per_mille))
-        for most in (MOST, None):  # the nearest first, which joins groups of similar sets; then all that are still apart
-            so_far = components(edges)
-            comps = cut(nodes.select("node").join(so_far.toDF("node", "__root"), "node", "left").select("node", F.coalesce("__root", "node").alias("comp")))
-            # what is linked goes on as one edge a node: the many links of a group of near copies are walked once
-            tree = so_far.where("node <> root").toDF("a", "b")
-            edges = cut(tree.union(similar(cut(dense_candidates(rows, comps, radius, wide, per_mille, most=most)))))
+    def apart(nodes: DataFrame, so_far: DataFrame) -> DataFrame:
+        return nodes.join(so_far.toDF("node", "__root"), "node", "left").withColumn("comp", F.coalesce("__root", "node")).drop("__root")
+
+    edges, rows = cut(similar(neighbours(by_set, radius, wide, per_mille))), None
+    for most in (MOST, None):  # the nearest first, which joins groups of similar sets; then all that are still apart
+        so_far = components(edges)
+        if rows is None:
+            once = apart(by_set.select("node", F.col("first").alias("doc_id")), so_far).select("doc_id", "comp")  # of equal sets the first alone
+            met = cut(meeting_rows(own.join(once, "doc_id"), per_mille))
+            nodes = cut(met.select("node").distinct())
+            told = own.join(by_set.join(nodes, "node", "left_semi").select(F.col("first").alias("doc_id")), "doc_id", "left_semi").select("node", "fp", "fp2", "odd")
+            rows = cut(met.join(told, "node").select(F.lit(0).alias("part"), "value", "node", "fp", "fp2", "size", "early", "rest", "odd"))
+        # what is linked goes on as one edge a node: the many links of a group of near copies are walked once
+        tree = so_far.where("node <> root").toDF("a", "b")
+        edges = cut(tree.union(similar(dense_candidates(rows, cut(apart(nodes, so_far)), radius, wide, per_mille, most=most))))
     linked = by_set.join(components(edges), "node")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     moved = linked.join(least, "root").select("node", "least")
