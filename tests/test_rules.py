@@ -315,6 +315,46 @@ def test_export_texts_are_written_by_expressions(spark):
     assert len(lines) == len(got) and all(canonical(json.loads(r["value"])) == r["value"] for r in lines)
 
 
+def test_export_columns_of_texts_are_those_of_single_values():
+    """Texts made by Arrow, a column at a time, are those of single values to the last digit; only odd values are written one by one."""
+    import random
+    import struct
+
+    import pyarrow as pa
+
+    from veritick.functions import helpers as H
+
+    rng = random.Random(4)
+    some = [rng.uniform(-1, 1) * 10 ** rng.randrange(-9, 9) for _ in range(2000)] + [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(500)]
+    some += [None, 0.0, -0.0, 1.0, -3.0, 1e5, 99999.0, 123456789.0, 1e-6, 9.999e-7, 1e21, 5e-324, float("nan"), float("inf"), -float("inf")]
+    got = H.number_texts(pa.array([None, *some], pa.float64()).slice(1))
+    assert got.to_pylist() == [H.number_or_name(x) for x in some]
+    names = [None, "", "plain", 'a"\\b', "tab\t\x0b\x1f\x7f", "\\u001F", "\u00e9\u2028\U0001f600"]
+    assert H.quoted_texts(pa.array(["x", *names]).slice(1)).to_pylist() == [H.string_or_null(x) for x in names]
+    assert H.few_texts(pa.array([3, None, 3, 7]), H.number_or_name).to_pylist() == ["3", "null", "3", "7"]
+    assert len(H.number_texts(pa.array([], pa.float64()))) == 0
+
+
+def test_export_lines_are_small_on_disk_and_dealt_as_bars(spark, tmp_path):
+    """Lines are packed, files hold ranges of assets in order, and no shuffle carries the many rows that bars are made into."""
+    import gzip
+    import json
+
+    from veritick.operators import sft
+    from veritick.sources import sinks
+
+    bars = spark.createDataFrame([(f"A{a}", t, c * (a + 1)) for a in range(9) for _, t, c in lcg_bars(120)], "asset string, t_ms long, close double")
+    rows = sft.derived(bars, placed=True)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    sinks.write_jsonl(sft.jsonl(sft.messages(rows)), str(tmp_path / "x"), placed=True, compression="gzip")
+    files = [gzip.open(f, "rt").read().splitlines() for f in sorted((tmp_path / "x").glob("part-*.gz"))]
+    assert sum(f.stat().st_size for f in (tmp_path / "x").glob("part-*")) * 5 < sum(len(x) for f in files for x in f)
+    place = {r["value"]: (r["asset"], r["cell_id"], r["bar_idx"]) for r in sft.jsonl(sft.export(bars)).collect()}
+    places = [[(json.loads(x)["provenance"]["sourceReceipt"].split("/")[1], place[x][1], place[x][2]) for x in f] for f in files if f]
+    assert len(places) > 1 and all(p == sorted(p) for p in places) and sorted(p for f in places for p in f) == sorted(place.values())
+    assert all(a[-1][0] < b[0][0] for a, b in zip(sorted(places), sorted(places)[1:], strict=False))
+
+
 def test_chain_cases(spark):
     f = "ledger string, run_dir string, name string, sha256 string"
     c = "array<struct<dir:string,files:array<struct<name:string,sha256:string>>>>"
