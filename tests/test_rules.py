@@ -335,6 +335,25 @@ def test_export_columns_of_texts_are_those_of_single_values():
     assert len(H.number_texts(pa.array([], pa.float64()))) == 0
 
 
+def test_exported_texts_are_read_back_in_columns(spark):
+    """As ``from_json`` reads them, with no parser a row; a text that is not an object stops the job."""
+    import pyarrow as pa
+
+    from veritick.functions.helpers import json_rows
+    from veritick.plans import replay_plans
+
+    kind = "a string, b struct<x:double>, c array<string>"
+    schema = pa.schema([("a", pa.string()), ("b", pa.struct([("x", pa.float64())])), ("c", pa.list_(pa.field("element", pa.string())))])
+    texts = ['{"a":"q\\"\\u001F\\u00e9","b":{"x":1},"c":["1","2"],"more":{"y":[1]}}', '{"b":{"x":null},"c":[]}', '{"a":null,"b":{"x":-2.5e-7}}', "{}"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    fields = ("r.a", "r.b.x", "r.c")
+    assert df.select(json_rows(schema, kind)("t").alias("r")).select(*fields).collect() == df.select(F.from_json("t", kind).alias("r")).select(*fields).collect()
+    with pytest.raises(Exception, match="JSON"):
+        spark.createDataFrame([("no object",)], "t string").select(json_rows(schema, kind)("t")).collect()
+    plan = replay_plans.sft_messages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan
+
+
 def test_export_lines_are_small_on_disk_and_dealt_as_bars(spark, tmp_path):
     """Lines are packed, files hold ranges of assets in order, and no shuffle carries the many rows that bars are made into."""
     import gzip
