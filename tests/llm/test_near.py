@@ -213,3 +213,18 @@ def test_sets_meet_at_first_shingles_whatever_their_number(spark, monkeypatch):
     monkeypatch.setattr(simhash, "meetings", no_probes)
     found = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()}
     assert {(i, j) for i in found for j in found if i < j and found[i] == found[j]} == similar
+
+
+def test_texts_are_not_shuffled_to_find_few(spark, monkeypatch):
+    rng, plans, real = random.Random(2), [], simhash.cut
+
+    def seen(df):
+        if "hashes" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(simhash, "cut", seen)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate([" ".join(words), " ".join(words[:-1]), "other words"])), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()} == {0: 0, 1: 0, 2: 2}
+    assert plans and all("BroadcastHashJoin" in p for p in plans)

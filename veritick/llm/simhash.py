@@ -616,6 +616,9 @@ def dense_candidates(rows: DataFrame, comps: DataFrame, radius: int, wide: int,
     return placed.repartition(n_tasks, "key").sortWithinPartitions("key", "size", "node").mapInPandas(compare, "a long, b long").where("a <> b").distinct()
 
 
+WANTED = 1 << 19  # numbers of rows that are broadcast at most
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, per_mille: int = 800, radius: int = 14, wide: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id): components of texts whose shingle sets have a Jaccard similarity of ``per_mille``/1000 or more.
 
@@ -637,6 +640,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, per_mille: int = 800, radius:
     def similar(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         wanted = by_set.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("first").alias("doc_id"))
+        wanted = cut(wanted)
+        wanted = F.broadcast(wanted) if wanted.count() <= WANTED else wanted  # else all texts are shuffled to find some
         texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id").select("node", "text")
         sets = cut(texts.mapInPandas(work, "node long, hashes array<long>"))
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
